@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, secrets, simhash
+from . import compression, mixing, secrets, simhash
 from .common import table
 
 
@@ -22,8 +22,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_dedup, op5_secret_scan, op6_quality)}
+    return {f.__name__: f for f in (op4_simhash_dedup, op5_secret_scan, op6_quality, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
