@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, mixing, secrets, simhash
+from . import compression, decontamination, mixing, secrets, simhash
 from .common import table
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_dedup, op5_secret_scan, op6_quality, op9_source_mixing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_simhash_dedup, op5_secret_scan, op6_quality, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
