@@ -1,8 +1,50 @@
-"""The corpus pipeline; stages follow."""
+"""The corpus pipeline: each stage works on what its predecessor kept, written as Parquet between the stages.
 
-STAGES = []
+quality: documents that the classifier rejects go. dedup: one document (the smallest id) of each near-duplicate group
+stays. decontamination: documents that hold a test item go. secrets: spans of secrets are replaced by a mark, n_chars
+follows; the documents stay. mixing: the rows of the mix, with the copies and words taken of each document.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import compression, decontamination, mixing, secrets, simhash
+from plumbline.llm.common import checkpoint_dir, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return compression.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [("quality", quality), ("dedup", dedup), ("decontamination", decontaminate), ("secrets", redact), ("mixing", blend)]
+
+#: No SQL: compression, XXH64, guess costs and Newton's steps have none in DuckDB. tests/llm hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    home = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
+        docs = spark.read.parquet(f"{home}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
