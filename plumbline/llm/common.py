@@ -39,12 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def sample_ids(df: DataFrame, by: str, n: int, key: str = "doc_id") -> DataFrame:
-    """At most `n` (up to 1000) ids for each value of `by`, in the order of a hash of the id.
+    """About `n` ids at most for each value of `by`, in the order of a hash of the id.
 
-    Reads only the two columns. Spark limits each group before the shuffle (WindowGroupLimit), so a group of any size sends at most `n` rows a task.
+    Reads only the two columns. Each value is dealt by the hash into strata of 1000 ids at most, so Spark limits each
+    group before the shuffle (WindowGroupLimit) and a value of any size sends at most `n` rows a task.
     """
-    w = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
-    return df.select(key, by).where(F.col(by).isNotNull() & F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    strata = -(-n // 1000)
+    h = F.xxhash64(key)
+    w = Window.partitionBy(by, F.pmod(h, F.lit(strata))).orderBy(h, key)
+    return df.select(key, by).where(F.col(by).isNotNull() & F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= -(-n // strata)).drop("_n")
 
 
 def labelled_texts(docs: DataFrame, ids: DataFrame, by: str, max_chars: int, key: str = "doc_id") -> list[tuple[int, str, object]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontamination, mixing, secrets, simhash
+from . import compression, decontamination, mixing, secrets, simhash, toxicity
 from .common import table
 
 
@@ -26,12 +26,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_simhash_dedup, op5_secret_scan, op6_quality, op9_source_mixing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_simhash_dedup, op5_secret_scan, op6_quality, op8_toxicity, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
