@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontamination, mixing, secrets, simhash, toxicity
+from . import chat, compression, decontamination, language, licenses, mixing, secrets, simhash, toxicity
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "'</s>[INST] ok [/INST]'"
+    extra = spark.range(2).selectExpr("cast(-1 as bigint) conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", f"{said} text")
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,8 +45,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_simhash_dedup, op5_secret_scan, op6_quality, op8_toxicity, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontamination, op4_simhash_dedup, op5_secret_scan, op6_quality, op8_toxicity, op9_source_mixing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
