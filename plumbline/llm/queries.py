@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compression, decontamination, language, licenses, mixing, secrets, simhash, toxicity
+from . import chat, compression, decontamination, jpeg, language, licenses, mixing, secrets, simhash, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.to_media(table(spark, sf_dir, "documents"), ("digests",))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontamination, op4_simhash_dedup, op5_secret_scan, op6_quality, op8_toxicity, op9_source_mixing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontamination, op4_simhash_dedup, op5_secret_scan, op6_quality, op7_progressive_jpeg, op8_toxicity, op9_source_mixing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
