@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_screen, queries_tables
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["screen_ship_years"](spark, sf_dir)
+    return queries_screen.screen_ship_years(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return queries_screen.QUERIES | queries_tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return queries_screen.SQL | queries_tables.SQL
