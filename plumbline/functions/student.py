@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -81,18 +82,18 @@ def wilcoxon_greater(x: list[float]) -> float | None:
     return 0.5 * math.erfc((w - n * (n + 1) / 4) / sd / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     seen = {k: t_ppf(*k) for k in set(zip(p, df, strict=True)) if not any(map(pd.isna, k)) and k[1] > 0}
     return pd.Series([seen.get(k) for k in zip(p, df, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _survival(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else t_sf(a, b) for a, b in zip(t, df, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _wilcoxon(x: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else wilcoxon_greater(list(v)) for v in x], dtype=float)
 
