@@ -501,6 +501,6 @@ def to_media(docs: DataFrame, outputs: tuple[str, ...] = ("media", "height", "wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
             rows = [one(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[n] for r in rows]) for n in names]], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[n] for r in rows], pa.int32() if n in ("height", "width") else None) for n in names]], names=["doc_id", *names])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
