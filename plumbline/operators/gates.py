@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .system import System, contrast_pairs
+from .system import System, floored, pack, spread
 
 
 def flag(x: Column) -> Column:
@@ -45,36 +45,36 @@ def top_matched(members: DataFrame, sizes: Column, case: list[str]) -> Column:
     return flag(F.row_number().over(Window.partitionBy(*case).orderBy("delta", "source")) <= F.greatest(sizes, F.lit(1)))
 
 
-def stepdown(est: DataFrame, draws: DataFrame, alpha: float = 0.05, case: list[str] | None = None) -> DataFrame:
+def stepdown(est: DataFrame, draws: DataFrame, alpha: float = 0.05, case: list[str] | None = None, packed: DataFrame | None = None) -> DataFrame:
     """(case, source, mcs): model-confidence-set stepdown (G7), relational.
 
     Sources leave in the order of falling delta (ties: the first source first), so the active sets are the m sources that
-    leave last. Every m is tested at once; the largest m that is not rejected stays, else one. observed is the
-    largest studentised gap to the best; critical the quantile of the largest centred studentised contrast in the set.
+    leave last. Every m is tested at once; the largest m that is not rejected stays, else one. observed is the largest
+    studentised gap to the best (its first minimum); critical the quantile of the largest centred studentised contrast in
+    the set, a running maximum over m inside each draw's row.
     """
     case = case or ["case_id"]
-    # the rank of a source: active sets are rank <= m; the first argmax leaves first
-    order = Window.partitionBy(*case).orderBy("delta", F.desc("source"))
-    ranked = est.select(*case, "source", "delta").withColumn("r", F.row_number().over(order))
-    best_first = F.row_number().over(Window.partitionBy(*case).orderBy("delta", "source"))
-    ranked = ranked.withColumn("best", best_first == 1)
-    d_hat = contrast_pairs(ranked, case, "delta").withColumnRenamed("d", "d_hat")
-    d_draw = contrast_pairs(draws, [*case, "b"])
-    se = d_draw.groupBy(*case, "j", "l").agg(F.greatest(F.stddev_samp("d"), F.lit(1e-12)).alias("se"))
-    r = ranked.select(*case, "source", "r", "best", "delta")
-    pairs = d_hat.join(se, [*case, "j", "l"]).join(r.select(*case, F.col("source").alias("j"), F.col("r").alias("rj")), [*case, "j"])
-    pairs = pairs.join(r.select(*case, F.col("source").alias("l"), F.col("r").alias("rl"), F.col("delta").alias("dl")), [*case, "l"]).withColumn("m0", F.greatest("rj", "rl"))
-    sizes = ranked.select(*case, F.col("r").alias("m")).where("m > 1")
-    # the statistic of draw b in the set m is a running maximum over pairs whose later rank is at most m
-    t = d_draw.join(pairs, [*case, "j", "l"]).groupBy(*case, "b", "m0").agg(F.max((F.col("d") - F.col("d_hat")) / F.col("se")).alias("t"))
-    run = F.max("t").over(Window.partitionBy(*case, "b").orderBy("m0"))
-    critical = t.withColumn("t", run).groupBy(*case, F.col("m0").alias("m")).agg(F.percentile("t", F.lit(1 - alpha)).alias("critical"))
-    # the best of a set is its first minimum: among ties in delta the smallest source of the set, which ranks last of them
-    members = sizes.join(r, case).where("r <= m")
-    best = members.groupBy(*case, "m").agg(F.min_by("source", F.struct("delta", "source")).alias("l"))
-    seen = best.join(pairs.select(*case, "j", "l", "d_hat", "se", "rj"), [*case, "l"]).where("rj <= m").groupBy(*case, "m").agg(F.max(F.col("d_hat") / F.col("se")).alias("observed"))
-    kept = critical.join(seen, [*case, "m"]).groupBy(*case).agg(F.max(F.when(F.col("observed") <= F.col("critical"), F.col("m"))).alias("kept"))
-    return r.join(kept, case, "left").select(*case, "source", flag(F.col("r") <= F.coalesce("kept", F.lit(1))).alias("mcs"))
+    packed = pack(est, draws, case) if packed is None else packed
+    n, e, raw = F.size("e"), F.col("e"), F.col("raw")
+    order = F.array_sort(F.transform("e", lambda x, i: F.struct(x.alias("d"), (-i).alias("minus"))))  # sources are in order: -i puts the last of ties first
+    rows = spread(packed, case).withColumn("ord", F.transform(order, lambda x: -x["minus"]))
+    at = lambda m: F.get(F.col("ord"), m)
+    se = lambda i, k: floored(F.get(raw, i * n + k))
+    # pairs that the m-th member brings: with every earlier member, both ways
+    v = F.col("v")
+    centred = lambda i, k: (F.get(v, i) - F.get(v, k) - F.get(e, i) + F.get(e, k)) / se(i, k)
+    both = lambda i, k: F.greatest(centred(i, k), centred(k, i))
+    fresh = F.transform(F.sequence(F.lit(1), n - 1), lambda m: F.array_max(F.transform(F.slice("ord", 1, m), lambda k: both(at(m), k))))
+    t = packed.select(*case, "v").join(rows, case).where("size(e) > 1").withColumn("fresh", fresh)
+    run = F.transform("fresh", lambda x, i: F.array_max(F.slice("fresh", 1, i + 1)))
+    critical = t.select(*case, F.posexplode(run).alias("pos", "t")).groupBy(*case, (F.col("pos") + 2).alias("m")).agg(F.percentile("t", F.lit(1 - alpha)).alias("critical"))
+    critical = critical.groupBy(*case).agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "critical"))), lambda x: x["critical"]).alias("critical"))
+    best = lambda m: F.get(F.col("ord"), F.size(F.filter(F.slice("ord", 1, m), lambda i: F.get(e, i) == F.get(e, at(F.lit(0))))) - 1)
+    observed = lambda m: F.array_max(F.transform(F.slice("ord", 1, m), lambda i: F.when(i != best(m), (F.get(e, i) - F.get(e, best(m))) / se(i, best(m)))))
+    passed = F.filter(F.sequence(F.lit(2), n), lambda m: observed(m) <= F.get(F.col("critical"), m - 2))
+    kept = rows.join(critical, case, "left").withColumn("kept", F.coalesce(F.array_max(passed), F.lit(1)))
+    members = F.transform("src", lambda s, i: F.struct(s.alias("source"), (F.array_position(F.slice("ord", 1, F.col("kept")), i) > 0).cast("int").alias("mcs")))
+    return kept.select(*case, F.explode(members).alias("c")).select(*case, "c.*")
 
 
 def long_members(wide: DataFrame, methods: list[str], case: list[str] | None = None) -> DataFrame:

@@ -44,11 +44,14 @@ def index_draws(trials: DataFrame, features: list[str], replicates: int, seed: i
 def poisson_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """The same tables from Poisson weights of the rows, keyed by `key`: partial sums leave each task, never rows."""
     blocks = trials.select("case_id", "source", "is_target", *features, *[k for k in key if k not in ("case_id", "source", "is_target", *features)], F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))).alias("_block"))
-    words = blocks.select("case_id", "source", "is_target", *features, "_block", keyed.digest(seed, *[F.col(k) for k in key], F.col("_block")).alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_k"))
-    b = F.col("_block") * 8 + F.col("_k")
-    rows = words.select("case_id", "source", "is_target", *features, b.alias("b"), keyed.poisson(F.col("_d"), F.col("_k")).alias("w")).where(f"b < {replicates} and w > 0")
+    hashed = blocks.select("case_id", "source", "is_target", *features, "_block", keyed.digest(seed, *[F.col(k) for k in key], F.col("_block")).alias("_d"))
+    words = hashed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    words = words.where(F.col("_block") * 8 + F.col("_k") < replicates)
+    rows = words.select("case_id", "source", "is_target", *features, (F.col("_block") * 8 + F.col("_k")).alias("b"), keyed.poisson_word(F.col("_d"), F.col("_k")).alias("_u"))
+    # no filter on the weight: it would be pushed below and hash once for each comparison
+    rows = rows.withColumn("w", keyed.poisson(F.col("_u")))
     sums = rows.groupBy("case_id", "source", "is_target", "b").agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(f)).alias(f) for f in features])
-    means = sums.select("case_id", "source", "is_target", "b", "n", *[(F.col(f) / F.col("n")).alias(f) for f in features])
+    means = sums.where("n > 0").select("case_id", "source", "is_target", "b", "n", *[(F.col(f) / F.col("n")).alias(f) for f in features])
     return means.where("not is_target").drop("is_target"), means.where("is_target").drop("is_target", "source")
 
 

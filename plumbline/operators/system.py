@@ -1,14 +1,16 @@
 """Simultaneous component and contrast bounds from bootstrap draws.
 
 Inputs: est (case_id, source, delta), draws (case_id, b, source, delta). Further case columns go in `case`.
-Contrasts make replicates x K² rows, inside joins that never leave a case and replicate.
+
+A draw of a case is packed into one row with an array over its sources, so the K² contrasts of a draw are made inside a row
+and never meet in a join. Shuffled are the draws once, then sums: K² rows a case from each task, and one row a case.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SE_FLOOR = 1e-12
@@ -34,25 +36,52 @@ def contrast_pairs(d: DataFrame, on: list[str], value: str = "delta") -> DataFra
     return a.join(b, on).where("j <> l").select(*on, "j", "l", (F.col("_a") - F.col("_b")).alias("d"))
 
 
-def build(est: DataFrame, draws: DataFrame, alpha_c: float = 0.025, alpha_d: float = 0.025, alpha_j: float = 0.05, case: list[str] | None = None) -> System:
+def pack(est: DataFrame, draws: DataFrame, case: list[str]) -> DataFrame:
+    """(case, b, src, e, v): a row for each draw; arrays over the case's sources in their order, null where a draw lacks one."""
+    e = est.groupBy(*case).agg(F.sort_array(F.collect_list(F.struct("source", "delta"))).alias("_e"))
+    d = draws.groupBy(*case, "b").agg(F.collect_list(F.struct("source", "delta")).alias("_v"))
+    found = lambda x: F.get(F.filter("_v", lambda y: y["source"] == x["source"]), F.lit(0))["delta"]
+    return d.join(e, case).select(*case, "b", F.transform("_e", lambda x: x["source"]).alias("src"), F.transform("_e", lambda x: x["delta"]).alias("e"), F.transform("_e", found).alias("v"))
+
+
+def square(values: str, f) -> Column:
+    """Array over ordered pairs (i, k), row by row, of f(value_i, value_k, i, k)."""
+    return F.flatten(F.transform(values, lambda x, i: F.transform(values, lambda y, k: f(x, y, i, k))))
+
+
+def spread(packed: DataFrame, case: list[str]) -> DataFrame:
+    """(case, src, e, raw): raw standard errors of the contrasts row by row, those of the components on the diagonal."""
+    d = square("v", lambda x, y, i, k: F.when(i == k, x).otherwise(x - y))
+    s = packed.select(*case, F.posexplode(d).alias("pos", "d")).groupBy(*case, "pos").agg(F.stddev_samp("d").alias("raw"))
+    s = s.groupBy(*case).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]).alias("raw"))
+    e = packed.groupBy(*case).agg(F.first("src").alias("src"), F.first("e").alias("e"))
+    return e.join(s, case)
+
+
+def floored(x: Column) -> Column:
+    return F.greatest(x, F.lit(SE_FLOOR))
+
+
+def build(est: DataFrame, draws: DataFrame, alpha_c: float = 0.025, alpha_d: float = 0.025, alpha_j: float = 0.05, case: list[str] | None = None, packed: DataFrame | None = None) -> System:
     case = case or ["case_id"]
-    est = est.select(*case, "source", F.col("delta").alias("est"))
-    se_c = draws.groupBy(*case, "source").agg(F.stddev_samp("delta").alias("raw_se"))
-    comp = est.join(se_c, [*case, "source"]).withColumn("se", F.greatest("raw_se", F.lit(SE_FLOOR)))
-    t_c = draws.join(comp, [*case, "source"]).groupBy(*case, "b").agg(F.max(F.abs(F.col("delta") - F.col("est")) / F.col("se")).alias("t_c"))
-
-    d_hat = contrast_pairs(est, case, "est").withColumnRenamed("d", "d_hat")
-    d_draw = contrast_pairs(draws, [*case, "b"])
-    se_d = d_draw.groupBy(*case, "j", "l").agg(F.stddev_samp("d").alias("raw_se"))
-    cont = d_hat.join(se_d, [*case, "j", "l"]).withColumn("se", F.greatest("raw_se", F.lit(SE_FLOOR)))
-    t_d = d_draw.join(cont, [*case, "j", "l"]).groupBy(*case, "b").agg(F.max(F.abs(F.col("d") - F.col("d_hat")) / F.col("se")).alias("t_d"))
-
-    q = t_c.join(t_d, [*case, "b"]).groupBy(*case).agg(
-        F.percentile("t_c", F.lit(1 - alpha_c)).alias("q_c"), F.percentile("t_d", F.lit(1 - alpha_d)).alias("q_d"), F.percentile(F.greatest("t_c", "t_d"), F.lit(1 - alpha_j)).alias("q_j")
-    )
-    est_, se = F.col("est"), F.col("se")
-    components = comp.join(q, case).select(*case, "source", est_.alias("delta"), "raw_se", "se", *[(est_ + s * F.col(k) * se).alias(n) for n, s, k in (("lower", -1, "q_c"), ("upper", 1, "q_c"), ("lower_j", -1, "q_j"), ("upper_j", 1, "q_j"))])
-    contrasts = cont.join(q, case).select(*case, "j", "l", "d_hat", "raw_se", "se", *[(F.col("d_hat") - F.col(k) * se).alias(n) for n, k in (("lower", "q_d"), ("lower_j", "q_j"))])
+    packed = pack(est, draws, case) if packed is None else packed
+    rows = spread(packed, case)
+    k_ = F.size("e")
+    e, raw = F.col("e"), F.col("raw")
+    t = packed.select(*case, "b", "v").join(rows, case)
+    t_c = F.array_max(F.transform("v", lambda x, i: F.abs(x - F.get(e, i)) / floored(F.get(raw, i * k_ + i))))
+    t_d = F.array_max(square("v", lambda x, y, i, k: F.when(i != k, F.abs(x - y - (F.get(e, i) - F.get(e, k))) / floored(F.get(raw, i * k_ + k)))))
+    t = t.select(*case, t_c.alias("t_c"), t_d.alias("t_d"))
+    q = t.groupBy(*case).agg(F.percentile("t_c", F.lit(1 - alpha_c)).alias("q_c"), F.percentile("t_d", F.lit(1 - alpha_d)).alias("q_d"), F.percentile(F.greatest("t_c", "t_d"), F.lit(1 - alpha_j)).alias("q_j"))
+    full = rows.join(q, case)
+
+    one = F.transform("e", lambda x, i: F.struct(F.get(F.col("src"), i).alias("source"), x.alias("delta"), F.get(raw, i * k_ + i).alias("raw_se"), floored(F.get(raw, i * k_ + i)).alias("se")))
+    c = full.select(*case, "q_c", "q_j", F.explode(one).alias("c")).select(*case, "q_c", "q_j", "c.*")
+    bound = lambda sign, k: F.col("delta") + sign * F.col(k) * F.col("se")
+    components = c.select(*case, "source", "delta", "raw_se", "se", *[bound(s, k).alias(n) for n, s, k in (("lower", -1, "q_c"), ("upper", 1, "q_c"), ("lower_j", -1, "q_j"), ("upper_j", 1, "q_j"))])
+    two = square("e", lambda x, y, i, k: F.struct(F.get(F.col("src"), i).alias("j"), F.get(F.col("src"), k).alias("l"), (x - y).alias("d_hat"), F.get(raw, i * k_ + k).alias("raw_se"), floored(F.get(raw, i * k_ + k)).alias("se")))
+    d = full.select(*case, "q_d", "q_j", F.explode(two).alias("c")).select(*case, "q_d", "q_j", "c.*").where("j <> l")
+    contrasts = d.select(*case, "j", "l", "d_hat", "raw_se", "se", *[(F.col("d_hat") - F.col(k) * F.col("se")).alias(n) for n, k in (("lower", "q_d"), ("lower_j", "q_j"))])
     return System(components, contrasts, q)
 
 

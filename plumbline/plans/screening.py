@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import discrepancy, gates, resample, system
 
@@ -12,12 +13,17 @@ from ..operators import discrepancy, gates, resample, system
 @dataclass
 class Screening:
     est: DataFrame
-    draws: DataFrame
+    packed: DataFrame
     system: system.System
 
+    @property
+    def draws(self) -> DataFrame:
+        """(case_id, b, source, delta)."""
+        return self.packed.select("case_id", "b", F.explode(F.arrays_zip("src", "v")).alias("c")).select("case_id", "b", F.col("c.src").alias("source"), F.col("c.v").alias("delta")).where("delta is not null")
+
     def members(self, radius: float = 0.1) -> DataFrame:
         """(case_id, source, method, selected) of every rule."""
-        wide = gates.gates(self.system).join(gates.simple(self.est, radius).drop("delta"), ["case_id", "source"]).join(gates.stepdown(self.est, self.draws), ["case_id", "source"])
+        wide = gates.gates(self.system).join(gates.simple(self.est, radius).drop("delta"), ["case_id", "source"]).join(gates.stepdown(self.est, None, packed=self.packed), ["case_id", "source"])
         return gates.long_members(wide, METHODS)
 
 
@@ -25,7 +31,7 @@ METHODS = ["rect", "pair", "ref", "rect_j", "pair_j", "ref_j", "eb", "mcs", "top
 
 
 def screen(trials: DataFrame, features: list[str], replicates: int, seed: int, key: list[str] | None = None, shared: bool = True, block: int = 1) -> Screening:
-    """With `key`, Poisson weights keyed by those columns (any size); else index draws of the positions `i`. Draws are cached: three consumers read them."""
+    """With `key`, Poisson weights keyed by those columns (any size); else index draws of the positions `i`. Packed draws are cached: several consumers read them."""
     s, t = discrepancy.means(trials, features)
     est = discrepancy.mean_distance(s, t, features, ["case_id"])
     if key:
@@ -34,6 +40,6 @@ def screen(trials: DataFrame, features: list[str], replicates: int, seed: int, k
     else:
         ds, dt = resample.index_draws(trials, features, replicates, seed, shared, block)
         draws = discrepancy.mean_distance(ds, dt, features, ["case_id", "b"] if shared else ["case_id", "source", "b"])
-    draws = system.finite(draws).cache()
     est = system.finite(est).cache()
-    return Screening(est, draws, system.build(est, draws))
+    packed = system.pack(est, system.finite(draws), ["case_id"]).cache()
+    return Screening(est, packed, system.build(est, None, packed=packed))

@@ -10,6 +10,7 @@ from .functions import keyed, matrices
 from .operators import discrepancy, evaluate, gates, resample, roles, system
 from .plans import oracle as o
 from .plans.screening import METHODS, screen
+from .sources import files
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -46,7 +47,8 @@ KEY_SQL = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(r
 def ship_trials(spark: SparkSession, d: str, shift: float = 0.0) -> DataFrame:
     """Lines by region of the supplier (case) and year of shipping (source; the last year is the target)."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
-    line = read(spark, d, "lineitem").select(
+    used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_linestatus"]
+    line = files.read_spread(spark, f"{d}/lineitem.parquet", *used).select(
         "l_suppkey", F.year("l_shipdate").alias("source"), ((F.col("l_quantity") - 25) / 15).alias("x1"), ((F.col("l_extendedprice") - 50000) / 30000).alias("x2"), "l_linestatus",
         F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents("l_quantity"), cents("l_extendedprice"), F.date_format("l_shipdate", "yyyyMMdd")).alias("row_key"),
     )
@@ -266,7 +268,7 @@ ROLL_PRE = o.with_(ROLL_SQL, o.estimates("trials"), o.poisson("trials", 24, 61,
 
 def rolling_screen(spark: SparkSession, d: str):
     """Orders by segment and year; every year with three earlier ones is a target once."""
-    t = read(spark, d, "orders").join(read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("subject")), F.col("o_custkey") == F.col("c_custkey"))
+    t = files.read_spread(spark, f"{d}/orders.parquet", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("subject")), F.col("o_custkey") == F.col("c_custkey"))
     t = t.select("subject", F.year("o_orderdate").alias("session"), ((F.col("o_totalprice") - 100000) / 60000).alias("x1"), (F.pmod("o_orderkey", F.lit(7)).cast("double") / 2).alias("x2"), F.col("o_orderkey").cast("string").alias("row_key"))
     targets = roles.rolling_targets(t, 3).select("subject", "target").distinct()
     cases = t.join(F.broadcast(targets), "subject").where("session <= target")  # a row for each subject and year

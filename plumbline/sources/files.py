@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from ..operators import validate
 
 
+def read_spread(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Parquet columns for work that multiplies rows: an input of fewer files than cores is dealt out first, a larger one is left as it is scanned."""
+    df = spark.read.parquet(path).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
     """CSV with a header; NaN becomes null; the header must hold every column of the schema."""
     df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
