@@ -35,7 +35,15 @@ class Model:
     p: np.ndarray  # pieces and, last but one, an unknown character, last, a zero; by language
 
 
-def read_pieces(path: str = VOCABULARY) -> dict[str, int]:
+class Pieces(dict):
+    """Numbers of pieces, and the beginnings of all of them."""
+
+    def __init__(self, numbers: dict[str, int]) -> None:
+        super().__init__(numbers)
+        self.beginnings = {x[:k] for x in numbers for k in range(1, len(x) + 1)}
+
+
+def read_pieces(path: str = VOCABULARY) -> Pieces:
     """Numbers of the vocabulary's pieces in lower-case letters, at a word's start or not, of at most LONGEST characters (a file of fixed size, read on the driver)."""
     import sentencepiece
 
@@ -44,23 +52,32 @@ def read_pieces(path: str = VOCABULARY) -> dict[str, int]:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
     kept = [x for x in found if (x.removeprefix(START) or "a").isalpha() and x == x.lower() and len(x) <= LONGEST]
-    return {x: i for i, x in enumerate(dict.fromkeys(kept))}
+    return Pieces({x: i for i, x in enumerate(dict.fromkeys(kept))})
 
 
 def lattice(words: list[str], pieces: dict[str, int]) -> np.ndarray:
     """[word, start, length - 1] of words of one length: the piece there, or none (len(pieces) + 1). A character that is no piece is the unknown one (len(pieces))."""
     m, none = len(words[0]), len(pieces) + 1
     out = np.full((len(words), m, LONGEST), none, np.int32)
-    get = pieces.get
-    for w, word in enumerate(words):
-        at = out[w]
+    get, beginnings = pieces.get, (pieces if isinstance(pieces, Pieces) else Pieces(pieces)).beginnings
+    places: list[int] = []
+    found: list[int] = []
+    at = 0
+    for word in words:
         for s in range(m):
+            if word[s] not in pieces:
+                places.append(at)
+                found.append(none - 1)
             for e in range(s + 1, min(m, s + LONGEST) + 1):
-                k = get(word[s:e])
+                part = word[s:e]
+                k = get(part)
                 if k is not None:
-                    at[s, e - s - 1] = k
-            if at[s, 0] == none:
-                at[s, 0] = none - 1
+                    places.append(at + e - s - 1)
+                    found.append(k)
+                elif part not in beginnings:
+                    break
+            at += LONGEST
+    out.reshape(-1)[places] = found
     return out
 
 
