@@ -27,7 +27,8 @@ def index_draws(trials: DataFrame, features: list[str], replicates: int, seed: i
     t = t.withColumn("source", F.lit(-1)) if shared else t.join(s.select("case_id", "source"), "case_id")
 
     def gather(groups: DataFrame, pool: DataFrame, on: list[str], tag: str) -> DataFrame:
-        drawn = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        # a few rows are about to become replicates x n: deal (case, source, replicate) out first
+        drawn = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("case_id", "source", "b").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         if block > 1:
             start = keyed.index(F.col("n"), seed, F.lit(tag), F.col("case_id"), F.col("source"), F.col("b"), F.floor(F.col("j") / block))
             at = F.pmod(start + F.pmod(F.col("j"), F.lit(block)), F.col("n"))

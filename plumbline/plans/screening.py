@@ -32,6 +32,8 @@ METHODS = ["rect", "pair", "ref", "rect_j", "pair_j", "ref_j", "eb", "mcs", "top
 
 def screen(trials: DataFrame, features: list[str], replicates: int, seed: int, key: list[str] | None = None, shared: bool = True, block: int = 1) -> Screening:
     """With `key`, Poisson weights keyed by those columns (any size); else index draws of the positions `i`. Packed draws are cached: several consumers read them."""
+    if not key:
+        trials = trials.select("case_id", "source", "is_target", "i", *features).cache()  # read four times
     s, t = discrepancy.means(trials, features)
     est = discrepancy.mean_distance(s, t, features, ["case_id"])
     if key:
