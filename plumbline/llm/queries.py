@@ -57,5 +57,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontamination, op4_simhash_dedup, op5_secret_scan, op6_quality, op7_progressive_jpeg, op8_toxicity, op9_source_mixing, op10_license_scan)}
 
 
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS DISTINCT FROM role AS starts,
+    2 * length(text) - length(translate(text, '\<[', '')) AS escaped, 2 * length(role) - length(translate(role, '\<[', '')) AS named FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(length('<s>') + sum(escaped + CASE WHEN starts THEN named + length('[INST][/INST]</s>') ELSE length('[NEXT]') END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only op2 can be put in SQL; the others are held against brute force, round trips or held-out folds in tests/llm."""
+    return {"op2_chat_format": OP2_SQL}
