@@ -27,7 +27,7 @@ def n_words(text: str = "text") -> Column:
 def targets(sources: DataFrame, weights: tuple[float, ...], ratio: float, cap: float) -> DataFrame:
     """(k, source_size, mean, target) from (k, source, source_size, n): shares by weight, stopped at cap times the source's size, the excess shared again until none is above.
 
-    A round is one aggregate over a row for each source; every round but the last stops at least one more source.
+    Sources are put in order by one window over a row for each source. A round is one aggregate over those rows; every round but the last stops at least one more source.
     """
     w = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
     s = cut(sources.select("k", "source_size", (F.col("source_size") / F.greatest("n", F.lit(1))).alias("mean"), w.alias("w"), (cap * F.col("source_size")).alias("most")))
