@@ -10,7 +10,7 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,10 +24,11 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 #: A failing shorter run has no longer one inside, so the least lengths can be part of these two patterns.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Wider contexts, whose values count by guess cost only.
+#: Wider contexts, whose values count by guess cost only: the whole run, behind an HTTP authentication scheme if one is named.
 CONTEXT = re.compile(
     r"""(?ai:\b|_)(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|bearer)"""
-    r"""["']?(?:[ \t]*(?::=|=>|[:=])[ \t]*|[ \t]+(?:is|was)[ \t]+)["'`]?([!-&(-_a-~]{6,256})"""
+    r"""["']?(?:[ \t]*(?::=|=>|[:=])[ \t]*|[ \t]+(?:is|was)[ \t]+)["'`]?"""
+    r"""(?:(?ai:basic|bearer|digest|dpop|gnap|hawk|hoba|mutual|negotiate|ntlm|oauth|scram-sha-(?:1|256)|vapid|token|api-?key|bot|ssws|aws4-hmac-sha256)[ \t]+["'`]?)?([!-&(-_a-~]{6,})"""
 )
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "authorization", "bearer")
 #: Rows of a US keyboard.
@@ -63,8 +64,13 @@ def char_bits(value: str) -> float:
     return math.log2(max(10, size + 33 * any(not c.isalnum() for c in value)))
 
 
-def guess_bits(value: str, words: dict[str, float], near: set[str]) -> float:
-    """The least cost, in bits, over all segmentations of `value`; 0 for an empty one. Each segment costs one bit more, for its kind and end."""
+def guess_bits(value: str, words: dict[str, float], near: set[str], enough: float = math.inf) -> float:
+    """The least cost, in bits, over all segmentations of `value`; 0 for an empty one. Each segment costs one bit more, for its kind and end.
+
+    Every segmentation has, in any 24 places running, one where it ends or can be cut for no more than it costs. So if the
+    least costs up to all of them reach `enough`, the whole does, and a bound is returned. Time is linear in the length:
+    of the starts of a walk, run or repeat only those are kept that can still be the cheapest.
+    """
     n, low = len(value), value.lower()
     plain, longest = low.translate(LEET), 24
     single = char_bits(value)
@@ -73,7 +79,25 @@ def guess_bits(value: str, words: dict[str, float], near: set[str]) -> float:
         if low[s].isdigit() and (m := DATE.match(low, s)):
             dates.setdefault(m.end(), []).append(s)
     walk = run = same = 0
+    from_walk = from_run = 0
+    from_same: list[int] = []
+    times = {u: [0] * u for u in (2, 3, 4)}
+    from_unit: dict[int, list[list[int]]] = {u: [[] for _ in range(u)] for u in (2, 3, 4)}
     best = [0.0] * (n + 1)
+
+    def cheapest(starts: list[int], new: int, cost: Callable[[int], float]) -> float:
+        """Add a start; drop those that another one undercuts for good: a later one with no higher cost before it, or an earlier one that is cheaper by now, as log2 flattens."""
+        while starts and best[starts[-1]] >= best[new]:
+            starts.pop()
+        starts.append(new)
+        least, kept = math.inf, []
+        for s in starts:
+            if (c := best[s] + cost(s)) < least:
+                least = c
+                kept.append(s)
+        starts[:] = kept
+        return least
+
     for e in range(1, n + 1):
         pair = low[e - 2 : e]
         walk = walk + 1 if e > 1 and pair in near else 0
@@ -88,17 +112,30 @@ def guess_bits(value: str, words: dict[str, float], near: set[str]) -> float:
                 least = min(least, best[s] + bits + 1 + (value[s:e] != low[s:e]))
         for s in dates.get(e, ()):
             least = min(least, best[s] + DATE_BITS + 1)
-        for steps, bits in ((walk, 1.5), (run, 0.2)):
-            for k in range(2, steps + 1):
-                least = min(least, best[e - 1 - k] + single + bits * k + 1)
-        for unit in (2, 3, 4):
-            times = 1
-            while (s := e - unit * (times + 1)) >= 0 and low[s : s + unit] == low[e - unit : e]:
-                times += 1
-                least = min(least, best[s] + unit * single + math.log2(times) + 1)
-        for k in range(2, same + 1):
-            least = min(least, best[e - 1 - k] + single + math.log2(k + 1) + 1)
+        if walk >= 2:  # every step adds as much to all starts, so their order stays
+            s = e - 3
+            from_walk = s if walk == 2 or best[s] + 1.5 * 2 <= best[from_walk] + 1.5 * (e - 1 - from_walk) else from_walk
+            least = min(least, best[from_walk] + single + 1.5 * (e - 1 - from_walk) + 1)
+        if run >= 2:
+            s = e - 3
+            from_run = s if run == 2 or best[s] + 0.2 * 2 <= best[from_run] + 0.2 * (e - 1 - from_run) else from_run
+            least = min(least, best[from_run] + single + 0.2 * (e - 1 - from_run) + 1)
+        for u in (2, 3, 4):
+            c = e % u
+            if e >= 2 * u and low[e - 2 * u : e - u] == low[e - u : e]:
+                times[u][c] += 1
+                found = cheapest(from_unit[u][c], e - 2 * u, lambda s: math.log2((e - s) // u - 1))
+                least = min(least, found + u * single + 1)
+            elif times[u][c]:
+                times[u][c] = 0
+                from_unit[u][c].clear()
+        if same >= 2:
+            least = min(least, cheapest(from_same, e - 3, lambda s: math.log2(e - s)) + single + 1)
+        elif not same:
+            from_same.clear()
         best[e] = least
+        if least >= enough and e % 8 == 0 and e >= longest and (bound := min(best[e - longest + 1 : e + 1])) >= enough:
+            return bound
     return best[n]
 
 
@@ -111,7 +148,7 @@ def scan(text: str, words: dict[str, float], near: set[str], bits: float) -> lis
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:)]}\"'")
-            if len(value) >= 6 and guess_bits(value, words, near) >= bits:
+            if len(value) >= 6 and guess_bits(value, words, near, bits) >= bits:
                 spans.append((m.start(1), 3, m.start(1) + len(value)))
     return sorted(set(spans))
 

@@ -200,6 +200,51 @@ def test_guess_costs():
 # ---- licenses
 
 
+def all_costs(value, words, near):
+    """guess_bits by trying every start of every kind of segment."""
+    low, single, best = value.lower(), secrets.char_bits(value), [0.0]
+    plain = low.translate(secrets.LEET)
+    touch = lambda w: all(w[i : i + 2] in near for i in range(len(w) - 1))
+    steps = lambda w: all(w[i : i + 2].isalnum() and abs(ord(w[i]) - ord(w[i + 1])) == 1 for i in range(len(w) - 1))
+    for e in range(1, len(value) + 1):
+        costs = [best[e - 1] + single]
+        for s in range(e):
+            w, k = low[s:e], e - s - 1
+            if 3 <= len(w) <= 24:
+                costs += [best[s] + b + 1 + (value[s:e] != w) for b in [words.get(w, words.get(plain[s:e], np.inf) + 1.5)]]
+            if (m := secrets.DATE.match(low, s)) and low[s].isdigit() and m.end() == e:
+                costs.append(best[s] + secrets.DATE_BITS + 1)
+            if k >= 2:
+                costs += [best[s] + single + b * k + 1 for b, ok in ((1.5, touch(w)), (0.2, steps(w))) if ok]
+                costs += [best[s] + single + np.log2(k + 1) + 1] * (len(set(w)) == 1)
+            costs += [best[s] + u * single + np.log2(len(w) // u - 1) + 1 for u in (2, 3, 4) if len(w) % u == 0 and len(w) >= 2 * u and w == w[:u] * (len(w) // u)]
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_guess_costs_equal_all_segmentations():
+    rng, near = random.Random(8), secrets.neighbours()
+    words = {"password": 2.0, "pass": 9.0, "summer": 8.0, "dragon": 7.0, "aaa": 3.0, "abab": 4.0}
+    parts = ["password", "Pass", "p4ss", "summer", "aaa", "a", "ab", "xk2", "qwerty", "12345", "cba", "2024-01-31", "Z", "#9", "wxyz"]
+    for _ in range(300):
+        v = "".join(rng.choice(parts) * rng.choice((1, 1, 2, 9)) for _ in range(rng.randint(1, 7)))
+        want = all_costs(v, words, near)
+        assert secrets.guess_bits(v, words, near) == pytest.approx(want, abs=1e-9)
+        for enough in (20.0, 33.0, 60.0):
+            assert (secrets.guess_bits(v, words, near, enough) >= enough) == (want >= enough) or abs(want - enough) < 1e-9
+
+
+def test_long_values_and_schemes_are_covered_whole():
+    rng, near = random.Random(9), secrets.neighbours()
+    key = "".join(rng.choice("ABCDEFGHKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789+/~!") for _ in range(800))
+    for head in ("private_key: ", "pwd=", "Authorization: Bearer ", '"authorization": "Basic ', "passphrase is "):
+        text = f"x {head}{key} y"
+        at = text.index(key)
+        assert (at, 3, at + 800) in secrets.scan(text, {}, near, 33.0)
+    for low in ("a" * 30_000, "xk2" * 10_000, "qwerty" * 5_000):  # cheap to guess or not, in linear time
+        assert secrets.guess_bits(low, {}, near) > 0
+
+
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(9)
     t = licenses.TEMPLATES
