@@ -4,7 +4,8 @@ Each source has one constraint: the words taken from it. Rates between 0 and `ca
 entropy to one copy of every document are exponentially tilted by a document's words: rate = cap * odds / (1 + odds) with
 odds = exp(lambda * words / mean words) / (cap - 1). The convex dual has one lambda a source; Newton steps, kept inside
 brackets, solve all at once. A step reads the table of distinct (source, size) pairs, not the documents. Rates become whole
-copies by a hash of the id, and what rounding leaves is settled by moving each source's rounding point, then by single documents.
+copies by a hash of the id, and what rounding leaves is settled by moving each source's rounding point over the documents that fit,
+then by size, the largest first, until no document fits.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), ratio: float =
     if cap < 2 or int(cap) != cap:
         raise ValueError("cap must be a whole number of at least 2")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    d = cut(docs.select("doc_id", "source", key.alias("k"), n_words().alias("size"), F.xxhash64(F.lit(17), "doc_id", key).alias("hash")))
+    d = docs.select("doc_id", "source", key.alias("k"), n_words().alias("size"), F.xxhash64(F.lit(17), "doc_id", key).alias("hash"))
+    d = cut(d.withColumn("_row", F.monotonically_increasing_id()))  # tells apart rows that are otherwise the same
     cells = cut(d.groupBy("k", "source", "size").agg(F.count("*").alias("n")))
     sources = cells.groupBy("k", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("n"))
     goals = cut(targets(sources.withColumn("n", F.coalesce("n", F.lit(0))), weights, ratio, cap))
@@ -104,25 +106,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), ratio: float =
     top = 1 << (WIDTH * LEVELS)
     can = (F.col("size") > 0) & (((F.col("sign") > 0) & (F.col("_c") < cap)) | ((F.col("sign") < 0) & (F.col("_c") > 0)))
     order = F.least(F.floor(F.when(F.col("sign") > 0, 1 - F.col("_f")).otherwise(F.col("_f")) * top), F.lit(top - 1)).cast("long")
-    state = left.withColumns({"at": F.lit(0).cast("long")})
+    fits = F.col("size") <= F.col("most")  # a document larger than all that is needed must not stop the walk
+    state = left.withColumns({"at": F.lit(0).cast("long"), "most": F.col("need")})
     for level in range(1, LEVELS + 1):
         shift = WIDTH * (LEVELS - level)
         inside = F.lit(True) if level == 1 else F.shiftright(order, shift + WIDTH) == F.shiftright(F.col("at"), shift + WIDTH)
-        part = joined(r, state).where(can).withColumn("_o", order).where(inside).groupBy("k", F.shiftright("_o", shift).alias("b")).agg(F.sum("size").alias("words"))
+        part = joined(r, state).where(can & fits).withColumn("_o", order).where(inside).groupBy("k", F.shiftright("_o", shift).alias("b")).agg(F.sum("size").alias("words"))
         run = F.sum("words").over(Window.partitionBy("k").orderBy("b"))  # at most 2**WIDTH rows a source
         run = part.withColumn("run", run).join(F.broadcast(state) if small else state, "k").where("run <= need").groupBy("k").agg(F.max("run").alias("run"), F.max("b").alias("b"))
         moved = F.col("b").isNotNull()
-        state = cut(state.join(run, "k", "left").select("k", "sign", F.when(moved, F.col("need") - F.col("run")).otherwise(F.col("need")).alias("need"), F.when(moved, F.shiftleft(F.col("b") + 1, shift)).otherwise(F.col("at")).alias("at")))
-    r = cut(joined(r, state).withColumn("_m", F.when(can & (order < F.col("at")), F.col("sign")).otherwise(0)).drop("sign", "need", "at"))
-
-    # then the largest document that still fits, a few times
-    for _ in range(5):
-        free = (F.col("_m") == 0) & can & (F.col("size") <= F.col("need"))
-        best = joined(r, state.select("k", "sign", "need")).where(free).groupBy("k").agg(F.max(F.struct("size", "doc_id")).alias("best"))
-        state = cut(state.join(best, "k", "left").withColumn("need", F.col("need") - F.coalesce("best.size", F.lit(0))))
-        pick = state.select("k", "sign", F.col("best.doc_id").alias("_id"), F.col("best.size").alias("_size")).where("_size is not null")
-        hit = (F.col("_m") == 0) & F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("size") == F.col("_size"))
-        r = cut(r.join(F.broadcast(pick) if small else pick, "k", "left").withColumn("_m", F.when(hit, F.col("sign")).otherwise(F.col("_m"))).drop("sign", "_id", "_size"))
-        state = state.drop("best")
+        state = cut(state.join(run, "k", "left").select("k", "sign", F.when(moved, F.col("need") - F.col("run")).otherwise(F.col("need")).alias("need"), F.when(moved, F.shiftleft(F.col("b") + 1, shift)).otherwise(F.col("at")).alias("at"), "most"))
+    r = cut(joined(r, state).withColumn("_m", F.when(can & fits & (order < F.col("at")), F.col("sign")).otherwise(0)).withColumn("_o", order).drop("sign", "need", "at", "most"))
+
+    # then by size, the largest first: as many documents of a size as still fit, one copy of each; again while copies can be moved that fit
     copies = F.col("_c") + F.col("_m")
+    can = (F.col("size") > 0) & (((F.col("sign") > 0) & (copies < cap)) | ((F.col("sign") < 0) & (copies > 0)))
+    place = F.struct("_m2", "_o", F.xxhash64("doc_id").alias("h"), "_row")  # documents not moved yet first
+    nothing = F.struct(F.col("need").alias("need"), F.array().cast("array<struct<size:bigint,n:bigint,t:bigint>>").alias("t"))
+    state = cut(state.select("k", "sign", "need"))
+
+    def take(x, c):
+        t = F.least(c["n"], F.floor(x["need"] / c["size"]))
+        return F.struct((x["need"] - t * c["size"]).alias("need"), F.when(t > 0, F.concat(x["t"], F.array(F.struct(c["size"].alias("size"), c["n"].alias("n"), t.alias("t"))))).otherwise(x["t"]).alias("t"))
+
+    while True:
+        free = joined(r, state).where(can & (F.col("size") <= F.col("need")))
+        sizes = free.groupBy("k", "sign", "need", "size").agg(F.count("*").alias("n"))
+        plan = sizes.groupBy("k", "sign", "need").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("c"))
+        plan = cut(plan.select("k", F.aggregate("c", nothing, take).alias("p")).select("k", F.col("p.need").alias("left"), "p.t"))
+        if plan.isEmpty():
+            break
+        picks = plan.select("k", F.explode("t").alias("t")).select("k", "t.*")
+        few = small and picks.count() <= BROADCAST_SOURCES
+        met = lambda a, b: a.join(F.broadcast(b) if few else b, ["k", "size"], "left")  # noqa: B023, E731
+        tried = r.withColumn("_m2", F.abs("_m"))
+        # the last document of a size that is taken in part; of other sizes all are
+        ranked = joined(tried, state).where(can).join(F.broadcast(picks.where("t < n")) if few else picks.where("t < n"), ["k", "size"])
+        rank = F.row_number().over(Window.partitionBy("k", "size").orderBy(place))
+        last = ranked.withColumn("_r", rank).where("_r = t").select("k", "size", place.alias("_last"))
+        picks = cut(picks.join(last, ["k", "size"], "left"))
+        hit = can & F.col("t").isNotNull() & (F.col("_last").isNull() | (place <= F.col("_last")))
+        r = cut(met(joined(tried, state), picks).withColumn("_m", F.when(hit, F.col("_m") + F.col("sign")).otherwise(F.col("_m"))).select(r.columns))
+        state = cut(state.join(plan, "k", "left").select("k", "sign", F.coalesce("left", "need").alias("need")))
     return r.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

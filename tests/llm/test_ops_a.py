@@ -367,6 +367,19 @@ def test_mixing_solves_the_dual(spark):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 3
 
 
+@pytest.mark.parametrize("ratio", [0.8, 1.2])
+def test_mixing_leaves_no_document_that_fits(spark, ratio):
+    sizes = {f"s{k:02}": [20_000] + [100] * 500 for k in range(12)} | {"few": [5000, 100], "twice": [70] * 40, "none": [3000] + [9] * 90}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    rows = [(7 if s == "twice" else None if s == "none" else i, t, s) for i, t, s in rows]  # repeated and null ids
+    got = mixing.mix(docs(spark, rows), weights=(1,), ratio=ratio).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source"):
+        left = g.target.iloc[0] - g.taken.sum()
+        movable = g[g.copies < 2] if left > 0 else g[g.copies > 0]
+        assert not (movable["size"] <= abs(left) - 1e-6).any()
+
+
 def test_crc_fold(spark):
     from plumbline.llm.common import fold
 
