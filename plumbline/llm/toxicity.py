@@ -2,7 +2,8 @@
 
 A word is the mean vector of its character n-grams and of itself (all hashed into buckets), a passage of 64 words the mean
 of its distinct words, so misspellings that were never seen share most of their vectors with what was. The softmax is
-linear, so at scoring time a word's part is one number, the log odds it adds, remembered by word. The largest and the mean
+linear, so at scoring time a word's part is one number, the log odds it adds, remembered by word. Runs of over 48
+letters and digits are read through overlapping windows, each a word of its own. The largest and the mean
 log odds of a text's passages go through a calibration to its score; every word of a text is in one passage.
 """
 
@@ -25,7 +26,8 @@ WORDS = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 15
 DIM = 8
-LONGEST = 48  # characters of a word that make n-grams; its whole counts through its own bucket
+LONGEST = 48  # characters of a word; a longer run (glued text, scripts without spaces) is read through windows that count as words
+PANE = 16  # characters of a window; they start at every half, so up to nine characters running are whole in one
 MEMO = 1 << 19
 PASSAGE = 64
 #: The softmax's fixed temperature: a few words decide, and their share of a passage is small.
@@ -41,13 +43,19 @@ class Model:
 
 
 def buckets(word: str) -> list[int]:
-    w = f"<{word[:LONGEST]}>"
+    w = f"<{word}>"
     grams = {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)} - {w}
     return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams} | {zlib.crc32(f"={word}".encode()) % BUCKETS})
 
 
+def panes(run: str) -> list[str]:
+    """Overlapping windows over the whole run."""
+    half = PANE // 2
+    return [run[i : i + PANE] for i in range(0, len(run) - half, half)]
+
+
 def passages(text: str) -> list[set[str]]:
-    words = WORDS.findall(text.lower())
+    words = [w for run in WORDS.findall(text.lower()) for w in ([run] if len(run) <= LONGEST else panes(run))]
     return [set(words[k : k + PASSAGE]) for k in range(0, len(words), PASSAGE)]
 
 

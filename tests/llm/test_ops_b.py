@@ -149,6 +149,28 @@ def test_toxicity_held_out_and_misspelled(spark):
     assert {r["score"] for r in toxicity.classify(d, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_of_long_runs():
+    for n in (49, 56, 57, 64, 200):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        found = toxicity.passages(run)
+        assert all(any(run[i : i + 9] in w for p in found for w in p) for i in range(n - 8))  # nothing is left out
+    assert toxicity.passages("a" * 48) == [{"a" * 48}]
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        w = say(rng, "en", rng.randint(30, 150)).split()
+        if i % 2:
+            for _ in range(max(2, len(w) // 30)):
+                w[rng.randrange(len(w))] = "scoundrel"
+        rows.append((i, " ".join(w), i % 2))
+    model = toxicity.fit(rows, 0.2)
+    glued = say(rng, "en", 40).split()
+    clean, bad = "".join(glued), "".join([*glued[:30], "scoundrel", *glued[30:]])
+    assert bad.index("scoundrel") > 48
+    p = toxicity.probabilities([clean, bad], model, {})
+    assert p[1] > 3 * p[0] and p[0] < 0.5
+
+
 # ---- media
 
 
