@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,29 @@ TEMPLATES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "reserved": "All rights reserved.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
 }
+#: Names that short forms use, by SPDX id.
+NAMES = {
+    "MIT": "the MIT License", "BSD": "the BSD License", "BSD-2-Clause": "the BSD 2-Clause License", "BSD-3-Clause": "the BSD 3-Clause License", "ISC": "the ISC License", "Zlib": "the zlib License",
+    "Apache-2.0": "the Apache License, Version 2.0", "MPL-2.0": "the Mozilla Public License, Version 2.0", "Artistic-2.0": "the Artistic License 2.0", "Unlicense": "the Unlicense",
+    "GPL-2.0": "the GNU General Public License, version 2", "GPL-3.0": "the GNU General Public License, version 3", "LGPL-2.1": "the GNU Lesser General Public License, version 2.1", "LGPL-3.0": "the GNU Lesser General Public License, version 3", "AGPL-3.0": "the GNU Affero General Public License, version 3",
+    "CC0-1.0": "CC0 1.0", "CC-BY-3.0": "CC BY 3.0", "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-3.0": "CC BY-SA 3.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-ND-4.0": "CC BY-ND 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-NC-SA-4.0": "CC BY-NC-SA 4.0", "CC-BY-NC-ND-4.0": "CC BY-NC-ND 4.0",
+}
+#: Full texts, named by SPDX id (files of fixed size, read on the driver).
+BODIES = Path(__file__).parent / "license_texts"
+
+
+def production() -> dict[str, str]:
+    """TEMPLATES, a short form of every name with either verb, and the full bodies; equal wordings once."""
+    short = {f"{k}-{verb.lower()}": f"{verb} under {name}." for k, name in NAMES.items() for verb in ("Licensed", "Released")}
+    bodies = {f"{f.stem}-body": f.read_text(encoding="utf-8", errors="replace") for f in sorted(BODIES.glob("*.txt"))}
+    known = {tuple(words_of(t)) for t in TEMPLATES.values()}
+    return TEMPLATES | {k: t for k, t in (short | bodies).items() if tuple(words_of(t)) not in known}
 
 
 def words_of(text: str) -> list[str]:
@@ -111,10 +134,13 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, simi
     some = some.withColumn("_a", F.filter(F.transform(w, lambda x, i: F.when(x.isin(every), F.struct(x.alias("w"), i.alias("i")))), lambda x: x.isNotNull())).where("size(_a) > 0")
 
     def windows(g: int, found: list[str]) -> Column:
-        size, step, _ = sets[g]
+        size, step, group = sets[g]
+        # a window with fewer words than a match has shingles holds none
+        least = min(-int(-similar * len(shingles_of(ws)) // 1) for _, ws in group)
         # starts are multiples of the step; the last whole window may be cut short by the text's end
         reach = lambda a: F.sequence(F.floor(F.greatest(a["i"] - size + step, F.lit(0)) / step), F.floor(a["i"] / step))
         at = F.array_distinct(F.flatten(F.transform(F.filter("_a", lambda a: a["w"].isin(found)), reach)))
+        at = F.filter(at, lambda k: F.size(w) - k * step >= least)
         return F.transform(at, lambda k: F.struct(F.lit(g).alias("g"), (k * step).cast("long").alias("at"), F.lit(size).alias("size")))
 
     laid = some.select("doc_id", "_w", F.explode(F.concat(*[windows(g, found) for g, found in own])).alias("v"))

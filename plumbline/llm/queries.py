@@ -50,7 +50,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return licenses.find_licenses(table(spark, sf_dir, "documents"), licenses.production())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -275,6 +275,14 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.find_licenses(docs(spark, rows), {}).count() == 0
 
 
+def test_production_templates(spark):
+    body = lambda k: (licenses.BODIES / f"{k}.txt").read_text()
+    said = {1: ("CC-BY-SA-4.0-licensed", "Licensed under CC BY-SA 4.0."), 2: ("BSD-released", "Released under the BSD License."), 3: ("GPL-2.0", licenses.TEMPLATES["GPL-2.0"]), 4: ("LGPL-2.1-notice", licenses.TEMPLATES["LGPL-2.1-notice"])}
+    said |= {10 + i: (f"{k}-body", "Some words before. " * 30 + body(k)) for i, k in enumerate(("ISC", "Zlib", "Unlicense", "CC0-1.0", "GPL-3.0", "BSD-3-Clause"))}
+    got = {(r["doc_id"], r["template"]): r["containment"] for r in licenses.find_licenses(docs(spark, [(i, t, "s") for i, (_, t) in said.items()]), licenses.production()).collect()}
+    assert all(got.get((i, k), 0) >= 0.95 for i, (k, _) in said.items())
+
+
 def test_anchors_lose_nothing():
     for text in licenses.TEMPLATES.values():
         w = licenses.words_of(text)
