@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a temporary one if all of Spark is this process (tests), else RuntimeError."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="plumbline-"))
+        path = sc.getConf().get("spark.checkpoint.dir", "")
+        if not path and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="plumbline-"))
     return sc.getCheckpointDir()
 
 
@@ -38,30 +44,71 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sample_ids(df: DataFrame, by: str, n: int, key: str = "doc_id") -> DataFrame:
-    """About `n` ids at most for each value of `by`, in the order of a hash of the id.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, for rows of which later steps read some columns only."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    Reads only the two columns. Each value is dealt by the hash into strata of 1000 ids at most, so Spark limits each
-    group before the shuffle (WindowGroupLimit) and a value of any size sends at most `n` rows a task.
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """`df` with `_place`, from 0 in `order`: a range-partitioned sort, and the counts of the partitions before (the only window: a row for each partition)."""
+    rows = cut(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rows = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return rows.withColumn("_place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+
+
+def sample_ids(df: DataFrame, by: str, n: int, key: str = "doc_id", most_values: int = 1000) -> DataFrame:
+    """(key, by): `n` ids, or all if there are fewer, of each value of `by`, the first in the order of a hash of the id.
+
+    Reads only the two columns; rows without either are left out; a repeated id counts once. The distinct ids of each
+    value are counted first (a sketch), so only ids below a hash threshold, about 2 n of each value, leave the tasks,
+    however many rows there are. More than `most_values` values: ValueError.
     """
-    strata = -(-n // 1000)
+    d = df.select(key, by).where(F.col(by).isNotNull() & F.col(key).isNotNull())
+    counts = d.groupBy(by).agg(F.approx_count_distinct(key).alias("_ids")).limit(most_values + 1).collect()
+    if len(counts) > most_values:
+        raise ValueError(f"{by} has over {most_values} values")
+    share = d.sparkSession.createDataFrame([(r[0], min(1.0, (2.2 * n + 100) / max(1, r[1]))) for r in counts], f"_v {d.schema[by].dataType.simpleString()}, _share double")
     h = F.xxhash64(key)
-    w = Window.partitionBy(by, F.pmod(h, F.lit(strata))).orderBy(h, key)
-    return df.select(key, by).where(F.col(by).isNotNull() & F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= -(-n // strata)).drop("_n")
+    some = d.join(F.broadcast(share), F.col(by) == F.col("_v")).where(F.pmod(h, F.lit(1 << 40)) / float(1 << 40) < F.col("_share")).select(key, by).distinct()
+    w = Window.partitionBy(by).orderBy(F.pmod(h, F.lit(1 << 40)), key)  # about 2 n rows
+    return some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def labelled_texts(docs: DataFrame, ids: DataFrame, by: str, max_chars: int, key: str = "doc_id") -> list[tuple[int, str, object]]:
-    """(id, whole text, label) of the sampled ids, sorted. Texts of more than `max_chars` characters are not learned from, which bounds what the driver gets: ids x max_chars."""
-    ids = ids.select(F.col(key).alias("_k"), F.col(by).alias("_y")).distinct()
+def labelled_texts(docs: DataFrame, labels: DataFrame, by: str, n: int, max_chars: int, key: str = "doc_id") -> list[tuple[int, str, object]]:
+    """(id, whole text, label), sorted, of at most `n` ids of each value of `by` in `labels`.
+
+    Texts of more than `max_chars` characters are not learned from, which bounds what the driver gets: values x 5/4 n x
+    max_chars (a quarter more ids are drawn, as some texts are null or too long). An id that repeats gives one text, the
+    smallest; an id with several labels is learned with each.
+    """
+    ids = sample_ids(labels, by, n + -(-n // 4), key).select(F.col(key).alias("_k"), F.col(by).alias("_y"))
     rows = (
         docs.select(key, "text")
         .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
         .join(F.broadcast(ids), F.col(key) == F.col("_k"))
-        .select(key, "text", "_y")
+        .groupBy("_k", "_y").agg(F.min("text").alias("text"))
+        .select(F.pmod(F.xxhash64("_k"), F.lit(1 << 40)).alias("_h"), "_k", "text", "_y")
         .toArrow()
         .to_pydict()
-    )
-    return sorted(set(zip(rows[key], rows["text"], rows["_y"], strict=True)))
+    )
+    taken: Counter = Counter()
+    out = []
+    for _, i, text, y in sorted(zip(rows["_h"], rows["_k"], rows["text"], rows["_y"], strict=True)):
+        taken[y] += 1
+        if taken[y] <= n:
+            out.append((i, text, y))
+    return sorted(out)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
