@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices, written
 
 HALF = 64  # words: passages are two halves long and start at every half; an indexed segment fits one whole
 K1, B = 1.2, 0.75
 BLOCK = 2
-#: An index is built over at most so many characters of items at once; a larger benchmark is searched slice by slice.
+#: An index is built over at most so many characters of items at once; a larger benchmark is searched slice by slice, with
+#: document frequencies and lengths of the whole.
 MAX_CHARS = 8 << 20
 
 
@@ -70,37 +71,58 @@ def answer_start(raw: list[str]) -> int:
     return max(1, len(raw) - max(1, len(raw) // 4)) if len(raw) > 1 else 0
 
 
-def build(rows: list[tuple[int, str]]) -> Index:
-    """The index of (item_id, text). Items without words are left out: nothing can hold them."""
+def item_words(text: str | None) -> list[str]:
+    return [w for w in (text or "").lower().split() if term(w)]
+
+
+def cuts(words: list) -> list[list]:
+    """The segments of an item: as even as can be, of HALF words at most."""
+    n = math.ceil(len(words) / HALF)
+    return [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)]
+
+
+@dataclass
+class Statistics:
+    """Of a whole benchmark: segments, their mean length, and the segments each term is in."""
+
+    segments: int
+    mean: float
+    df: dict[str, int]
+
+
+def count(texts: Iterable[str | None]) -> Statistics:
+    segments = [[term(w) for w in s] for t in texts for s in cuts(item_words(t))]
+    return Statistics(len(segments), sum(map(len, segments)) / max(1, len(segments)), Counter(t for s in segments for t in set(s)))
+
+
+def build(rows: list[tuple[int, str]], whole: Statistics | None = None) -> Index:
+    """The index of (item_id, text), by the statistics of the whole benchmark (None: `rows` are all of it). Items without words are left out: nothing can hold them."""
+    whole = whole or count(t for _, t in rows)
     x = Index()
     segments: list[list[int]] = []
     owner: list[int] = []
     for item_id, text in rows:
-        raw = [w for w in (text or "").lower().split() if term(w)]
+        raw = item_words(text)
         if not raw:
             continue
         ids = [x.vocabulary.setdefault(term(w), len(x.vocabulary)) for w in raw]
-        n = math.ceil(len(ids) / HALF)
-        for k in range(n):
-            segments.append(ids[k * len(ids) // n : (k + 1) * len(ids) // n])
+        for part in cuts(ids):
+            segments.append(part)
             owner.append(len(x.items))
         x.items.append((item_id, ids, answer_start(raw)))
-    df = Counter(t for s in segments for t in set(s))
-    n = len(segments)
-    mean = sum(map(len, segments)) / max(1, n)
+    idf = [math.log(1 + (whole.segments - whole.df[t] + 0.5) / (whole.df[t] + 0.5)) for t in x.vocabulary]
     post: list[tuple[int, int, float]] = []
     for k, s in enumerate(segments):
-        tf = Counter(s)
-        w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(s) / mean)) for t, c in tf.items()}
-        whole = sum(w.values())
-        post += [(t, k, v / whole) for t, v in w.items()]
+        w = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(s) / whole.mean)) for t, c in Counter(s).items()}
+        total = sum(w.values())
+        post += [(t, k, v / total) for t, v in w.items()]
     post.sort()
     t = np.array([p[0] for p in post], np.int64)
     x.owner = np.array(owner, np.int64)
     x.seg, x.weight = np.array([p[1] for p in post], np.int64), np.array([p[2] for p in post])
     terms = len(x.vocabulary)
     x.ptr = np.searchsorted(t, np.arange(terms + 1))
-    x.blocks = -(-n // BLOCK)
+    x.blocks = -(-len(segments) // BLOCK)
     key = t * max(1, x.blocks) + x.seg // BLOCK
     first = np.flatnonzero(np.diff(key, prepend=-1))
     x.bmax = np.maximum.reduceat(x.weight, first) if len(first) else np.zeros(0)
@@ -209,13 +231,45 @@ def matches(x: Index, texts: list[str | None], least: float, similar: float, mem
         yield row, x.items[item][0], *found
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes over slices of the benchmark of bounded size (one, as a rule), so that what is sent to executors never grows with it."""
+def counted(benchmark: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number of segments, their mean length, and (t, n): the segments each term is in."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            for text in b.column(0).to_pylist():
+                parts = [[term(w) for w in s] for s in cuts(item_words(text))]
+                seen = Counter(t for s in parts for t in set(s))
+                yield pa.RecordBatch.from_arrays([pa.array([*seen, ""]), pa.array([*seen.values(), len(parts)], pa.int64()), pa.array([*[0] * len(seen), sum(map(len, parts))], pa.int64())], names=["t", "n", "words"])
+
+    df = cut(benchmark.select("text").mapInArrow(terms, "t string, n long, words long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+    n, words = df.where("t = ''").select("n", "words").first() or (0, 0)
+    return n, words / max(1, n), df.where("t <> ''")
+
+
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes over slices of the benchmark of bounded size (one, as a rule), each built when it is asked for, so that neither the driver nor a task holds more than one.
+
+    Document frequencies, the number of segments and their mean length are those of the whole benchmark, counted by Spark
+    where there are several slices; the driver sees the terms of one slice at a time.
+    """
     total = benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16)).first()[0] or 0
     n = -(-total // MAX_CHARS)
     rows = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n))).alias("_s"))
-    parts = (rows.where(F.col("_s") == k).orderBy("item_id", "text").select("item_id", "text").toArrow().to_pydict() for k in range(n))
-    return [x for p in parts if (x := build(list(zip(p["item_id"], p["text"], strict=True)))).items]
+    if n > 1:
+        segments, mean, df = counted(benchmark)
+    for k in range(n):
+        p = rows.where(F.col("_s") == k).orderBy("item_id", "text").select("item_id", "text").toArrow().to_pydict()
+        whole = None
+        if n > 1:
+            own = benchmark.sparkSession.createDataFrame([(t,) for t in sorted({term(w) for x in p["text"] for w in item_words(x)})], "t string")
+            whole = Statistics(segments, mean, dict(df.join(F.broadcast(own), "t").select("t", "n").toPandas().itertuples(index=False)))
+        if (x := build(list(zip(p["item_id"], p["text"], strict=True)), whole)).items:
+            yield x
+
+
+def sent(x: Index, docs: DataFrame):
+    """A broadcast of the index's parts, without its class."""
+    return docs.sparkSession.sparkContext.broadcast(vars(x))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, similar: float = 0.8) -> DataFrame:
@@ -229,14 +283,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, simila
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
     rows = docs.select("doc_id", "text")
     for x in indexes(benchmark):
-        found = rows.mapInArrow(leaks_in(docs.sparkSession.sparkContext.broadcast(x), least, similar), schema)
+        found = rows.mapInArrow(leaks_in(sent(x, docs), least, similar), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def leaks_in(held, least: float, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = held.value
+        x = Index(**held.value)
         memo = Terms(x.vocabulary)
         for b in slices(batches, "text"):
             found = list(matches(x, b.column(1).to_pylist(), least, similar, memo))
@@ -248,12 +302,16 @@ def leaks_in(held, least: float, similar: float):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, similar: float = 0.8) -> DataFrame:
-    """The documents that hold no test item, filtered as they stream by."""
+    """The documents that hold no test item, filtered as they stream by; each row by its own text, so ids may repeat or be null.
+
+    Null and empty texts stay, as does every row if the benchmark is empty; an empty table gives an empty one; columns of
+    any name are kept. With several slices of the benchmark what one leaves is written to the shared folder before the next.
+    """
     names = docs.columns
 
     def keep(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = held.value
+            x = Index(**held.value)
             memo = Terms(x.vocabulary)
             for b in slices(batches, "text"):
                 clean = np.ones(b.num_rows, bool)
@@ -263,6 +321,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, simila
 
         return run
 
+    first = True
     for x in indexes(benchmark):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(x)), docs.schema)
+        docs = docs if first else written(docs, "leaks")
+        docs, first = docs.mapInArrow(keep(sent(x, docs)), docs.schema), False
     return docs
