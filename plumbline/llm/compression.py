@@ -1,7 +1,7 @@
 """Quality by compression: two zstandard dictionaries, one of good and one of bad labelled text.
 
-A text is compressed in pieces of 1 KB against either dictionary; the difference of the two sizes by length, and the
-smaller ratio itself, go through a logistic calibration to a probability of label 1. Every piece of a text counts.
+A text is compressed in pieces of 1 KB against either dictionary; the difference of the two sizes by length, and nothing
+else, goes through a logistic calibration (two numbers, rising) to a probability of label 1. Every piece of a text counts.
 """
 
 from __future__ import annotations
@@ -16,20 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_texts, sample_ids, slices
+from .common import fold, labelled_texts, slices
 
 PIECE = 1024
-#: Sizes are drawn towards the training mean as by this many bytes, so that a few bytes prove little.
+#: The difference is drawn towards the training mean as by this many bytes, so that a few bytes prove little.
 SHRINK = 60
-LEVEL = 3
+#: A level that searches dictionaries thoroughly: lower ones miss matches in them and tell the labels apart far worse.
+LEVEL = 9
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    mean: tuple[float, float]
-    weights: tuple[float, ...]
+    mean: float  # bytes of difference by byte of text
+    weights: tuple[float, ...]  # constant and slope; none: nothing was learned
     prior: float
 
 
@@ -52,11 +53,16 @@ def sizes(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     return out
 
 
-def features(s: np.ndarray, mean: tuple[float, float]) -> np.ndarray:
+def difference(s: np.ndarray, mean: float) -> np.ndarray:
+    """The normalised difference of the sizes, beside a constant."""
     a, b, n = s.T
-    d = (b - a + SHRINK * mean[0]) / (n + SHRINK) * 10
-    r = (a + SHRINK * mean[1]) / (n + SHRINK)
-    return np.column_stack([np.ones(len(n)), d, r, d * d, d * r, r * r])
+    return np.column_stack([np.ones(len(n)), (b - a + SHRINK * mean) / (n + SHRINK) * 10])
+
+
+def probabilities(texts: list[bytes | None], model: Model) -> np.ndarray:
+    if not model.weights:
+        return np.full(len(texts), model.prior)
+    return logistic(difference(sizes([t or b"" for t in texts], model.good, model.bad), model.mean), np.array(model.weights))
 
 
 def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -77,10 +83,10 @@ def dictionary(texts: list[bytes], shared: set[bytes], size: int, segment: int)
 
 
 def fit(rows: list[tuple[int, str, int]], prior: float, size: int = 64 << 10, segment: int = 256) -> Model:
-    """Half of the sampled texts of a label make its dictionary, the other half the calibration."""
+    """Half of the sampled texts of a label make its dictionary, the other half the calibration, weighed to `prior`, the share of label 1."""
     by = {q: [t.encode() for _, t, y in rows if y == q and t.strip()] for q in (0, 1)}
     if min(map(len, by.values())) < 4:
-        return Model(b"", b"", (0.0, 0.0), (), prior)
+        return Model(b"", b"", 0.0, (), prior)
     lines = Counter(x for texts in by.values() for t in texts for x in set(t.split(b"\n")))
     shared = {x for x, n in lines.items() if n > 1}
     half = {q: dictionary(t[::2], shared, size, segment) for q, t in by.items()}
@@ -88,22 +94,26 @@ def fit(rows: list[tuple[int, str, int]], prior: float, size: int = 64 << 10, se
     y = np.repeat([0, 1], [len(held[0]), len(held[1])])
     s = sizes(held[0] + held[1], half[1], half[0])
     of = np.where(y == 1, prior / len(held[1]), (1 - prior) / len(held[0])) * len(y)
-    mean = (float(np.average((s[:, 1] - s[:, 0]) / s[:, 2], weights=of)), float(np.average(s[:, 0] / s[:, 2], weights=of)))
-    x, w = features(s, mean), np.zeros(6)
+    mean = float(np.average((s[:, 1] - s[:, 0]) / s[:, 2], weights=of))
+    x, w = difference(s, mean), np.zeros(2)
     for _ in range(50):
         p = logistic(x, w)
-        step = np.linalg.solve((x * (of * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(6), x.T @ (of * (y - p)) - 0.1 * w)
+        step = np.linalg.solve((x * (of * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), x.T @ (of * (y - p)) - 0.01 * w)
         w = w + np.clip(step, -3, 3)
     return Model(half[1], half[0], mean, tuple(w.tolist()), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, out: int = 0, per_label: int = 900, max_chars: int = 20_000) -> Model:
-    """Fit on at most `per_label` texts of either label from the folds crc32(doc_id) mod `mod` <> `out`; the share of label 1 comes from all rows of those folds."""
+    """Fit on at most `per_label` texts of either label, of `max_chars` characters at most, from the folds crc32(doc_id) mod `mod` <> `out`.
+
+    The share of label 1 comes from all rows of those folds. An id that repeats in `docs` is learned once, with its
+    smallest text; one with both labels counts for both; other labels and null ids are left out.
+    """
     rows = labels.where(fold("doc_id", mod) != out).where("quality in (0, 1)")
     n, good = rows.agg(F.count("*"), F.sum("quality")).first()
     if not n:
-        return Model(b"", b"", (0.0, 0.0), (), 0.5)
-    texts = labelled_texts(docs, sample_ids(rows, "quality", per_label), "quality", max_chars)
+        return Model(b"", b"", 0.0, (), 0.5)
+    texts = labelled_texts(docs, rows, "quality", per_label, max_chars)
     return fit(texts, good / n)
 
 
@@ -112,12 +122,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            if model.weights:
-                texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-                p = logistic(features(sizes(texts, model.good, model.bad), model.mean), np.array(model.weights))
-            else:
-                p = np.full(b.num_rows, model.prior)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probabilities(b.column(1).cast(pa.binary()).to_pylist(), model))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -129,18 +134,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that score `threshold` or more, scored as they stream by: no join back, so ids need not be unique."""
+    """The documents that score `threshold` or more, scored as they stream by: no join back, so ids may repeat or be null.
+
+    Null and empty texts score as in `score` and are kept or not by it. Without labels all score 0.5 and stay. An empty
+    table gives an empty one; columns of any name are kept.
+    """
     model = train(docs, labels)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for b in slices(batches, "text"):
-            if model.weights:
-                texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
-                keep = logistic(features(sizes(texts, model.good, model.bad), model.mean), np.array(model.weights)) >= threshold
-            else:
-                keep = np.full(b.num_rows, model.prior >= threshold)
+            keep = probabilities(b.column(names.index("text")).cast(pa.binary()).to_pylist(), model) >= threshold
             yield b.filter(pa.array(keep))
 
-    names = docs.columns
     return docs.mapInArrow(run, docs.schema)
