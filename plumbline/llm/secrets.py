@@ -40,8 +40,8 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def word_bits(path: str | None = VOCABULARY, least: int = 3) -> dict[str, float]:
-    """Bits of the rank of each word that ends a word in a public vocabulary (a file of fixed size, read on the driver)."""
-    if not path or not Path(path).exists():
+    """Bits of the rank of each word that ends a word in a public vocabulary (a file of fixed size, read on the driver). None: no words, by choice; a missing file is an error."""
+    if path is None:
         return {}
     ranked = sorted(json.loads(Path(path).read_text())["model"]["vocab"].items(), key=lambda x: x[1])
     words = [w.removesuffix("</w>") for w, _ in ranked if w.endswith("</w>")]
@@ -161,6 +161,7 @@ def find_secrets(docs: DataFrame, bits: float = 33.0, vocabulary: str | None = V
     """A row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_guess (values of 2**bits guesses or more).
 
     Offsets are code points of the whole text, ends exclusive. Null texts count as empty: no spans, the digest of nothing.
+    Repeated rows stay; an empty table gives an empty one; other columns are not read.
     """
     words, near = word_bits(vocabulary), neighbours()
 
@@ -175,7 +176,10 @@ def find_secrets(docs: DataFrame, bits: float = 33.0, vocabulary: str | None = V
 
 
 def redact(docs: DataFrame, bits: float = 33.0, vocabulary: str | None = VOCABULARY, mark: str = "[REDACTED]") -> DataFrame:
-    """The documents with every span replaced by `mark` (overlapping spans: once); n_chars, if there, follows. Texts without spans, null ones too, stay as they are."""
+    """The documents with every span replaced by `mark` (overlapping spans: once), to its end however long; n_chars, if there, follows.
+
+    Texts without spans, null and empty ones too, stay as they are, and so do ids, repeated rows and columns of any name; an empty table gives an empty one.
+    """
     words, near = word_bits(vocabulary), neighbours()
     names = docs.columns
 
