@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_texts, sample_ids, slices
+from .common import fold, labelled_texts, slices
 
 WORDS = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
@@ -30,6 +30,8 @@ LONGEST = 48  # characters of a word; a longer run (glued text, scripts without
 PANE = 16  # characters of a window; they start at every half, so up to nine characters running are whole in one
 MEMO = 1 << 19
 PASSAGE = 64
+#: A passage of fewer words counts as if it had so many, in training and in scoring, so that one word proves little.
+LEAST = 16
 #: The softmax's fixed temperature: a few words decide, and their share of a passage is small.
 SCALE = 16.0
 
@@ -66,7 +68,7 @@ def embed(bags: list[set[str]], y: np.ndarray, least: int, steps: int, rate: flo
     """
     seen = Counter(w for b in bags for w in b)
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= least))}
-    kept = [(sorted(vocabulary[w] for w in b if w in vocabulary), len(b), t) for b, t in zip(bags, y, strict=True)]
+    kept = [(sorted(vocabulary[w] for w in b if w in vocabulary), max(len(b), LEAST), t) for b, t in zip(bags, y, strict=True)]
     kept = [x for x in kept if x[0]]
     y = np.array([t for *_, t in kept], np.float32)
     if len(set(y.tolist())) < 2:
@@ -142,7 +144,7 @@ def evidence(texts: list[str | None], table: list[float], bias: float, memo: dic
             v = list(map(known, p))
             if None in v:
                 v = [odds(w) if x is None else x for w, x in zip(p, v, strict=True)]
-            found.append(sum(v) / max(len(v), 16) + bias)
+            found.append(sum(v) / max(len(v), LEAST) + bias)
         if found:
             out[i] = 1.0, max(found), sum(found) / len(found)
     return out
@@ -167,12 +169,16 @@ def fit(rows: list[tuple[int, str, int]], prior: float, least: int = 3, steps: i
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 3, out: int = 1, per_label: int = 2000, max_chars: int = 20_000) -> Model:
-    """Fit on at most `per_label` texts of either label from the folds crc32(doc_id) mod `mod` <> `out`; the share of label 1 comes from all rows of those folds."""
+    """Fit on at most `per_label` texts of either label, of `max_chars` characters at most, from the folds crc32(doc_id) mod `mod` <> `out`.
+
+    The share of label 1 comes from all rows of those folds. An id that repeats in `docs` is learned once, with its
+    smallest text; one with both labels counts for both; other labels and null ids are left out.
+    """
     rows = labels.where(fold("doc_id", mod) != out).where("toxic in (0, 1)")
     n, ones = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n:
         return Model(None, 0.0, (0.0, 0.0, 0.0), 0.5)
-    return fit(labelled_texts(docs, sample_ids(rows, "toxic", per_label), "toxic", max_chars), ones / n)
+    return fit(labelled_texts(docs, rows, "toxic", per_label, max_chars), ones / n)
 
 
 def probabilities(texts: list[str | None], model: Model, memo: dict[str, float]) -> np.ndarray:
@@ -183,6 +189,8 @@ def probabilities(texts: list[str | None], model: Model, memo: dict[str, float])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every row: probability of label 1 of the whole text; the prior for null texts, texts without words, and where nothing was learned."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for b in slices(batches, "text"):
