@@ -1,18 +1,23 @@
 """License scans in Spark expressions only: MinHash bands over overlapping windows retrieve templates, shingles verify.
 
-Templates are grouped by length; each group has its own window (a quarter longer than its longest template, so one of the
-windows that start at every quarter holds any occurrence whole). A window near enough to a template shares one of BANDS
-bands of ROWS MinHash values with it with a probability of at least 1 - (1 - J**ROWS)**BANDS: with 24 bands of one row over
-99.9 % at a resemblance of 0.25, less than any window with a containment of 0.8 has. Exact containment then decides.
-
-Windows are laid only where a match can be: each template has words so frequent among its shingles that no match lacks all
-of them, and only windows that hold such a word are hashed. That loses nothing.
+Templates are grouped by length; each group has its own window (an eighth longer than its longest template, so one of the
+windows that start at every eighth holds any occurrence whole). A window that holds enough of a template shares one of the
+bands of ROWS MinHash values with it with a probability of at least 1 - MISS: `settings` works out from the lengths and the
+threshold how alike the two must be and how many bands that takes. Exact containment then decides.
+
+Windows are laid only where a match can be. A match lacks few of a template's shingles; so of any larger choice of them it
+holds at least the difference. Such a choice, the shingles that begin with the longest words, is fixed for each template, and
+only windows with enough of its group's chosen shingles are hashed: that loses nothing. Of templates with over SKETCH
+shingles a bottom sketch is chosen instead, the SKETCH smallest hashes, of which a match holds `similar` on average: a
+quarter of that is asked for, which it has but for a chance far below MISS, as what it lacks has nothing to do with hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections import Counter
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +25,10 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 24, 1
+#: MinHash values in a band, and the chance that a window which holds enough of a template shares no band with it.
+ROWS, MISS = 2, 1e-4
+#: Chosen shingles of a long template. They begin with words of LONG letters or more, as far as it has such.
+SKETCH, LONG = 48, 6
 #: Names and texts of widely used license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -69,43 +77,60 @@ def shingles_of(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))})
 
 
-def anchors(words: list[str], common: Counter) -> list[str]:
-    """Words that together touch over 1 - SIMILAR of the shingles' share that a match needs: longest (as a rule the rarest in prose) first, until the shingles without any are too few for a match."""
-    left, found = set(shingles_of(words)), []
-    whole = len(left)
-    for w in sorted(set(words), key=lambda w: (-len(w), common[w], w)):
-        if len(left) < SIMILAR * whole:
-            break
-        if any(w in s.split() for s in left):
-            left = {s for s in left if w not in s.split()}
-            found.append(w)
-    return found
+def missing(n: int, similar: float) -> int:
+    """Shingles of n that a match may lack."""
+    return n - math.ceil(similar * n - 1e-9)
+
+
+def chosen(words: list[str], similar: float) -> tuple[list[str], int]:
+    """Shingles of a template, and how many of them a window with a match holds.
+
+    An eighth more of them than a match may lack (one at least), those with the longest, as a rule the rarest, first words; of a long template a sketch.
+    """
+    s = sorted(shingles_of(words), key=lambda x: (-len(x.split()[0]), x))
+    if len(s) > SKETCH:
+        far = [x for x in s if len(x.split()[0]) >= LONG]
+        s = sorted(far if len(far) >= SKETCH else s, key=lambda x: hashlib.md5(x.encode()).digest())[:SKETCH]
+        return s, max(1, int(similar * SKETCH / 4))
+    some = missing(len(s), similar) + max(1, len(s) // 8)
+    return s[:some], len(s[:some]) - missing(len(s), similar)
 
 
 def groups(templates: dict[str, str]) -> list[tuple[int, int, list[tuple[str, list[str]]]]]:
-    """(window, step, templates) by length: each group's longest is at most half longer than its shortest, and texts of under SHINGLE words stand by their length."""
+    """(window, step, templates) by length: each group's longest is at most a fifth longer than its shortest, and texts of under ten words stand by their length."""
     todo = sorted(((k, w) for k, t in templates.items() if (w := words_of(t))), key=lambda x: (len(x[1]), x[0]))
     out: list[list[tuple[str, list[str]]]] = []
     for x in todo:
-        near = out and (len(x[1]) == len(out[-1][0][1]) if len(out[-1][0][1]) < 2 * SHINGLE else len(x[1]) <= 1.5 * len(out[-1][0][1]))
+        near = out and (len(x[1]) == len(out[-1][0][1]) if len(out[-1][0][1]) < 2 * SHINGLE else len(x[1]) <= 1.2 * len(out[-1][0][1]))
         out[-1].append(x) if near else out.append([x])
-    steps = [max(1, len(g[-1][1]) // 4) if len(g[0][1]) >= 2 * SHINGLE else 1 for g in out]
+    steps = [max(1, len(g[-1][1]) // 8) if len(g[0][1]) >= 2 * SHINGLE else 1 for g in out]
     return [(len(g[-1][1]) + s - 1, s, g) for g, s in zip(out, steps, strict=True)]
 
 
-def minhashes(hashes: Column) -> Column:
+def settings(sets: list, similar: float) -> tuple[int, int]:
+    """(bands, rows): enough bands for the least resemblance that a window with a match can have, all its other shingles being new."""
+    least = 1.0
+    for size, _, group in sets:
+        for _, ws in group:
+            n, k = len(shingles_of(ws)), min(SHINGLE, len(ws))
+            held = n - missing(n, similar)
+            least = min(least, held / max(n, n + size - k + 1 - held))
+    rows = ROWS if least >= 0.4 else 1
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - min(least, 0.999) ** rows))), rows
+
+
+def minhashes(hashes: Column, n: int) -> Column:
     seeded = lambda k: lambda h: F.xxhash64(h, F.lit(k))
-    return F.array(*[F.array_min(F.transform(hashes, seeded(k))) for k in range(BANDS * ROWS)])
+    return F.array(*[F.array_min(F.transform(hashes, seeded(k))) for k in range(n)])
 
 
-def bands(signature: Column) -> Column:
-    return F.array(*[F.xxhash64(F.lit(b), *[F.get(signature, F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
+def bands(signature: Column, n: int, rows: int) -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[F.get(signature, F.lit(b * rows + r)) for r in range(rows)]) for b in range(n)])
 
 
-def shingle_hashes(words: Column) -> Column:
-    """Of an array of words; fewer than SHINGLE words are one shingle."""
-    last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, SHINGLE), " "))))
+def shingle_at(words: Column, k: int):
+    """The hash of the k words from place i on, x being the first."""
+    return lambda x, i: F.xxhash64(x, *[F.get(words, i + j) for j in range(1, k)])
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, similar: float = SIMILAR) -> DataFrame:
@@ -120,39 +145,75 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, simi
     templates = TEMPLATES if templates is None else templates
     if len(templates) >= 1000:
         raise ValueError("give the templates in parts of under 1000")
-    spark = docs.sparkSession
-    sets = groups(templates)
-    common = Counter(w for *_, g in sets for _, ws in g for w in set(ws))
+    if not 0 < similar <= 1:
+        raise ValueError("similar must be above 0, 1 at most")
+    spark, sets = docs.sparkSession, groups(templates)
+    if not sets:
+        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, template string, containment double, first_word long, windows long")
+    n_bands, rows = settings(sets, similar)
+    length = [min(SHINGLE, len(group[0][1])) for *_, group in sets]
+    own = choices(spark, sets, similar)  # of each group: (first word, hash) of its chosen shingles
     lows = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    own = [(g, sorted({a for _, ws in sets[g][2] for a in anchors(ws, common)})) for g in range(len(sets))]
-    every = sorted({a for _, found in own for a in found})
-    if not every:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, template string, containment double, first_word long, windows long")
-    some = docs.select("doc_id", lows.alias("_l")).where(F.col("_l").rlike("|".join(every)))
     w = F.col("_w")
-    some = some.select("doc_id", F.filter(F.split("_l", "[^a-z0-9]+"), lambda x: x != "").alias("_w"))
-    some = some.withColumn("_a", F.filter(F.transform(w, lambda x, i: F.when(x.isin(every), F.struct(x.alias("w"), i.alias("i")))), lambda x: x.isNotNull())).where("size(_a) > 0")
-
-    def windows(g: int, found: list[str]) -> Column:
-        size, step, group = sets[g]
-        # a window with fewer words than a match has shingles holds none
-        least = min(-int(-similar * len(shingles_of(ws)) // 1) for _, ws in group)
-        # starts are multiples of the step; the last whole window may be cut short by the text's end
-        reach = lambda a: F.sequence(F.floor(F.greatest(a["i"] - size + step, F.lit(0)) / step), F.floor(a["i"] / step))
-        at = F.array_distinct(F.flatten(F.transform(F.filter("_a", lambda a: a["w"].isin(found)), reach)))
-        at = F.filter(at, lambda k: F.size(w) - k * step >= least)
-        return F.transform(at, lambda k: F.struct(F.lit(g).alias("g"), (k * step).cast("long").alias("at"), F.lit(size).alias("size")))
-
-    laid = some.select("doc_id", "_w", F.explode(F.concat(*[windows(g, found) for g, found in own])).alias("v"))
-    hashed = laid.select("doc_id", F.col("v.g").alias("g"), F.col("v.at").alias("at"), shingle_hashes(F.slice(w, (F.col("v.at") + 1).cast("int"), F.col("v.size"))).alias("h"))
-    keyed = hashed.select("doc_id", "g", "at", "h", F.explode(F.array_distinct(bands(minhashes(F.col("h"))))).alias("band"))
-    known = template_table(spark, sets).select("g", "template", "th", F.explode(F.array_distinct(bands(minhashes(F.col("th"))))).alias("band"))
-    met = keyed.join(F.broadcast(known), ["g", "band"]).withColumn("containment", F.size(F.array_intersect("h", "th")) / F.size("th")).where(F.col("containment") >= similar)
+    some = docs.select("doc_id", F.filter(F.split(lows, "[^a-z0-9]+"), lambda x: x != "").alias("_w"))
+    every = {k: [c for g, c in enumerate(own) if length[g] == k] for k in sorted(set(length))}
+
+    def met(x: Column, i: Column) -> Column:
+        here = [F.when(h.isin(sorted({b for c in found for _, b in c})), F.struct(i.alias("i"), h.alias("h"))) for k, found in every.items() for h in [shingle_at(w, k)(x, i)]]
+        return F.when(x.isin(sorted({a for c in own for a, _ in c})), F.filter(F.array(*here), lambda a: a.isNotNull()))
+
+    hits = F.flatten(F.filter(F.transform(w, met), lambda a: a.isNotNull()))
+    # no filter on the hits: pushed below, it would split the text again at every word
+    some = some.withColumn("_a", hits)
+    for k in every:
+        some = some.withColumn(f"_h{k}", F.when(F.size("_a") > 0, F.transform(w, shingle_at(w, k))))
+
+    of = lambda values, g: F.get(F.array(*map(F.lit, values)), g)
+    size, step, k, need, least = ([f(g) for g in range(len(sets))] for f in (
+        lambda g: sets[g][0], lambda g: sets[g][1], lambda g: length[g],
+        lambda g: min(chosen(ws, similar)[1] for _, ws in sets[g][2]),
+        lambda g: min(n - missing(n, similar) for _, ws in sets[g][2] for n in [len(shingles_of(ws))]),
+    ))
+
+    def places(a: Column) -> Column:
+        """Windows {g, t} that hold the hit. They start at multiples t of the step; the last ones may be cut short by the text's end."""
+        reach = lambda g: F.sequence(F.ceil(F.greatest(a["i"] + (k[g] - size[g]), F.lit(0)) / step[g]), F.floor(a["i"] / step[g]))
+        tagged = lambda g: F.transform(reach(g), lambda t: F.struct(F.lit(g).alias("g"), t.alias("t")))
+        return F.flatten(F.filter(F.array(*[F.when(a["h"].isin(sorted({b for _, b in own[g]})), tagged(g)) for g in range(len(sets))]), lambda x: x.isNotNull()))
+
+    # columns of their own, as lambdas below look into them: every window once for each of its hits, in order
+    some = some.withColumn("_s", F.sort_array(F.flatten(F.transform("_a", places))))
+    enough = lambda v, j: F.when((F.get("_s", j + of(need, v["g"]) - 1) == v) & (F.size(w) - v["t"] * of(step, v["g"]) >= of(least, v["g"])), v)
+    some = some.select("doc_id", *[f"_h{x}" for x in every], F.array_distinct(F.filter(F.transform("_s", enough), lambda v: v.isNotNull())).alias("_v"))
+
+    def window(v: Column) -> Column:
+        g, at = v["g"], (v["t"] * of(step, v["g"])).cast("int")
+        inside = reduce(lambda rest, x: F.when(of(k, g) == x, F.slice(f"_h{x}", at + 1, of(size, g) - (x - 1))).otherwise(rest), every, F.lit(None))
+        return F.struct(g.alias("g"), at.cast("long").alias("at"), F.array_distinct(inside).alias("h"))
+
+    laid = some.select("doc_id", F.explode(F.transform("_v", window)).alias("v")).select("doc_id", "v.*")
+    known = template_table(spark, sets).select("g", "template", "th", F.explode(F.array_distinct(bands(minhashes(F.col("th"), n_bands * rows), n_bands, rows))).alias("band"))
+    keyed = laid.withColumn("band", F.explode(F.array_distinct(bands(minhashes(F.col("h"), n_bands * rows), n_bands, rows))))
+    found = keyed.join(F.broadcast(known), ["g", "band"]).withColumn("containment", F.size(F.array_intersect("h", "th")) / F.size("th")).where(F.col("containment") >= similar - 1e-9)
     best = F.max(F.struct("containment", (-F.col("at")).alias("at")))
-    once = met.groupBy("doc_id", "template", "at").agg(F.max("containment").alias("containment"))
+    once = found.groupBy("doc_id", "template", "at").agg(F.max("containment").alias("containment"))
     return once.groupBy("doc_id", "template").agg(best.alias("b"), F.count("*").alias("windows")).select("doc_id", "template", F.col("b.containment").alias("containment"), (-F.col("b.at")).alias("first_word"), "windows")
 
 
+def hashed(words: Column) -> Column:
+    """Distinct shingle hashes of an array of words; fewer than SHINGLE words are one shingle."""
+    by = lambda k: F.transform(F.slice(words, F.lit(1), F.size(words) - (k - 1)), shingle_at(words, k))
+    short = reduce(lambda rest, k: F.when(F.size(words) == k, by(k)).otherwise(rest), range(1, SHINGLE), by(SHINGLE))
+    return F.array_distinct(short)
+
+
+def choices(spark: SparkSession, sets: list, similar: float) -> list[list[tuple[str, int]]]:
+    """(first word, hash) of every group's chosen shingles, hashed as the texts are."""
+    rows = [(g, s.split()) for g, (*_, group) in enumerate(sets) for s in sorted({s for _, ws in group for s in chosen(ws, similar)[0]})]
+    found = spark.createDataFrame(rows, "g int, s array<string>").select("g", F.get("s", F.lit(0)).alias("a"), F.get(hashed(F.col("s")), F.lit(0)).alias("h")).collect()
+    return [[(r["a"], r["h"]) for r in found if r["g"] == g] for g in range(len(sets))]
+
+
 def template_table(spark: SparkSession, sets: list) -> DataFrame:
     rows = [(g, name, ws) for g, (_, _, group) in enumerate(sets) for name, ws in group]
-    return spark.createDataFrame(rows, "g int, template string, ws array<string>").select("g", "template", shingle_hashes(F.col("ws")).alias("th"))
+    return spark.createDataFrame(rows, "g int, template string, ws array<string>").select("g", "template", hashed(F.col("ws")).alias("th"))
