@@ -53,23 +53,67 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
+def components_of(fps, most=4):
+    """Component number of each fingerprint, by comparing all."""
+    fp = np.array(fps, np.uint64)
+    label = np.arange(len(fp))
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= most
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def check_simhash(spark, rows, kind):
+    """near_duplicates and keep_first on (doc_id, text) rows, each of which is a node, with an id or not."""
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], f"doc_id {kind}, text string, at int").selectExpr("*", "'x' as fp", "1 as root", "2 as rep", "3 as component_id", "'q' as fingerprint")
+    fps = [fingerprint(t) for _, t in rows]
+    root = components_of(fps)
+    least = {r: min((i for (i, _), s in zip(rows, root, strict=True) if s == r and i is not None), default=None) for r in root}
+    got = simhash.near_duplicates(d.repartition(5)).collect()
+    assert Counter(map(tuple, got)) == Counter((i, f"{f:016x}", least[r]) for (i, _), f, r in zip(rows, fps, root, strict=True))
+    kept = simhash.keep_first(d.repartition(5)).collect()
+    assert len(kept) == len(set(root)) and kept[0].asDict().keys() == set(d.columns)
+    assert {root[r["at"]] for r in kept} == set(root)  # one row of each group, of its smallest id
+    assert all(r["doc_id"] == least[root[r["at"]]] and r["text"] == rows[r["at"]][1] for r in kept)
+
+
 def test_simhash_equals_brute_force(spark, corpus):
-    got = simhash.near_duplicates(docs(spark, corpus)).collect()
-    assert len(got) == len(corpus)
-    fps = [(i, fingerprint(t)) for i, t, _ in corpus]
-    assert Counter((r["doc_id"], r["fingerprint"]) for r in got) == Counter((i, f"{f:016x}") for i, f in fps)
-    label = {i: i for i, _ in fps if i is not None}
-    changed = True
-    while changed:
-        changed = False
-        for i, a in fps:
-            for j, b in fps:
-                if i is not None and j is not None and (a ^ b).bit_count() <= 4 and label[j] < label[i]:
-                    label[i], changed = label[j], True
-    assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == set(label.items())
-    assert simhash.near_duplicates(empty(spark)).count() == 0
-    kept = simhash.keep_first(docs(spark, corpus)).collect()
-    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == set(label.values()) and sum(r["doc_id"] is None for r in kept) == 1
+    check_simhash(spark, [(i, t) for i, t, _ in corpus], "long")
+    assert simhash.near_duplicates(empty(spark)).count() == simhash.keep_first(empty(spark)).count() == 0
+
+
+def test_simhash_links_rows_without_ids(spark):
+    """Chains of texts that differ by a bit or two; links of some chains have no id; ids that are texts, and repeat."""
+    rng = random.Random(21)
+    chains, tries = [], 0
+    while len(chains) < 6 and tries < 4000:  # a - b - c with a and c too far apart
+        tries += 1
+        w = prose(rng, 60).split()
+        texts = [w]
+        for _ in range(6):
+            v = list(texts[-1])
+            v[rng.randrange(len(v))] = rng.choice(WORDS)
+            texts.append(v)
+        fps = [fingerprint(" ".join(v)) for v in texts]
+        for b in range(1, 6):
+            for c in range(b + 1, 7):
+                if (fps[0] ^ fps[b]).bit_count() <= 4 and (fps[b] ^ fps[c]).bit_count() <= 4 < (fps[0] ^ fps[c]).bit_count():
+                    chains.append([" ".join(texts[k]) for k in (0, b, c)])
+                    break
+            else:
+                continue
+            break
+    assert len(chains) == 6
+    rows = []
+    for k, chain in enumerate(chains):
+        ids = [(10 * k, None, 10 * k + 2), (None, 10 * k, None), (None, None, None), (10 * k + 5, 10 * k + 4, None), (10 * k, 10 * k, 10 * k), (None, None, 10 * k)][k]
+        rows += list(zip(ids, chain, strict=True))
+    rows += [(None, None), (None, ""), (99, "  "), (98, "alone here"), (98, "alone here"), (98, "quite another text stands here under one id again"), (None, "only this")]
+    check_simhash(spark, rows, "long")
+    check_simhash(spark, [(None if i is None else f"id-{i:03}", t) for i, t in rows], "string")
+    check_simhash(spark, [(None, t) for _, t in rows], "long")
 
 
 @pytest.mark.parametrize("leaf", [2, 64])
@@ -80,18 +124,31 @@ def test_trees_lose_no_pair(spark, leaf):
     rows = list(base)
     for k, b in enumerate(base[:120]):
         rows.append(b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, k % 7, replace=False))))
-    rows += [base[0] ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 64, (80, 2))]
+    rows += [base[0] ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 64, (400, 2))]
+    rows += [base[1] ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, 5, replace=False))) for _ in range(400)]
     fp = np.unique(np.array(rows, np.uint64))
-    df = spark.createDataFrame([(i, int(np.int64(f.view(np.int64)))) for i, f in enumerate(fp)], "rep long, fp long")
+    signed = fp.view(np.int64)
+    df = spark.createDataFrame([(int(f),) for f in signed], "fp long")
     got = {r["node"]: r["component"] for r in components(simhash.near_pairs(df, 4, shard_size=leaf * 8, sample=200)).collect()}
-    label = np.arange(len(fp))
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
-    while True:
-        new = np.array([label[n].min() for n in near])
-        if (new == label).all():
-            break
-        label = new
-    assert {i: got.get(i, i) for i in range(len(fp))} == dict(enumerate(label.tolist()))
+    groups = {}
+    for f, r in zip(signed.tolist(), components_of(fp), strict=True):
+        groups.setdefault(r, set()).add(f)
+    mine = {}
+    for f in signed.tolist():
+        mine.setdefault(got.get(f, f), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_shards_grow_in_number():
+    rng = np.random.default_rng(3)
+    for n in (4096, 40_960, 409_600):  # a sample of 32 for each shard of 4096
+        points = rng.integers(0, 2**21, 32 * n // 4096).astype(np.uint64)
+        tree = simhash.plant(points, 32)
+        fresh = rng.integers(0, 2**21, 50_000).astype(np.uint64)
+        homes = np.bincount([s for s, rows, home in simhash.route(fresh, tree, 1) for _ in range(int(home.sum()))])
+        assert homes.sum() == len(fresh) and homes.max() * n / len(fresh) < 6 * 4096
+        guests = sum(len(rows) for _, rows, _ in simhash.route(fresh, tree, 1)) / len(fresh)
+        assert guests <= 22
 
 
 def test_components_of_chains_and_stars(spark):
@@ -145,12 +202,35 @@ def test_search_is_exact():
 
 
 def test_slices_of_a_large_benchmark(spark, monkeypatch):
-    items = [(i, f"word{i} " + prose(random.Random(i), 20)) for i in range(30)]
+    """A benchmark in one slice and in thirty: the same rows and the same scores, also of edited items near the threshold."""
+    rng = random.Random(12)
+    items = [(i, f"word{i} " + prose(random.Random(i), 20 + i % 7 * 15)) for i in range(60)] + [(60, None), (61, "!")]
+    rows = []
+    for i, t in items[:60]:
+        for k, share in enumerate((0.0, 0.1, 0.2, 0.35)):
+            w = [rng.choice(["river", "other", "sand"]) if rng.random() < share else v for v in t.split()]
+            rows.append((10 * i + k, "before " + " ".join(w) + " after", "s"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, rows)
+    found = lambda: sorted(map(tuple, decontamination.find_leaks(d, b, least=0.3, similar=0.6).collect()))
+    kept = lambda: sorted(r["doc_id"] for r in decontamination.drop_leaks(d, b, least=0.3, similar=0.6).collect())
+    whole, left = found(), kept()
+    assert len({r[0] % 10 for r in whole}) == 4 and len(whole) < len(rows) * 2 and left
+    monkeypatch.setattr(decontamination, "MAX_CHARS", sum(len(t or "") + 16 for _, t in items) // 30)
+    assert len(list(decontamination.indexes(b))) >= 25
+    again = found()
+    assert [r[:2] for r in again] == [r[:2] for r in whole] and [r[2] for r in again] == pytest.approx([r[2] for r in whole], abs=1e-12)
+    assert kept() == left == sorted({r[0] for r in rows} - {r[0] for r in whole})
+
+
+def test_leak_filter_keeps_odd_rows(spark):
+    items = [(1, "what is the colour of the winter river? it is silver green stone"), (1, None)]
+    rows = [(None, items[0][1], "s"), (None, "clean", "s"), (7, "clean", "s"), (7, items[0][1] + " more", "s"), (8, None, None), (8, "", "s"), (8, "", "s")]
     b = spark.createDataFrame(items, "item_id long, text string")
-    d = docs(spark, [(i, "before " + t + " after", "s") for i, t in items])
-    whole = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(d, b).collect()}
-    monkeypatch.setattr(decontamination, "MAX_CHARS", 1000)
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(d, b).collect()} == whole == {(i, i) for i in range(30)}
+    left = decontamination.drop_leaks(docs(spark, rows), b)
+    assert left.columns == docs(spark, rows).columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(None, "clean"), (7, "clean"), (8, None), (8, ""), (8, "")])
+    assert decontamination.drop_leaks(empty(spark), b).count() == 0 and decontamination.drop_leaks(docs(spark, rows), b.limit(0)).count() == len(rows)
 
 
 # ---- secrets
@@ -245,6 +325,16 @@ def test_long_values_and_schemes_are_covered_whole():
         assert secrets.guess_bits(low, {}, near) > 0
 
 
+def test_redaction_of_odd_rows(spark):
+    key = "".join(random.Random(4).choices("ABCDEFGHKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789", k=100_000))
+    rows = [(1, f"a authorization: {key[:700]} b", "s"), (1, f"token={key}", "s"), (None, f"password={key[:40]};", None), (2, None, "s"), (2, "", "s")]
+    got = secrets.redact(docs(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, "a authorization: [REDACTED] b"), (1, "[REDACTED]"), (None, "[REDACTED];"), (2, None), (2, "")])
+    assert secrets.redact(empty(spark)).count() == 0 and secrets.redact(empty(spark)).columns == empty(spark).columns
+    with pytest.raises(FileNotFoundError):
+        secrets.word_bits("/no/such/file.json")
+
+
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(9)
     t = licenses.TEMPLATES
@@ -283,12 +373,30 @@ def test_production_templates(spark):
     assert all(got.get((i, k), 0) >= 0.95 for i, (k, _) in said.items())
 
 
-def test_anchors_lose_nothing():
-    for text in licenses.TEMPLATES.values():
+@pytest.mark.parametrize("similar", [0.3, 0.5, 0.8, 1.0])
+def test_a_match_holds_enough_chosen_shingles(similar):
+    for text in licenses.production().values():
         w = licenses.words_of(text)
-        s = licenses.shingles_of(w)
-        found = licenses.anchors(w, Counter())
-        assert sum(not set(found) & set(x.split()) for x in s) < licenses.SIMILAR * len(s)
+        s, (c, need) = set(licenses.shingles_of(w)), licenses.chosen(w, similar)
+        assert set(c) <= s and 1 <= need <= len(set(c)) == len(c)
+        assert need == len(c) - licenses.missing(len(s), similar) if len(s) <= licenses.SKETCH else need <= similar * len(c) / 4 + 1
+        assert len(s) - licenses.missing(len(s), similar) >= similar * len(s) - 1e-6 > len(s) - licenses.missing(len(s), similar) - 1
+
+
+def test_licenses_at_another_threshold(spark):
+    rng = random.Random(11)
+    text = licenses.TEMPLATES["GPL-notice"].split()
+    rows = []
+    for i in range(24):  # a run of the template, between prose: some hold half of its shingles, some do not
+        keep = 5 + i
+        rows.append((i, prose(rng, 30) + " " + " ".join(text[:keep]) + " " + prose(rng, 90), "s"))
+    t = {"gpl": " ".join(text)}
+    n = len(licenses.shingles_of(licenses.words_of(t["gpl"])))
+    want = {i for i, x, _ in rows if len(set(licenses.shingles_of(licenses.words_of(x))) & set(licenses.shingles_of(licenses.words_of(t["gpl"])))) >= 0.5 * n}
+    got = {r["doc_id"] for r in licenses.find_licenses(docs(spark, rows), t, similar=0.5).collect()}
+    assert got == want and 0 < len(want) < len(rows)
+    with pytest.raises(ValueError):
+        licenses.find_licenses(docs(spark, rows), t, similar=0)
 
 
 # ---- chat
@@ -388,6 +496,41 @@ def test_mixing_leaves_no_document_that_fits(spark, ratio):
         assert not (movable["size"] <= abs(left) - 1e-6).any()
 
 
+def test_mixing_of_rows_alike(spark):
+    """Sources of one repeated id, of rows without ids, of equal rows and of equal sizes meet their targets within a document."""
+    rows = [(7, "w " * 10, "a")] * 1000 + [(None, "x " * 10, "b")] * 1000 + [(i, "y " * 10, "c") for i in range(900)] + [(5, "z " * (1 + i % 9), "d") for i in range(700)] + [(None, None, "e")] * 5
+    rows += [(i % 3, "v " * 10, None) for i in range(500)]
+    d = docs(spark, rows)
+    got = mixing.mix(d.repartition(6)).toPandas()
+    assert len(got) == len(rows)
+    for s, g in got.groupby("source", dropna=False):
+        if s != "e":
+            assert abs(g.taken.sum() - g.target.iloc[0]) < 10, s
+        assert (g.taken <= 2 * g["size"]).all()
+    want = water_filling({"a": 10_000, "b": 10_000, "c": 9000, "d": int(got[got.source == "d"]["size"].sum()), "e": 0, "n": 5000}, dict(zip("abcden", (3, 1, 2, 3, 1, 2), strict=True)), 1.5 * int(got["size"].sum()))
+    assert {s if isinstance(s, str) else "n": pytest.approx(t) for s, t in got.groupby("source", dropna=False).target.first().items()} == want
+    told = lambda x: Counter(map(tuple, x.collect()))
+    assert told(mixing.mix(d.repartition(3))) == told(mixing.mix(d.coalesce(1)))  # reruns agree, however rows are dealt
+
+
+def test_few_of_many_equal_sizes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 10)  # narrowed by histograms, as groups of over 4096 are
+    rows = [(i % 4, "w " * 7, f"s{i % 2}") for i in range(3000)]
+    got = mixing.mix(docs(spark, rows), weights=(1, 2), ratio=1.2).toPandas()
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) < 7
+
+
+def test_mixing_keeps_columns(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "other words here now", "s"), (None, None, None), (2, "", "t"), (3, "q " * 50, "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'r' as rate", "length(text) as n_chars", "1 as k", "2 as _row2")
+    got = mixing.mix(d, keep=tuple(d.columns)).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"], r["doc_rate"], r["n_chars"], r["size"]) for r in got) == Counter((i, t, s, "r", None if t is None else len(t), len((t or "").split())) for i, t, s in rows)
+    plain = Counter((r["doc_id"], r["source"], r["size"], r["copies"], r["taken"]) for r in mixing.mix(d).collect())
+    assert Counter((r["doc_id"], r["source"], r["size"], r["copies"], r["taken"]) for r in got) == plain
+    assert mixing.mix(d.limit(0), keep=("text",)).count() == 0
+
+
 def test_crc_fold(spark):
     from plumbline.llm.common import fold
 

@@ -43,13 +43,12 @@ def brute(word, pieces, p):
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(0)
     pieces = {x: i for i, x in enumerate([language.START, "a", "b", "ab", "ba", language.START + "a", "aab", "bb", language.START + "ab"])}
-    p = rng.uniform(0.01, 0.2, (len(pieces) + 2, 3))
-    p[-1] = 0
+    p = rng.uniform(0.01, 0.2, (len(pieces) + 1, 3))
     words = ["".join(x) for n in range(1, 8) for x in itertools.islice(itertools.product("abz", repeat=n), 0, 60, 7)]
     got = language.word_logs(words, pieces, p)
     for w, g in zip(words, got, strict=True):
         assert np.allclose(g, brute(w, pieces, p))
-        assert np.allclose(language.long_word(language.START + w, pieces, p), g)  # log scale gives the same
+        assert np.allclose(language.long_word(language.START + w, language.as_pieces(pieces), p), g)  # log scale gives the same
     assert np.isfinite(language.word_logs(["ab" * 5000], pieces, p)).all()
 
 
@@ -57,17 +56,36 @@ def test_expected_counts_are_posteriors():
     from collections import Counter
 
     pieces = {language.START: 0, "a": 1, "aa": 2}
-    p = np.array([0.5, 0.3, 0.2, 0.01, 0.0])
+    p = np.array([0.5, 0.3, 0.2, 0.01])
     c = language.expected(Counter({"aa": 2}), pieces, p)
     one, two = 0.5 * 0.3 * 0.3, 0.5 * 0.2
     assert np.allclose(c[:3], [2, 2 * 2 * one / (one + two), 2 * two / (one + two)])
 
 
+def test_long_words_count_like_short_ones(monkeypatch):
+    """The log-scale recursions for words of any length, against the matrices for short ones."""
+    from collections import Counter
+
+    rng = np.random.default_rng(2)
+    pieces = {x: i for i, x in enumerate([language.START, "a", "b", "ab", "ba", language.START + "a", "aabbaabbaabba", "bb"])}
+    p = rng.uniform(0.01, 0.2, len(pieces) + 1)
+    words = Counter({"aabbaabbaabbab": 3, "zab": 2, "a": 1, "aabbaabbaabba" * 2: 1})
+    short = language.expected(words, pieces, p)
+    monkeypatch.setattr(language, "LINEAR", 0)
+    assert np.allclose(language.expected(words, pieces, p), short) and short[6] > 0  # pieces of over ten characters count
+
+
+def test_letters_are_what_isalpha_says():
+    text = "½ ² ① Ⅷ 4 _ a½b été x²y ǅ ªº 字ー々 ٣ Ⅷabc café1de"
+    assert language.letters(text) == "".join(c if c.isalpha() else " " for c in text).split()
+    assert language.letters("½ ² ① Ⅷ 4 _") == []
+
+
 @pytest.mark.skipif(not os.path.exists(language.VOCABULARY), reason="no vocabulary")
 def test_language_held_out(spark):
     rng = random.Random(1)
     rows = [(i, say(rng, lang, rng.randint(4, 60)), lang) for i, lang in enumerate(["en", "de", "fr"] * 60)]
-    rows += [(900, None, "en"), (901, "123 !? ", "de"), (902, say(rng, "de", 20_000), None), (903, "x" * 3000, "fr"), (904, "Zug", None), (904, "Zug", None), (None, say(rng, "en", 9), "en")]
+    rows += [(900, None, "en"), (901, "123 !? ½²①Ⅷ", "de"), (902, say(rng, "de", 20_000), None), (903, "x" * 3000, "fr"), (904, "Zug", None), (904, "Zug", None), (None, say(rng, "en", 9), "en")]
     d = frame(spark, rows, "doc_id long, text string, lang string")
     got = language.predict(d).collect()
     assert len(got) == len(rows)
