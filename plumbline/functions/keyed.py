@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +33,47 @@ def normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.ln(u)) * F.cos(F.lit(2 * math.pi) * word(d, 8) / F.lit(4294967296.0))
 
 
-def poisson_word(digest_: Column, at: Column) -> Column:
-    """The four hex digits at place `at` (0 … 7) of a digest: in a column of their own, so that `poisson` reads them without hashing again."""
-    return F.substring(digest_, 4 * at + 1, F.lit(4))
+# ---- many numbers from one digest: four coefficients of a cubic polynomial modulo a prime. Its values at any four places
+# are independent, and it is the same in column expressions, in numpy and in SQL.
 
+PRIME = (1 << 31) - 1
 
-def poisson(word_: Column) -> Column:
-    """A Poisson(1) count from sixteen bits in lower-case hex, which sort as the numbers do."""
-    out = (word_ >= f"{POISSON[0]:04x}").cast("int")
-    for c in POISSON[1:]:
-        out = out + (word_ >= f"{c:04x}").cast("int")
-    return out
+
+def coefficients(seed: int, *keys: Column) -> Column:
+    """Sixteen bytes: four 32-bit words, of which the upper bit is not used."""
+    return F.unhex(digest(seed, *keys))
+
+
+def words(digests: np.ndarray | bytes) -> np.ndarray:
+    """[digest, 4] numbers of up to 31 bits from digests laid end to end."""
+    return (np.frombuffer(digests, ">u4").reshape(-1, 4) & PRIME).astype(np.int64)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, x below 2**62: the prime is a power of two less one."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x == PRIME, 0, x)
+
+
+def values(c: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The polynomials `c` (last axis: coefficients) at `g`, by broadcasting; g is below 2**31."""
+    u = folded(c[..., 0] * g + c[..., 1])
+    return folded(folded(u * g + c[..., 2]) * g + c[..., 3])
+
+
+def value(digest_: Column, g: Column) -> Column:
+    """The same of a digest in hexadecimal digits."""
+    c = [word(digest_, 8 * k).bitwiseAND(PRIME) for k in range(4)]
+    u = F.pmod(c[0] * g + c[1], F.lit(PRIME))
+    return F.pmod(F.pmod(u * g + c[2], F.lit(PRIME)) * g + c[3], F.lit(PRIME))
+
+
+#: Poisson(1) counts by the upper sixteen of 31 bits.
+COUNTS = np.searchsorted(np.array(POISSON), np.arange(65536), side="right").astype(float)
+
+
+def poisson(u: Column) -> Column:
+    """A Poisson(1) count from a value below PRIME."""
+    high = F.shiftright(u, 15)
+    return sum(((high >= c).cast("int") for c in POISSON[1:]), (high >= POISSON[0]).cast("int"))

@@ -72,15 +72,19 @@ def ledoit_wolf(x: np.ndarray) -> np.ndarray:
     return (1 - k) * s + k * mu * np.eye(p)
 
 
+def class_covariance(x: np.ndarray) -> np.ndarray:
+    """Of one class: standardised by its own deviations, shrunk, and scaled back."""
+    scale = x.std(0)
+    scale[scale == 0] = 1
+    return ledoit_wolf(x / scale) * np.outer(scale, scale)
+
+
 def lda(train: np.ndarray, labels: np.ndarray, test: np.ndarray) -> np.ndarray:
-    """Labels of `test` by linear discriminants with a shrunk covariance within classes (standardised features)."""
+    """Labels of `test` by linear discriminants with the classes' shrunk covariances, weighed by their shares."""
     classes, at = np.unique(labels, return_inverse=True)
-    scale = train.std(0)
-    scale[scale == 0] = 1
-    train, test = train / scale, test / scale
     means = np.stack([train[at == k].mean(0) for k in range(len(classes))])
     prior = np.bincount(at) / len(at)
-    cov = sum(prior[k] * ledoit_wolf(train[at == k]) for k in range(len(classes)))
+    cov = sum(prior[k] * class_covariance(train[at == k]) for k in range(len(classes)))
     coef = np.linalg.lstsq(cov, means.T, rcond=None)[0].T
     return classes[(test @ coef.T - 0.5 * (means * coef).sum(1) + np.log(prior)).argmax(1)]
 

@@ -24,23 +24,23 @@ def gaussian_kernel(d2: Column, sigma: float) -> Column:
     return F.exp(-F.greatest(d2, F.lit(0.0)) / (2 * sigma * sigma))
 
 
-def mmd2(x: DataFrame, y: DataFrame, on: list[str], sigma: float, vector: str = "x", weight: str = "w") -> DataFrame:
-    """Unbiased squared maximum mean discrepancy of weighted samples (F12, F13): pairs within a case only.
+def mmd2(x: DataFrame, y: DataFrame, case: list[str], by: str, sigma: float, vector: str = "x", weight: str = "w") -> DataFrame:
+    """(case, by, mmd2): unbiased squared maximum mean discrepancy of each weighted sample `by` of x from the case's y.
 
-    The pairs of a case are n², as the statistic demands; give cases of bounded size (a sample of the sessions).
+    Pairs within a case only, and y's own pairs once for all samples. The pairs of a case are n², as the statistic
+    demands; give cases of bounded size (a sample of the sessions).
     """
 
-    def side(df: DataFrame, k: str) -> DataFrame:
+    def side(df: DataFrame, on: list[str], k: str) -> DataFrame:
         return df.select(*on, F.col(vector).alias(f"v{k}"), F.col(weight).alias(f"w{k}"))
 
     d2 = F.aggregate(F.zip_with("v1", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    kernel = gaussian_kernel(d2, sigma)
-    pairs = lambda a, b: side(a, "1").join(side(b, "2"), on).groupBy(*on).agg(F.sum(F.col("w1") * F.col("w2") * kernel).alias("k"))
+    total = F.sum(F.col("w1") * F.col("w2") * gaussian_kernel(d2, sigma))
 
-    def within(a: DataFrame, name: str) -> DataFrame:
-        own = a.groupBy(*on).agg(F.sum(weight).alias("n"), F.sum(weight).alias("_"))
-        # a point with itself has kernel one: the sum of squared weights' diagonal, w (w - 1) pairs of copies, leaves n of them
-        return pairs(a, a).join(own, on).select(*on, ((F.col("k") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias(name), F.col("n").alias(f"n_{name}"))
+    def within(a: DataFrame, on: list[str], name: str) -> DataFrame:
+        own = a.groupBy(*on).agg(F.sum(weight).alias("n"))
+        # a point with itself has kernel one: of the sum, n stands for copies of a row with themselves
+        return side(a, on, "1").join(side(a, on, "2"), on).groupBy(*on).agg(total.alias("k")).join(own, on).select(*on, ((F.col("k") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias(name), F.col("n").alias(f"n_{name}"))
 
-    cross = pairs(x, y).withColumnRenamed("k", "kxy")
-    return within(x, "uxx").join(within(y, "uyy"), on).join(cross, on).select(*on, (F.col("uxx") + F.col("uyy") - 2 * F.col("kxy") / (F.col("n_uxx") * F.col("n_uyy"))).alias("mmd2"))
+    cross = side(x, [*case, by], "1").join(side(y, case, "2"), case).groupBy(*case, by).agg(total.alias("kxy"))
+    return within(x, [*case, by], "uxx").join(within(y, case, "uyy"), case).join(cross, [*case, by]).select(*case, by, (F.col("uxx") + F.col("uyy") - 2 * F.col("kxy") / (F.col("n_uxx") * F.col("n_uyy"))).alias("mmd2"))

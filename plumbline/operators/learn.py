@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spd
+from . import resample
 
 
 def stack(column: pd.Series, channels: int) -> np.ndarray:
@@ -19,37 +20,21 @@ def stack(column: pd.Series, channels: int) -> np.ndarray:
 def matrix_draws(trials: DataFrame, channels: int, replicates: int, seed: int, lam: float = 0.1, metric: str = "airm", shared: bool = True, block: int = 1) -> DataFrame:
     """(case_id, b, source, delta): count bootstrap of mean matrices, shrunk, against the target's (R2 - R5, F2 - F6); b = -1 holds the estimate.
 
-    trials: case_id, source, is_target, i, cov (row-major). The counts of a replicate come from a generator seeded by
-    case, source and seed, so any partitioning gives the same draws; means of all replicates are one matrix product.
+    trials: case_id, source, is_target, i, cov (row-major). A session's draws are matrix products in one task (its size is
+    checked); distances are taken in batches over all replicates of all sources.
     """
     distance: Callable = spd.METRICS[metric]
+    s, t = resample.vector_draws(trials, "cov", channels * channels, replicates, seed, shared, block)
+    both = s.join(t.withColumnRenamed("cov", "_t"), ["case_id", "b"] if shared else ["case_id", "source", "b"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source", "i"])
-        case = pdf["case_id"].iloc[0]
-        crc = int(pd.util.hash_array(np.array([case], dtype=object))[0] & 0x7FFFFFFF)
-
-        def counts(n: int, *key: int) -> np.ndarray:
-            rng = np.random.default_rng([seed, crc, *key])
-            starts = rng.integers(0, n, (replicates, -(-n // block)))
-            at = (starts[:, :, None] + np.arange(block)).reshape(replicates, -1)[:, :n] % n
-            return np.stack([np.bincount(a, minlength=n) for a in at])
-
-        def means(x: np.ndarray, *key: int) -> np.ndarray:
-            w = np.vstack([np.ones(len(x)), counts(len(x), *key)]) / len(x)
-            return spd.shrink((w @ x.reshape(len(x), -1)).reshape(-1, channels, channels), lam)
-
-        target = stack(pdf.loc[pdf["is_target"], "cov"], channels)
-        shared_means = means(target, 0)
-        out = []
-        for source, own in pdf[~pdf["is_target"]].groupby("source"):
-            t = shared_means if shared else means(target, 2, int(source) & 0x7FFFFFFF)
-            d = distance(means(stack(own["cov"], channels), 1, int(source) & 0x7FFFFFFF), t)
-            out.append(pd.DataFrame({"case_id": case, "b": np.arange(-1, replicates), "source": source, "delta": d}))
-        return pd.concat(out) if out else pd.DataFrame({"case_id": [], "b": [], "source": [], "delta": []})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                a, b = (spd.shrink(stack(pdf[k], channels), lam) for k in ("cov", "_t"))
+                yield pdf[["case_id", "b", "source"]].assign(delta=distance(a, b))
 
-    kind = trials.schema["source"].dataType.simpleString()
-    return trials.select("case_id", "source", "is_target", "i", "cov").groupBy("case_id").applyInPandas(run, f"case_id string, b int, source {kind}, delta double")
+    kinds = {k: trials.schema[k].dataType.simpleString() for k in ("case_id", "source")}
+    return both.mapInPandas(run, f"case_id {kinds['case_id']}, b int, source {kinds['source']}, delta double")
 
 
 def tangent_lda(train: DataFrame, test: DataFrame, by: list[str], channels: int, lam: float = 0.05) -> DataFrame:
@@ -73,6 +58,23 @@ def tangent_lda(train: DataFrame, test: DataFrame, by: list[str], channels: int,
     return rows.groupBy(*by).applyInPandas(run, schema)
 
 
+def pooled(sets: DataFrame, sources: DataFrame, screening: DataFrame, held: DataFrame, channels: int, lam: float = 0.05) -> DataFrame:
+    """(case_id, method, n_sources, n_train, n_test, balanced_accuracy): a classifier of each method's retained sources, their trials pooled (G15), and of the target's own screening trials (M3, method target_only).
+
+    sets: case_id, method, members. Equal sets of a case are fitted once (M2).
+    """
+    key = F.concat_ws(",", F.transform("members", lambda m: m.cast("string")))
+    keyed = sets.select("case_id", "method", "members", key.alias("set"))
+    distinct = keyed.select("case_id", "set", "members").dropDuplicates(["case_id", "set"])
+    train = distinct.select("case_id", "set", F.explode("members").alias("source")).join(sources, ["case_id", "source"]).select("case_id", "set", "label", "cov")
+    train = train.unionByName(screening.select("case_id", F.lit("target").alias("set"), "label", "cov"))
+    test = train.select("case_id", "set").distinct().join(held, "case_id")
+    fitted = tangent_lda(train, test, ["case_id", "set"], channels, lam)
+    own = keyed.select("case_id", "method", "set", F.size("members").alias("n_sources"))
+    own = own.unionByName(keyed.select("case_id").distinct().select("case_id", F.lit("target_only").alias("method"), F.lit("target").alias("set"), F.lit(0).alias("n_sources")))
+    return own.join(fitted, ["case_id", "set"], "left").drop("set")
+
+
 def standardise_whiten(df: DataFrame, columns: list[str], components: int) -> DataFrame:
     """`df` with `white`: z-scores, then at most `components` principal components scaled to unit variance."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler

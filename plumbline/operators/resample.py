@@ -1,61 +1,201 @@
 """Resampling with a target draw that all sources of a case share.
 
-Two designs. `index_draws` draws n positions with replacement (a multinomial) and gathers them by a join: exact, for
-cases of moderate size, since replicates x rows are shuffled. `poisson_draws` gives every row a Poisson(1) weight for each
-replicate from a hash of its own key: nothing but (case, source, replicate) sums is shuffled, whatever the number of
-rows. Both are keyed, so reruns and any partitioning agree.
+Two designs. `index_draws` draws n positions with replacement (a multinomial): a session of moderate size, checked, is
+drawn from in one task in numpy, so its rows are shuffled once and never multiplied; larger ones by a join of the drawn
+positions. `poisson_draws` gives every row a Poisson(1) weight for each replicate from a hash of its own key; weights times
+features are matrix products over Arrow batches, and only (case, source, replicate) sums leave a task, whatever the number
+of rows. Both are keyed, so reruns and any partitioning agree.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import keyed
 
+#: Numbers (rows x features) of a session up to which one task draws from it: 160 MB.
+MOST = 20_000_000
+#: Drawn positions in a row of the join's left side.
+SPAN = 1 << 16
+
+
+def matrix(columns: list[pa.Array]) -> np.ndarray:
+    """[row, feature]; nulls count as zero, as a sum leaves them out."""
+    return np.column_stack([np.asarray(c.fill_null(0.0)) for c in columns]) if columns else np.zeros((0, 0))
+
+
+def counts_of_draws(n: int, tag: str, replicates: int, block: int = 1) -> Iterator[np.ndarray]:
+    """How often each of n places is drawn: for each replicate a polynomial of its own, at the place's number over `block`."""
+    c = keyed.words(b"".join(hashlib.md5(f"{tag}|{b}".encode()).digest() for b in range(replicates)))
+    j = np.arange(n)
+    for b in range(replicates):
+        at = keyed.values(c[b], j // block + 1) % n
+        yield np.bincount((at + j % block) % n if block > 1 else at, minlength=n)
+
+
+def means_of_draws(x: np.ndarray, tag: str, replicates: int, block: int = 1) -> np.ndarray:
+    """[replicate, feature] means of `x` at n drawn places."""
+    return np.stack([w @ x / len(x) for w in counts_of_draws(len(x), tag, replicates, block)])
+
 
-def index_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, shared: bool = True, block: int = 1) -> tuple[DataFrame, DataFrame]:
+def index_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, shared: bool = True, block: int = 1, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(sources, targets) of replicate means: (case_id, source, b, n, features) and (case_id[, source], b, n, features).
 
     `block` over 1: circular moving blocks; ceil(n / block) starts, wrapped and cut to n (R5). `shared` false: a target
-    draw for each source (the wrong-target ablation, R3).
+    draw for each source (the wrong-target ablation, R3). Sessions of over `most` numbers are drawn from by a join.
     """
     sessions = trials.groupBy("case_id", "source", "is_target").agg(F.count("*").alias("n"))
-    s = sessions.where("not is_target")
+    s = sessions.where("not is_target").drop("is_target")
     t = sessions.where("is_target").drop("is_target", "source")
     t = t.withColumn("source", F.lit(-1)) if shared else t.join(s.select("case_id", "source"), "case_id")
-
-    def gather(groups: DataFrame, pool: DataFrame, on: list[str], tag: str) -> DataFrame:
-        # a few rows are about to become replicates x n: deal (case, source, replicate) out first
-        drawn = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("case_id", "source", "b").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        if block > 1:
-            start = keyed.index(F.col("n"), seed, F.lit(tag), F.col("case_id"), F.col("source"), F.col("b"), F.floor(F.col("j") / block))
-            at = F.pmod(start + F.pmod(F.col("j"), F.lit(block)), F.col("n"))
-        else:
-            at = keyed.index(F.col("n"), seed, F.lit(tag), F.col("case_id"), F.col("source"), F.col("b"), F.col("j"))
-        return drawn.withColumn("i", at).join(pool, [*on, "i"]).groupBy("case_id", "source", "b", "n").agg(*[F.avg(f).alias(f) for f in features])
-
     own = trials.where("not is_target").select("case_id", "source", "i", *features)
     target = trials.where("is_target").select("case_id", "i", *features)
-    drawn_t = gather(t, target, ["case_id"], "t")
-    return gather(s.drop("is_target"), own, ["case_id", "source"], "s"), drawn_t.drop("source") if shared else drawn_t
+    if (sessions.agg(F.max("n")).first()[0] or 0) * len(features) <= most:
+        pool = target.withColumn("source", F.lit(-1)) if shared else target.join(s.select("case_id", "source"), "case_id")
+        drawn_s, drawn_t = drawn(own, features, replicates, seed, "s", block), drawn(pool, features, replicates, seed, "t", block)
+    else:
+        drawn_s = gathered(s, own, ["case_id", "source"], features, replicates, seed, "s", block)
+        drawn_t = gathered(t, target, ["case_id"], features, replicates, seed, "t", block)
+    return drawn_s, drawn_t.drop("source") if shared else drawn_t
+
+
+def drawn(pool: DataFrame, features: list[str], replicates: int, seed: int, tag: str, block: int) -> DataFrame:
+    """Replicate means of each (case_id, source), a task for each."""
+    rows = pool.select("case_id", "source", tagged(pool, seed, tag).alias("_tag"), "i", *[F.col(f).cast("double").alias(f) for f in features])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("i")
+        x = means_of_draws(matrix([group.column(f).combine_chunks() for f in features]), group.column("_tag")[0].as_py(), replicates, block)
+        key = {k: pa.array([group.column(k)[0].as_py()] * replicates, group.schema.field(k).type) for k in ("case_id", "source")}
+        return pa.table(key | {"b": pa.array(np.arange(replicates), pa.int32()), "n": pa.array(np.full(replicates, group.num_rows))} | {f: x[:, k] for k, f in enumerate(features)})
+
+    schema = StructType([pool.schema["case_id"], pool.schema["source"], StructField("b", IntegerType()), StructField("n", LongType()), *[StructField(f, DoubleType()) for f in features]])
+    return rows.groupBy("case_id", "source").applyInArrow(run, schema)
+
+
+def gathered(groups: DataFrame, pool: DataFrame, on: list[str], features: list[str], replicates: int, seed: int, tag: str, block: int) -> DataFrame:
+    """The same by a join, for sessions of any size: spans of drawn places are dealt out, then laid out and looked up."""
+    spans = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SPAN))))
+    spans = spans.withColumn("_d", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("case_id").cast("string"), F.col("source").cast("string"), F.col("b").cast("string")))).repartition("case_id", "source", "b", "_k")
+    d = spans.withColumn("j", F.explode(F.sequence(F.col("_k") * SPAN, F.least(F.col("n"), (F.col("_k") + 1) * SPAN) - 1)))
+    at = F.pmod(F.pmod(keyed.value(F.col("_d"), F.floor(F.col("j") / block) + 1), F.col("n")) + F.pmod(F.col("j"), F.lit(block)), F.col("n"))
+    return d.withColumn("i", at).join(pool, [*on, "i"]).groupBy("case_id", "source", "b", "n").agg(*[(F.sum(f) / F.col("n")).alias(f) for f in features])
 
 
 def poisson_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """The same tables from Poisson weights of the rows, keyed by `key`: partial sums leave each task, never rows."""
-    blocks = trials.select("case_id", "source", "is_target", *features, *[k for k in key if k not in ("case_id", "source", "is_target", *features)], F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))).alias("_block"))
-    hashed = blocks.select("case_id", "source", "is_target", *features, "_block", keyed.digest(seed, *[F.col(k) for k in key], F.col("_block")).alias("_d"))
-    words = hashed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    words = words.where(F.col("_block") * 8 + F.col("_k") < replicates)
-    rows = words.select("case_id", "source", "is_target", *features, (F.col("_block") * 8 + F.col("_k")).alias("b"), keyed.poisson_word(F.col("_d"), F.col("_k")).alias("_u"))
-    # no filter on the weight: it would be pushed below and hash once for each comparison
-    rows = rows.withColumn("w", keyed.poisson(F.col("_u")))
-    sums = rows.groupBy("case_id", "source", "is_target", "b").agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(f)).alias(f) for f in features])
-    means = sums.where("n > 0").select("case_id", "source", "is_target", "b", "n", *[(F.col(f) / F.col("n")).alias(f) for f in features])
+    group = ["case_id", "source", "is_target"]
+    rows = trials.select(*group, *[F.col(f).cast("double").alias(f) for f in features], keyed.coefficients(seed, *[F.col(k) for k in key]).alias("_c"))
+    schema = StructType([*(trials.schema[k] for k in group), StructField("b", IntegerType()), StructField("n", DoubleType()), *[StructField(f, DoubleType()) for f in features]])
+    g = np.arange(1, replicates + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, x in sums.items():
+                fixed = [pa.array([v] * replicates, kinds[c]) for v, c in zip(k, group, strict=True)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(g - 1, pa.int32()), *map(pa.array, x.T)], names=[*group, "b", "n", *features])
+            sums.clear()
+
+        for b in batches:
+            kinds = {c: b.schema.field(c).type for c in group}
+            x = np.column_stack([np.ones(b.num_rows), *[np.asarray(b.column(f).fill_null(0.0)) for f in features]])
+            c = keyed.words(b"".join(b.column("_c").to_pylist()))
+            codes = [b.column(k).dictionary_encode() for k in group]
+            known = [d.dictionary.to_pylist() + [None] for d in codes]  # a null key is a key of its own
+            number = np.zeros(b.num_rows, np.int64)
+            for d, names in zip(codes, known, strict=True):
+                number = number * len(names) + np.asarray(d.indices.fill_null(len(names) - 1))
+            order = np.argsort(number, kind="stable")
+            edges = [0, *(np.flatnonzero(np.diff(number[order])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                at, name = int(number[order[lo]]), []
+                for names in reversed(known):
+                    at, k = divmod(at, len(names))
+                    name.append(names[k])
+                total = sums.setdefault(tuple(reversed(name)), np.zeros((replicates, len(features) + 1)))
+                for some in range(lo, hi, 4096):
+                    own = order[some : min(hi, some + 4096)]
+                    total += keyed.COUNTS[keyed.values(c[own][:, None, :], g[None, :]) >> 15].T @ x[own]
+            if len(sums) * replicates * (len(features) + 1) > MOST // 4:
+                yield from told()
+        yield from told()
+
+    sums = rows.mapInArrow(run, schema).groupBy(*group, "b").agg(*[F.sum(f).alias(f) for f in ("n", *features)])
+    means = sums.where("n > 0").select(*group, "b", F.col("n").cast("long").alias("n"), *[(F.col(f) / F.col("n")).alias(f) for f in features])
     return means.where("not is_target").drop("is_target"), means.where("is_target").drop("is_target", "source")
 
 
+def tagged(pool: DataFrame, seed: int, tag: str) -> Column:
+    return F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("case_id").cast("string"), F.col("source").cast("string"))
+
+
+def bounded(trials: DataFrame, numbers: int, most: int = MOST) -> None:
+    """ValueError if a session holds over `most` numbers, `numbers` to a row: one task works on it."""
+    n = trials.groupBy("case_id", "source").count().agg(F.max("count")).first()[0] or 0
+    if n * numbers > most:
+        raise ValueError(f"a session of {n} rows is too large for one task: sample it, or use keyed weights")
+
+
+def vector_draws(trials: DataFrame, vector: str, width: int, replicates: int, seed: int, shared: bool = True, block: int = 1) -> tuple[DataFrame, DataFrame]:
+    """index_draws of an array column of `width` numbers; row b = -1 holds the plain means."""
+    bounded(trials, width)
+    s = trials.where("not is_target").select("case_id", "source", "i", vector)
+    t = trials.where("is_target").select("case_id", "i", vector)
+    t = t.withColumn("source", F.lit(-1)) if shared else t.join(s.select("case_id", "source").distinct(), "case_id")
+
+    def draw(pool: DataFrame, tag: str) -> DataFrame:
+        def run(group: pa.Table) -> pa.Table:
+            group = group.sort_by("i")
+            x = group.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, width)
+            m = np.vstack([x.mean(0), means_of_draws(x, group.column("_tag")[0].as_py(), replicates, block)])
+            key = {k: pa.array([group.column(k)[0].as_py()] * len(m), group.schema.field(k).type) for k in ("case_id", "source")}
+            return pa.table(key | {"b": pa.array(np.arange(-1, replicates), pa.int32()), vector: pa.array(list(m), pa.list_(pa.float64()))})
+
+        schema = StructType([pool.schema["case_id"], pool.schema["source"], StructField("b", IntegerType()), StructField(vector, ArrayType(DoubleType()))])
+        return pool.select("case_id", "source", tagged(pool, seed, tag).alias("_tag"), "i", vector).groupBy("case_id", "source").applyInArrow(run, schema)
+
+    drawn_t = draw(t, "t")
+    return draw(s, "s"), drawn_t.drop("source") if shared else drawn_t
+
+
+def kernel_draws(trials: DataFrame, vector: str, replicates: int, seed: int, sigma: float, most: int = 4096) -> DataFrame:
+    """(case_id, source, b, delta): unbiased MMD² with drawn counts as weights (R6), one target draw for all sources of a case.
+
+    A source meets its target in one task, which holds their kernel: sessions of over `most` rows are refused.
+    """
+    bounded(trials, 1, most)
+    s = trials.where("not is_target").select("case_id", "source", "is_target", "i", vector)
+    t = trials.where("is_target").select("case_id", "is_target", "i", vector).join(s.select("case_id", "source").distinct(), "case_id")
+    rows = s.unionByName(t).withColumn("_s", tagged(s, seed, "s")).withColumn("_t", F.concat_ws("|", F.lit(str(seed)), F.lit("t"), F.col("case_id").cast("string"), F.lit("-1")))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("is_target", "ascending"), ("i", "ascending")])
+        z = np.stack(group.column(vector).combine_chunks().to_numpy(zero_copy_only=False))
+        norm = (z**2).sum(1)
+        k = np.exp(-np.maximum(norm[:, None] + norm[None, :] - 2 * z @ z.T, 0) / (2 * sigma * sigma))
+        nt = int(np.count_nonzero(group.column("is_target")))
+        n = len(z) - nt
+        a = np.stack(list(counts_of_draws(n, group.column("_s")[0].as_py(), replicates)))
+        b = np.stack(list(counts_of_draws(nt, group.column("_t")[0].as_py(), replicates)))
+        form = lambda x, m, y: ((x @ m) * y).sum(1)
+        own = lambda x, m, c: (form(x, m, x) - c) / (c * (c - 1))
+        delta = own(a, k[:n, :n], n) + own(b, k[n:, n:], nt) - 2 * form(a, k[:n, n:], b) / (n * nt)
+        key = {c: pa.array([group.column(c)[0].as_py()] * replicates, group.schema.field(c).type) for c in ("case_id", "source")}
+        return pa.table(key | {"b": pa.array(np.arange(replicates), pa.int32()), "delta": delta})
+
+    return rows.groupBy("case_id", "source").applyInArrow(run, StructType([s.schema["case_id"], s.schema["source"], StructField("b", IntegerType()), StructField("delta", DoubleType())]))
+
+
 def multinomial_counts(trials: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(case_id, source, b, i, w): how often each position is drawn; positions never drawn are absent (R2)."""
     n = trials.groupBy("case_id", "source").agg(F.count("*").alias("n"))

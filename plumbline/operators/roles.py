@@ -7,7 +7,7 @@ the buckets before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,6 +39,10 @@ def rolling_targets(sessions: DataFrame, least: int, subject: str = "subject", s
     return t.join(own.withColumnRenamed(session, "source"), subject).where("source < target")
 
 
-def label_codes(label: Column, partition: list[str] | None = None) -> Column:
-    """0 … m - 1 by the order of distinct labels."""
-    return F.dense_rank().over(Window.partitionBy(*(partition or [])).orderBy(label)) - 1
+def label_codes(df: DataFrame, label: str, code: str, by: list[str] | None = None) -> DataFrame:
+    """`df` with `code`: 0 … m - 1 by the order of its distinct labels, within each group `by` (P14). Distinct labels are ranked, not rows; null labels come first."""
+    by = by or []
+    known = df.select(*by, label).distinct()
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(label) if by else Window.orderBy(label)) - 1
+    known = known.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(label).alias("_label"), rank.alias(code))
+    return df.join(known, [F.col(label).eqNullSafe(F.col("_label")), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]]).drop("_label", *[f"_{c}" for c in by])

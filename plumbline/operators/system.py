@@ -24,11 +24,18 @@ class System:
 
 
 def finite(draws: DataFrame, value: str = "delta") -> DataFrame:
-    """NaN and infinities become null at the door, and null draws are refused by `check_finite`."""
+    """NaN and infinities become null: such a draw of a source counts for no bound (see `lost`), and quantiles of NaN, which sorts last, cannot arise."""
     x = F.col(value)
     return draws.withColumn(value, F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x))
 
 
+def lost(draws: DataFrame, case: list[str], value: str = "delta") -> DataFrame:
+    """(case, source, draws, lost): sources with draws that are null, NaN or infinite; give it to validate.refuse to stop at any."""
+    x = F.col(value)
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return draws.groupBy(*case, "source").agg(F.count("*").alias("draws"), F.count_if(bad).alias("lost")).where("lost > 0")
+
+
 def contrast_pairs(d: DataFrame, on: list[str], value: str = "delta") -> DataFrame:
     """All ordered pairs j <> l (J5): (on, j, l, d = value_j - value_l)."""
     a = d.select(*on, F.col("source").alias("j"), F.col(value).alias("_a"))

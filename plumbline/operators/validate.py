@@ -66,9 +66,10 @@ def integral_rates(df: DataFrame, rate: str, n: str, key: list[str], atol: float
 
 
 def constant(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Groups with several values, null counting as one."""
-    n = df.groupBy(*by).agg(F.size(F.collect_set(F.coalesce(F.col(column).cast("string"), F.lit("\\0")))).alias("n"))
-    return rows(n, "not constant", by, F.col("n") != 1, F.col("n"))
+    """Groups with several values, null counting as one (A12): the least and the largest value differ, or some but not all are null."""
+    x = F.col(column)
+    n = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count("*").alias("_n"), F.count(x).alias("_some"))
+    return rows(n, "not constant", by, (F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False))) | ((F.col("_some") > 0) & (F.col("_some") < F.col("_n"))), F.concat_ws(" ", "_lo", "_hi"))
 
 
 def split_partition(splits: DataFrame, unit: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.keyed import POISSON
+from ..functions.keyed import POISSON, PRIME
 
 FEATURES = ("x1", "x2")
 
@@ -11,6 +11,12 @@ def number(hexes: str, at: int | str = 0, digits: int = 8) -> str:
     return f"CAST('0x' || substr({hexes}, {at} + 1, {digits}) AS BIGINT)"
 
 
+def polynomial(c: str, g: str) -> str:
+    """The cubic of the hexadecimal digest `c` at `g`, modulo PRIME."""
+    w = [f"({number(c, 8 * k)} & {PRIME})" for k in range(4)]
+    return f"(((({w[0]} * {g} + {w[1]}) % {PRIME} * {g} + {w[2]}) % {PRIME}) * {g} + {w[3]}) % {PRIME}"
+
+
 def numbered(rows: str, name: str, group: str, key: str, buckets: int = 64) -> str:
     return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {number(f'md5({key})')} % {buckets}, {key}) - 1 AS i FROM {rows})"
 
@@ -30,7 +36,10 @@ def poisson(trials: str, replicates: int, seed: int, key: str, features=FEATURES
     w = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in POISSON)
     sums = ", ".join(f"sum(w * {f}) / sum(w) AS {f}" for f in features)
     cols = ", ".join(features)
-    return f"""u AS (SELECT case_id, source, is_target, {cols}, b, {number(f"md5('{seed}|' || {key} || '|' || CAST(b // 8 AS VARCHAR))", "4 * (b % 8)", 4)} AS u FROM {trials}, (SELECT unnest(range({replicates})) AS b)),
+    c = [f"CAST({number('h', 8 * k)} & {PRIME} AS BIGINT) AS c{k}" for k in range(4)]
+    return f"""hs AS (SELECT case_id, source, is_target, {cols}, md5('{seed}|' || {key}) AS h FROM {trials}),
+cf AS (SELECT case_id, source, is_target, {cols}, {", ".join(c)} FROM hs),
+u AS (SELECT case_id, source, is_target, {cols}, g - 1 AS b, ((((c0 * g + c1) % {PRIME} * g + c2) % {PRIME} * g + c3) % {PRIME}) >> 15 AS u FROM cf, (SELECT unnest(range(1, {replicates} + 1)) AS g)),
 w AS (SELECT *, {w} AS w FROM u),
 dm AS (SELECT case_id, source, is_target, b, sum(w) AS n, {sums} FROM w WHERE w > 0 GROUP BY ALL),
 draws AS (SELECT s.case_id, s.b, s.source, {delta(len(features), features=features)} AS delta FROM dm s JOIN dm t ON s.case_id = t.case_id AND s.b = t.b AND t.is_target WHERE NOT s.is_target)"""
@@ -40,9 +49,8 @@ def index_draws(trials: str, replicates: int, seed: int, shared: bool = True, bl
     avg = ", ".join(f"avg(x.{f}) AS {f}" for f in features)
 
     def place(tag: str, source: str) -> str:
-        if block == 1:
-            return f"{number(f"md5('{seed}|{tag}|' || g.case_id || '|' || {source} || '|' || b || '|' || j)")} % g.n"
-        return f"({number(f"md5('{seed}|{tag}|' || g.case_id || '|' || {source} || '|' || b || '|' || (j // {block}))")} % g.n + j % {block}) % g.n"
+        u = polynomial(f"md5('{seed}|{tag}|' || g.case_id || '|' || {source} || '|' || b)", f"(j // {block} + 1)")
+        return f"(({u}) % g.n + j % {block}) % g.n"
 
     t_source = "'-1'" if shared else "g.source"
     t_groups = "SELECT case_id, n FROM ses WHERE is_target" if shared else "SELECT t.case_id, s.source, t.n FROM ses t JOIN ses s ON t.case_id = s.case_id AND NOT s.is_target WHERE t.is_target"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import discrepancy, gates, resample, system
 
 
@@ -31,9 +32,12 @@ METHODS = ["rect", "pair", "ref", "rect_j", "pair_j", "ref_j", "eb", "mcs", "top
 
 
 def screen(trials: DataFrame, features: list[str], replicates: int, seed: int, key: list[str] | None = None, shared: bool = True, block: int = 1) -> Screening:
-    """With `key`, Poisson weights keyed by those columns (any size); else index draws of the positions `i`. Packed draws are cached: several consumers read them."""
+    """With `key`, Poisson weights keyed by those columns (any size); else index draws of the positions `i`. 
+
+    Estimates and packed draws, read by several consumers, are cut off by a checkpoint, as are numbered trials; nothing stays cached.
+    """
     if not key:
-        trials = trials.select("case_id", "source", "is_target", "i", *features).cache()  # read four times
+        trials = cut(trials.select("case_id", "source", "is_target", "i", *features))  # read four times
     s, t = discrepancy.means(trials, features)
     est = discrepancy.mean_distance(s, t, features, ["case_id"])
     if key:
@@ -42,6 +46,6 @@ def screen(trials: DataFrame, features: list[str], replicates: int, seed: int, k
     else:
         ds, dt = resample.index_draws(trials, features, replicates, seed, shared, block)
         draws = discrepancy.mean_distance(ds, dt, features, ["case_id", "b"] if shared else ["case_id", "source", "b"])
-    est = system.finite(est).cache()
-    packed = system.pack(est, system.finite(draws), ["case_id"]).cache()
+    est = cut(system.finite(est))
+    packed = cut(system.pack(est, system.finite(draws), ["case_id"]))
     return Screening(est, packed, system.build(est, None, packed=packed))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import keyed, matrices
+from .lineage import cut
 from .operators import discrepancy, evaluate, gates, resample, roles, system
 from .plans import oracle as o
 from .plans.screening import METHODS, screen
@@ -15,6 +16,9 @@ from .sources import files
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
 X = ["x1", "x2"]
+#: Features of an embedding, all of them, and replicates of the bootstrap.
+DIMENSIONS, B = 64, 199
+V = [f"x{k + 1}" for k in range(DIMENSIONS)]
 
 
 def query(sql: str | None = None):
@@ -83,15 +87,15 @@ ev AS (SELECT 'events' AS case_id, source, source = (SELECT max(source) FROM cod
 
 
 def vector_trials(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings by label; the last label is the target; the first four dimensions are features."""
-    e = read(spark, d, "embeddings").select(F.lit("vectors").alias("case_id"), F.col("label").alias("source"), F.col("vec_id").cast("string").alias("row_key"), "vec_id", *[(F.col("embedding")[k].cast("double") * 4).alias(f"x{k + 1}") for k in range(4)])
+    """Embeddings by label; the last label is the target; every dimension is a feature."""
+    e = read(spark, d, "embeddings").select(F.lit("vectors").alias("case_id"), F.col("label").alias("source"), F.col("vec_id").cast("string").alias("row_key"), "vec_id", *[(F.col("embedding")[k].cast("double") * 4).alias(f"x{k + 1}") for k in range(DIMENSIONS)])
     last = e.agg(F.max("source").alias("last"))
     e = e.crossJoin(F.broadcast(last)).withColumn("is_target", F.col("source") == F.col("last")).drop("last")
     return roles.numbered(e, ["case_id", "source"], ["row_key"])
 
 
 VECTOR_SQL = f"""em AS (SELECT 'vectors' AS case_id, label AS source, label = (SELECT max(label) FROM embeddings) AS is_target, CAST(vec_id AS VARCHAR) AS row_key, vec_id,
-  {", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) * 4 AS x{k + 1}" for k in range(4))} FROM embeddings),
+  {", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) * 4 AS x{k + 1}" for k in range(DIMENSIONS))} FROM embeddings),
 {o.numbered("em", "trials", "case_id, source", "row_key")}"""
 
 
@@ -108,23 +112,23 @@ def gate_rows(s) -> DataFrame:
 GATE_SELECT = f"SELECT case_id, source, {s6(*GATE_COLS)}, {', '.join(FLAGS)} FROM gate"
 
 
-@query(o.with_(ship_sql(), o.estimates("trials"), o.poisson("trials", 40, 11, "row_key"), o.system()) + GATE_SELECT)
+@query(o.with_(ship_sql(), o.estimates("trials"), o.poisson("trials", B, 11, "row_key"), o.system()) + GATE_SELECT)
 def screen_ship_years(spark: SparkSession, d: str) -> DataFrame:
     """F11, R1 (Poisson), G1 - G6, G10 over all lines: which years cannot be told from the last."""
-    return gate_rows(screen(ship_trials(spark, d), X, 40, 11, ["row_key"]))
+    return gate_rows(screen(ship_trials(spark, d), X, B, 11, ["row_key"]))
 
 
 LONG = " UNION ALL ".join(f"SELECT case_id, source, '{m}' AS method, CAST({m} AS INTEGER) AS selected FROM wide" for m in METHODS)
 
 
-@query(o.with_(ship_sql(0.12), o.estimates("trials"), o.poisson("trials", 40, 12, "row_key"), o.system(), o.stepdown(), o.simple(0.1), "wide AS (SELECT * FROM gate JOIN mcs USING (case_id, source) JOIN simp USING (case_id, source))") + LONG)
+@query(o.with_(ship_sql(0.12), o.estimates("trials"), o.poisson("trials", B, 12, "row_key"), o.system(), o.stepdown(), o.simple(0.1), "wide AS (SELECT * FROM gate JOIN mcs USING (case_id, source) JOIN simp USING (case_id, source))") + LONG)
 def members_shifted_years(spark: SparkSession, d: str) -> DataFrame:
     """Every rule's members, with years drifting by 0.12 so that some are excluded."""
-    return screen(ship_trials(spark, d, 0.12), X, 40, 12, ["row_key"]).members(0.1)
+    return screen(ship_trials(spark, d, 0.12), X, B, 12, ["row_key"]).members(0.1)
 
 
 @query(
-    o.with_(ship_sql(0.12), o.estimates("trials"), o.poisson("trials", 40, 12, "row_key"), o.system())
+    o.with_(ship_sql(0.12), o.estimates("trials"), o.poisson("trials", B, 12, "row_key"), o.system())
     + """SELECT case_id, source, round(margin, 6) + 0.0 AS margin, CAST(margin > 0 AS INTEGER) AS rect_excluded, CAST(n_witnesses > 0 AS INTEGER) AS pair_excluded, n_witnesses, coalesce(witnesses, '') AS witnesses, strongest, round(strongest_lower, 6) + 0.0 AS strongest_lower,
   CASE WHEN margin > 0 AND n_witnesses > 0 THEN 'both' WHEN margin > 0 THEN 'rectangle' WHEN n_witnesses > 0 THEN 'contrast' ELSE 'retained' END AS status
 FROM (SELECT case_id, source, lower - min(upper) OVER (PARTITION BY case_id) AS margin FROM comp) JOIN (
@@ -132,76 +136,75 @@ FROM (SELECT case_id, source, lower - min(upper) OVER (PARTITION BY case_id) AS
 )
 def exclusion_certificate(spark: SparkSession, d: str) -> DataFrame:
     """G14, T5."""
-    c = gates.certificate(screen(ship_trials(spark, d, 0.12), X, 40, 12, ["row_key"]).system)
+    c = gates.certificate(screen(ship_trials(spark, d, 0.12), X, B, 12, ["row_key"]).system)
     return c.select("case_id", "source", *r6("margin"), "rect_excluded", "pair_excluded", "n_witnesses", F.array_join("witnesses", ",").alias("witnesses"), "strongest", *r6("strongest_lower"), "status")
 
 
-@query(o.with_(EVENT_SQL, o.estimates("trials"), o.index_draws("trials", 19, 21), o.system()) + GATE_SELECT)
+@query(o.with_(EVENT_SQL, o.estimates("trials"), o.index_draws("trials", B, 21), o.system()) + GATE_SELECT)
 def screen_events_index(spark: SparkSession, d: str) -> DataFrame:
     """R1 with index draws and a shared target."""
-    return gate_rows(screen(event_trials(spark, d), X, 19, 21))
+    return gate_rows(screen(event_trials(spark, d), X, B, 21))
 
 
-@query(o.with_(EVENT_SQL, o.estimates("trials"), o.index_draws("trials", 19, 23, block=4), o.system()) + GATE_SELECT)
+@query(o.with_(EVENT_SQL, o.estimates("trials"), o.index_draws("trials", B, 23, block=4), o.system()) + GATE_SELECT)
 def screen_events_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Circular blocks of four."""
-    return gate_rows(screen(event_trials(spark, d), X, 19, 23, block=4))
+    return gate_rows(screen(event_trials(spark, d), X, B, 23, block=4))
 
 
-V4 = ["x1", "x2", "x3", "x4"]
 
 
-@query(o.with_(VECTOR_SQL, o.estimates("trials", V4), o.index_draws("trials", 99, 31, features=V4), o.system()) + GATE_SELECT)
+@query(o.with_(VECTOR_SQL, o.estimates("trials", V), o.index_draws("trials", B, 31, features=V), o.system()) + GATE_SELECT)
 def screen_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return gate_rows(screen(vector_trials(spark, d), V4, 99, 31))
+    return gate_rows(screen(vector_trials(spark, d), V, B, 31))
 
 
-@query(o.with_(VECTOR_SQL, o.estimates("trials", V4), o.index_draws("trials", 99, 31, shared=False, features=V4), o.system()) + GATE_SELECT)
+@query(o.with_(VECTOR_SQL, o.estimates("trials", V), o.index_draws("trials", B, 31, shared=False, features=V), o.system()) + GATE_SELECT)
 def screen_vectors_wrong_target(spark: SparkSession, d: str) -> DataFrame:
     """A target draw for each source."""
-    return gate_rows(screen(vector_trials(spark, d), V4, 99, 31, shared=False))
+    return gate_rows(screen(vector_trials(spark, d), V, B, 31, shared=False))
 
 
 @query(
-    o.with_(VECTOR_SQL, o.estimates("trials", V4), o.index_draws("trials", 99, 31, features=V4), o.system())
+    o.with_(VECTOR_SQL, o.estimates("trials", V), o.index_draws("trials", B, 31, features=V), o.system())
     + "SELECT case_id, j, l, round(d_hat, 6) + 0.0 AS d_hat, round(se, 6) + 0.0 AS se, round(lower, 6) + 0.0 AS lower, round(lower_j, 6) + 0.0 AS lower_j FROM cont"
 )
 def contrast_bounds(spark: SparkSession, d: str) -> DataFrame:
     """All ordered contrasts."""
-    return screen(vector_trials(spark, d), V4, 99, 31).system.contrasts.select("case_id", "j", "l", *r6("d_hat", "se", "lower", "lower_j"))
+    return screen(vector_trials(spark, d), V, B, 31).system.contrasts.select("case_id", "j", "l", *r6("d_hat", "se", "lower", "lower_j"))
 
 
-BUDGETS = (19, 49, 99)
+BUDGETS = (49, 99, B)
 BUDGET_PRE = o.with_(
-    VECTOR_SQL, o.estimates("trials", V4).replace("est AS", "est0 AS"), o.index_draws("trials", 99, 31, features=V4).replace("draws AS", "draws0 AS"),
+    VECTOR_SQL, o.estimates("trials", V).replace("est AS", "est0 AS"), o.index_draws("trials", B, 31, features=V).replace("draws AS", "draws0 AS"),
     f"draws AS (SELECT case_id || '/' || n AS case_id, n AS budget, b, source, delta FROM draws0, (SELECT unnest({list(BUDGETS)}) AS n) WHERE b < n)",
     f"est AS (SELECT case_id || '/' || n AS case_id, source, delta FROM est0, (SELECT unnest({list(BUDGETS)}) AS n))", o.system(),
 )
 
 
 def budget_screens(spark: SparkSession, d: str):
-    s = screen(vector_trials(spark, d), V4, 99, 31)
+    s = screen(vector_trials(spark, d), V, B, 31)
     n = spark.createDataFrame([(b,) for b in BUDGETS], "budget int")
     tag = F.concat_ws("/", "case_id", "budget")
-    draws = s.draws.join(F.broadcast(n), F.col("b") < F.col("budget")).withColumn("case_id", tag).drop("budget").cache()
+    draws = cut(s.draws.join(F.broadcast(n), F.col("b") < F.col("budget")).withColumn("case_id", tag).drop("budget"))
     est = s.est.crossJoin(F.broadcast(n)).withColumn("case_id", tag).drop("budget")
     return system.build(est, draws)
 
 
 @query(
     BUDGET_PRE
-    + """, sets AS (SELECT split_part(case_id, '/', 1) AS case_id, CAST(split_part(case_id, '/', 2) AS INTEGER) AS budget, m.method, coalesce(list(source) FILTER (sel = 1), []) AS members
+    + f""", sets AS (SELECT split_part(case_id, '/', 1) AS case_id, CAST(split_part(case_id, '/', 2) AS INTEGER) AS budget, m.method, coalesce(list(source) FILTER (sel = 1), []) AS members
   FROM (SELECT case_id, source, unnest(['rect', 'pair', 'ref']) AS method, unnest([rect, pair, ref]) AS sel FROM gate) m GROUP BY ALL)
 SELECT a.case_id, a.budget, a.method, len(a.members) AS set_size, round(coalesce(len(list_intersect(a.members, r.members)) / nullif(len(list_distinct(list_concat(a.members, r.members))), 0), 1), 6) + 0.0 AS jaccard,
   CAST(list_sort(a.members) = list_sort(r.members) AS INTEGER) AS exact, len(a.members) - len(r.members) AS size_change, len(list_filter(a.members, lambda x: NOT list_contains(r.members, x))) AS added, len(list_filter(r.members, lambda x: NOT list_contains(a.members, x))) AS removed
-FROM sets a JOIN sets r ON a.case_id = r.case_id AND a.method = r.method AND r.budget = 99"""
+FROM sets a JOIN sets r ON a.case_id = r.case_id AND a.method = r.method AND r.budget = {B}"""
 )
 def budget_stability(spark: SparkSession, d: str) -> DataFrame:
     """Prefixes of one set of draws against all of them."""
     m = gates.long_members(gates.gates(budget_screens(spark, d)), ["rect", "pair", "ref"])
     part = F.split("case_id", "/")
     sets = evaluate.as_sets(m, ["case_id"]).withColumn("budget", part[1].cast("int")).withColumn("case_id", part[0])
-    return evaluate.against_reference(sets, 99, ["case_id"]).withColumn("jaccard", F.round("jaccard", 6))
+    return evaluate.against_reference(sets, B, ["case_id"]).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(
@@ -221,25 +224,25 @@ def se_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 OUTER = 6
 AUDIT_SQL = f"""outer_n AS (SELECT case_id, source, is_target, greatest(8, CAST(round_even(count(*) * CASE WHEN is_target THEN 0.5 ELSE 1.0 END, 0) AS BIGINT)) AS m, count(*) AS n FROM trials GROUP BY case_id, source, is_target),
 outer_i AS (SELECT case_id, source, is_target, n, rep, unnest(range(m)) AS j FROM outer_n, (SELECT unnest(range({OUTER})) AS rep)),
-outer_t AS (SELECT g.case_id || '/' || rep AS case_id, g.source, g.is_target, j AS i, x1, x2, x3, x4 FROM (SELECT *, {o.number("md5('41|' || source || '|' || rep || '|' || j)")} % n AS at FROM outer_i) g JOIN trials x ON x.source = g.source AND x.i = g.at)"""
+outer_t AS (SELECT g.case_id || '/' || rep AS case_id, g.source, g.is_target, j AS i, {', '.join(V)} FROM (SELECT *, {o.number("md5('41|' || source || '|' || rep || '|' || j)")} % n AS at FROM outer_i) g JOIN trials x ON x.source = g.source AND x.i = g.at)"""
 
 
 @query(
-    o.with_(VECTOR_SQL, o.estimates("trials", V4).replace("means AS", "means0 AS").replace("FROM means ", "FROM means0 ").replace("JOIN means ", "JOIN means0 ").replace("est AS", "truth AS"), AUDIT_SQL, o.estimates("outer_t", V4), o.index_draws("outer_t", 39, 43, features=V4), o.system())
+    o.with_(VECTOR_SQL, o.estimates("trials", V).replace("means AS", "means0 AS").replace("FROM means ", "FROM means0 ").replace("JOIN means ", "JOIN means0 ").replace("est AS", "truth AS"), AUDIT_SQL, o.estimates("outer_t", V), o.index_draws("outer_t", B, 43, features=V), o.system())
     + """SELECT g.case_id, CAST(bool_and(t.delta BETWEEN g.lower AND g.upper) AS INTEGER) AS e_c, any_value(d.e_d) AS e_d, CAST(bool_and(t.delta BETWEEN g.lower AND g.upper) AS INTEGER) * any_value(d.e_d) AS e_joint, CAST(sum(g.ref) AS BIGINT) AS set_size
 FROM gate g JOIN truth t USING (source) JOIN (SELECT c.case_id, CAST(bool_and(a.delta - z.delta >= c.lower) AS INTEGER) AS e_d FROM cont c JOIN truth a ON c.j = a.source JOIN truth z ON c.l = z.source GROUP BY ALL) d ON d.case_id = g.case_id GROUP BY g.case_id"""
 )
 def outer_audit(spark: SparkSession, d: str) -> DataFrame:
     """Resampled cases screened, held against the estimates of all data."""
-    t = vector_trials(spark, d).select("case_id", "source", "is_target", "i", *V4).cache()
-    s, tg = discrepancy.means(t, V4)
-    truth = discrepancy.mean_distance(s, tg, V4, ["case_id"]).select("source", F.col("delta").alias("true"))
+    t = cut(vector_trials(spark, d).select("case_id", "source", "is_target", "i", *V))
+    s, tg = discrepancy.means(t, V)
+    truth = discrepancy.mean_distance(s, tg, V, ["case_id"]).select("source", F.col("delta").alias("true"))
     n = t.groupBy("source", "is_target").agg(F.count("*").alias("n"))
     m = F.when(F.col("is_target"), resample.outer_size(F.col("n"), 0.5)).otherwise(resample.outer_size(F.col("n"), 1.0))
     g = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(OUTER - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), m - 1)))
     g = g.withColumn("i", keyed.index(F.col("n"), 41, F.col("source"), F.col("rep"), F.col("j")))
-    outer = g.join(t.drop("is_target"), ["source", "i"]).select(F.concat_ws("/", "case_id", "rep").alias("case_id"), "source", "is_target", F.col("j").alias("i"), *V4).cache()
-    sc = screen(outer, V4, 39, 43)
+    outer = g.join(t.drop("is_target"), ["source", "i"]).select(F.concat_ws("/", "case_id", "rep").alias("case_id"), "source", "is_target", F.col("j").alias("i"), *V)
+    sc = screen(outer, V, B, 43)
     cases = sc.est.select("case_id").distinct()
     cover = evaluate.coverage(sc.system, cases.crossJoin(truth), ["case_id"])
     size = gates.gates(sc.system).groupBy("case_id").agg(F.sum("ref").alias("set_size"))
@@ -263,7 +266,7 @@ ROLL_SQL = f"""ord AS (SELECT c_mktsegment AS subject, CAST(year(o_orderdate) AS
 ses0 AS (SELECT subject, session, row_number() OVER (PARTITION BY subject ORDER BY session) - 1 AS n FROM (SELECT DISTINCT subject, session FROM ord)),
 tg AS (SELECT subject, session AS target FROM ses0 WHERE n >= 3),
 trials AS (SELECT tg.subject || '/' || target AS case_id, session AS source, session = target AS is_target, x1, x2, row_key FROM ord JOIN tg ON ord.subject = tg.subject AND ord.session <= tg.target)"""
-ROLL_PRE = o.with_(ROLL_SQL, o.estimates("trials"), o.poisson("trials", 24, 61, "row_key"), o.system())
+ROLL_PRE = o.with_(ROLL_SQL, o.estimates("trials"), o.poisson("trials", B, 61, "row_key"), o.system())
 
 
 def rolling_screen(spark: SparkSession, d: str):
@@ -273,7 +276,7 @@ def rolling_screen(spark: SparkSession, d: str):
     targets = roles.rolling_targets(t, 3).select("subject", "target").distinct()
     cases = t.join(F.broadcast(targets), "subject").where("session <= target")  # a row for each subject and year
     trials = cases.select(F.concat_ws("/", "subject", "target").alias("case_id"), F.col("session").alias("source"), (F.col("session") == F.col("target")).alias("is_target"), *X, "row_key")
-    return screen(trials, X, 24, 61, ["row_key"])
+    return screen(trials, X, B, 61, ["row_key"])
 
 
 @query(ROLL_PRE + "SELECT split_part(case_id, '/', 1) AS subject, CAST(split_part(case_id, '/', 2) AS INTEGER) AS target, source, round(delta, 6) + 0.0 AS delta, rect, pair, ref FROM gate")
@@ -323,18 +326,71 @@ def matrix_distances(spark: SparkSession, d: str) -> DataFrame:
     return both.select("case_id", "source", *[F.round(f(F.col("t"), F.col("m")), 9).alias(f"{k}2") for k, f in matrices.METRICS.items()])
 
 
+SIGMA = 4.0
+KERNEL_SQL = f"""{VECTOR_SQL},
+pr AS (SELECT a.source AS s1, z.source AS s2, a.i AS i1, z.i AS i2, exp(-({" + ".join(f"pow(a.{v} - z.{v}, 2)" for v in V)}) / {2 * SIGMA * SIGMA}) AS k FROM trials a, trials z WHERE a.source = z.source OR z.is_target)"""
+
+
 @query(
-    f"""WITH {VECTOR_SQL},
-pr AS (SELECT a.source AS s1, z.source AS s2, a.i AS i1, z.i AS i2, exp(-(pow(a.x1 - z.x1, 2) + pow(a.x2 - z.x2, 2) + pow(a.x3 - z.x3, 2) + pow(a.x4 - z.x4, 2)) / 2) AS k FROM trials a, trials z WHERE a.source = z.source OR z.is_target),
+    f"""WITH {KERNEL_SQL},
 uu AS (SELECT s1 AS source, avg(k) AS u FROM pr WHERE s1 = s2 AND i1 <> i2 GROUP BY ALL), x AS (SELECT s1 AS source, avg(k) AS c FROM pr WHERE s2 = (SELECT max(source) FROM trials) AND s1 <> s2 GROUP BY ALL)
 SELECT x.source, round(a.u + t.u - 2 * x.c, 9) + 0.0 AS mmd2 FROM x JOIN uu a ON a.source = x.source JOIN uu t ON t.source = (SELECT max(source) FROM trials)"""
 )
 def kernel_discrepancy(spark: SparkSession, d: str) -> DataFrame:
-    """Unbiased MMD² of each label against the last."""
-    v = vector_trials(spark, d).select("source", "is_target", F.array(*V4).alias("x"), F.lit(1).alias("w")).cache()
-    s = v.where("not is_target").drop("is_target")
-    t = s.select("source").distinct().crossJoin(v.where("is_target").select("x", "w"))
-    return discrepancy.mmd2(s, t, ["source"], 1.0).select("source", F.round("mmd2", 9).alias("mmd2"))
+    """Unbiased MMD² of each label against the last; the target's own pairs are met once."""
+    v = vector_trials(spark, d).select("case_id", "source", "is_target", F.array(*V).alias("x"), F.lit(1).alias("w"))
+    return discrepancy.mmd2(v.where("not is_target"), v.where("is_target"), ["case_id"], "source", SIGMA).select("source", F.round("mmd2", 9).alias("mmd2"))
+
+
+KERNEL_B = 49
+
+
+@query(
+    f"""WITH {KERNEL_SQL},
+ses AS (SELECT source, is_target, count(*) AS n FROM trials GROUP BY ALL), bs AS (SELECT unnest(range({KERNEL_B})) AS b),
+dj AS (SELECT source, is_target, n, b, unnest(range(n)) AS j FROM ses, bs),
+wt AS (SELECT source, is_target, n, b, ({o.polynomial("md5('35|' || CASE WHEN is_target THEN 't' ELSE 's' END || '|vectors|' || CASE WHEN is_target THEN -1 ELSE source END || '|' || b)", "(j + 1)")}) % n AS i, count(*) AS w FROM dj GROUP BY ALL),
+q AS (SELECT a.source AS s1, z.source AS s2, z.is_target, a.b, sum(a.w * z.w * k) AS s, any_value(a.n) AS n1, any_value(z.n) AS n2 FROM pr JOIN wt a ON a.source = s1 AND a.i = i1 JOIN wt z ON z.source = s2 AND z.i = i2 AND z.b = a.b GROUP BY ALL),
+uu AS (SELECT s1 AS source, b, (s - n1) / (n1 * (n1 - 1)) AS u FROM q WHERE s1 = s2),
+m AS (SELECT x.s1 AS source, x.b, a.u + t.u - 2 * x.s / (x.n1 * x.n2) AS mmd2 FROM q x JOIN uu a ON a.source = x.s1 AND a.b = x.b JOIN uu t ON t.source = x.s2 AND t.b = x.b WHERE x.is_target AND x.s1 <> x.s2)
+SELECT source, count(*) AS draws, round(avg(mmd2), 8) + 0.0 AS mean, round(stddev_samp(mmd2), 8) + 0.0 AS se, round(quantile_cont(mmd2, 0.025), 8) + 0.0 AS low, round(quantile_cont(mmd2, 0.975), 8) + 0.0 AS high FROM m GROUP BY source"""
+)
+def kernel_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Bootstrap of MMD² with drawn counts as weights of the kernel's quadratic forms; one target draw for all labels."""
+    m = resample.kernel_draws(vector_trials(spark, d).select("case_id", "source", "is_target", "i", F.array(*V).alias("x")), "x", KERNEL_B, 35, SIGMA)
+    q = lambda p: F.percentile("delta", F.lit(p))
+    return m.groupBy("source").agg(F.count("*").alias("draws"), *[F.round(x, 8).alias(n) for x, n in ((F.avg("delta"), "mean"), (F.stddev_samp("delta"), "se"), (q(0.025), "low"), (q(0.975), "high"))])
+
+
+# ---- covariance matrices of two channels, each vector's 64 values as 2 x 32 samples: closed forms, so with SQL
+
+PAIR_SQL = f"""pc AS (SELECT vec_id, label, [embedding[1:32], embedding[33:64]] AS e FROM embeddings),
+pz AS (SELECT vec_id, label, list_transform(e, lambda a: list_transform(a, lambda x: 4 * (CAST(x AS DOUBLE) - list_avg(list_transform(a, lambda y: CAST(y AS DOUBLE)))))) AS z FROM pc),
+pm AS (SELECT 'vectors' AS case_id, label AS source, label = (SELECT max(label) FROM embeddings) AS is_target, CAST(vec_id AS VARCHAR) AS row_key, list_dot_product(z[1], z[1]) / 31 AS a, list_dot_product(z[1], z[2]) / 31 AS b2, list_dot_product(z[2], z[2]) / 31 AS d2 FROM pz),
+{o.numbered("pm", "trials", "case_id, source", "row_key")}"""
+COV = ("a", "b2", "d2")
+
+
+def airm_sql(draws: str, out: str, keys: str, lam: float = 0.1) -> str:
+    """AIRM of shrunk 2 x 2 means from the target's, by the two roots."""
+    shrunk = f"SELECT *, {1 - lam} * a + {lam} * (a + d2) / 2 AS sa, {1 - lam} * b2 AS sb, {1 - lam} * d2 + {lam} * (a + d2) / 2 AS sd FROM"
+    return f"""{out}_k AS ({shrunk} {draws}),
+{out}_e AS (SELECT s.*, (t.sd * s.sa - 2 * t.sb * s.sb + t.sa * s.sd) / (t.sa * t.sd - t.sb * t.sb) AS tr, (s.sa * s.sd - s.sb * s.sb) / (t.sa * t.sd - t.sb * t.sb) AS dt FROM {out}_k s JOIN {out}_k t ON s.case_id = t.case_id AND t.is_target{" AND s.b = t.b" if "b" in keys.split(", ") else ""} WHERE NOT s.is_target),
+{out} AS (SELECT {keys}, pow(ln(hi), 2) + pow(ln(dt / hi), 2) AS delta FROM (SELECT *, tr / 2 + sqrt(greatest(tr * tr / 4 - dt, 0)) AS hi FROM {out}_e))"""
+
+
+@query(
+    o.with_(
+        PAIR_SQL, f"mm AS (SELECT case_id, source, is_target, {', '.join(f'avg({c}) AS {c}' for c in COV)} FROM trials GROUP BY ALL)", airm_sql("mm", "est", "case_id, source"),
+        o.index_draws("trials", B, 92, features=COV).split(",\ndraws AS")[0], "md AS (SELECT case_id, source, false AS is_target, b, a, b2, d2 FROM sd UNION ALL SELECT case_id, -1, true, b, a, b2, d2 FROM td)", airm_sql("md", "draws", "case_id, source, b"), o.system(),
+    )
+    + GATE_SELECT
+)
+def screen_pair_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """Count bootstrap of mean covariance matrices, affine-invariant distance, bounds and gates."""
+    from .operators import learn
+
+    return gate_rows_of(learn.matrix_draws(matrix_trials(spark, d, 2), 2, B, 92))
 
 
 # ---- simulation with a known truth
@@ -352,7 +408,7 @@ def bm(seed: int, *keys: str) -> str:
 SIM_SQL = f"""cond AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {b}, {c})" for a, b, c in SIM_ROWS)}) v(scenario, source, true_delta)),
 trials AS (SELECT scenario || '/' || rep AS case_id, source, source = 0 AS is_target, i, {bm(71, "scenario", "rep", "source", "i", "1")} + sqrt(greatest(true_delta, 0)) AS x1, {bm(71, "scenario", "rep", "source", "i", "2")} AS x2
   FROM cond, (SELECT unnest(range({REPS})) AS rep), (SELECT unnest(range({SIM_N})) AS i))"""
-SIM_PRE = o.with_(SIM_SQL, o.estimates("trials"), o.index_draws("trials", 39, 73), o.system())
+SIM_PRE = o.with_(SIM_SQL, o.estimates("trials"), o.index_draws("trials", B, 73), o.system())
 
 
 def simulated(spark: SparkSession):
@@ -362,7 +418,7 @@ def simulated(spark: SparkSession):
     z = lambda k: keyed.normal(71, F.col("scenario"), F.col("rep"), F.col("source"), F.col("i"), F.lit(k))
     t = r.select(F.concat_ws("/", "scenario", "rep").alias("case_id"), "source", (F.col("source") == 0).alias("is_target"), "i", (z(1) + F.sqrt(F.greatest("true", F.lit(0.0)))).alias("x1"), z(2).alias("x2"))
     truth = r.where("source > 0").select(F.concat_ws("/", "scenario", "rep").alias("case_id"), "source", "true").distinct()
-    return screen(t, X, 39, 73), truth
+    return screen(t, X, B, 73), truth
 
 
 TRUTH = "tr AS (SELECT case_id, source, true_delta, true_delta - min(true_delta) OVER (PARTITION BY scenario) AS ex FROM cond, (SELECT unnest(range(%d)) AS rep), LATERAL (SELECT scenario || '/' || rep AS case_id) WHERE source > 0)" % REPS
@@ -398,7 +454,7 @@ STRADDLE_SQL = f"""trials AS (SELECT 'straddle/' || rep AS case_id, source, sour
 
 def straddle_sql(shared: bool) -> str:
     return (
-        o.with_(STRADDLE_SQL, o.estimates("trials"), o.index_draws("trials", 59, 83, shared=shared))
+        o.with_(STRADDLE_SQL, o.estimates("trials"), o.index_draws("trials", B, 83, shared=shared))
         + """SELECT e.case_id, round(e.d, 6) + 0.0 AS d_hat, round(s.se, 6) + 0.0 AS se, CAST(abs(e.d) <= s.q * s.se AS INTEGER) AS covered FROM (SELECT a.case_id, a.delta - z.delta AS d FROM est a JOIN est z USING (case_id) WHERE a.source = 1 AND z.source = 2) e
 JOIN (SELECT case_id, stddev_samp(d) AS se, quantile_cont(abs(d - dh), 0.95) / stddev_samp(d) AS q FROM (SELECT a.case_id, a.delta - z.delta AS d, y.delta - w.delta AS dh FROM draws a JOIN draws z USING (case_id, b) JOIN est y ON y.case_id = a.case_id AND y.source = 1 JOIN est w ON w.case_id = a.case_id AND w.source = 2 WHERE a.source = 1 AND z.source = 2) GROUP BY ALL) s USING (case_id)"""
     )
@@ -409,7 +465,7 @@ def straddle(spark: SparkSession, shared: bool) -> DataFrame:
     r = spark.range(3).select(F.col("id").cast("int").alias("source")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(59))))
     side = F.when(F.col("source") == 1, -1).when(F.col("source") == 2, 1).otherwise(0)
     t = r.select(F.concat(F.lit("straddle/"), "rep").alias("case_id"), "source", (F.col("source") == 0).alias("is_target"), "i", (keyed.normal(81, F.col("rep"), F.col("source"), F.col("i")) + side).alias("x1"), F.lit(0.0).alias("x2"))
-    s = screen(t, X, 59, 83, shared=shared)
+    s = screen(t, X, B, 83, shared=shared)
     d_hat = system.contrast_pairs(s.est, ["case_id"]).where("j = 1 and l = 2").select("case_id", F.col("d").alias("d_hat"))
     draws = system.contrast_pairs(s.draws, ["case_id", "b"]).where("j = 1 and l = 2").join(d_hat, "case_id")
     q = draws.groupBy("case_id", "d_hat").agg(F.stddev_samp("d").alias("se"), F.percentile(F.abs(F.col("d") - F.col("d_hat")), F.lit(0.95)).alias("q"))
@@ -429,51 +485,90 @@ def straddle_wrong_target(spark: SparkSession, d: str) -> DataFrame:
 # ---- without SQL: held against numpy in tests
 
 
+def matrix_trials(spark: SparkSession, d: str, channels: int) -> DataFrame:
+    """Each vector's 64 values as `channels` channels: demeaned, X X' by samples less one (F1). Vectors of another length are refused when they are met."""
+    n = DIMENSIONS // channels
+    whole = F.when(F.size("embedding") == DIMENSIONS, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("vector of another length: "), F.col("vec_id"))))
+    x = F.transform(whole, lambda e: e.cast("double") * 4)
+    ch = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.slice(F.col("_x"), c * n + 1, n))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e) / n
+    centred = F.transform(ch, lambda a: F.transform(F.arrays_zip(a.alias("v"), F.array_repeat(mean(a), n).alias("m")), lambda e: e["v"] - e["m"]))
+    cov = F.flatten(F.transform("z", lambda a: F.transform("z", lambda b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e) / (n - 1))))
+    v = read(spark, d, "embeddings").where("embedding is not null")
+    t = v.select(F.lit("vectors").alias("case_id"), F.col("label").alias("source"), F.col("vec_id").cast("string").alias("row_key"), "vec_id", x.alias("_x")).withColumn("z", centred).withColumn("cov", cov).drop("z", "_x")
+    last = v.agg(F.max("label").alias("last"))
+    return roles.numbered(t.crossJoin(F.broadcast(last)).withColumn("is_target", F.col("source") == F.col("last")).drop("last"), ["case_id", "source"], ["row_key"])
+
+
 @query()
 def matrix_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors as 4 x 4 covariances of 16 samples, count bootstrap, AIRM, bounds and gates."""
+    """R2, R4, F3 in four channels of 16 samples: count bootstrap, AIRM, bounds and gates."""
     from .operators import learn
 
-    s = screen_matrices(spark, d)
-    draws = learn.matrix_draws(s, 4, 49, 91)
-    return gate_rows_of(draws)
-
-
-def screen_matrices(spark: SparkSession, d: str) -> DataFrame:
-    v = read(spark, d, "embeddings").where(F.size("embedding") == 64)
-    x = F.transform("embedding", lambda e: e.cast("double") * 4)
-    # each of 4 channels has 16 samples; demeaned, X X' / 15
-    ch = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.slice(x, c * 16 + 1, 16))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e) / 16
-    centred = F.transform(ch, lambda a: F.transform(a, lambda e: e - mean(a)))
-    cov = F.flatten(F.transform("z", lambda a: F.transform("z", lambda b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e) / 15)))
-    t = v.select(F.lit("vectors").alias("case_id"), F.col("label").alias("source"), F.col("vec_id").cast("string").alias("row_key"), "vec_id", centred.alias("z")).withColumn("cov", cov).drop("z")
-    last = v.agg(F.max("label").alias("last"))
-    return roles.numbered(t.crossJoin(F.broadcast(last)).withColumn("is_target", F.col("source") == F.col("last")).drop("last"), ["case_id", "source"], ["row_key"])
+    return gate_rows_of(learn.matrix_draws(matrix_trials(spark, d, 4), 4, B, 91))
 
 
 def gate_rows_of(draws: DataFrame) -> DataFrame:
-    draws = draws.cache()
+    draws = cut(draws)
     s = system.build(draws.where("b < 0").drop("b"), draws.where("b >= 0"))
     return gates.gates(s).select("case_id", "source", *r6(*GATE_COLS), *FLAGS)
 
 
 @query()
 def tangent_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """Odd against even vectors of the last label, learned from each label alone."""
+    """Odd against even vectors of the last label, learned from each label alone."""
     from .operators import learn
 
-    t = screen_matrices(spark, d).withColumn("label", F.pmod("vec_id", F.lit(2))).cache()
+    t = cut(matrix_trials(spark, d, 4).withColumn("label", F.pmod("vec_id", F.lit(2))))
     train = t.where("not is_target").select("source", "label", "cov")
     test = train.select("source").distinct().crossJoin(t.where("is_target").select("label", "cov"))
     return learn.tangent_lda(train, test, ["source"], 4)
 
 
+@query()
+def pooled_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Screen with half of the target, learn from the pooled trials of the sources each rule retains, test on the other half; and from the target's screening half alone.
+
+    Rules that retain the same sources are fitted once.
+    """
+    from .operators import learn
+
+    t = cut(matrix_trials(spark, d, 4).withColumn("label", F.pmod("vec_id", F.lit(2))))
+    halves = resample.half_splits(t.where("is_target").select("case_id", "vec_id", "label"), 1, 95, ["case_id", "vec_id"]).select("case_id", "vec_id", "role")
+    target = cut(t.where("is_target").join(halves, ["case_id", "vec_id"]))
+    screening = t.where("not is_target").unionByName(target.where("role = 'screen'").drop("role"))
+    draws = cut(learn.matrix_draws(screening, 4, B, 96))
+    s = system.build(draws.where("b < 0").drop("b"), draws.where("b >= 0"))
+    flags = gates.gates(s).withColumn("all_sources", F.lit(1))
+    sets = evaluate.as_sets(gates.long_members(flags, ["rect", "pair", "ref", "all_sources"]), ["case_id"])
+    fit = lambda role: target.where(F.col("role") == role).select("case_id", "label", "cov")
+    return learn.pooled(sets, t.where("not is_target").select("case_id", "source", "label", "cov"), fit("screen"), fit("test"), 4)
+
+
+WHITE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query()
 def whitened_features(spark: SparkSession, d: str) -> DataFrame:
     """F15, M4."""
     from .operators import learn
 
-    t = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    w = learn.standardise_whiten(t, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 3)
+    w = learn.standardise_whiten(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *WHITE), WHITE, 3)
     return w.agg(*[F.round(f(F.col("white")[k]), 6).alias(f"{n}_{k}") for k in range(3) for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
+PAIR = ("l_quantity", "l_extendedprice")
+
+
+@query(
+    f"""WITH m AS (SELECT avg({PAIR[0]}) AS ma, stddev_samp({PAIR[0]}) AS sa, avg({PAIR[1]}) AS mb, stddev_samp({PAIR[1]}) AS sb, corr({PAIR[0]}, {PAIR[1]}) AS r FROM lineitem),
+w AS (SELECT l_suppkey, (({PAIR[0]} - ma) / sa + sign(r) * ({PAIR[1]} - mb) / sb) / sqrt(2 * (1 + abs(r))) AS p, (({PAIR[0]} - ma) / sa - sign(r) * ({PAIR[1]} - mb) / sb) / sqrt(2 * (1 - abs(r))) AS q FROM lineitem, m)
+SELECT l_suppkey, round(sum(p * p), 4) + 0.0 AS first_power, round(sum(q * q), 4) + 0.0 AS second_power, round(abs(sum(p)), 4) + 0.0 AS first_sum, round(abs(sum(q)), 4) + 0.0 AS second_sum FROM w GROUP BY l_suppkey"""
+)
+def whitened_pair(spark: SparkSession, d: str) -> DataFrame:
+    """F15, M4 for two columns, whose components are their sum and difference; signs are free, so squares and sizes are told."""
+    from .operators import learn
+
+    w = learn.standardise_whiten(read(spark, d, "lineitem").select("l_suppkey", *PAIR), list(PAIR), 2)
+    p = lambda k: F.col("white")[k]
+    return w.groupBy("l_suppkey").agg(*[F.round(x, 4).alias(n) for x, n in ((F.sum(p(0) * p(0)), "first_power"), (F.sum(p(1) * p(1)), "second_power"), (F.abs(F.sum(p(0))), "first_sum"), (F.abs(F.sum(p(1))), "second_sum"))])

@@ -162,7 +162,7 @@ def first_orders(spark: SparkSession, d: str) -> DataFrame:
 def class_counts(spark: SparkSession, d: str) -> DataFrame:
     """P14, A17."""
     e = read(spark, d, "embeddings").select(F.col("label").alias("source"), F.pmod("vec_id", F.lit(3)).alias("y"))
-    return e.withColumn("label_code", roles.label_codes(F.col("y"), ["source"])).groupBy("source", "label_code").agg(F.count("*").alias("n"))
+    return roles.label_codes(e, "y", "label_code", ["source"]).groupBy("source", "label_code").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -381,7 +381,7 @@ def rank_tests(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Path, bytes and hash of every table's file."""
+    """Path below the folder, bytes and hash of every table's files."""
     from .sources import files
 
-    return files.manifest(spark, f"{d}/*.parquet")
+    return files.manifest(spark, d, "*.parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,15 +66,17 @@ def inventory(spark: SparkSession, glob: str, pattern: str, names: list[str]) ->
     return f.where(F.col("path").rlike(pattern)).select("path", "length", *[F.regexp_extract("path", pattern, k + 1).alias(n) for k, n in enumerate(names)])
 
 
-def manifest(spark: SparkSession, glob: str) -> DataFrame:
-    """path (its last part), bytes, sha256 (K9)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """path (below `root`), bytes, sha256 of every file of up to 2 GB in the folder and those in it, or of those whose name fits `glob` (K9)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    f = (f.option("pathGlobFilter", glob) if glob else f).load(root)
+    base = "^.*" + re.escape("/" + root.rstrip("/").split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/")
+    return f.select(F.regexp_replace("path", base, "").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def check_manifest(spark: SparkSession, recorded: DataFrame, glob: str) -> DataFrame:
+def check_manifest(spark: SparkSession, recorded: DataFrame, root: str, glob: str | None = None) -> DataFrame:
     """Violations of a recorded manifest: missing, unexpected and changed files, and paths that leave their folder (V9)."""
-    now = manifest(spark, glob)
+    now = manifest(spark, root, glob)
     escape = validate.rows(recorded, "path escape", ["path"], F.col("path").rlike(r"(^/)|(^|/)\.\.(/|$)"))
     both = recorded.join(now.select("path", F.col("sha256").alias("_h")), "path")
     return validate.union(
@@ -84,18 +87,27 @@ def check_manifest(spark: SparkSession, recorded: DataFrame, glob: str) -> DataF
     )
 
 
-def to_markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
-    """A small table as Markdown (K6); ValueError beyond `most` rows, since it is collected."""
+def cells(df: DataFrame, digits: int, most: int) -> list[list[str]]:
+    """A small table as text, its header first; ValueError beyond `most` rows, since it is collected."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows")
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    lines = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
-    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+    return [df.columns, *[[cell(v) for v in r] for r in rows]]
+
+
+def to_markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A small table as Markdown (K6); bars and line ends in cells are escaped."""
+    head, *body = [[c.replace("|", r"\|").replace("\n", "<br>") for c in r] for r in cells(df, digits, most)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in [head, ["---"] * len(head), *body])
+
+
+#: How LaTeX writes characters that it reads as commands.
+LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\n": " "}
 
 
 def to_latex(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
     """The same as a LaTeX tabular (K7)."""
-    body = [[c.strip() for c in line.strip("| ").split(" | ")] for line in to_markdown(df, digits, most).split("\n")]
-    row = lambda x: " & ".join(c.replace("_", r"\_").replace("%", r"\%") for c in x) + r" \\"
-    return "\n".join([r"\begin{tabular}{" + "l" * len(body[0]) + "}", row(body[0]), r"\hline", *map(row, body[2:]), r"\end{tabular}"])
+    row = lambda x: " & ".join("".join(LATEX.get(ch, ch) for ch in c) for c in x) + r" \\"
+    head, *body = map(row, cells(df, digits, most))
+    return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", head, r"\hline", *body, r"\end{tabular}"])

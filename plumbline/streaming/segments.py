@@ -9,36 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import Machine
+from ..operators.events import State, follow
 
 OUT = "file string, start long, end long, label int, cue long, end_code int, error string"
-STATE = "cue_at long, cue_label int, start_at long, start_label int, start_cue long"
+STATE = "phase string, label int, cue long, start long"
 
 
 def stream_segments(events: DataFrame) -> DataFrame:
     """Segments of a stream (file string, sample long, code int), in the order of each file's samples within a batch.
 
-    The state of a file is its open cue or task: five numbers. An event out of order gives a row with `error` and resets the
+    The state of a file is its open cue or task: four values. An event out of order gives a row with `error` and resets the
     file's state, where the batch function would raise.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cue = active = None
-        if state.exists:
-            a, b, s, label, c = state.get
-            cue = None if a is None else (a, b)
-            active = None if s is None else (s, label, c)
-        m = Machine(cue=cue, active=active)
+        now = State(*state.get) if state.exists else State()
         out = []
         rows = pd.concat(list(batches)).sort_values("sample", kind="stable")
         for sample, code in zip(rows["sample"].tolist(), rows["code"].tolist(), strict=True):
-            try:
-                if found := m.feed(sample, code):
-                    out.append({"file": key[0], **found, "error": None})
-            except ValueError as e:
-                m.cue = m.active = None
-                out.append({"file": key[0], "start": sample, "end": None, "label": None, "cue": None, "end_code": code, "error": str(e)})
-        state.update((*(m.cue or (None, None)), *(m.active or (None, None, None))))
+            now, found = follow(now, sample, code)
+            if found:
+                out.append((key[0], *found))
+        state.update(tuple(now))
         columns = [c.split()[0] for c in OUT.split(", ")]
         yield pd.DataFrame(out, columns=columns).astype({"start": "Int64", "end": "Int64", "label": "Int32", "cue": "Int64", "end_code": "Int32"})
 

@@ -90,6 +90,9 @@ def test_draws_are_keyed_and_shared(spark):
             key = [c for c in x.columns if c not in ("x1", "n")]
             assert validate.tables_close(x, y, key, ["x1"]).count() == 0
         assert a[1].count() == 9 and a[0].count() == 18
+    for block in (1, 4):  # in one task and by a join: the same draws
+        for x, y in zip(resample.index_draws(t, ["x1"], 9, 5, block=block), resample.index_draws(t, ["x1"], 9, 5, block=block, most=1), strict=True):
+            assert validate.tables_close(x, y, [c for c in x.columns if c not in ("x1", "n")], ["x1"]).count() == 0 and x.count() == y.count() > 0
     w = resample.multinomial_counts(t, 4, 3).groupBy("source", "b").agg(F.sum("w")).collect()
     assert {r[2] for r in w} == {30} and len(w) == 12
     _, wrong = resample.index_draws(t, ["x1"], 9, 5, shared=False)
@@ -156,9 +159,9 @@ def test_certificate_and_stability(spark, cases):
 
 
 def test_matrix_draws_equal_direct_means(spark):
-    rng = np.random.default_rng(1807)
+    rng = np.random.default_rng(52)
     rows = []
-    for source, n, shift in ((0, 18, 0.3), (1, 20, 1.1), (2, 16, 0.1)):
+    for source, n, shift in ((0, 13, 0.5), (1, 25, 0.9), (2, 11, 0.2)):
         x = rng.normal(size=(n, 3, 6))
         rows += [("c", source, source == 2, i, (m + shift * np.eye(3)).ravel().tolist()) for i, m in enumerate(x @ np.swapaxes(x, 1, 2) / 6)]
     t = spark.createDataFrame(rows, "case_id string, source int, is_target boolean, i long, cov array<double>")
@@ -205,6 +208,12 @@ def test_files(spark, tmp_path):
     assert files.check_manifest(spark, m, f"{tmp_path}/m").count() == 0
     broken = m.select("path", "bytes", F.lit("0").alias("sha256")).unionByName(spark.createDataFrame([("../y", 1, "0")], "path string, bytes long, sha256 string"))
     assert {r["check"] for r in files.check_manifest(spark, broken, f"{tmp_path}/m").collect()} == {"changed file", "missing file", "path escape"}
+    for k in (1, 2):  # equal names in two folders
+        files.write_json({"k": k}, f"{tmp_path}/n/{k}/part.json")
+    assert {r["path"] for r in files.manifest(spark, f"{tmp_path}/n", "*.json").collect()} == {"1/part.json", "2/part.json"}
+    assert files.check_manifest(spark, files.manifest(spark, f"{tmp_path}/n/").cache(), f"{tmp_path}/n").count() == 0
+    odd = spark.createDataFrame([("a | b_c", 1.0)], "k string, v double")
+    assert files.to_latex(odd).split("\n")[3] == r"a | b\_c & 1.000 \\" and files.to_markdown(odd).split("\n")[2] == r"| a \| b_c | 1.000 |"
     assert files.to_markdown(df.where("k = 'a'")).split("\n")[2] == "| a | 1.500 |" and r"\hline" in files.to_latex(df.where("k = 'a'"))
 
 

@@ -70,11 +70,20 @@ def test_lda_separates_and_keeps_dimensions():
 
 
 def test_keyed_numbers(spark):
-    d = spark.range(20000).select(keyed.index(F.lit(7), 1, F.col("id")).alias("i"), keyed.normal(2, F.col("id")).alias("z"), keyed.poisson(keyed.poisson_word(keyed.digest(3, F.col("id")), F.lit(4))).alias("w"))
+    d = spark.range(20000).select(keyed.index(F.lit(7), 1, F.col("id")).alias("i"), keyed.normal(2, F.col("id")).alias("z"), keyed.poisson(keyed.value(keyed.digest(3, F.col("id")), F.lit(4))).alias("w"))
     r = d.agg(F.min("i"), F.max("i"), F.avg("z"), F.stddev("z"), F.avg("w"), F.var_pop("w")).first()
     assert (r[0], r[1]) == (0, 6)
     assert abs(r[2]) < 0.03 and abs(r[3] - 1) < 0.03 and abs(r[4] - 1) < 0.03 and abs(r[5] - 1) < 0.05
-    assert d.exceptAll(spark.range(20000).repartition(13).select(*[d[c] for c in ()] or ["id"]).select(keyed.index(F.lit(7), 1, F.col("id")).alias("i"), keyed.normal(2, F.col("id")).alias("z"), keyed.poisson(keyed.poisson_word(keyed.digest(3, F.col("id")), F.lit(4))).alias("w"))).count() == 0
+    assert d.exceptAll(spark.range(20000).repartition(13).select(*[d[c] for c in ()] or ["id"]).select(keyed.index(F.lit(7), 1, F.col("id")).alias("i"), keyed.normal(2, F.col("id")).alias("z"), keyed.poisson(keyed.value(keyed.digest(3, F.col("id")), F.lit(4))).alias("w"))).count() == 0
+
+
+def test_polynomials_agree(spark):
+    d = spark.range(50).select("id", keyed.coefficients(9, F.col("id")).alias("c"), *[keyed.value(keyed.digest(9, F.col("id")), F.lit(g)).alias(f"g{g}") for g in (1, 2, 199, 2_000_000_011)])
+    for r in d.collect():
+        c = keyed.words(bytes(r["c"]))[0]
+        for g in (1, 2, 199, 2_000_000_011):
+            want = sum(int(a) * pow(g, 3 - k, keyed.PRIME) for k, a in enumerate(c)) % keyed.PRIME
+            assert r[f"g{g}"] == want == keyed.values(c, np.array([g]))[0]
 
 
 def test_sets(spark):
@@ -85,8 +94,19 @@ def test_sets(spark):
 GOOD = [(1, 1000), (5, 769), (9, 7691), (30, 7692), (40, 770), (44, 7701), (45, 7703)]
 
 
-def test_event_machine():
-    assert events.task_segments(GOOD) == [{"start": 9, "end": 30, "label": 0, "cue": 5, "end_code": 7692}, {"start": 44, "end": 45, "label": 1, "cue": 40, "end_code": 7703}]
-    for bad in ([(1, 769), (2, 770)], [(1, 769), (2, 7701)], [(1, 7691)], [(1, 769), (2, 7691), (2, 7692)], [(1, 769), (2, 7691)], [(1, 769), (2, 1000)]):
+def test_tasks_of_a_file():
+    assert [f[:5] for f in events.tasks(GOOD)] == [(9, 30, 0, 5, 7692), (44, 45, 1, 40, 7703)]
+    bad = ([(1, 769), (2, 770)], [(1, 769), (2, 7701)], [(1, 7691)], [(1, 769), (2, 7691), (2, 7692)], [(1, 769), (2, 7691)], [(1, 769), (2, 1000)], [(3, 769), (3, 7691), (9, 7692)])
+    for events_ in bad:
         with pytest.raises(ValueError):
-            events.task_segments(bad)
+            events.tasks(events_)
+    found = list(events.walk([(1, 769), (2, 770), *[(a + 10, c) for a, c in GOOD], (99, 770)]))  # a break, then whole tasks, then an open cue
+    assert [f.reason is None for f in found] == [False, True, True, False] and found[1].start == 19
+
+
+def test_violations_as_rows(spark):
+    rows = [("a", 1, "cue", 0), ("a", 2, "start", 1), ("a", 3, "end", 0), ("a", 4, "cue", 0), ("a", 5, "cue", 0), ("a", 6, "start", 0), ("a", 9, "end", 0), ("b", 1, "start", 0), ("b", 2, "cue", 1)]
+    got = events.violations(spark.createDataFrame(rows, "f string, at int, kind string, l int"), "f", "at", "kind", "cue", "start", "end", "l")
+    assert {tuple(r) for r in got.collect()} == {("a", 2, "start of another cue"), ("a", 5, "cue before the last task ended"), ("b", 1, "start without a cue"), ("b", 2, "cue before the last task ended")}
+    s = spark.createDataFrame([(1, 5, True, False), (2, 60, False, True), (3, 60, None, True), (4, 60, True, True), (5, 60, True, None), (6, None, True, None)], "k int, dur int, inside boolean, noisy boolean")
+    assert [r["exclusion_reason"] for r in events.quality_ledger(s, "dur", 50, F.col("inside"), F.col("noisy")).orderBy("k").collect()] == ["short", "bounds", "bounds", "artifact", None, "short"]
