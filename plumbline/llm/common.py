@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -13,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import checkpoint_dir, cut
+
+__all__ = ["SPACE", "WORD", "checkpoint_dir", "cut", "fold", "labelled_texts", "numbered", "removed", "sample_ids", "slices", "table", "written"]
+
 #: White space of the contracts: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -27,23 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where that is unset, a temporary one if all of Spark is this process (tests), else RuntimeError."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        path = sc.getConf().get("spark.checkpoint.dir", "")
-        if not path and not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="plumbline-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, for rows of which later steps read some columns only."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
