@@ -69,6 +69,28 @@ def value(digest_: Column, g: Column) -> Column:
     return F.pmod(F.pmod(u * g + c[2], F.lit(PRIME)) * g + c[3], F.lit(PRIME))
 
 
+def weighted_sums(c: np.ndarray, g: np.ndarray, x: np.ndarray, rows: int = 256) -> np.ndarray:
+    """[place of g, column of x]: sums of the rows of x, weighed by the Poisson counts of their polynomials; blocks of rows that stay in a core's cache."""
+    out = np.zeros((len(g), x.shape[1]))
+    room = np.empty((2, rows, len(g)), np.int64)
+    for at in range(0, len(c), rows):
+        own = c[at : at + rows]
+        u, rest = room[0, : len(own)], room[1, : len(own)]
+        np.multiply(own[:, :1], g, out=u)
+        for k in (1, 2, 3):
+            u += own[:, k : k + 1]
+            for _ in range(2):  # modulo PRIME, as in `folded`
+                np.right_shift(u, 31, out=rest)
+                u &= PRIME
+                u += rest
+            if k < 3:
+                u *= g
+        u[u == PRIME] = 0
+        u >>= 15
+        out += COUNTS[u].T @ x[at : at + rows]
+    return out
+
+
 #: Poisson(1) counts by the upper sixteen of 31 bits.
 COUNTS = np.searchsorted(np.array(POISSON), np.arange(65536), side="right").astype(float)
 

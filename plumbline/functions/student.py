@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,31 +56,37 @@ def t_ppf(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
-def wilcoxon_greater(x: list[float]) -> float | None:
-    """One-sided p-value that the median is above zero. Zeros are dropped; without ties up to 50 values the null is exact, else normal with tie correction, no continuity correction."""
-    x = [v for v in x if v]
-    n = len(x)
+def signed_rank_tail(n: int, w: float, ties: float) -> float | None:
+    """P(W >= w) for n non-zero differences: exact without ties up to 50 of them, else normal with tie correction (the sum of t³ - t), no continuity correction."""
     if not n:
         return None
-    order = sorted(range(n), key=lambda i: abs(x[i]))
-    ranks, ties, k = [0.0] * n, 0.0, 0
-    while k < n:
-        e = k
-        while e < n and abs(x[order[e]]) == abs(x[order[k]]):
-            e += 1
-        for i in order[k:e]:
-            ranks[i] = (k + e + 1) / 2
-        ties += (e - k) ** 3 - (e - k)
-        k = e
-    w = sum(r for r, v in zip(ranks, x, strict=True) if v > 0)
     if not ties and n <= 50:
-        ways = [1] + [0] * (n * (n + 1) // 2)
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
         for r in range(1, n + 1):
-            for s in range(len(ways) - 1, r - 1, -1):
-                ways[s] += ways[s - r]
-        return sum(ways[math.ceil(w) :]) / 2**n
+            ways[r:] = ways[r:] + ways[: len(ways) - r]
+        return float(ways[math.ceil(w) :].sum() / 2**n)
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
-    return 0.5 * math.erfc((w - n * (n + 1) / 4) / sd / math.sqrt(2))
+    return 0.5 * math.erfc((w - n * (n + 1) / 4) / sd / math.sqrt(2)) if sd else 1.0
+
+
+def wilcoxon_greater(x: list[float]) -> float | None:
+    """One-sided p-value that the median is above zero, of a few values on the driver. Zeros are dropped."""
+    x = np.array([v for v in x if v], float)
+    if not len(x):
+        return None
+    _, at, n = np.unique(np.abs(x), return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - (n - 1) / 2)[at]
+    return signed_rank_tail(len(x), float(ranks[x > 0].sum()), float((n**3 - n).sum()))
+
+
+def wrong_target_limit(level: float = 0.95) -> float:
+    """the coverage of an interval at `level` whose variance leaves out a second, equal part: 2 Φ(z / √2) - 1."""
+    lo, hi = 0.0, 10.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if math.erf(mid / math.sqrt(2)) < level else (lo, mid)
+    return math.erf(lo / 2)
 
 
 @F.pandas_udf(DoubleType())
@@ -94,8 +101,8 @@ def _survival(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def _wilcoxon(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else wilcoxon_greater(list(v)) for v in x], dtype=float)
+def _tail(n: pd.Series, w: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) else signed_rank_tail(int(a), b, c) for a, b, c in zip(n, w, ties, strict=True)], dtype=float)
 
 
 def t_quantile(p: Column, df: Column) -> Column:
@@ -106,6 +113,6 @@ def t_survival(t: Column, df: Column) -> Column:
     return _survival(t, df.cast("double"))
 
 
-def signed_rank_p(values: Column) -> Column:
-    """Of an array of differences."""
-    return _wilcoxon(values)
+def signed_rank_p(n: Column, w: Column, ties: Column) -> Column:
+    """Of the number of non-zero differences, the rank sum of the positive ones, and the sum of t³ - t over ties."""
+    return _tail(n.cast("double"), w.cast("double"), ties.cast("double"))

@@ -123,9 +123,7 @@ def poisson_draws(trials: DataFrame, features: list[str], replicates: int, seed:
                     at, k = divmod(at, len(names))
                     name.append(names[k])
                 total = sums.setdefault(tuple(reversed(name)), np.zeros((replicates, len(features) + 1)))
-                for some in range(lo, hi, 4096):
-                    own = order[some : min(hi, some + 4096)]
-                    total += keyed.COUNTS[keyed.values(c[own][:, None, :], g[None, :]) >> 15].T @ x[own]
+                total += keyed.weighted_sums(c[order[lo:hi]], g, x[order[lo:hi]])
             if len(sums) * replicates * (len(features) + 1) > MOST // 4:
                 yield from told()
         yield from told()

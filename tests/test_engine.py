@@ -136,6 +136,27 @@ def test_published_wilcoxon_value():
     assert wilcoxon_greater([5, 4, 3, 6, 7, 8, 9, -2, -1.0]) == pytest.approx(5 / 512, abs=0.01)
 
 
+def test_signed_ranks_with_zeros_and_ties(spark):
+    from plumbline.functions import student
+
+    groups = {"plain": [5, 4, 3, 6, 7, 8, 9, -2, -1.0], "zeros": [0.0, 0.0, 3.0, -1.0, 2.0], "ties": [1.0, 1.0, -1.0, 2.0, 2.0, -3.0, 4.0], "none": [0.0, 0.0]}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, y double")
+    got = inference.signed_ranks(df, ["g"], "y").withColumn("p", student.signed_rank_p(F.col("n_signed"), F.col("w"), F.col("ties"))).collect()
+    assert {r["g"]: r["p"] for r in got} == {g: pytest.approx(student.wilcoxon_greater(x)) for g, x in groups.items() if any(x)}
+    r = {x["g"]: x for x in got}
+    assert (r["ties"]["n_signed"], r["ties"]["w"], r["ties"]["ties"]) == (7, 2 + 2 + 4.5 + 4.5 + 7, 24 + 6)
+    assert student.wrong_target_limit() == pytest.approx(0.834, abs=5e-4)
+
+
+def test_medians_by_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(inference, "FEW", 5)
+    monkeypatch.setattr(inference, "CELLS", 4)
+    rng = np.random.default_rng(6)
+    cols = {"even": rng.normal(size=100), "odd": rng.exponential(size=101), "ties": rng.integers(0, 3, 90) * 1.0, "far": np.r_[rng.normal(size=99), 1e12], "one": np.ones(7), "gap": np.r_[np.zeros(50), np.ones(50)], "tiny": np.array([2.0, 9.0])}
+    long = spark.createDataFrame([(k, float(v)) for k, x in cols.items() for v in x] + [("even", None), ("even", float("nan"))], "quantity string, v double")
+    assert {r["quantity"]: r["median"] for r in inference.medians(long).collect()} == {k: pytest.approx(float(np.median(x)), abs=1e-12) for k, x in cols.items()}
+
+
 def test_simulation_audit_has_no_violation(spark):
     c = spark.createDataFrame([("m", 0, 0.0, 40), ("m", 1, 0.0, 40), ("m", 2, 1.2, 40)], "scenario string, source int, true double, n int")
     s = screen(synthetic.gaussian_cases(spark, c, 3, 2, 8), ["x1", "x2"], 39, 4)

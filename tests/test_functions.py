@@ -86,6 +86,13 @@ def test_polynomials_agree(spark):
             assert r[f"g{g}"] == want == keyed.values(c, np.array([g]))[0]
 
 
+def test_weighted_sums_are_those_of_the_counts():
+    rng = np.random.default_rng(4)
+    c, x, g = keyed.words(rng.bytes(16 * 700)), rng.normal(size=(700, 3)), np.arange(1, 50)
+    w = keyed.COUNTS[keyed.values(c[:, None, :], g[None, :]) >> 15]
+    assert np.allclose(keyed.weighted_sums(c, g, x), w.T @ x) and 0.9 < w.mean() < 1.1 and 0.9 < w.var() < 1.1
+
+
 def test_sets(spark):
     r = spark.sql("select array(1,2) a, array(2,3) b, cast(array() as array<int>) e, '1-3, 7,2' s").select(sets.jaccard("a", "b"), sets.jaccard("e", "e"), sets.jaccard("a", "e"), sets.subset("e", "a"), sets.same("a", "b"), sets.parse_ranges("s")).first()
     assert list(r) == [pytest.approx(1 / 3), 1.0, 0.0, True, False, [1, 2, 3, 7]]
