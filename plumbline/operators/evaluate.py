@@ -41,6 +41,13 @@ def coverage(s: System, truth: DataFrame, case: list[str]) -> DataFrame:
     return c.join(d, case).withColumn("e_joint", F.col("e_c") * F.col("e_d"))
 
 
+def coverage_summary(covered: DataFrame, by: list[str], nominal: dict[str, float]) -> DataFrame:
+    """(by, event, nominal, cases, coverage, excess, reached) of 0/1 columns named in `nominal`."""
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("event"), F.col(k).alias("v"), F.lit(float(p)).alias("nominal")) for k, p in nominal.items()]))
+    x = covered.select(*by, rows.alias("r")).select(*by, "r.*").groupBy(*by, "event", "nominal").agg(F.count("*").alias("cases"), F.avg("v").alias("coverage"))
+    return x.withColumn("excess", F.col("coverage") - F.col("nominal")).withColumn("reached", F.col("coverage") >= F.col("nominal"))
+
+
 def audit(flags: DataFrame, s: System, truth: DataFrame, case: list[str]) -> DataFrame:
     """(case, events, widths, violations): what must hold whenever the bounds cover, as 0/1 (E3, E4), for the split bands and, with suffix _j, the joint one.
 

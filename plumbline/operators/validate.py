@@ -59,6 +59,37 @@ def tables_close(a: DataFrame, b: DataFrame, key: list[str], values: list[str],
     return union(*apart, rows(a.join(b, key, "left_anti"), "left only", key, F.lit(True)), rows(b.join(a, key, "left_anti"), "right only", key, F.lit(True)))
 
 
+def bound_algebra(s, components: DataFrame | None = None, case: list[str] | None = None) -> dict[str, DataFrame]:
+    """Components and contrasts of a system with flags whether their bounds follow from estimate, quantile and error, and whether opposite contrasts cancel (V7)."""
+    case = case or ["case_id"]
+    c = (s.components if components is None else components).join(s.critical, case)
+    b = lambda sign, q: F.col("delta") + sign * F.col(q) * F.col("se")
+    both = lambda lo, hi, q: (close(F.col(lo), b(-1, q)), close(F.col(hi), b(1, q)))
+    (l1, u1), (l2, u2) = both("lower", "upper", "q_c"), both("lower_j", "upper_j", "q_j")
+    k = s.contrasts.join(s.critical, case)
+    back = s.contrasts.select(*case, F.col("l").alias("j"), F.col("j").alias("l"), F.col("d_hat").alias("_back"))
+    k = k.join(back, [*case, "j", "l"]).withColumn("lower_ok", close(F.col("lower"), F.col("d_hat") - F.col("q_d") * F.col("se")) & close(F.col("lower_j"), F.col("d_hat") - F.col("q_j") * F.col("se")))
+    return {"components": c.withColumn("lower_ok", l1 & l2).withColumn("upper_ok", u1 & u2), "contrasts": k.withColumn("opposite_ok", close(F.col("d_hat"), -F.col("_back")))}
+
+
+def same_structure(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Columns in one table only, columns of another type, and rows whose number of copies differs."""
+    x, y = ({f.name: f.dataType.simpleString() for f in t.schema.fields} for t in (a, b))
+    told = [(c, f"{x.get(c)} {y.get(c)}") for c in sorted(x.keys() | y.keys()) if x.get(c) != y.get(c)]
+    spark = a.sparkSession
+    found = spark.createDataFrame(told, "key string, detail string").select(F.lit("column").alias("check"), "key", "detail")
+    if told:
+        return found
+    names = sorted(x)
+    n = a.select(*names, F.lit(1).alias("_n")).unionByName(b.select(*names, F.lit(-1).alias("_n"))).groupBy(*names).agg(F.sum("_n").alias("_n"))
+    return union(found, rows(n, "row", names, F.col("_n") != 0, F.col("_n")))
+
+
+def first_splits(df: DataFrame, n: int, split: str = "split") -> DataFrame:
+    """Rows of the first n splits, which are numbered from 0 (T4)."""
+    return df.where((F.col(split) >= 0) & (F.col(split) < n))
+
+
 def integral_rates(df: DataFrame, rate: str, n: str, key: list[str], atol: float = 1e-9) -> DataFrame:
     """Rates that are no whole count of n (V5)."""
     x = F.col(rate) * F.col(n)

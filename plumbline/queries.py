@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_screen, queries_tables
+from . import queries_more, queries_screen, queries_tables
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return queries_screen.QUERIES | queries_tables.QUERIES
+    return queries_screen.QUERIES | queries_tables.QUERIES | queries_more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_screen.SQL | queries_tables.SQL
+    return queries_screen.SQL | queries_tables.SQL | queries_more.SQL

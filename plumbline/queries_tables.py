@@ -372,14 +372,14 @@ def filtered_projection(spark: SparkSession, d: str) -> DataFrame:
     return c.select(k, "c_name", F.when(k >= 10, k + 1).otherwise(k).alias("remapped"), F.when(k < 700, "GR").otherwise("PAR").alias("grp"), F.col("c_acctbal").between(0, 5000).alias("mid"))
 
 
-#: Five nations a region: survival of t with four degrees of freedom in closed form, and ranks' sums over all 2^n signs.
+#: Up to five nations a region: survival of t with up to four degrees of freedom in closed forms, and ranks' sums over all 2^n signs.
 RANK_SQL = f"""WITH {WIDE}, p AS (SELECT a.dataset, a.score - z.score + 0.001 AS y FROM a JOIN a z ON a.dataset = z.dataset AND a.subject = z.subject AND a.method = 'R' AND z.method = 'A'),
-t AS (SELECT dataset, count(*) AS n, avg(y) / (stddev_samp(y) / sqrt(count(*))) AS t FROM p GROUP BY ALL),
+t AS (SELECT dataset, count(*) AS n, avg(y) AS up, avg(y) / (stddev_samp(y) / sqrt(count(*))) AS t FROM p GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY abs(y)) AS r FROM p WHERE y <> 0),
 w AS (SELECT dataset, count(*) AS n, sum(CASE WHEN y > 0 THEN r ELSE 0 END) AS w FROM r GROUP BY ALL),
 e AS (SELECT dataset, n, w, s, list_sum(list_transform(range(1, n + 1), lambda k: CASE WHEN (s >> (k - 1)) & 1 = 1 THEN k ELSE 0 END)) AS v FROM (SELECT *, unnest(range(1 << n)) AS s FROM (SELECT dataset, CAST(n AS INTEGER) AS n, w FROM w))),
 x AS (SELECT dataset, avg(CASE WHEN v >= w THEN 1.0 ELSE 0.0 END) AS p_wilcoxon FROM e GROUP BY ALL)
-SELECT dataset, round(0.5 - 0.5 * (t / sqrt(4 + t * t)) * (1 + 2 / (4 + t * t)), 6) + 0.0 AS p_t, round(p_wilcoxon, 6) + 0.0 AS p_wilcoxon FROM t JOIN x USING (dataset)"""
+SELECT dataset, round(CASE WHEN t IS NULL THEN CASE WHEN up > 0 THEN 0.0 WHEN up < 0 THEN 1.0 ELSE 0.5 END WHEN n = 2 THEN 0.5 - atan(t) / pi() WHEN n = 3 THEN 0.5 - t / (2 * sqrt(2 + t * t)) WHEN n = 4 THEN 0.5 - (atan(t / sqrt(3)) + t / sqrt(3) / (1 + t * t / 3)) / pi() WHEN n = 5 THEN 0.5 - 0.5 * (t / sqrt(4 + t * t)) * (1 + 2 / (4 + t * t)) END, 6) + 0.0 AS p_t, round(p_wilcoxon, 6) + 0.0 AS p_wilcoxon FROM t JOIN x USING (dataset)"""
 
 
 @query(RANK_SQL)

@@ -37,6 +37,29 @@ def read_trials(spark: SparkSession, glob: str, pattern: str = r"subject_(\d+)/s
     return t.select(F.regexp_extract("path", pattern, 1).cast("int").alias("subject"), F.regexp_extract("path", pattern, 2).cast("int").alias("session"), "trial", "trial_id", "label", "cov", "n_channels")
 
 
+RUNS = "path string, name string, kind string, shape array<int>, data array<double>"
+
+
+def read_runs(spark: SparkSession, glob: str, names: list[str] | None = None, max_values: int = 50_000_000) -> DataFrame:
+    """(path, name, kind, shape, data) of the numeric arrays in archives of raw runs, or of those named (S11); row-major doubles.
+
+    An array of over `max_values` numbers fails the read: a row must fit a task.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    for name in [n for n in z.files if names is None or n in names]:
+                        x = z[name]
+                        if x.size > max_values:
+                            raise ValueError(f"{path}: {name} has {x.size} values")
+                        if x.dtype.kind in "iufb":
+                            yield pd.DataFrame({"path": [path], "name": [name], "kind": [x.dtype.name], "shape": [list(x.shape)], "data": [x.astype(float).ravel()]})
+
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, RUNS)
+
+
 def stale(spark: SparkSession, glob: str, match: dict[str, float]) -> DataFrame:
     """(path) of archives whose stored scalars are absent or differ."""
 
