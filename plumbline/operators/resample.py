@@ -23,6 +23,8 @@ from ..functions import keyed
 
 #: Numbers (rows x features) of a session up to which one task draws from it: 160 MB.
 MOST = 20_000_000
+#: Rows ranked by one task.
+BUCKET = 1 << 18
 #: Drawn positions in a row of the join's left side.
 SPAN = 1 << 16
 
@@ -210,11 +212,19 @@ def outer_size(n: Column, fraction: float, least: int = 8) -> Column:
 def half_splits(trials: DataFrame, splits: int, seed: int, unit: list[str], label: str = "label") -> DataFrame:
     """(unit columns, split, role): for each split and label half of a group's rows, by hash order, screen and the others test.
 
-    unit: the group's columns, then the row's key as the last one.
+    unit: the group's columns, then the row's key as the last one. No class is sorted in one task: rows are ranked inside
+    buckets of their hash, as many as the largest class needs, and shifted by the counts of the buckets before.
     """
     group, row = unit[:-1], unit[-1]
-    d = trials.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    most = trials.groupBy(*group, label).count().agg(F.max("count")).first()[0] or 0
+    buckets = min(1 << 16, max(1, -(-most // BUCKET)))
     h = keyed.digest(seed, F.col("split"), F.col(row))
-    w = Window.partitionBy(*group, "split", label)
-    place = F.row_number().over(w.orderBy(h, row))
-    return d.withColumn("role", F.when(place * 2 <= F.count("*").over(w), "screen").otherwise("test"))
+    d = trials.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("_h", h).withColumn("_b", F.shiftright(keyed.word(F.col("_h"), 0, 4) * buckets, 16))
+    sets = [*group, "split", label]
+    whole = Window.partitionBy(*sets)
+    sizes = d.groupBy(*sets, "_b").agg(F.count("*").alias("_k"))  # a row for each bucket
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in sets], F.col("_b").alias("_bucket"), (F.sum("_k").over(whole.orderBy("_b")) - F.col("_k")).alias("_before"), F.sum("_k").over(whole).alias("_n"))
+    d = d.withColumn("_own", F.row_number().over(Window.partitionBy(*sets, "_b").orderBy("_h", row)))
+    d = d.join(sizes, [F.col("_b") == F.col("_bucket"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in sets]])
+    role = F.when((F.col("_before") + F.col("_own")) * 2 <= F.col("_n"), "screen").otherwise("test")
+    return d.select(*trials.columns, "split", role.alias("role"))

@@ -11,11 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 64
+#: Buckets at least, and rows in one at most, on average.
+BUCKETS, ROWS = 64, 1 << 18
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """`df` with `i`: the place of each row in its group by (bucket of the hashed order key, order key)."""
+def numbered(df: DataFrame, group: list[str], order: list[str], buckets: int | None = None) -> DataFrame:
+    """`df` with `i`: the place of each row in its group by (bucket of the hashed order key, order key).
+
+    Without `buckets`, the largest group is counted and gets as many as it needs, 64 at least.
+    """
+    if buckets is None:
+        most = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+        buckets = max(BUCKETS, -(-most // ROWS))
     hashed = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order])), 1, 8), 16, 10).cast("long"), F.lit(buckets))
     d = df.withColumn("_bucket", hashed)
     sizes = d.groupBy(*group, "_bucket").count()

@@ -436,17 +436,22 @@ def simulation_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("worst_excess", F.round("worst_excess", 6))
 
 
+AUDIT_FLAGS = ("e_c", "e_d", "e_c_j", "e_d_j", "v_rect", "v_rect_near", "v_pair", "v_pair_near", "v_ref", "v_rect_empty", "v_ref_subset_rect", "domination_lb_all", "domination_se_all", "pair_subset_rect", "v_domination_subset")
+
+
 @query(
     SIM_PRE
-    + f""", {TRUTH}, e AS (SELECT case_id, CAST(bool_and(true_delta BETWEEN lower AND upper) AS INTEGER) AS e_c, max(upper - lower) AS wmax, bool_or(ex <= 1e-12 AND rect = 0) AS lost, max(CASE WHEN rect = 1 THEN ex END) AS excess FROM gate JOIN tr USING (case_id, source) GROUP BY ALL),
-f AS (SELECT c.case_id, CAST(bool_and(a.true_delta - z.true_delta >= c.lower) AS INTEGER) AS e_d, greatest(0, max(a.true_delta - z.true_delta - c.lower)) AS eps FROM cont c JOIN tr a ON a.case_id = c.case_id AND a.source = c.j JOIN tr z ON z.case_id = c.case_id AND z.source = c.l GROUP BY ALL)
-SELECT case_id, e_c, e_d, round(wmax, 6) + 0.0 AS wmax, round(eps, 6) + 0.0 AS epsilon_pair, CAST(e_c = 1 AND lost AS INTEGER) AS v_rect, CAST(e_c = 1 AND excess > 2 * wmax + 1e-10 AS INTEGER) AS v_rect_near FROM e JOIN f USING (case_id)"""
+    + f""", {TRUTH}, e AS (SELECT case_id, bool_and(true_delta BETWEEN lower AND upper) AS c, bool_and(true_delta BETWEEN lower_j AND upper_j) AS cj, max(upper - lower) AS wmax, bool_or(ex <= 1e-12 AND rect = 0) AS lost_r, bool_or(ex <= 1e-12 AND pair = 0) AS lost_p, bool_or(ex <= 1e-12 AND ref = 0) AS lost_f,
+  coalesce(max(CASE WHEN rect = 1 THEN ex END), -1e300) AS ex_r, coalesce(max(CASE WHEN pair = 1 THEN ex END), -1e300) AS ex_p, sum(rect) AS n_r, bool_or(ref = 1 AND rect = 0) AS outside, bool_and(pair = 0 OR rect = 1) AS within FROM gate JOIN tr USING (case_id, source) GROUP BY ALL),
+f AS (SELECT c.case_id, bool_and(a.true_delta - z.true_delta >= c.lower) AS d, bool_and(a.true_delta - z.true_delta >= c.lower_j) AS dj, greatest(0, max(a.true_delta - z.true_delta - c.lower)) AS eps, bool_and(c.lower >= gj.lower - gl.upper - 1e-10) AS dom_lb, bool_and(q_d * c.se <= q_c * (gj.se + gl.se) + 1e-12) AS dom_se
+  FROM cont c JOIN tr a ON a.case_id = c.case_id AND a.source = c.j JOIN tr z ON z.case_id = c.case_id AND z.source = c.l JOIN gate gj ON gj.case_id = c.case_id AND gj.source = c.j JOIN gate gl ON gl.case_id = c.case_id AND gl.source = c.l JOIN q ON q.case_id = c.case_id GROUP BY ALL)
+SELECT case_id, round(wmax, 6) + 0.0 AS wmax, round(eps, 6) + 0.0 AS epsilon_pair, {", ".join(f"CAST({x} AS INTEGER) AS {n}" for x, n in zip(("c", "d", "cj", "dj", "c AND lost_r", "c AND ex_r > 2 * wmax + 1e-10", "d AND lost_p", "d AND ex_p > eps + 1e-10", "c AND d AND lost_f", "n_r = 0", "outside", "dom_lb", "dom_se", "within", "dom_lb AND NOT within"), AUDIT_FLAGS, strict=True))} FROM e JOIN f USING (case_id)"""
 )
 def simulation_audit(spark: SparkSession, d: str) -> DataFrame:
-    """E2, E3, E4."""
+    """Events, violations that must not occur when bounds cover, and the domination checks."""
     s, truth = simulated(spark)
     a = evaluate.audit(gates.gates(s.system), s.system, truth, ["case_id"])
-    return a.select("case_id", "e_c", "e_d", *r6("wmax", "epsilon_pair"), "v_rect", "v_rect_near")
+    return a.select("case_id", *r6("wmax", "epsilon_pair"), *AUDIT_FLAGS)
 
 
 STRADDLE_SQL = f"""trials AS (SELECT 'straddle/' || rep AS case_id, source, source = 0 AS is_target, i, {bm(81, "rep", "source", "i")} + CASE source WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END AS x1, 0.0 AS x2 FROM (SELECT unnest(range(3)) AS source), (SELECT unnest(range(12)) AS rep), (SELECT unnest(range(60)) AS i))"""

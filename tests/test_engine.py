@@ -111,10 +111,12 @@ def test_numbering_is_a_permutation(spark):
     assert all(x[1] == 0 and x[2] == x[3] - 1 == x[4] - 1 for x in r)
 
 
-def test_splits_partition(spark):
+def test_splits_partition(spark, monkeypatch):
     t = spark.createDataFrame([("s", k, k % 2) for k in range(62)], "subject string, k int, label int")
     s = resample.half_splits(t, 3, 7, ["subject", "k"])
     assert validate.split_partition(s, ["subject", "k"]).count() == 0
+    monkeypatch.setattr(resample, "BUCKET", 5)  # ranked in buckets: the same halves
+    assert s.exceptAll(resample.half_splits(t, 3, 7, ["subject", "k"])).count() == 0
     assert {r["count"] for r in s.groupBy("split", "role", "label").count().collect()} == {15, 16}
 
 
