@@ -96,7 +96,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, by: str, n: int, max_char
     return sorted(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about `max_bytes` of `column` (a larger single text is a slice of its own), to bound what is expanded at once."""
     import numpy as np
     import pyarrow.compute as pc

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, written
 
+SLICE = 2 << 20  # bytes of text searched at once
 HALF = 64  # words: passages are two halves long and start at every half; an indexed segment fits one whole
 K1, B = 1.2, 0.75
 BLOCK = 2
@@ -37,7 +38,7 @@ def term(raw: str) -> str:
 class Terms(dict):
     """Raw lower-case word to term number; -1: not in the index, -2: no word at all. Remembers a bounded number of words."""
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 1 << 19) -> None:
+    def __init__(self, vocabulary: dict[str, int], most: int = 1 << 17) -> None:
         self.vocabulary, self.most = vocabulary, most
 
     def __missing__(self, raw: str) -> int:
@@ -292,7 +293,7 @@ def leaks_in(held, least: float, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = Index(**held.value)
         memo = Terms(x.vocabulary)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             found = list(matches(x, b.column(1).to_pylist(), least, similar, memo))
             if found:
                 row, item, *numbers = zip(*found, strict=True)
@@ -313,7 +314,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, simila
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = Index(**held.value)
             memo = Terms(x.vocabulary)
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", SLICE):
                 clean = np.ones(b.num_rows, bool)
                 for row, *_ in matches(x, b.column(names.index("text")).to_pylist(), least, similar, memo):
                     clean[row] = False
