@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean vector of its character n-grams and of itself (all hashed into buckets), a passage of 64 words the mean
+A word is the mean vector of its character n-grams and of itself (all hashed into buckets), a passage of 32 words the mean
 of its distinct words, so misspellings that were never seen share most of their vectors with what was. The softmax is
 linear, so at scoring time a word's part is one number, the log odds it adds, remembered by word. Runs of over 48
 letters and digits are read through overlapping windows, each a word of its own. The largest and the mean
@@ -29,7 +29,7 @@ DIM = 8
 LONGEST = 48  # characters of a word; a longer run (glued text, scripts without spaces) is read through windows that count as words
 PANE = 16  # characters of a window; they start at every half, so up to nine characters running are whole in one
 MEMO = 1 << 19
-PASSAGE = 64
+PASSAGE = 32
 #: A passage of fewer words counts as if it had so many, in training and in scoring, so that one word proves little.
 LEAST = 16
 #: The softmax's fixed temperature: a few words decide, and their share of a passage is small.
@@ -151,9 +151,13 @@ def evidence(texts: list[str | None], table: list[float], bias: float, memo: dic
 
 
 def fit(rows: list[tuple[int, str, int]], prior: float, least: int = 3, steps: int = 240, rate: float = 2.0, decay: float = 0.0, seed: int = 1) -> Model:
-    """Two thirds of the sampled texts train the embedding, the others the calibration, weighed to the prior of all training labels."""
+    """Seven eighths of the sampled texts of either label train the embedding, every eighth the calibration, weighed to the prior of all training labels."""
     rows = [(t, y) for _, t, y in rows if WORDS.search(t)]
-    parts = [[x for i, x in enumerate(rows) if (i % 3 == 2) == last] for last in (False, True)]
+    seen: Counter = Counter()
+    parts: tuple[list, list] = ([], [])
+    for x in rows:
+        parts[seen[x[1]] % 8 == 1].append(x)
+        seen[x[1]] += 1
     if any({y for _, y in p} != {0, 1} for p in parts):
         return Model(None, 0.0, (0.0, 0.0, 0.0), prior)
     bags = [(b, y) for t, y in parts[0] for b in passages(t)]

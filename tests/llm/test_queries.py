@@ -174,7 +174,7 @@ def test_op8(spark, tables):
     want = Counter()
     for i, t, *_ in rows():
         words = re.findall(r"[^\W_]+", (t or "").lower())
-        parts = [sum(map(odds, sorted(set(words[k : k + 64])))) / max(16, len(set(words[k : k + 64]))) + m.bias for k in range(0, len(words), 64)]
+        parts = [sum(map(odds, sorted(set(words[k : k + 32])))) / max(16, len(set(words[k : k + 32]))) + m.bias for k in range(0, len(words), 32)]
         p = 1 / (1 + math.exp(-(m.weights[0] + m.weights[1] * max(parts) + m.weights[2] * sum(parts) / len(parts)))) if parts else m.prior
         want[i, held(i, 3, 1), round(p, 7), int(p >= 0.7)] += 1
     assert Counter((r["doc_id"], r["held_out"], round(r["score"], 7), r["predicted"]) for r in got) == want
