@@ -6,14 +6,16 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import checkpoint_dir, cut
 
-__all__ = ["SPACE", "WORD", "checkpoint_dir", "cut", "fold", "labelled_texts", "numbered", "removed", "sample_ids", "slices", "table", "written"]
+__all__ = ["SPACE", "WORD", "Bits", "bits_of", "checkpoint_dir", "cut", "fold", "labelled_texts", "numbered", "removed", "sample_ids", "slices", "table", "written"]
 
 #: White space of the contracts: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
@@ -98,7 +100,6 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, by: str, n: int, max_char
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about `max_bytes` of `column` (a larger single text is a slice of its own), to bound what is expanded at once."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for b in batches:
@@ -109,3 +110,41 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             yield b.slice(lo, hi - lo)
+
+
+class Bits:
+    """A set of 64-bit numbers that may hold too many, never too few: two bits of a bit set for each."""
+
+    def __init__(self, words: np.ndarray, bits: int) -> None:
+        self.words, self.bits = words, bits
+
+    def places(self, h: np.ndarray) -> list[np.ndarray]:
+        mask = np.uint64(self.bits - 1)
+        return [(h & mask).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) & mask).astype(np.int64)]
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        hit = [self.words[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in self.places(h)]
+        return (hit[0] & hit[1]).astype(bool)
+
+
+def bits_of(numbers: DataFrame, size: int, most_bits: int = 1 << 28) -> Broadcast:
+    """The `Bits` (its two arguments) of the one long column of `numbers`, to all tasks: 16 bits for each of `size`, `most_bits` (32 MB) at most.
+
+    The set is put together by Spark (a bitwise or for each 64 places), so the driver gets the bit set and no more.
+    """
+    bits = 1 << min(max(10, (16 * size).bit_length()), most_bits.bit_length() - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.concatenate(Bits(np.zeros(0), bits).places(b.column(0).to_numpy().view(np.uint64)))
+            order = np.argsort(p, kind="stable")
+            p = p[order]
+            if len(p):
+                starts = np.flatnonzero(np.diff(p >> 6, prepend=-1))
+                bit = np.left_shift(np.uint64(1), (p & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array((p >> 6)[starts]), pa.array(np.bitwise_or.reduceat(bit, starts).view(np.int64))], names=["at", "word"])
+
+    rows = numbers.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[rows.column("at").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
+    return numbers.sparkSession.sparkContext.broadcast((words, bits))
