@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+from . import resample
+
 
 def means(trials: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
     m = trials.groupBy("case_id", "source", "is_target").agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in features])
@@ -20,27 +27,76 @@ def mean_distance(sources: DataFrame, targets: DataFrame, features: list[str], o
     return sources.join(t, on).select(*keep, delta.alias("delta"))
 
 
-def gaussian_kernel(d2: Column, sigma: float) -> Column:
-    return F.exp(-F.greatest(d2, F.lit(0.0)) / (2 * sigma * sigma))
+def vector_distance(sources: DataFrame, targets: DataFrame, vector: str, on: list[str]) -> DataFrame:
+    """mean_distance of means in array columns of one length."""
+    t = targets.select(*on, F.col("n").alias("_nt"), F.col(vector).alias("_t"))
+    gap = F.aggregate(F.zip_with(vector, "_t", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    keep = [c for c in sources.columns if c not in (vector, "n")]
+    return sources.join(t, on).select(*keep, (gap - F.size(vector) * (F.lit(1.0) / F.col("n") + F.lit(1.0) / F.col("_nt"))).alias("delta"))
+
+
+#: Rows of a tile of a kernel; a divisor of resample.LEAF.
+TILE = 512
+
 
+def kernel_distance(trials: DataFrame, vector: str, sigma: float, replicates: int = 0, seed: int = 0, weight: str | None = None, tile: int = TILE, size: int = resample.LEAF) -> DataFrame:
+    """(case_id, source, b, delta): unbiased squared maximum mean discrepancy of a source from its case's target (F12, F13), b = -1.
 
-def mmd2(x: DataFrame, y: DataFrame, case: list[str], by: str, sigma: float, vector: str = "x", weight: str = "w") -> DataFrame:
-    """(case, by, mmd2): unbiased squared maximum mean discrepancy of each weighted sample `by` of x from the case's y.
+    `weight`: how often a row counts. b from 0: with drawn counts as weights, one target draw for all sources of a case (R6).
+    trials: case_id, source, is_target, i (0 to n - 1 in a session), vector, weight.
 
-    Pairs within a case only, and y's own pairs once for all samples. The pairs of a case are n², as the statistic
-    demands; give cases of bounded size (a sample of the sessions).
+    The kernel's n² pairs are met in tiles: sessions are cut into blocks of `tile` rows, every pair of blocks is a group of
+    two rows, its quadratic forms are matrix products, and only sums leave it. A session's own tiles are met once, not twice,
+    and the target's once for all sources. A session may have any number of rows; the work is what the statistic demands.
     """
+    s = trials.select("case_id", "source", "is_target", "i", F.col(vector).alias("_x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    sessions = s.groupBy("case_id", "source", "is_target").agg((F.max("i") + 1).cast("long").alias("n"), F.sum("_w").alias("_sum")).withColumn("tiles", F.ceil(F.col("n") / tile))
+    tag = F.when(F.col("is_target"), F.concat_ws("|", F.lit(str(seed)), F.lit("t"), F.col("case_id").cast("string"), F.lit("-1"))).otherwise(resample.tagged(s, seed, "s"))
+    rows = s.join(sessions.select("case_id", "source", "is_target", "n"), ["case_id", "source", "is_target"]).withColumn("_tag", tag).withColumn("tile", F.floor(F.col("i") / tile))
 
-    def side(df: DataFrame, on: list[str], k: str) -> DataFrame:
-        return df.select(*on, F.col(vector).alias(f"v{k}"), F.col(weight).alias(f"w{k}"))
+    def packed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("i")
+        at, n = group.column("i").to_numpy(), group.column("n")[0].as_py()
+        counts = np.zeros((0, len(at)), np.int32)
+        if replicates:
+            leaf = int(at[0]) // size
+            counts = resample.weights_of(n, leaf, group.column("_tag")[0].as_py(), replicates, 1, size)[:, at - leaf * size]
+        key = {c: group.column(c).slice(0, 1) for c in ("case_id", "source", "is_target", "tile")}
+        flat = lambda x, kind: pa.array([x.ravel()], pa.list_(kind))
+        return pa.table(key | {"rows": pa.array([len(at)]), "x": flat(group.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False), pa.float64()), "w": flat(group.column("_w").to_numpy(), pa.float64()), "counts": flat(counts, pa.int32())})
 
-    d2 = F.aggregate(F.zip_with("v1", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    total = F.sum(F.col("w1") * F.col("w2") * gaussian_kernel(d2, sigma))
+    kinds = {k: trials.schema[k].dataType.simpleString() for k in ("case_id", "source")}
+    blocks = rows.groupBy("case_id", "source", "is_target", "tile").applyInArrow(packed, f"case_id {kinds['case_id']}, source {kinds['source']}, is_target boolean, tile long, rows long, x array<double>, w array<double>, counts array<int>")
+    blocks = cut(blocks)
+    some = ["rows", "x", "w", "counts"]
+    own = blocks.join(sessions.select("case_id", "source", "is_target", "tiles"), ["case_id", "source", "is_target"])
+    part = F.when(F.col("is_target"), "target").otherwise("own")
+    upto = lambda a, b: F.explode(F.sequence(a, b))
+    pairs = [
+        own.select("case_id", "source", part.alias("part"), F.col("tile").alias("a"), upto(F.col("tile"), F.col("tiles") - 1).alias("z"), F.lit(0).alias("side"), *some),
+        own.select("case_id", "source", part.alias("part"), upto(F.lit(0).cast("long"), F.col("tile")).alias("a"), F.col("tile").alias("z"), F.lit(1).alias("side"), *some),
+    ]
+    of_target = sessions.where("is_target").select("case_id", F.col("tiles").alias("_t"))
+    of_sources = sessions.where("not is_target").select("case_id", F.col("source").alias("_s"), F.col("tiles").alias("_t"))
+    cross = F.lit("cross").alias("part")
+    pairs.append(blocks.where("not is_target").join(of_target, "case_id").select("case_id", "source", cross, F.col("tile").alias("a"), upto(F.lit(0).cast("long"), F.col("_t") - 1).alias("z"), F.lit(0).alias("side"), *some))
+    pairs.append(blocks.where("is_target").join(of_sources, "case_id").select("case_id", F.col("_s").alias("source"), cross, upto(F.lit(0).cast("long"), F.col("_t") - 1).alias("a"), F.col("tile").alias("z"), F.lit(1).alias("side"), *some))
 
-    def within(a: DataFrame, on: list[str], name: str) -> DataFrame:
-        own = a.groupBy(*on).agg(F.sum(weight).alias("n"))
-        # a point with itself has kernel one: of the sum, n stands for copies of a row with themselves
-        return side(a, on, "1").join(side(a, on, "2"), on).groupBy(*on).agg(total.alias("k")).join(own, on).select(*on, ((F.col("k") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias(name), F.col("n").alias(f"n_{name}"))
+    def met(group: pa.Table) -> pa.Table:
+        two = group.sort_by("side").to_pylist()
+        x, y = (np.array(r["x"]).reshape(r["rows"], -1) for r in two)
+        k = np.exp(-np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0) / (2 * sigma * sigma))
+        v, w = (np.vstack([np.array(r["w"]), np.array(r["counts"], float).reshape(replicates, r["rows"])]) for r in two)
+        found = ((v @ k) * w).sum(1) * (2 if two[0]["part"] != "cross" and two[0]["a"] < two[0]["z"] else 1)
+        key = {c: pa.array([two[0][c]] * len(found), group.schema.field(c).type) for c in ("case_id", "source", "part")}
+        return pa.table(key | {"b": pa.array(np.arange(-1, replicates), pa.int32()), "value": found})
 
-    cross = side(x, [*case, by], "1").join(side(y, case, "2"), case).groupBy(*case, by).agg(total.alias("kxy"))
-    return within(x, [*case, by], "uxx").join(within(y, case, "uyy"), case).join(cross, [*case, by]).select(*case, by, (F.col("uxx") + F.col("uyy") - 2 * F.col("kxy") / (F.col("n_uxx") * F.col("n_uyy"))).alias("mmd2"))
+    sums = reduce(DataFrame.unionByName, pairs).groupBy("case_id", "source", "part", "a", "z").applyInArrow(met, f"case_id {kinds['case_id']}, source {kinds['source']}, part string, b int, value double")
+    sums = cut(sums.groupBy("case_id", "source", "part", "b").agg(F.sum("value").alias("value")))
+    n = F.when(F.col("b") < 0, F.col("_sum")).otherwise(F.col("n"))
+    within = sums.where("part <> 'cross'").join(sessions, ["case_id", "source"]).where((F.col("part") == "target") == F.col("is_target"))
+    within = within.select("case_id", "source", "part", "b", n.alias("c"), ((F.col("value") - n) / (n * (n - 1))).alias("u"))  # a row with itself, as often as it counts, has kernel one
+    mine = within.where("part = 'own'").select("case_id", "source", "b", "u", "c")
+    theirs = within.where("part = 'target'").select("case_id", "b", F.col("u").alias("_u"), F.col("c").alias("_c"))
+    both = sums.where("part = 'cross'").select("case_id", "source", "b", "value").join(mine, ["case_id", "source", "b"]).join(theirs, ["case_id", "b"])
+    return both.select("case_id", "source", "b", (F.col("u") + F.col("_u") - 2 * F.col("value") / (F.col("c") * F.col("_c"))).alias("delta"))

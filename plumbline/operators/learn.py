@@ -20,12 +20,12 @@ def stack(column: pd.Series, channels: int) -> np.ndarray:
 def matrix_draws(trials: DataFrame, channels: int, replicates: int, seed: int, lam: float = 0.1, metric: str = "airm", shared: bool = True, block: int = 1) -> DataFrame:
     """(case_id, b, source, delta): count bootstrap of mean matrices, shrunk, against the target's (R2 - R5, F2 - F6); b = -1 holds the estimate.
 
-    trials: case_id, source, is_target, i, cov (row-major). A session's draws are matrix products in one task (its size is
-    checked); distances are taken in batches over all replicates of all sources.
+    trials: case_id, source, is_target, i, cov (row-major). A leaf's draws are matrix products in one task, of a
+    session of any size; distances are taken in batches over all replicates of all sources.
     """
     distance: Callable = spd.METRICS[metric]
-    s, t = resample.vector_draws(trials, "cov", channels * channels, replicates, seed, shared, block)
-    both = s.join(t.withColumnRenamed("cov", "_t"), ["case_id", "b"] if shared else ["case_id", "source", "b"])
+    s, t = resample.vector_draws(trials, "cov", replicates, seed, shared, block)
+    both = s.drop("n").join(t.drop("n").withColumnRenamed("cov", "_t"), ["case_id", "b"] if shared else ["case_id", "source", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

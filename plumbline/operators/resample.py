@@ -1,32 +1,34 @@
 """Resampling with a target draw that all sources of a case share.
 
-Two designs. `index_draws` draws n positions with replacement (a multinomial): a session of moderate size, checked, is
-drawn from in one task in numpy, so its rows are shuffled once and never multiplied; larger ones by a join of the drawn
-positions. `poisson_draws` gives every row a Poisson(1) weight for each replicate from a hash of its own key; weights times
-features are matrix products over Arrow batches, and only (case, source, replicate) sums leave a task, whatever the number
-of rows. Both are keyed, so reruns and any partitioning agree.
+Two designs. `index_draws` draws n positions with replacement (a multinomial) from a session of any size: the number of
+draws is split between halves of the range of positions, again and again down to leaves of `LEAF` positions, by binomial
+numbers that are keyed by replicate and range. So a leaf's rows learn their own counts from the log n splits above them;
+rows are shuffled once, to their leaf, and only (case, source, replicate) sums leave a task. `poisson_draws` gives every
+row a Poisson(1) weight for each replicate from a hash of its own key, without positions. Weights times features are matrix
+products over Arrow batches. Both are keyed, so reruns and any partitioning agree.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import keyed
 
-#: Numbers (rows x features) of a session up to which one task draws from it: 160 MB.
+#: Numbers that one task may hold of a group it works on at once: 160 MB.
 MOST = 20_000_000
 #: Rows ranked by one task.
 BUCKET = 1 << 18
-#: Drawn positions in a row of the join's left side.
-SPAN = 1 << 16
+#: Positions of a leaf, whose draws are made one by one.
+LEAF = 8192
 
 
 def matrix(columns: list[pa.Array]) -> np.ndarray:
@@ -34,62 +36,126 @@ def matrix(columns: list[pa.Array]) -> np.ndarray:
     return np.column_stack([np.asarray(c.fill_null(0.0)) for c in columns]) if columns else np.zeros((0, 0))
 
 
-def counts_of_draws(n: int, tag: str, replicates: int, block: int = 1) -> Iterator[np.ndarray]:
-    """How often each of n places is drawn: for each replicate a polynomial of its own, at the place's number over `block`."""
+def places(tag: str, replicates: int, draws: np.ndarray, n: int, step: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    """(replicate, positions drawn among n): for each replicate a polynomial of its own, at the number of each draw."""
     c = keyed.words(b"".join(hashlib.md5(f"{tag}|{b}".encode()).digest() for b in range(replicates)))
-    j = np.arange(n)
+    j = np.arange(int(draws.max(initial=0)), dtype=np.int64)
     for b in range(replicates):
-        at = keyed.values(c[b], j // block + 1) % n
-        yield np.bincount((at + j % block) % n if block > 1 else at, minlength=n)
+        yield b, keyed.values(c[b], j[: draws[b]] // step + 1) % n
 
 
-def means_of_draws(x: np.ndarray, tag: str, replicates: int, block: int = 1) -> np.ndarray:
-    """[replicate, feature] means of `x` at n drawn places."""
-    return np.stack([w @ x / len(x) for w in counts_of_draws(len(x), tag, replicates, block)])
+@dataclass
+class Leaf:
+    """Draws that fall into one leaf: counts[replicate, position], and how many of a replicate fall before it."""
 
+    counts: np.ndarray
+    before: np.ndarray
 
-def index_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, shared: bool = True, block: int = 1, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+
+def leaf_draws(n: int, leaf: int, tag: str, replicates: int, draws: int, size: int = LEAF) -> Leaf:
+    """The part of `draws` draws from n positions that falls into a leaf: exactly multinomial over all leaves, in numpy's binomials.
+
+    A range of leaves is split at its middle one; a split's numbers are keyed by `tag` and the range, so whoever asks for a
+    leaf below gets the same. Sessions of one leaf have no splits.
+    """
+    leaves = -(-n // size)
+    c, before = np.full(replicates, draws, np.int64), np.zeros(replicates, np.int64)
+    lo, hi = 0, leaves
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        key = int.from_bytes(hashlib.md5(f"{tag}|{lo}-{hi}".encode()).digest(), "big")
+        left = np.random.Generator(np.random.Philox(key=key)).binomial(c, (mid - lo) * size / (min(hi * size, n) - lo * size))
+        if leaf < mid:
+            c, hi = left, mid
+        else:
+            c, before, lo = c - left, before + left, mid
+    own = min(n, (leaf + 1) * size) - leaf * size
+    counts = np.empty((replicates, own), np.int32)
+    for b, at in places(tag if leaves == 1 else f"{tag}|{leaf}", replicates, c, own):
+        counts[b] = np.bincount(at, minlength=own)
+    return Leaf(counts, before)
+
+
+def block_draws(n: int, leaf: int, tag: str, replicates: int, block: int, size: int = LEAF) -> np.ndarray:
+    """counts[replicate, position of the leaf] of circular moving blocks: ceil(n / block) starts, each with `block` positions from it on, wrapped; the last one is cut so that n are drawn in all."""
+    lo, hi = leaf * size, min(n, (leaf + 1) * size)
+    if n <= size:
+        out = np.empty((replicates, n), np.int32)
+        j = np.arange(n)
+        for b, at in places(tag, replicates, np.full(replicates, n), n, block):
+            out[b] = np.bincount((at + j % block) % n, minlength=n)
+        return out
+    whole = n // block  # starts of uncut blocks
+    steps = np.zeros((replicates, hi - lo + 1), np.int64)  # how the number of blocks over a position changes
+    first = lo - min(block, n) + 1
+    near = range(first // size, (hi - 1) // size + 1) if first >= 0 else {*range((hi - 1) // size + 1), *range(first % n // size, -(-n // size))}
+    for k in near:
+        starts = np.arange(k * size, min(n, (k + 1) * size))
+        c = leaf_draws(n, k, tag, replicates, whole, size).counts
+        for wrap in (-n, 0, n):
+            begin, end = np.clip(starts + wrap - lo, 0, hi - lo), np.clip(starts + wrap + block - lo, 0, hi - lo)
+            over = np.flatnonzero(end > begin)
+            np.add.at(steps, (slice(None), begin[over]), c[:, over])
+            np.subtract.at(steps, (slice(None), end[over]), c[:, over])
+    out = np.cumsum(steps, axis=1)[:, :-1].astype(np.int32)
+    if rest := n % block:
+        for b in range(replicates):
+            key = int.from_bytes(hashlib.md5(f"{tag}|{b}|last".encode()).digest()[:8], "big")
+            at = (key * n >> 64) + np.arange(rest)
+            at = at % n - lo
+            np.add.at(out[b], at[(at >= 0) & (at < hi - lo)], 1)
+    return out
+
+
+def weights_of(n: int, leaf: int, tag: str, replicates: int, block: int = 1, size: int = LEAF) -> np.ndarray:
+    """How often each position of a leaf is drawn, [replicate, position], when n are drawn from n."""
+    return leaf_draws(n, leaf, tag, replicates, n, size).counts if block == 1 else block_draws(n, leaf, tag, replicates, block, size)
+
+
+def index_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, shared: bool = True, block: int = 1, size: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(sources, targets) of replicate means: (case_id, source, b, n, features) and (case_id[, source], b, n, features).
 
-    `block` over 1: circular moving blocks; ceil(n / block) starts, wrapped and cut to n (R5). `shared` false: a target
-    draw for each source (the wrong-target ablation, R3). Sessions of over `most` numbers are drawn from by a join.
+    `block` over 1: circular moving blocks (R5). `shared` false: a target draw for each source (the wrong-target ablation,
+    R3). Positions `i` of a session run from 0 to n - 1; a session may have any number of rows.
     """
-    sessions = trials.groupBy("case_id", "source", "is_target").agg(F.count("*").alias("n"))
-    s = sessions.where("not is_target").drop("is_target")
-    t = sessions.where("is_target").drop("is_target", "source")
-    t = t.withColumn("source", F.lit(-1)) if shared else t.join(s.select("case_id", "source"), "case_id")
-    own = trials.where("not is_target").select("case_id", "source", "i", *features)
-    target = trials.where("is_target").select("case_id", "i", *features)
-    if (sessions.agg(F.max("n")).first()[0] or 0) * len(features) <= most:
-        pool = target.withColumn("source", F.lit(-1)) if shared else target.join(s.select("case_id", "source"), "case_id")
-        drawn_s, drawn_t = drawn(own, features, replicates, seed, "s", block), drawn(pool, features, replicates, seed, "t", block)
-    else:
-        drawn_s = gathered(s, own, ["case_id", "source"], features, replicates, seed, "s", block)
-        drawn_t = gathered(t, target, ["case_id"], features, replicates, seed, "t", block)
-    return drawn_s, drawn_t.drop("source") if shared else drawn_t
-
-
-def drawn(pool: DataFrame, features: list[str], replicates: int, seed: int, tag: str, block: int) -> DataFrame:
-    """Replicate means of each (case_id, source), a task for each."""
-    rows = pool.select("case_id", "source", tagged(pool, seed, tag).alias("_tag"), "i", *[F.col(f).cast("double").alias(f) for f in features])
+    both = pools(trials, features, shared)
+    out = [drawn(p, "_v", replicates, seed, tag, block, size).select("case_id", "source", "b", "n", *[F.col("_v")[k].alias(f) for k, f in enumerate(features)]) for p, tag in both]
+    return out[0].where("b >= 0"), (out[1].drop("source") if shared else out[1]).where("b >= 0")
+
+
+def pools(trials: DataFrame, values: list[str] | str, shared: bool) -> list[tuple[DataFrame, str]]:
+    """(rows with case_id, source, i, the values as an array, tag) of the sources, and of the targets: once, or for each source."""
+    v = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in values]).alias("_v") if isinstance(values, list) else F.col(values)
+    s = trials.where("not is_target").select("case_id", "source", "i", v)
+    t = trials.where("is_target").select("case_id", F.lit(-1).cast(trials.schema["source"].dataType).alias("source"), "i", v)
+    if not shared:
+        t = t.drop("source").join(s.select("case_id", "source").distinct(), "case_id")
+    return [(s, "s"), (t, "t")]
+
+
+def drawn(pool: DataFrame, vector: str, replicates: int, seed: int, tag: str, block: int = 1, size: int = LEAF) -> DataFrame:
+    """(case_id, source, b, n, vector): replicate means of an array column; b = -1 holds the plain ones. Arrays of a pool have one length."""
+    n = pool.groupBy("case_id", "source").agg(F.max("i").alias("_last"))
+    rows = pool.join(n, ["case_id", "source"]).select("case_id", "source", tagged(pool, seed, tag).alias("_tag"), "i", (F.col("_last") + 1).cast("long").alias("n"), vector, F.floor(F.col("i") / size).alias("_leaf"))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("i")
-        x = means_of_draws(matrix([group.column(f).combine_chunks() for f in features]), group.column("_tag")[0].as_py(), replicates, block)
-        key = {k: pa.array([group.column(k)[0].as_py()] * replicates, group.schema.field(k).type) for k in ("case_id", "source")}
-        return pa.table(key | {"b": pa.array(np.arange(replicates), pa.int32()), "n": pa.array(np.full(replicates, group.num_rows))} | {f: x[:, k] for k, f in enumerate(features)})
+        total, leaf = group.column("n")[0].as_py(), group.column("_leaf")[0].as_py()
+        x = group.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        w = weights_of(total, leaf, group.column("_tag")[0].as_py(), replicates, block, size)[:, group.column("i").to_numpy() - leaf * size]
+        order = np.argsort(group.column("i").to_numpy(), kind="stable")  # sums that do not depend on the order of arrival
+        m = np.vstack([x[order].sum(0), w[:, order] @ x[order]]) / total
+        key = {k: pa.array([group.column(k)[0].as_py()] * len(m), group.schema.field(k).type) for k in ("case_id", "source")}
+        return pa.table(key | {"b": pa.array(np.arange(-1, replicates), pa.int32()), "n": pa.array([total] * len(m)), vector: pa.array(list(m), pa.list_(pa.float64()))})
 
-    schema = StructType([pool.schema["case_id"], pool.schema["source"], StructField("b", IntegerType()), StructField("n", LongType()), *[StructField(f, DoubleType()) for f in features]])
-    return rows.groupBy("case_id", "source").applyInArrow(run, schema)
+    schema = StructType([pool.schema["case_id"], pool.schema["source"], StructField("b", IntegerType()), StructField("n", LongType()), StructField(vector, ArrayType(DoubleType()))])
+    parts = rows.groupBy("case_id", "source", "_leaf").applyInArrow(run, schema)
+    return array_sums(parts, ["case_id", "source", "b", "n"], vector)
 
 
-def gathered(groups: DataFrame, pool: DataFrame, on: list[str], features: list[str], replicates: int, seed: int, tag: str, block: int) -> DataFrame:
-    """The same by a join, for sessions of any size: spans of drawn places are dealt out, then laid out and looked up."""
-    spans = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SPAN))))
-    spans = spans.withColumn("_d", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("case_id").cast("string"), F.col("source").cast("string"), F.col("b").cast("string")))).repartition("case_id", "source", "b", "_k")
-    d = spans.withColumn("j", F.explode(F.sequence(F.col("_k") * SPAN, F.least(F.col("n"), (F.col("_k") + 1) * SPAN) - 1)))
-    at = F.pmod(F.pmod(keyed.value(F.col("_d"), F.floor(F.col("j") / block) + 1), F.col("n")) + F.pmod(F.col("j"), F.lit(block)), F.col("n"))
-    return d.withColumn("i", at).join(pool, [*on, "i"]).groupBy("case_id", "source", "b", "n").agg(*[(F.sum(f) / F.col("n")).alias(f) for f in features])
+def array_sums(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """Sums of an array column, place by place, with map-side sums."""
+    s = df.select(*by, F.posexplode(vector).alias("_k", "_x")).groupBy(*by, "_k").agg(F.sum("_x").alias("_x"))
+    return s.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_x"))), lambda p: p["_x"]).alias(vector))
 
 
 def poisson_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -139,69 +205,55 @@ def tagged(pool: DataFrame, seed: int, tag: str) -> Column:
     return F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("case_id").cast("string"), F.col("source").cast("string"))
 
 
-def bounded(trials: DataFrame, numbers: int, most: int = MOST) -> None:
-    """ValueError if a session holds over `most` numbers, `numbers` to a row: one task works on it."""
-    n = trials.groupBy("case_id", "source").count().agg(F.max("count")).first()[0] or 0
-    if n * numbers > most:
-        raise ValueError(f"a session of {n} rows is too large for one task: sample it, or use keyed weights")
+def vector_draws(trials: DataFrame, vector: str, replicates: int, seed: int, shared: bool = True, block: int = 1, size: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """index_draws of an array column: (case_id, source, b, n, vector) and (case_id[, source], b, n, vector); row b = -1 holds the plain means."""
+    s, t = (drawn(p, vector, replicates, seed, tag, block, size) for p, tag in pools(trials, vector, shared))
+    return s, t.drop("source") if shared else t
 
 
-def vector_draws(trials: DataFrame, vector: str, width: int, replicates: int, seed: int, shared: bool = True, block: int = 1) -> tuple[DataFrame, DataFrame]:
-    """index_draws of an array column of `width` numbers; row b = -1 holds the plain means."""
-    bounded(trials, width)
-    s = trials.where("not is_target").select("case_id", "source", "i", vector)
-    t = trials.where("is_target").select("case_id", "i", vector)
-    t = t.withColumn("source", F.lit(-1)) if shared else t.join(s.select("case_id", "source").distinct(), "case_id")
-
-    def draw(pool: DataFrame, tag: str) -> DataFrame:
-        def run(group: pa.Table) -> pa.Table:
-            group = group.sort_by("i")
-            x = group.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, width)
-            m = np.vstack([x.mean(0), means_of_draws(x, group.column("_tag")[0].as_py(), replicates, block)])
-            key = {k: pa.array([group.column(k)[0].as_py()] * len(m), group.schema.field(k).type) for k in ("case_id", "source")}
-            return pa.table(key | {"b": pa.array(np.arange(-1, replicates), pa.int32()), vector: pa.array(list(m), pa.list_(pa.float64()))})
+def multinomial_counts(trials: DataFrame, replicates: int, seed: int, size: int = LEAF) -> DataFrame:
+    """(case_id, source, b, i, w): how often each position is drawn; positions never drawn are absent (R2)."""
+    n = trials.groupBy("case_id", "source").agg(F.count("*").alias("n"))
+    leaves = n.select("case_id", "source", "n", tagged(n, seed, "w").alias("_tag"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))).alias("_leaf")).repartition("case_id", "source", "_leaf")
 
-        schema = StructType([pool.schema["case_id"], pool.schema["source"], StructField("b", IntegerType()), StructField(vector, ArrayType(DoubleType()))])
-        return pool.select("case_id", "source", tagged(pool, seed, tag).alias("_tag"), "i", vector).groupBy("case_id", "source").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in batches:
+            for k in range(g.num_rows):
+                row = {c: g.column(c)[k].as_py() for c in g.schema.names}
+                w = weights_of(row["n"], row["_leaf"], row["_tag"], replicates, 1, size)
+                b, i = np.nonzero(w)
+                key = [pa.array([row[c]] * len(b), g.schema.field(c).type) for c in ("case_id", "source")]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(b, pa.int32()), pa.array(i + row["_leaf"] * size), pa.array(w[b, i].astype(np.int64))], names=["case_id", "source", "b", "i", "w"])
 
-    drawn_t = draw(t, "t")
-    return draw(s, "s"), drawn_t.drop("source") if shared else drawn_t
+    kinds = {c: trials.schema[c].dataType.simpleString() for c in ("case_id", "source")}
+    return leaves.mapInArrow(run, f"case_id {kinds['case_id']}, source {kinds['source']}, b int, i long, w long")
 
 
-def kernel_draws(trials: DataFrame, vector: str, replicates: int, seed: int, sigma: float, most: int = 4096) -> DataFrame:
-    """(case_id, source, b, delta): unbiased MMD² with drawn counts as weights (R6), one target draw for all sources of a case.
+def outer_samples(trials: DataFrame, vector: str, replicates: int, seed: int, source: float = 1.0, target: float = 0.5, size: int = LEAF) -> DataFrame:
+    """(case_id = case/replicate, source, is_target, i, vector): each session drawn with replacement, `outer_size` rows of it.
 
-    A source meets its target in one task, which holds their kernel: sessions of over `most` rows are refused.
+    A row appears as often as it is drawn; positions follow those it was drawn from, copies in a row. Sizes of replicates
+    are one; no drawn position is looked up.
     """
-    bounded(trials, 1, most)
-    s = trials.where("not is_target").select("case_id", "source", "is_target", "i", vector)
-    t = trials.where("is_target").select("case_id", "is_target", "i", vector).join(s.select("case_id", "source").distinct(), "case_id")
-    rows = s.unionByName(t).withColumn("_s", tagged(s, seed, "s")).withColumn("_t", F.concat_ws("|", F.lit(str(seed)), F.lit("t"), F.col("case_id").cast("string"), F.lit("-1")))
+    n = trials.groupBy("case_id", "source", "is_target").agg(F.max("i").alias("_last"))
+    m = F.when(F.col("is_target"), outer_size(F.col("n"), target)).otherwise(outer_size(F.col("n"), source))
+    n = n.withColumn("n", (F.col("_last") + 1).cast("long")).withColumn("_m", m).drop("_last")
+    rows = trials.join(n, ["case_id", "source", "is_target"]).select("case_id", "source", "is_target", tagged(trials, seed, "o").alias("_tag"), "i", "n", "_m", vector, F.floor(F.col("i") / size).alias("_leaf"))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("is_target", "ascending"), ("i", "ascending")])
-        z = np.stack(group.column(vector).combine_chunks().to_numpy(zero_copy_only=False))
-        norm = (z**2).sum(1)
-        k = np.exp(-np.maximum(norm[:, None] + norm[None, :] - 2 * z @ z.T, 0) / (2 * sigma * sigma))
-        nt = int(np.count_nonzero(group.column("is_target")))
-        n = len(z) - nt
-        a = np.stack(list(counts_of_draws(n, group.column("_s")[0].as_py(), replicates)))
-        b = np.stack(list(counts_of_draws(nt, group.column("_t")[0].as_py(), replicates)))
-        form = lambda x, m, y: ((x @ m) * y).sum(1)
-        own = lambda x, m, c: (form(x, m, x) - c) / (c * (c - 1))
-        delta = own(a, k[:n, :n], n) + own(b, k[n:, n:], nt) - 2 * form(a, k[:n, n:], b) / (n * nt)
-        key = {c: pa.array([group.column(c)[0].as_py()] * replicates, group.schema.field(c).type) for c in ("case_id", "source")}
-        return pa.table(key | {"b": pa.array(np.arange(replicates), pa.int32()), "delta": delta})
-
-    return rows.groupBy("case_id", "source").applyInArrow(run, StructType([s.schema["case_id"], s.schema["source"], StructField("b", IntegerType()), StructField("delta", DoubleType())]))
-
-
-def multinomial_counts(trials: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(case_id, source, b, i, w): how often each position is drawn; positions never drawn are absent (R2)."""
-    n = trials.groupBy("case_id", "source").agg(F.count("*").alias("n"))
-    d = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = keyed.index(F.col("n"), seed, F.col("case_id"), F.col("source"), F.col("b"), F.col("j"))
-    return d.withColumn("i", at).groupBy("case_id", "source", "b", "i").agg(F.count("*").alias("w"))
+        group = group.sort_by("i")
+        leaf = group.column("_leaf")[0].as_py()
+        found = leaf_draws(group.column("n")[0].as_py(), leaf, group.column("_tag")[0].as_py(), replicates, group.column("_m")[0].as_py(), size)
+        w = found.counts[:, group.column("i").to_numpy() - leaf * size]
+        b = np.repeat(np.arange(replicates), w.sum(1))
+        row = np.concatenate([np.repeat(np.arange(group.num_rows), w[k]) for k in range(replicates)])
+        i = np.concatenate([found.before[k] + np.arange(w[k].sum()) for k in range(replicates)])
+        case = pa.array([f"{group.column('case_id')[0].as_py()}/{k}" for k in b], pa.string())
+        taken = group.select(["source", "is_target", vector]).take(pa.array(row))
+        return pa.table({"case_id": case, "source": taken.column("source"), "is_target": taken.column("is_target"), "i": pa.array(i), vector: taken.column(vector)})
+
+    schema = StructType([StructField("case_id", StringType()), trials.schema["source"], trials.schema["is_target"], StructField("i", LongType()), trials.schema[vector]])
+    return rows.groupBy("case_id", "source", "is_target", "_leaf").applyInArrow(run, schema)
 
 
 def outer_size(n: Column, fraction: float, least: int = 8) -> Column:

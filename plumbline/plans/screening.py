@@ -31,21 +31,23 @@ class Screening:
 METHODS = ["rect", "pair", "ref", "rect_j", "pair_j", "ref_j", "eb", "mcs", "top1", "top3", "threshold", "midpoint", "all_sources"]
 
 
-def screen(trials: DataFrame, features: list[str], replicates: int, seed: int, key: list[str] | None = None, shared: bool = True, block: int = 1) -> Screening:
-    """With `key`, Poisson weights keyed by those columns (any size); else index draws of the positions `i`. 
+def screen(trials: DataFrame, features: list[str] | str, replicates: int, seed: int, key: list[str] | None = None, shared: bool = True, block: int = 1) -> Screening:
+    """With `key`, Poisson weights keyed by those columns; else index draws of the positions `i`. Features: columns, or one array column.
 
     Estimates and packed draws, read by several consumers, are cut off by a checkpoint, as are numbered trials; nothing stays cached.
     """
-    if not key:
-        trials = cut(trials.select("case_id", "source", "is_target", "i", *features))  # read four times
-    s, t = discrepancy.means(trials, features)
-    est = discrepancy.mean_distance(s, t, features, ["case_id"])
+    on = ["case_id", "b"] if shared else ["case_id", "source", "b"]
     if key:
+        s, t = discrepancy.means(trials, features)
+        est = discrepancy.mean_distance(s, t, features, ["case_id"])
         ds, dt = resample.poisson_draws(trials, features, replicates, seed, key)
         draws = discrepancy.mean_distance(ds, dt, features, ["case_id", "b"])
     else:
-        ds, dt = resample.index_draws(trials, features, replicates, seed, shared, block)
-        draws = discrepancy.mean_distance(ds, dt, features, ["case_id", "b"] if shared else ["case_id", "source", "b"])
+        x = F.col(features) if isinstance(features, str) else F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+        trials = cut(trials.select("case_id", "source", "is_target", "i", x.alias("_v")))  # read four times
+        ds, dt = resample.vector_draws(trials, "_v", replicates, seed, shared, block)
+        draws = cut(discrepancy.vector_distance(ds, dt, "_v", on))
+        est, draws = draws.where("b < 0").drop("b"), draws.where("b >= 0")
     est = cut(system.finite(est))
     packed = cut(system.pack(est, system.finite(draws), ["case_id"]))
     return Screening(est, packed, system.build(est, None, packed=packed))

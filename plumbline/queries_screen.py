@@ -86,9 +86,15 @@ ev AS (SELECT 'events' AS case_id, source, source = (SELECT max(source) FROM cod
 {o.numbered("ev", "trials", "case_id, source", "row_key")}"""
 
 
+def whole_vector() -> F.Column:
+    """A vector's 64 values times four; vectors of another length are refused when they are met."""
+    own = F.when(F.size("embedding") == DIMENSIONS, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("vector of another length: "), F.col("vec_id"))))
+    return F.transform(own, lambda e: e.cast("double") * 4)
+
+
 def vector_trials(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings by label; the last label is the target; every dimension is a feature."""
-    e = read(spark, d, "embeddings").select(F.lit("vectors").alias("case_id"), F.col("label").alias("source"), F.col("vec_id").cast("string").alias("row_key"), "vec_id", *[(F.col("embedding")[k].cast("double") * 4).alias(f"x{k + 1}") for k in range(DIMENSIONS)])
+    """Embeddings by label; the last label is the target; every dimension is a feature, in the array `x`."""
+    e = read(spark, d, "embeddings").select(F.lit("vectors").alias("case_id"), F.col("label").alias("source"), F.col("vec_id").cast("string").alias("row_key"), "vec_id", whole_vector().alias("x"))
     last = e.agg(F.max("source").alias("last"))
     e = e.crossJoin(F.broadcast(last)).withColumn("is_target", F.col("source") == F.col("last")).drop("last")
     return roles.numbered(e, ["case_id", "source"], ["row_key"])
@@ -156,13 +162,13 @@ def screen_events_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(o.with_(VECTOR_SQL, o.estimates("trials", V), o.index_draws("trials", B, 31, features=V), o.system()) + GATE_SELECT)
 def screen_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return gate_rows(screen(vector_trials(spark, d), V, B, 31))
+    return gate_rows(screen(vector_trials(spark, d), "x", B, 31))
 
 
 @query(o.with_(VECTOR_SQL, o.estimates("trials", V), o.index_draws("trials", B, 31, shared=False, features=V), o.system()) + GATE_SELECT)
 def screen_vectors_wrong_target(spark: SparkSession, d: str) -> DataFrame:
     """A target draw for each source."""
-    return gate_rows(screen(vector_trials(spark, d), V, B, 31, shared=False))
+    return gate_rows(screen(vector_trials(spark, d), "x", B, 31, shared=False))
 
 
 @query(
@@ -171,7 +177,7 @@ def screen_vectors_wrong_target(spark: SparkSession, d: str) -> DataFrame:
 )
 def contrast_bounds(spark: SparkSession, d: str) -> DataFrame:
     """All ordered contrasts."""
-    return screen(vector_trials(spark, d), V, B, 31).system.contrasts.select("case_id", "j", "l", *r6("d_hat", "se", "lower", "lower_j"))
+    return screen(vector_trials(spark, d), "x", B, 31).system.contrasts.select("case_id", "j", "l", *r6("d_hat", "se", "lower", "lower_j"))
 
 
 BUDGETS = (49, 99, B)
@@ -183,7 +189,7 @@ BUDGET_PRE = o.with_(
 
 
 def budget_screens(spark: SparkSession, d: str):
-    s = screen(vector_trials(spark, d), V, B, 31)
+    s = screen(vector_trials(spark, d), "x", B, 31)
     n = spark.createDataFrame([(b,) for b in BUDGETS], "budget int")
     tag = F.concat_ws("/", "case_id", "budget")
     draws = cut(s.draws.join(F.broadcast(n), F.col("b") < F.col("budget")).withColumn("case_id", tag).drop("budget"))
@@ -224,7 +230,8 @@ def se_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 OUTER = 6
 AUDIT_SQL = f"""outer_n AS (SELECT case_id, source, is_target, greatest(8, CAST(round_even(count(*) * CASE WHEN is_target THEN 0.5 ELSE 1.0 END, 0) AS BIGINT)) AS m, count(*) AS n FROM trials GROUP BY case_id, source, is_target),
 outer_i AS (SELECT case_id, source, is_target, n, rep, unnest(range(m)) AS j FROM outer_n, (SELECT unnest(range({OUTER})) AS rep)),
-outer_t AS (SELECT g.case_id || '/' || rep AS case_id, g.source, g.is_target, j AS i, {', '.join(V)} FROM (SELECT *, {o.number("md5('41|' || source || '|' || rep || '|' || j)")} % n AS at FROM outer_i) g JOIN trials x ON x.source = g.source AND x.i = g.at)"""
+outer_p AS (SELECT *, ({o.polynomial("md5('41|o|vectors|' || source || '|' || rep)", "(j + 1)")}) % n AS at FROM outer_i),
+outer_t AS (SELECT g.case_id || '/' || rep AS case_id, g.source, g.is_target, row_number() OVER (PARTITION BY g.source, rep ORDER BY at, j) - 1 AS i, {', '.join(V)} FROM outer_p g JOIN trials x ON x.source = g.source AND x.i = g.at)"""
 
 
 @query(
@@ -234,15 +241,10 @@ FROM gate g JOIN truth t USING (source) JOIN (SELECT c.case_id, CAST(bool_and(a.
 )
 def outer_audit(spark: SparkSession, d: str) -> DataFrame:
     """Resampled cases screened, held against the estimates of all data."""
-    t = cut(vector_trials(spark, d).select("case_id", "source", "is_target", "i", *V))
-    s, tg = discrepancy.means(t, V)
-    truth = discrepancy.mean_distance(s, tg, V, ["case_id"]).select("source", F.col("delta").alias("true"))
-    n = t.groupBy("source", "is_target").agg(F.count("*").alias("n"))
-    m = F.when(F.col("is_target"), resample.outer_size(F.col("n"), 0.5)).otherwise(resample.outer_size(F.col("n"), 1.0))
-    g = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(OUTER - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), m - 1)))
-    g = g.withColumn("i", keyed.index(F.col("n"), 41, F.col("source"), F.col("rep"), F.col("j")))
-    outer = g.join(t.drop("is_target"), ["source", "i"]).select(F.concat_ws("/", "case_id", "rep").alias("case_id"), "source", "is_target", F.col("j").alias("i"), *V)
-    sc = screen(outer, V, B, 43)
+    t = cut(vector_trials(spark, d).select("case_id", "source", "is_target", "i", "x"))
+    whole = resample.vector_draws(t, "x", 0, 41)
+    truth = discrepancy.vector_distance(*whole, "x", ["case_id", "b"]).select("source", F.col("delta").alias("true"))
+    sc = screen(resample.outer_samples(t, "x", OUTER, 41), "x", B, 43)
     cases = sc.est.select("case_id").distinct()
     cover = evaluate.coverage(sc.system, cases.crossJoin(truth), ["case_id"])
     size = gates.gates(sc.system).groupBy("case_id").agg(F.sum("ref").alias("set_size"))
@@ -338,8 +340,7 @@ SELECT x.source, round(a.u + t.u - 2 * x.c, 9) + 0.0 AS mmd2 FROM x JOIN uu a ON
 )
 def kernel_discrepancy(spark: SparkSession, d: str) -> DataFrame:
     """Unbiased MMD² of each label against the last; the target's own pairs are met once."""
-    v = vector_trials(spark, d).select("case_id", "source", "is_target", F.array(*V).alias("x"), F.lit(1).alias("w"))
-    return discrepancy.mmd2(v.where("not is_target"), v.where("is_target"), ["case_id"], "source", SIGMA).select("source", F.round("mmd2", 9).alias("mmd2"))
+    return discrepancy.kernel_distance(vector_trials(spark, d), "x", SIGMA).select("source", (F.round("delta", 9) + 0.0).alias("mmd2"))
 
 
 KERNEL_B = 49
@@ -357,7 +358,7 @@ SELECT source, count(*) AS draws, round(avg(mmd2), 8) + 0.0 AS mean, round(stdde
 )
 def kernel_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap of MMD² with drawn counts as weights of the kernel's quadratic forms; one target draw for all labels."""
-    m = resample.kernel_draws(vector_trials(spark, d).select("case_id", "source", "is_target", "i", F.array(*V).alias("x")), "x", KERNEL_B, 35, SIGMA)
+    m = discrepancy.kernel_distance(vector_trials(spark, d), "x", SIGMA, KERNEL_B, 35).where("b >= 0")
     q = lambda p: F.percentile("delta", F.lit(p))
     return m.groupBy("source").agg(F.count("*").alias("draws"), *[F.round(x, 8).alias(n) for x, n in ((F.avg("delta"), "mean"), (F.stddev_samp("delta"), "se"), (q(0.025), "low"), (q(0.975), "high"))])
 
@@ -491,16 +492,14 @@ def straddle_wrong_target(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matrix_trials(spark: SparkSession, d: str, channels: int) -> DataFrame:
-    """Each vector's 64 values as `channels` channels: demeaned, X X' by samples less one (F1). Vectors of another length are refused when they are met."""
+    """Each vector's 64 values as `channels` channels: demeaned, X X' by samples less one (F1)."""
     n = DIMENSIONS // channels
-    whole = F.when(F.size("embedding") == DIMENSIONS, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("vector of another length: "), F.col("vec_id"))))
-    x = F.transform(whole, lambda e: e.cast("double") * 4)
     ch = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.slice(F.col("_x"), c * n + 1, n))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e) / n
     centred = F.transform(ch, lambda a: F.transform(F.arrays_zip(a.alias("v"), F.array_repeat(mean(a), n).alias("m")), lambda e: e["v"] - e["m"]))
     cov = F.flatten(F.transform("z", lambda a: F.transform("z", lambda b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e) / (n - 1))))
     v = read(spark, d, "embeddings").where("embedding is not null")
-    t = v.select(F.lit("vectors").alias("case_id"), F.col("label").alias("source"), F.col("vec_id").cast("string").alias("row_key"), "vec_id", x.alias("_x")).withColumn("z", centred).withColumn("cov", cov).drop("z", "_x")
+    t = v.select(F.lit("vectors").alias("case_id"), F.col("label").alias("source"), F.col("vec_id").cast("string").alias("row_key"), "vec_id", whole_vector().alias("_x")).withColumn("z", centred).withColumn("cov", cov).drop("z", "_x")
     last = v.agg(F.max("label").alias("last"))
     return roles.numbered(t.crossJoin(F.broadcast(last)).withColumn("is_target", F.col("source") == F.col("last")).drop("last"), ["case_id", "source"], ["row_key"])
 

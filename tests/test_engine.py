@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import spd
-from plumbline.operators import evaluate, gates, inference, learn, resample, roles, system, validate
+from plumbline.operators import discrepancy, evaluate, gates, inference, learn, resample, roles, system, validate
 from plumbline.plans.screening import METHODS, screen
 from plumbline.sources import files, npz, synthetic
 
@@ -46,7 +46,7 @@ def frames(spark, cases):
 @pytest.fixture(scope="module")
 def cases():
     out = {}
-    for k, b, seed in ((3, 60, 0), (4, 199, 1123), (8, 99, 9917)):
+    for k, b, seed in ((3, 60, 0), (5, 150, 31), (9, 80, 57)):
         rng = np.random.default_rng(seed)
         est = np.sort(rng.uniform(0, 1.5, k))
         out[f"c{k}"] = est, est + rng.normal(0, 0.08, (b, 1)) + rng.normal(0, 0.12, (b, k))
@@ -90,15 +90,89 @@ def test_draws_are_keyed_and_shared(spark):
             key = [c for c in x.columns if c not in ("x1", "n")]
             assert validate.tables_close(x, y, key, ["x1"]).count() == 0
         assert a[1].count() == 9 and a[0].count() == 18
-    for block in (1, 4):  # in one task and by a join: the same draws
-        for x, y in zip(resample.index_draws(t, ["x1"], 9, 5, block=block), resample.index_draws(t, ["x1"], 9, 5, block=block, most=1), strict=True):
-            assert validate.tables_close(x, y, [c for c in x.columns if c not in ("x1", "n")], ["x1"]).count() == 0 and x.count() == y.count() > 0
-    w = resample.multinomial_counts(t, 4, 3).groupBy("source", "b").agg(F.sum("w")).collect()
-    assert {r[2] for r in w} == {30} and len(w) == 12
+    for size in (4, 7, resample.LEAF):  # with and without splits
+        w = resample.multinomial_counts(t, 4, 3, size).groupBy("source", "b").agg(F.sum("w")).collect()
+        assert {r[2] for r in w} == {30} and len(w) == 12
     _, wrong = resample.index_draws(t, ["x1"], 9, 5, shared=False)
     assert wrong.groupBy("b").agg(F.count_distinct("x1").alias("n")).where("n > 1").count() > 0
 
 
+def test_splits_of_draws_are_multinomial():
+    """Counts over leaves add up, and follow numpy's law: means, variances and covariances, and a chi-square over all positions."""
+    n, size, many = 53, 8, 4000
+    w = np.hstack([resample.weights_of(n, k, "t", many, 1, size) for k in range(7)])
+    assert w.shape == (many, n) and (w.sum(1) == n).all()
+    total = w.sum(0)
+    chi = ((total - many) ** 2 / (many * (1 - 1 / n))).sum() * (n - 1) / n
+    assert 25 < chi < 90  # 52 degrees of freedom
+    assert abs(w.var(0).mean() - (1 - 1 / n)) < 0.03
+    halves = np.stack([w[:, :24].sum(1), w[:, 24:].sum(1)])
+    assert abs(np.cov(halves)[0, 1] + n * (24 / n) * (29 / n)) < 0.8
+    before = [resample.leaf_draws(n, k, "t", 5, n, size).before for k in range(7)]
+    assert np.array_equal(np.array(before)[1:], np.cumsum([w[:5, 8 * k : 8 * k + 8].sum(1) for k in range(7)], axis=0)[:-1])
+    far = 3 * 10**9  # beyond 2^31 positions, each part gets its share
+    got = [resample.leaf_draws(far, k, "x", 50, far).before[:] / far for k in (100_000, 300_000)]
+    assert all(abs(g.mean() - k * resample.LEAF / far) < 1e-4 for g, k in zip(got, (100_000, 300_000), strict=True))
+
+
+@pytest.mark.parametrize(("n", "block", "size"), [(53, 4, 8), (53, 20, 8), (40, 8, 8), (17, 17, 4), (17, 40, 4), (30, 7, 64)])
+def test_circular_blocks_in_leaves(n, block, size):
+    """n draws in all; runs of at least a block, but for the cut one; every position alike."""
+    many = 3000
+    w = np.hstack([resample.weights_of(n, k, "t", many, block, size) for k in range(-(-n // size))])
+    assert w.shape == (many, n) and (w.sum(1) == n).all()
+    assert abs(w.mean(0) - 1).max() < 5.5 * np.sqrt(min(block, n) / many)
+    rises = np.maximum(w - np.roll(w, 1, axis=1), 0).sum(1)
+    assert rises.max() <= -(-n // block)
+
+
+def test_leaves_give_the_means_of_their_weights(spark):
+    rows = [("c", s, s == 2, i, float((i * 7 + s) % 11), float(i)) for s in range(3) for i in range(30)]
+    t = spark.createDataFrame(rows, "case_id string, source int, is_target boolean, i long, x1 double, x2 double").repartition(5)
+    for block in (1, 4):
+        s, tg = resample.index_draws(t, ["x1", "x2"], 6, 5, block=block, size=8)
+        for r in [*s.collect(), *tg.withColumn("source", F.lit(2)).collect()]:
+            tag = f"5|s|c|{r['source']}" if r["source"] < 2 else "5|t|c|-1"
+            w = np.hstack([resample.weights_of(30, k, tag, 6, block, 8) for k in range(4)])[r["b"]]
+            x = np.array([[(i * 7 + r["source"]) % 11, i] for i in range(30)])
+            assert np.allclose([r["x1"], r["x2"]], w @ x / 30) and r["n"] == 30
+
+
+def test_outer_samples_hold_rows_as_often_as_drawn(spark):
+    rows = [("c", s, s == 2, i, [float(i), float(s)]) for s in range(3) for i in range(30)]
+    t = spark.createDataFrame(rows, "case_id string, source int, is_target boolean, i long, x array<double>").repartition(4)
+    got = resample.outer_samples(t, "x", 3, 9, size=8).collect()
+    for rep in range(3):
+        for s in range(3):
+            own = sorted((r["i"], r["x"][0]) for r in got if r["case_id"] == f"c/{rep}" and r["source"] == s)
+            assert [i for i, _ in own] == list(range(15 if s == 2 else 30)) and [x for _, x in own] == sorted(x for _, x in own)
+
+
+def kernel_by_hand(x, y, v, w, sigma):
+    k = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1) / (2 * sigma**2))
+    own = lambda a, c: (c @ k(a, a) @ c - c.sum()) / (c.sum() * (c.sum() - 1))
+    return own(x, v) + own(y, w) - 2 * v @ k(x, y) @ w / (v.sum() * w.sum())
+
+
+def test_kernels_in_tiles(spark):
+    rng = np.random.default_rng(2)
+    x = {("a", s): rng.normal(s / 4, 1, (n, 3)) for s, n in ((0, 21), (1, 40), (2, 33))} | {("b", 5): rng.normal(0, 1, (9, 3)), ("b", 7): rng.normal(1, 1, (8, 3))}
+    c = {k: rng.integers(1, 4, len(v)).astype(float) for k, v in x.items()}
+    target = {"a": 2, "b": 7}
+    rows = [(k, s, s == target[k], i, v.tolist(), float(c[k, s][i])) for (k, s), m in x.items() for i, v in enumerate(m)]
+    t = spark.createDataFrame(rows, "case_id string, source int, is_target boolean, i long, x array<double>, w double").repartition(4)
+    for weight, tile in ((None, 8), ("w", 16), (None, 64)):
+        got = discrepancy.kernel_distance(t, "x", 1.5, 4, 3, weight, tile=tile, size=64).collect()
+        assert len(got) == 3 * 5
+        for r in got:
+            key, end = (r["case_id"], r["source"]), (r["case_id"], target[r["case_id"]])
+            if r["b"] < 0:
+                v, w = (c[k] if weight else np.ones(len(x[k])) for k in (key, end))
+            else:
+                v, w = resample.weights_of(len(x[key]), 0, f"3|s|{key[0]}|{key[1]}", 4, 1, 64)[r["b"]], resample.weights_of(len(x[end]), 0, f"3|t|{key[0]}|-1", 4, 1, 64)[r["b"]]
+            assert abs(r["delta"] - kernel_by_hand(x[key], x[end], v, w, 1.5)) < 1e-12
+
+
 def test_blocks_cover_n_positions(spark):
     t = spark.createDataFrame([("c", s, s == 1, i, float(i)) for s in range(2) for i in range(10)], "case_id string, source int, is_target boolean, i long, x1 double")
     s, tg = resample.index_draws(t, ["x1"], 5, 9, block=10)
