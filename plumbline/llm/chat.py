@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BEGIN, ROLE, TEXT, NEXT, END = "<s>", "[INST]", "[/INST]", "[NEXT]", "</s>"
 #: Escaped in this order, undone in the opposite one.
@@ -35,39 +36,24 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): one string for each conversation, and the code-point spans {start, length} of assistant texts in it.
 
     Turns are ordered by turn, ties by role, then text, nulls first; repeated rows are turns of their own. A null text or
-    role is empty. Rows without conv_id make one conversation. A conversation must fit one string (2 GB), as its output is one.
-    Only conv_id, turn, role and text are read; an empty table gives an empty one.
+    role is empty. Rows without conv_id make one conversation. A conversation must fit one string (half a billion code
+    points), as its output is one; its turns take linear time. Only conv_id, turn, role and text are read; an empty table
+    gives an empty one.
     """
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     sorted_ = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    # a turn's mark says whether it begins a run of one role, ends the run before, or goes on with its own
     t = F.col("t")
-    # indexes where a run of one role begins, then the runs, each with its texts
-    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i - 1)["role"] != F.get(t, i)["role"]))
-    runs = F.transform(
-        F.col("starts"),
-        lambda s, k: F.struct(
-            F.get(t, s)["role"].alias("role"),
-            F.transform(F.slice(t, s + 1, F.coalesce(F.get(F.col("starts"), k + 1), F.size(t)) - s), lambda x: escape(x["text"])).alias("texts"),
-        ),
-    )
-    head = lambda r: F.concat(F.lit(ROLE), escape(r["role"]), F.lit(TEXT))
-    block = lambda r: F.concat(head(r), F.array_join(r["texts"], NEXT), F.lit(END))
-    made = sorted_.withColumn("starts", starts).withColumn("runs", runs).withColumn("blocks", F.transform("runs", block))
-    # where each run's first text begins: the lengths of the blocks before, summed once
-    sums = F.aggregate(
-        "blocks",
-        F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda a, b: F.struct((a["at"] + F.length(b)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")),
-        lambda a: a["all"],
-    )
-    inner = lambda r, at: F.aggregate(
-        r["texts"],
-        F.struct((at + F.length(head(r))).alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("all")),
-        lambda a, x: F.struct((a["at"] + F.length(x) + len(NEXT)).alias("at"), F.concat(a["all"], F.array(F.struct(a["at"].alias("start"), F.length(x).cast("long").alias("length")))).alias("all")),
-        lambda a: a["all"],
-    )
-    loss = F.flatten(F.filter(F.transform(F.arrays_zip("runs", "at"), lambda z: F.when(z["runs"]["role"] == "assistant", inner(z["runs"], z["at"]))), lambda x: x.isNotNull()))
-    return made.withColumn("at", sums).select("conv_id", F.concat(F.lit(BEGIN), F.array_join("blocks", "")).alias("formatted"), loss.alias("loss"))
+    mark = lambda x, i: F.when((i > 0) & (F.get(t, i - 1)["role"] == x["role"]), F.lit(NEXT)).otherwise(F.concat(F.when(i > 0, END).otherwise(BEGIN), F.lit(ROLE), escape(x["role"]), F.lit(TEXT)))
+    merged = sorted_.select("conv_id", F.transform(t, lambda x, i: F.struct(mark(x, i).alias("mark"), escape(x["text"]).alias("text"), (x["role"] == "assistant").alias("said"))).alias("t"))
+    # lengths of everything before, summed by a window over the turns of a conversation
+    each = merged.select("conv_id", F.posexplode("t").alias("pos", "x")).withColumn("size", F.length("x.mark") + F.length("x.text"))
+    end = F.sum(F.col("size").cast("long")).over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = each.select("conv_id", "pos", "x", (end - F.length("x.text")).alias("start"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "x", "start"))).alias("t"))
+    formatted = F.concat(F.array_join(F.transform("t", lambda y: F.concat(y["x"]["mark"], y["x"]["text"])), ""), F.lit(END))
+    loss = F.transform(F.filter("t", lambda y: y["x"]["said"]), lambda y: F.struct(y["start"].alias("start"), F.length(y["x"]["text"]).cast("long").alias("length")))
+    return whole.select("conv_id", formatted.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -83,7 +69,9 @@ def digests(formatted: DataFrame) -> DataFrame:
     """Counts and digests of what is read back from `formatted`, and of the text under its loss mask."""
     sha = lambda x: F.sha2(x.cast("binary"), 256)
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    # four bytes a code point, so that a span is cut out where it stands instead of being counted off from the start
+    span = lambda b: lambda s: unescape(F.decode(F.substring(b, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32"))
+    masked = F.get(F.transform(F.array(F.encode("formatted", "UTF-32")), lambda b: F.array_join(F.transform("loss", span(b)), "")), F.lit(0))
     return (
         formatted.withColumn("turns", read_back(F.col("formatted")))
         .withColumn("masked", masked)

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..lineage import checkpoint_dir, cut
 
-__all__ = ["SPACE", "WORD", "Bits", "bits_of", "checkpoint_dir", "cut", "fold", "labelled_texts", "numbered", "removed", "sample_ids", "slices", "table", "written"]
+__all__ = ["SPACE", "WORD", "Bits", "bits_of", "checkpoint_dir", "cut", "fold", "labelled_texts", "mixed", "numbered", "removed", "sample_ids", "slices", "table", "written"]
 
 #: White space of the contracts: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
@@ -54,8 +54,8 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("_place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
 
 
-def sample_ids(df: DataFrame, by: str, n: int, key: str = "doc_id", most_values: int = 1000) -> DataFrame:
-    """(key, by): `n` ids, or all if there are fewer, of each value of `by`, the first in the order of a hash of the id.
+def sample_ids(df: DataFrame, by: str, n: int, key: str = "doc_id", most_values: int = 1000) -> tuple[DataFrame, int]:
+    """(key, by): `n` ids, or all if there are fewer, of each value of `by`, the first in the order of a hash of the id; and the number of values.
 
     Reads only the two columns; rows without either are left out; a repeated id counts once. The distinct ids of each
     value are counted first (a sketch), so only ids below a hash threshold, about 2 n of each value, leave the tasks,
@@ -69,21 +69,27 @@ def sample_ids(df: DataFrame, by: str, n: int, key: str = "doc_id", most_values:
     h = F.xxhash64(key)
     some = d.join(F.broadcast(share), F.col(by) == F.col("_v")).where(F.pmod(h, F.lit(1 << 40)) / float(1 << 40) < F.col("_share")).select(key, by).distinct()
     w = Window.partitionBy(by).orderBy(F.pmod(h, F.lit(1 << 40)), key)  # about 2 n rows
-    return some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    return some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n"), len(counts)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, by: str, n: int, max_chars: int, key: str = "doc_id") -> list[tuple[int, str, object]]:
+def labelled_texts(docs: DataFrame, labels: DataFrame, by: str, n: int, max_chars: int, key: str = "doc_id", most_chars: int = 1 << 28, own: bool = False) -> list[tuple[int, str, object]]:
     """(id, whole text, label), sorted, of at most `n` ids of each value of `by` in `labels`.
 
-    Texts of more than `max_chars` characters are not learned from, which bounds what the driver gets: values x 5/4 n x
-    max_chars (a quarter more ids are drawn, as some texts are null or too long). An id that repeats gives one text, the
-    smallest; an id with several labels is learned with each.
+    `own`: a label goes with the text of its own row of `labels`, else with the texts of its id in `docs`. Texts of
+    more than `max_chars` characters are not learned from, and of fewer still if there are so many labels that the driver
+    could get over `most_chars`. A quarter more ids are drawn, as some texts are null or too long; where more than a fifth
+    of them are, fewer than `n` are learned from. An id that repeats gives one text for each of its labels, the smallest.
     """
-    ids = sample_ids(labels, by, n + -(-n // 4), key).select(F.col(key).alias("_k"), F.col(by).alias("_y"))
+    draw = n + -(-n // 4)
+    ids, values = sample_ids(labels, by, draw, key)
+    ids = ids.select(F.col(key).alias("_k"), F.col(by).alias("_y"))
+    longest = min(max_chars, most_chars // max(1, values * draw))
+    rows = labels if own else docs
+    same = (F.col(key) == F.col("_k")) & (F.col(by) == F.col("_y")) if own else F.col(key) == F.col("_k")
     rows = (
-        docs.select(key, "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(ids), F.col(key) == F.col("_k"))
+        rows.select(key, "text", *([by] if own else []))
+        .where(F.col("text").isNotNull() & (F.length("text") <= longest))
+        .join(F.broadcast(ids), same)
         .groupBy("_k", "_y").agg(F.min("text").alias("text"))
         .select(F.pmod(F.xxhash64("_k"), F.lit(1 << 40)).alias("_h"), "_k", "text", "_y")
         .toArrow()
@@ -112,6 +118,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             yield b.slice(lo, hi - lo)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers stirred, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Bits:
     """A set of 64-bit numbers that may hold too many, never too few: two bits of a bit set for each."""
 
@@ -119,8 +132,8 @@ class Bits:
         self.words, self.bits = words, bits
 
     def places(self, h: np.ndarray) -> list[np.ndarray]:
-        mask = np.uint64(self.bits - 1)
-        return [(h & mask).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) & mask).astype(np.int64)]
+        mask, h = np.uint64(self.bits - 1), mixed(h)
+        return [(h & mask).astype(np.int64), (h >> np.uint64(36) & mask).astype(np.int64)]
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         hit = [self.words[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in self.places(h)]

@@ -247,25 +247,45 @@ def counted(benchmark: DataFrame) -> tuple[int, float, DataFrame]:
     return n, words / max(1, n), df.where("t <> ''")
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over slices of the benchmark of bounded size (one, as a rule), each built when it is asked for, so that neither the driver nor a task holds more than one.
+def dealt(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, text, _s) of the distinct rows of the benchmark and the number of slices `_s`, none of over 1.5 times MAX_CHARS characters.
 
-    Document frequencies, the number of segments and their mean length are those of the whole benchmark, counted by Spark
-    where there are several slices; the driver sees the terms of one slice at a time.
+    An item that is longer than that by itself is refused (ValueError): it is no test item, and an index over it would not fit.
     """
-    total = benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16)).first()[0] or 0
+    rows = benchmark.select("item_id", "text").groupBy("item_id", "text").agg(F.count("*").alias("_n")).drop("_n")
+    size = F.coalesce(F.length("text"), F.lit(0)) + 16
+    total, longest = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    if longest > 1.5 * MAX_CHARS:
+        raise ValueError(f"a test item of {longest} characters")
     n = -(-total // MAX_CHARS)
-    rows = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n))).alias("_s"))
-    if n > 1:
-        segments, mean, df = counted(benchmark)
-    for k in range(n):
-        p = rows.where(F.col("_s") == k).orderBy("item_id", "text").select("item_id", "text").toArrow().to_pydict()
+    while True:
+        slices_ = rows.withColumn("_s", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n))))
+        if n < 2 or slices_.groupBy("_s").agg(F.sum(size).alias("_c")).agg(F.max("_c")).first()[0] <= 1.5 * MAX_CHARS:
+            return slices_, n
+        n *= 2
+
+
+def indexes(benchmark: DataFrame) -> tuple[int, Iterator[Index]]:
+    """The number of slices of the benchmark (one, as a rule), and an index over each, built when it is asked for, so that the driver holds one at a time.
+
+    Repeated rows of the benchmark count once. Document frequencies, the number of segments and their mean length are those
+    of the whole benchmark, counted by Spark where there are several slices; the driver sees the terms of one slice at a time.
+    """
+    rows, n = dealt(benchmark)
+
+    def built() -> Iterator[Index]:
         whole = None
         if n > 1:
-            own = benchmark.sparkSession.createDataFrame([(t,) for t in sorted({term(w) for x in p["text"] for w in item_words(x)})], "t string")
-            whole = Statistics(segments, mean, dict(df.join(F.broadcast(own), "t").select("t", "n").toPandas().itertuples(index=False)))
-        if (x := build(list(zip(p["item_id"], p["text"], strict=True)), whole)).items:
-            yield x
+            segments, mean, df = counted(rows)
+        for k in range(n):
+            p = rows.where(F.col("_s") == k).orderBy("item_id", "text").select("item_id", "text").toArrow().to_pydict()
+            if n > 1:
+                own = benchmark.sparkSession.createDataFrame([(t,) for t in sorted({term(w) for x in p["text"] for w in item_words(x)})], "t string")
+                whole = Statistics(segments, mean, dict(df.join(F.broadcast(own), "t").select("t", "n").toPandas().itertuples(index=False)))
+            if (x := build(list(zip(p["item_id"], p["text"], strict=True)), whole)).items:
+                yield x
+
+    return n, built()
 
 
 def sent(x: Index, docs: DataFrame):
@@ -277,14 +297,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, simila
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each document and test item that it holds.
 
     Every passage of a whole text is searched. score is the BM25 share of the item's best segment. Null and empty texts
-    hold nothing, nor is an item without words held by any. Items with equal texts each match; an empty benchmark or
-    table gives no rows; repeated documents give repeated rows.
+    hold nothing, nor is an item without words held by any. Items with equal texts each match, repeated rows of an item
+    once; an empty benchmark or table gives no rows; repeated documents give repeated rows. With several slices of the
+    benchmark what one finds is written to the shared folder, and its index dropped, before the next.
     """
     out = None
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
     rows = docs.select("doc_id", "text")
-    for x in indexes(benchmark):
-        found = rows.mapInArrow(leaks_in(sent(x, docs), least, similar), schema)
+    n, built = indexes(benchmark)
+    for x in built:
+        held = sent(x, docs)
+        found = rows.mapInArrow(leaks_in(held, least, similar), schema)
+        if n > 1:
+            found = cut(found)
+            held.unpersist()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -323,7 +349,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, simila
         return run
 
     first = True
-    for x in indexes(benchmark):
+    for x in indexes(benchmark)[1]:
         docs = docs if first else written(docs, "leaks")
         docs, first = docs.mapInArrow(keep(sent(x, docs)), docs.schema), False
     return docs

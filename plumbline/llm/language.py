@@ -215,11 +215,12 @@ def fit(rows: list[tuple[int, str, str]], pieces: dict[str, int], rounds: int =
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, mod: int = 3, out: int = 1, per_language: int = 150, max_chars: int = 20_000) -> Model:
     """Fit on at most `per_language` texts of each language, of `max_chars` characters at most, from the folds crc32(doc_id) mod `mod` <> `out`.
 
-    An id that repeats is learned once for each of its languages, with its smallest text; rows without an id are left
-    out. Over 1000 languages: ValueError.
+    A language is learned from the texts of the rows that carry it: an id that repeats gives one text, the smallest, to each
+    of its languages. Rows without an id, a text or a lang are left out. Over 1000 languages: ValueError; see
+    `labelled_texts` for how many texts and characters reach the driver.
     """
     rows = docs.where((fold("doc_id", mod) != out) & F.col("lang").isNotNull())
-    return fit(labelled_texts(docs, rows, "lang", per_language, max_chars), read_pieces(vocabulary))
+    return fit(labelled_texts(docs, rows, "lang", per_language, max_chars, own=True), read_pieces(vocabulary))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

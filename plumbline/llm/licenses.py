@@ -139,8 +139,8 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, simi
     first best window, and the number of windows above the threshold.
 
     Whole texts, in lower case, by their runs of ASCII letters and digits. Templates of under five words are one shingle
-    and match as a whole. Null and empty texts hold nothing. Repeated rows of a document add to its windows; rows without
-    an id are taken together. Templates are parameters of the plan (under 1000, or ValueError), never read from the corpus.
+    and match as a whole. Null and empty texts hold nothing. Every row is a document of its own: repeated ones give
+    repeated rows, and rows without an id are told apart. Templates are parameters of the plan (under 1000, or ValueError), never read from the corpus.
     """
     templates = TEMPLATES if templates is None else templates
     if len(templates) >= 1000:
@@ -155,7 +155,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, simi
     own = choices(spark, sets, similar)  # of each group: (first word, hash) of its chosen shingles
     lows = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     w = F.col("_w")
-    some = docs.select("doc_id", F.filter(F.split(lows, "[^a-z0-9]+"), lambda x: x != "").alias("_w"))
+    some = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.filter(F.split(lows, "[^a-z0-9]+"), lambda x: x != "").alias("_w"))
     every = {k: [c for g, c in enumerate(own) if length[g] == k] for k in sorted(set(length))}
 
     def met(x: Column, i: Column) -> Column:
@@ -184,20 +184,20 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, simi
     # columns of their own, as lambdas below look into them: every window once for each of its hits, in order
     some = some.withColumn("_s", F.sort_array(F.flatten(F.transform("_a", places))))
     enough = lambda v, j: F.when((F.get("_s", j + of(need, v["g"]) - 1) == v) & (F.size(w) - v["t"] * of(step, v["g"]) >= of(least, v["g"])), v)
-    some = some.select("doc_id", *[f"_h{x}" for x in every], F.array_distinct(F.filter(F.transform("_s", enough), lambda v: v.isNotNull())).alias("_v"))
+    some = some.select("doc_id", "_row", *[f"_h{x}" for x in every], F.array_distinct(F.filter(F.transform("_s", enough), lambda v: v.isNotNull())).alias("_v"))
 
     def window(v: Column) -> Column:
         g, at = v["g"], (v["t"] * of(step, v["g"])).cast("int")
         inside = reduce(lambda rest, x: F.when(of(k, g) == x, F.slice(f"_h{x}", at + 1, of(size, g) - (x - 1))).otherwise(rest), every, F.lit(None))
         return F.struct(g.alias("g"), at.cast("long").alias("at"), F.array_distinct(inside).alias("h"))
 
-    laid = some.select("doc_id", F.explode(F.transform("_v", window)).alias("v")).select("doc_id", "v.*")
+    laid = some.select("doc_id", "_row", F.explode(F.transform("_v", window)).alias("v")).select("doc_id", "_row", "v.*")
     known = template_table(spark, sets).select("g", "template", "th", F.explode(F.array_distinct(bands(minhashes(F.col("th"), n_bands * rows), n_bands, rows))).alias("band"))
     keyed = laid.withColumn("band", F.explode(F.array_distinct(bands(minhashes(F.col("h"), n_bands * rows), n_bands, rows))))
     found = keyed.join(F.broadcast(known), ["g", "band"]).withColumn("containment", F.size(F.array_intersect("h", "th")) / F.size("th")).where(F.col("containment") >= similar - 1e-9)
     best = F.max(F.struct("containment", (-F.col("at")).alias("at")))
-    once = found.groupBy("doc_id", "template", "at").agg(F.max("containment").alias("containment"))
-    return once.groupBy("doc_id", "template").agg(best.alias("b"), F.count("*").alias("windows")).select("doc_id", "template", F.col("b.containment").alias("containment"), (-F.col("b.at")).alias("first_word"), "windows")
+    once = found.groupBy("_row", "doc_id", "template", "at").agg(F.max("containment").alias("containment"))
+    return once.groupBy("_row", "doc_id", "template").agg(best.alias("b"), F.count("*").alias("windows")).select("doc_id", "template", F.col("b.containment").alias("containment"), (-F.col("b.at")).alias("first_word"), "windows")
 
 
 def hashed(words: Column) -> Column:
