@@ -3,8 +3,9 @@
 Texts with one and the same set are one node. A node's minwise tokens are the least values of `TOKENS` hash functions over
 its set; two sets agree in a share of them that is their similarity. A tree of paths branches a node by each of its tokens
 that a hash of path and token selects, with a chance that makes 1 / LEAN branches on average: similar sets go on together,
-others part. Places of a tree where few meet are compared exhaustively (by tokens, which is a filter), larger ones branch
-again; at the greatest depth all that still meet count as candidates. `trees` independent trees are united.
+others part. Places of a tree where few meet are compared exhaustively (by tokens, which is a filter); at larger ones nodes
+near a pivot are settled by a triangle bound and the others branch again; at the greatest depth all that still meet count as
+candidates. `trees` independent trees are united.
 
 Candidates become groups, and a node's full set travels once, to its group. There links are confirmed on full sets. A group
 that is too large for a task is dealt into blocks: each with some pivots of all, then what is not in a block's largest
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bits_of, cut, slices, written
+from .common import Bits, bits_of, cut, mixed, slices, written
 from .components import components
 from .simhash import Forest
 
@@ -31,13 +32,10 @@ TOKENS = 64
 LEAN = 0.7
 #: Agreeing tokens of a candidate: of 64, a pair at similarity 0.8 has fewer than 36 in three of a million cases.
 LEAST_AGREEING = 36
-A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * B
-    x = (x ^ (x >> np.uint64(27))) * C
-    return x ^ (x >> np.uint64(31))
+#: Agreement with the pivot of a crowded place: from the first on a node is settled, from the second on a candidate. By the
+#: triangle bound of Jaccard distances, whoever is similar (0.2 away) to a node 0.45 from the pivot is within 0.65 of it.
+SETTLED, TOUCHED = 45, 20
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -140,10 +138,25 @@ def alike(rows: DataFrame) -> DataFrame:
     return rows.select("place", "node", "tokens").repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
 
 
+def against_pivots(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, place, pivot, agreeing) of the rows of crowded places (node, place, _least): tokens shared with the place's least node."""
+    pivots = crowded.select("place", F.col("_least").alias("node")).distinct().join(nodes, "node").select("place", F.col("node").alias("pivot"), F.col("tokens").alias("_other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            agreeing = (numbers_of(b.column("tokens")) == numbers_of(b.column("_other"))).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("place"), b.column("pivot"), pa.array(agreeing.astype(np.int32))], names=["node", "place", "pivot", "agreeing"])
+
+    rows = crowded.select("node", "place").join(nodes, "node").join(pivots, "place")
+    return rows.select("node", "place", "pivot", "tokens", "_other").mapInArrow(run, "node long, place long, pivot long, agreeing int")
+
+
 def candidates(nodes: DataFrame, trees: int, few: int, levels: int = 6) -> DataFrame:
     """Links (a, b) between `nodes` (node, tokens) whose components hold every similar pair that some tree keeps together.
 
-    The first look is at a depth where unlike sets rarely meet, which grows with the logarithm of their number; `levels` more follow for crowded places.
+    The first look is at a depth where unlike sets rarely meet, which grows with the logarithm of their number; `levels` more
+    follow for crowded places. There a pivot comes first: what is near it is settled, and what that could be similar to is
+    linked with the pivot, so that a large group of near copies is not branched over and over.
     """
     start = max(2, math.ceil(math.log(max(2, nodes.count()), 128)))
     place = branched(nodes, trees, start)
@@ -153,13 +166,14 @@ def candidates(nodes: DataFrame, trees: int, few: int, levels: int = 6) -> DataF
         met = place.groupBy("place").agg(F.count("*").alias("_met"), F.min("node").alias("_least")).where("_met > 1")
         shared = place.join(met, "place")
         links.append(cut(alike(shared.where(F.col("_met") <= few).join(nodes, "node")).distinct()))
-        crowded = shared.where(F.col("_met") > few)
+        judged = cut(against_pivots(shared.where(F.col("_met") > few), nodes))
+        links.append(judged.where((F.col("agreeing") >= TOUCHED) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+        crowded = judged.where(F.col("agreeing") < SETTLED).select("node", "place", "pivot")
         if depth == levels:
-            links.append(cut(crowded.where("node <> _least").select(F.col("node").alias("a"), F.col("_least").alias("b")).distinct()))
+            links.append(crowded.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+        elif crowded.isEmpty():
+            break
         else:
-            crowded = written(crowded.select("node", "place"), "crowded")
-            if crowded.isEmpty():
-                break
             place = branched(crowded.join(nodes, "node"), trees)
     return reduce(DataFrame.unionByName, links)
 
@@ -246,7 +260,7 @@ def verified(groups: DataFrame, sets: DataFrame, percent: int, room: int) -> Dat
     now = many.drop("label").join(joined.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     now = written(now, "labelled")
     main = now.groupBy("_group", "label").count().groupBy("_group").agg(F.max_by("label", F.struct("count", "label")).alias("_main"))
-    rest = now.join(main, "_group").where("label <> _main").drop("_main").withColumn("active", F.lit(True))
+    rest = now.join(main, "_group").where("label != _main").drop("_main").withColumn("active", F.lit(True))
     to_all = rest.withColumn("_other", F.col("_block")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks").cast("long") - 1)))
     needed = rest.groupBy("_group").agg(F.collect_set("_block").alias("_others"))  # a number for each block
     all_to = now.withColumn("active", F.lit(False)).join(needed, "_group").withColumn("_other", F.explode("_others")).drop("_others")
