@@ -2,14 +2,15 @@
 
 Grams are exploded from the text into rows (language, phrase, count), one length after the other, counted together inside
 an Arrow batch first and by Spark's hash aggregate then. A gram reaches the least count only if both grams of one word less
-that it holds do, so each length is asked for among the survivors of the one before: a bit set of fixed size, which may let
-too many through, never too few. What is left is relational: cuts joined with the counts of their two parts, scores in
+that it holds do, so each length is asked for among the survivors of the one before: a bit set of bounded size, which may
+let too many through, never too few. What is left is relational: cuts joined with the counts of their two parts, scores in
 Decimal, an anti-join with one-word extensions, and a ranking window by language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Bits, bits_of, cut, slices
+from .common import Bits, bits_of, cut, slices, written
 
 #: Bytes that end a piece become line feeds, A-Z become a-z, a tab becomes a space; nothing else is touched.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 UNKNOWN = "und"
+#: Bytes of text taken apart at once.
+ROOM = 2 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,86 +65,135 @@ def chunks(data: bytes, room: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def counted(texts: list[bytes | None], langs: list[str | None], n: int, seen: Bits | None, room: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f) of the grams of `n` words of these texts whose shorter grams are all `seen`; for n = 1 also the count of all words, as phrase ''."""
+@dataclass
+class Words:
+    """The words of a stretch of texts: number in the vocabulary, piece, language, begin and end in the data."""
+
+    vocabulary: pa.Array
+    ids: np.ndarray
+    piece: np.ndarray
+    lang: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    data: bytes
+    names: list[str]
+
+    def grams(self, n: int) -> np.ndarray:
+        """Which places begin a gram of n words, that is inside a piece."""
+        count = max(0, len(self.ids) - n + 1)
+        return self.piece[:count] == self.piece[len(self.ids) - count :]
+
+    def numbers(self, n: int) -> np.ndarray:
+        """The numbers of the n words from each place on, whether or not they are of one piece."""
+        own = word_numbers(self.vocabulary.to_pylist())[self.ids]
+        h = chained(word_numbers([x.encode() for x in self.names])[self.lang], own)
+        for k in range(1, n):
+            h = chained(h[:-1], own[k:])
+        return h
+
+
+def words_of(batch: pa.RecordBatch, room: int) -> Iterator[Words]:
+    """The words of a batch (text, lang), some `room` bytes at a time."""
+    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    langs = [UNKNOWN if x is None else x for x in batch.column("lang").to_pylist()]
     data = b"\n".join(t or b"" for t in texts).translate(TABLE)
     begins = np.cumsum([0] + [len(t or b"") + 1 for t in texts[:-1]])
-    langs = [UNKNOWN if x is None else x for x in langs]
     names = list(dict.fromkeys(langs))
-    code = {x: k for k, x in enumerate(names)}
-    lang_of_text = np.array([code[x] for x in langs])
-    seeds = word_numbers([x.encode() for x in names])
+    lang_of_text = np.array([{x: k for k, x in enumerate(names)}[x] for x in langs], np.int32)
     for lo, hi in chunks(data, room):
         a = np.frombuffer(data, np.uint8, hi - lo, lo)
         inside = (a != 10) & (a != 32)
         edge = np.diff(inside.view(np.int8), prepend=0, append=0)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if not len(starts):
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(begin):
             continue
-        piece = np.cumsum(a == 10, dtype=np.int32)[starts]
-        lang = lang_of_text[np.searchsorted(begins, starts + lo, side="right") - 1]
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-        packed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(a[inside].tobytes())])
-        encoded = packed.dictionary_encode()
-        vocabulary, ids = encoded.dictionary, np.asarray(encoded.indices).astype(np.int64)
-        count = len(starts) - n + 1
-        if count < 1:
-            continue
-        fits = piece[:count] == piece[n - 1 :]
-        if n > 1:
-            own = word_numbers(vocabulary.to_pylist())[ids]
-            h = chained(seeds[lang], own)
-            for k in range(1, n - 1):
-                h = chained(h[:-1], own[k:])
-            known = seen.holds(h)
-            fits &= known[:count] & known[1 : count + 1]
+        offsets = np.concatenate([[0], np.cumsum(end - begin)])
+        packed = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(a[inside].tobytes())]).dictionary_encode()
+        lang = lang_of_text[np.searchsorted(begins, begin + lo, side="right") - 1]
+        yield Words(packed.dictionary, np.asarray(packed.indices).astype(np.int64), np.cumsum(a == 10, dtype=np.int32)[begin], lang, begin + lo, end + lo, data, names)
+
+
+def counted(batch: pa.RecordBatch, n: int, seen: Bits | None, room: int = ROOM) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of the grams of `n` words whose shorter grams are all `seen`; for n = 1 also the count of all words, as phrase ''."""
+    for w in words_of(batch, room):
+        fits = w.grams(n)
+        if seen:
+            known = seen.holds(w.numbers(n - 1))
+            fits = fits & known[: len(fits)] & known[1 : len(fits) + 1]
         at = np.flatnonzero(fits)
         if not len(at):
             continue
-        group, span = lang[at].astype(np.int64), len(names)
+        many = len(w.vocabulary)
+        group, span = w.lang[at].astype(np.int64), len(w.names)
         for k in range(n):
-            if span * len(vocabulary) >= 1 << 62:
+            if span * many >= 1 << 62:
                 group = np.unique(group, return_inverse=True)[1]
                 span = int(group.max()) + 1
-            group, span = group * len(vocabulary) + ids[at + k], span * len(vocabulary)
+            group, span = group * many + w.ids[at + k], span * many
         _, first, f = np.unique(group, return_index=True, return_counts=True)
         first = at[first]
-        words = [vocabulary.take(pa.array(ids[first + k])) for k in range(n)]
-        phrase = (pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if n > 1 else words[0]).cast(pa.large_string()).cast(pa.string())
-        where = pa.array(names, pa.string()).take(pa.array(lang[first]))
+        parts = [w.vocabulary.take(pa.array(w.ids[first + k])) for k in range(n)]
+        phrase = (pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0]).cast(pa.large_string()).cast(pa.string())
+        where = pa.array(w.names, pa.string()).take(pa.array(w.lang[first]))
         if n == 1:
-            totals = np.bincount(lang, minlength=len(names))
-            where, phrase, f = pa.concat_arrays([where, pa.array(names, pa.string())]), pa.concat_arrays([phrase, pa.array([""] * len(names), pa.string())]), np.concatenate([f, totals])
+            totals = np.bincount(w.lang, minlength=len(w.names))
+            where, phrase, f = pa.concat_arrays([where, pa.array(w.names, pa.string())]), pa.concat_arrays([phrase, pa.array([""] * len(w.names), pa.string())]), np.concatenate([f, totals])
         yield pa.RecordBatch.from_arrays([where, phrase, pa.array(f.astype(np.int64))], names=["lang", "phrase", "f"])
 
 
+def runs(batch: pa.RecordBatch, n: int, seen: Bits, room: int = ROOM) -> Iterator[pa.RecordBatch]:
+    """(text, lang): the longest stretches of pieces in which every gram of `n` words is `seen`, of n + 1 words or more. No longer gram that counts is lost."""
+    for w in words_of(batch, room):
+        fits = w.grams(n)
+        at = np.flatnonzero(fits & seen.holds(w.numbers(n))[: len(fits)])
+        if not len(at):
+            continue
+        new = (np.diff(at, prepend=-2) != 1) | (np.diff(w.piece[at], prepend=-1) != 0)  # neighbours of one piece go on
+        first, last = at[new], at[np.append(new[1:], True)]
+        more = last > first
+        first, last = first[more], last[more] + n - 1
+        yield pa.RecordBatch.from_arrays([pa.array([w.data[b:e].decode() for b, e in zip(w.begin[first].tolist(), w.end[last].tolist(), strict=True)], pa.string()), pa.array([w.names[k] for k in w.lang[first].tolist()], pa.string())], names=["text", "lang"])
+
+
 def gram_counts(docs: DataFrame, n: int, seen: Broadcast | None) -> DataFrame:
     """(lang, phrase, f) of all grams of `n` words that can reach the least count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
-            yield from counted(b.column("text").cast(pa.binary()).to_pylist(), b.column("lang").to_pylist(), n, Bits(*seen.value) if seen else None)
+        for b in slices(batches, "text", ROOM):
+            yield from counted(b, n, Bits(*seen.value) if seen else None)
 
-    grams = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, phrase string, f long")
-    return grams.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_grams(docs: DataFrame, most_words: int, least: int, most_bits: int = 1 << 28) -> DataFrame:
-    """(lang, phrase, f, words) of all grams that occur `least` times or more in their language; words = 0: all word occurrences of it."""
-    found, seen = None, None
+    """(lang, phrase, f, words) of all grams that occur `least` times or more in their language; words = 0: all word occurrences of it.
+
+    The texts are read three times: for words, for pairs of frequent words, and for the stretches in which all pairs are
+    frequent, which are written and, with each length, become fewer and shorter.
+    """
+    text, found, seen = docs.select("text", F.col("lang").cast("string").alias("lang")), None, None
     for n in range(1, most_words + 1):
-        own = gram_counts(docs, n, seen).where((F.col("f") >= least) | (F.col("phrase") == "")).where("f > 0")
+        own = gram_counts(text, n, seen if n == 2 else None).where((F.col("f") >= least) | (F.col("phrase") == "")).where("f > 0")
         own = cut(own.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(n)))
         found = own if found is None else found.unionByName(own)
         real = own.where("words > 0")
         size = real.count()
-        if not size:
+        if not size or n == most_words:
             break
-        if n < most_words:
-            seen = bits_of(real.select("lang", "phrase").mapInArrow(gram_numbers, "h long"), size, most_bits)
+        seen = bits_of(real.select("lang", "phrase").mapInArrow(gram_numbers, "h long"), size, most_bits)
+        if n > 1:
+            text = written(stretches(text, n, seen), "runs")
     return found
 
 
+def stretches(text: DataFrame, n: int, seen: Broadcast) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", ROOM):
+            yield from runs(b, n, Bits(*seen.value))
+
+    return text.mapInArrow(run, "text string, lang string")
+
+
 def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, most: int = 2000, absorb: int = 100) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score), each language's first `most` phrases.
 
