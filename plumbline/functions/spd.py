@@ -26,7 +26,7 @@ def shrink(a: np.ndarray, lam: float) -> np.ndarray:
     return (1 - lam) * a + lam * (np.trace(a, axis1=-2, axis2=-1) / c)[..., None, None] * np.eye(c)
 
 
-def airm2(many: np.ndarray, target: np.ndarray) -> np.ndarray:
+def affine2(many: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Squared affine-invariant distances of stacked matrices from the stacked (or one) target, whitened once."""
     w = powered(target, lambda x: x**-0.5)
     return (np.log(np.maximum(np.linalg.eigvalsh(w @ many @ w), FLOOR)) ** 2).sum(-1)
@@ -36,11 +36,11 @@ def log_euclid2(many: np.ndarray, target: np.ndarray) -> np.ndarray:
     return ((log_spd(many) - log_spd(target)) ** 2).sum((-2, -1))
 
 
-def euclid2(many: np.ndarray, target: np.ndarray) -> np.ndarray:
+def flat2(many: np.ndarray, target: np.ndarray) -> np.ndarray:
     return ((many - target) ** 2).sum((-2, -1))
 
 
-METRICS = {"airm": airm2, "logeuclid": log_euclid2, "euclid": euclid2}
+METRICS = {"airm": affine2, "logeuclid": log_euclid2, "euclid": flat2}
 
 
 def frechet_mean(a: np.ndarray, rounds: int = 5) -> np.ndarray:
@@ -60,14 +60,12 @@ def tangent(a: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return s[..., i, j] * np.where(i == j, 1.0, np.sqrt(2.0))
 
 
-def ledoit_wolf(x: np.ndarray) -> np.ndarray:
-    """Shrunk covariance of rows (Ledoit and Wolf 2004)."""
-    n, p = x.shape
-    x = x - x.mean(0)
-    s = x.T @ x / n
+def shrunk(s: np.ndarray, fourth: float, n: int) -> np.ndarray:
+    """A covariance of n centred rows, shrunk to a multiple of the identity (Ledoit and Wolf 2004). fourth: the mean of their squared square norms."""
+    p = len(s)
     mu = np.trace(s) / p
     d2 = ((s - mu * np.eye(p)) ** 2).sum()
-    b2 = min(d2, ((x**2).T @ (x**2) / n - s**2).sum() / n)
+    b2 = min(d2, (fourth - (s**2).sum()) / n)
     k = b2 / d2 if d2 else 0.0
     return (1 - k) * s + k * mu * np.eye(p)
 
@@ -76,7 +74,14 @@ def class_covariance(x: np.ndarray) -> np.ndarray:
     """Of one class: standardised by its own deviations, shrunk, and scaled back."""
     scale = x.std(0)
     scale[scale == 0] = 1
-    return ledoit_wolf(x / scale) * np.outer(scale, scale)
+    z = (x - x.mean(0)) / scale
+    return shrunk(z.T @ z / len(z), float(((z**2).sum(1) ** 2).mean()), len(z)) * np.outer(scale, scale)
+
+
+def discriminants(cov: np.ndarray, means: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, intercepts) of linear discriminants, a row for each class."""
+    coef = np.linalg.lstsq(cov, means.T, rcond=None)[0].T
+    return coef, np.log(prior) - 0.5 * (means * coef).sum(1)
 
 
 def lda(train: np.ndarray, labels: np.ndarray, test: np.ndarray) -> np.ndarray:
@@ -85,8 +90,8 @@ def lda(train: np.ndarray, labels: np.ndarray, test: np.ndarray) -> np.ndarray:
     means = np.stack([train[at == k].mean(0) for k in range(len(classes))])
     prior = np.bincount(at) / len(at)
     cov = sum(prior[k] * class_covariance(train[at == k]) for k in range(len(classes)))
-    coef = np.linalg.lstsq(cov, means.T, rcond=None)[0].T
-    return classes[(test @ coef.T - 0.5 * (means * coef).sum(1) + np.log(prior)).argmax(1)]
+    coef, intercept = discriminants(cov, means, prior)
+    return classes[(test @ coef.T + intercept).argmax(1)]
 
 
 def balanced_accuracy(truth: np.ndarray, said: np.ndarray) -> float:

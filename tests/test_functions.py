@@ -56,9 +56,9 @@ def test_spd_kernels():
     assert np.allclose(spd.log_spd(spd.powered(m, lambda v: v**-0.5) @ a @ spd.powered(m, lambda v: v**-0.5)).mean(0), 0, atol=1e-3)
     t = spd.tangent(a, m)
     assert t.shape == (20, 10)
-    assert np.allclose((t**2).sum(1), spd.airm2(a, m))
+    assert np.allclose((t**2).sum(1), spd.affine2(a, m))
     g = rng.normal(size=(4, 4))
-    assert np.allclose(spd.airm2(g @ a @ g.T, g @ m @ g.T), spd.airm2(a, m))  # affine invariance
+    assert np.allclose(spd.affine2(g @ a @ g.T, g @ m @ g.T), spd.affine2(a, m))  # affine invariance
 
 
 def test_lda_separates_and_keeps_dimensions():

@@ -115,7 +115,7 @@ def test_structure(spark):
     assert validate.constant(spark.createDataFrame([(1, "a"), (2, "a"), (2, None), (3, "a"), (3, "b"), (4, None), (4, None)], "g int, v string"), ["g"], "v").count() == 2
 
 
-def test_pooled_classifiers(spark):
+def test_pooled_classifiers(spark, monkeypatch, tmp_path):
     """Pooling by hand, in numpy; equal sets once; the target's own half."""
     rng = np.random.default_rng(8)
 
@@ -143,6 +143,35 @@ def test_pooled_classifiers(spark):
     assert {m: r["balanced_accuracy"] for m, r in got.items()} == {m: pytest.approx(v) for m, v in want.items()}
     assert (got["rect"]["n_sources"], got["rect"]["n_train"], got["target_only"]["n_train"], got["all"]["n_test"]) == (2, 48, 16, 30)
 
+    for held_bytes in (64 << 20, 700):  # passes with map-side sums instead of one task, in one slice and in several
+        monkeypatch.setattr(learn, "HELD", held_bytes)
+        again = {r["method"]: r for r in learn.pooled(sets, sources.repartition(5), frame(mine), frame(held), 3, most=0).collect()}
+        assert {m: r["balanced_accuracy"] for m, r in again.items()} == {m: pytest.approx(v) for m, v in want.items()}
+        assert all((again[m]["n_sources"], again[m]["n_train"], again[m]["n_test"]) == (got[m]["n_sources"], got[m]["n_train"], got[m]["n_test"]) for m in got)
+    direct = {r["source"]: r for r in learn.tangent_lda(sources.drop("case_id"), sources.select("source").distinct().crossJoin(frame(held).drop("case_id")), ["source"], 3, most=0).collect()}
+    assert {s: r["balanced_accuracy"] for s, r in direct.items()} == {s: pytest.approx(fit(data[s])) for s in data}
+
+    store = learn.ModelStore(spark, f"{tmp_path}/models")
+    kept = {r["method"]: r["balanced_accuracy"] for r in learn.pooled(sets, sources, frame(mine), frame(held), 3, store=store).collect()}
+    assert kept == {m: pytest.approx(v) for m, v in want.items()} and store.stored().count() == 3
+    when = store.stored().agg(F.max("fitted_at")).first()[0]
+    other = learn.ModelStore(spark, f"{tmp_path}/models")  # a later run: trials in another order, nothing is fitted
+    assert {r["method"]: r["balanced_accuracy"] for r in learn.pooled(sets, sources.orderBy(F.rand(3)), frame(mine), frame(held), 3, store=other).collect()} == kept
+    assert other.stored().count() == 3 and other.stored().agg(F.max("fitted_at")).first()[0] == when
+    changed = spark.createDataFrame([("c", "rect", [0, 2])], "case_id string, method string, members array<int>")
+    learn.pooled(changed, sources, frame(mine), frame(held), 3, store=other).collect()
+    assert other.stored().count() == 4  # one new set; the target's own half was there
+
+
+def test_models_of_one_class_and_of_nothing(spark):
+    one = spark.createDataFrame([([1], 0, [1.0, 0.0, 0.0, 1.0]), ([1, 2], 0, [2.0, 0.0, 0.0, 1.0]), ([2], 1, [1.0, 0.2, 0.2, 1.0])], "sets array<long>, label int, cov array<double>")
+    models = learn.tangent_models(one, 2)
+    got = {r["set"]: r for r in models.collect()}
+    assert got[1]["classes"] == [] and got[2]["classes"] == [0, 1] and got[1]["n_train"] == 2
+    scores = {r["set"]: r for r in learn.tangent_scores(one, models, 2).collect()}
+    assert scores[1]["balanced_accuracy"] is None and scores[2]["balanced_accuracy"] is not None and scores[2]["n_test"] == 2
+    assert learn.tangent_models(one.limit(0), 2).count() == 0
+
 
 def test_class_covariance_is_scaled_back():
     rng = np.random.default_rng(2)
