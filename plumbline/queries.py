@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_more, queries_screen, queries_tables
+from . import queries_learn, queries_more, queries_screen, queries_tables
+
+MODULES = (queries_screen, queries_tables, queries_more, queries_learn)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +16,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return queries_screen.QUERIES | queries_tables.QUERIES | queries_more.QUERIES
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_screen.SQL | queries_tables.SQL | queries_more.SQL
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -230,8 +230,8 @@ def se_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 OUTER = 6
 AUDIT_SQL = f"""outer_n AS (SELECT case_id, source, is_target, greatest(8, CAST(round_even(count(*) * CASE WHEN is_target THEN 0.5 ELSE 1.0 END, 0) AS BIGINT)) AS m, count(*) AS n FROM trials GROUP BY case_id, source, is_target),
 outer_i AS (SELECT case_id, source, is_target, n, rep, unnest(range(m)) AS j FROM outer_n, (SELECT unnest(range({OUTER})) AS rep)),
-outer_p AS (SELECT *, ({o.polynomial("md5('41|o|vectors|' || source || '|' || rep)", "(j + 1)")}) % n AS at FROM outer_i),
-outer_t AS (SELECT g.case_id || '/' || rep AS case_id, g.source, g.is_target, row_number() OVER (PARTITION BY g.source, rep ORDER BY at, j) - 1 AS i, {', '.join(V)} FROM outer_p g JOIN trials x ON x.source = g.source AND x.i = g.at)"""
+outer_p AS (SELECT *, (({o.polynomial("md5('41|o|vectors|' || source || '|' || rep)", "(j + 1)")}) % n) AS place FROM outer_i),
+outer_t AS (SELECT g.case_id || '/' || rep AS case_id, g.source, g.is_target, row_number() OVER (PARTITION BY g.source, rep ORDER BY place, j) - 1 AS i, {', '.join(V)} FROM outer_p g JOIN trials x ON x.source = g.source AND x.i = g.place)"""
 
 
 @query(
