@@ -44,7 +44,7 @@ def signed_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     sizes = df.where(F.col(value) != 0).groupBy(*by, F.abs(value).alias("_s")).agg(F.count("*").alias("_t"), F.count_if(F.col(value) > 0).alias("_up"))
     before = F.sum("_t").over(Window.partitionBy(*by).orderBy("_s")) - F.col("_t")
     r = sizes.withColumn("_r", before + (F.col("_t") + 1) / 2)
-    return r.groupBy(*by).agg(F.sum("_t").alias("n_signed"), F.sum(F.col("_up") * F.col("_r")).alias("w"), F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("ties"))
+    return r.groupBy(*by).agg(F.sum("_t").alias("n_signed"), F.sum(F.col("_up") * F.col("_r")).alias("w"), F.sum(F.pow(F.col("_t").cast("double"), 3) - F.col("_t")).alias("ties"))
 
 
 def noninferiority(diffs: DataFrame, margins: list[float], by: list[str], value: str = "diff", alpha: float = 0.05) -> DataFrame:

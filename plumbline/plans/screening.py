@@ -48,6 +48,11 @@ def screen(trials: DataFrame, features: list[str] | str, replicates: int, seed:
         ds, dt = resample.vector_draws(trials, "_v", replicates, seed, shared, block)
         draws = cut(discrepancy.vector_distance(ds, dt, "_v", on))
         est, draws = draws.where("b < 0").drop("b"), draws.where("b >= 0")
+    return screening_of(est, draws)
+
+
+def screening_of(est: DataFrame, draws: DataFrame) -> Screening:
+    """From estimates (case_id, source, delta) and draws (case_id, b, source, delta)."""
     est = cut(system.finite(est))
     packed = cut(system.pack(est, system.finite(draws), ["case_id"]))
     return Screening(est, packed, system.build(est, None, packed=packed))

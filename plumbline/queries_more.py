@@ -104,7 +104,7 @@ SELECT scenario, event, CAST(nominal AS DOUBLE) AS nominal, count(*) AS cases, r
 )
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of each event over simulated cases, beside its nominal level."""
-    s, truth = qs.simulated(spark)
+    s, truth = qs.simulated(spark, d)
     c = evaluate.coverage(s.system, truth, ["case_id"]).withColumn("scenario", F.split("case_id", "/")[0])
     x = evaluate.coverage_summary(c, ["scenario"], NOMINAL)
     return x.select("scenario", "event", "nominal", "cases", *[(F.round(k, 6) + 0.0).alias(k) for k in ("coverage", "excess")], "reached")
@@ -112,11 +112,15 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     qs.SIM_PRE
-    + """SELECT 'lower' AS bound, count(*) AS "rows", 0 AS broken FROM comp UNION ALL SELECT 'upper', count(*), count(*) FILTER (source = 1) FROM comp UNION ALL SELECT 'contrast', count(*), 0 FROM cont UNION ALL SELECT 'zero contrast with itself', count(*), 0 FROM cont"""
+    + """, cq AS (SELECT *, CASE WHEN source = 1 THEN upper * 1.001 + 1e-3 ELSE upper END AS altered FROM comp JOIN q USING (case_id)), kq AS (SELECT cont.*, q_d, q_j FROM cont JOIN q USING (case_id))
+SELECT 'lower' AS bound, count(*) AS "rows", count(*) FILTER (abs(lower - (delta - q_c * se)) > 1e-9 OR abs(lower_j - (delta - q_j * se)) > 1e-9) AS broken FROM cq
+UNION ALL SELECT 'upper', count(*), count(*) FILTER (abs(altered - (delta + q_c * se)) > 1e-9 OR abs(upper_j - (delta + q_j * se)) > 1e-9) FROM cq
+UNION ALL SELECT 'contrast', count(*), count(*) FILTER (abs(lower - (d_hat - q_d * se)) > 1e-9 OR abs(lower_j - (d_hat - q_j * se)) > 1e-9) FROM kq
+UNION ALL SELECT 'zero contrast with itself', count(*), count(*) FILTER (abs(a.d_hat + z.d_hat) > 1e-9) FROM cont a JOIN cont z ON a.case_id = z.case_id AND a.j = z.l AND a.l = z.j"""
 )
 def bound_algebra(spark: SparkSession, d: str) -> DataFrame:
     """V7: every bound recomputed from estimate, quantile and error; upper bounds of source 1 were altered and are found, contrasts are antisymmetric."""
-    s, _ = qs.simulated(spark)
+    s, _ = qs.simulated(spark, d)
     altered = s.system.components.withColumn("upper", F.when(F.col("source") == 1, F.col("upper") * 1.001 + 1e-3).otherwise(F.col("upper")))
     x = validate.bound_algebra(s.system, altered)
     n = lambda df, name, bad: df.agg(F.lit(name).alias("bound"), F.count("*").alias("rows"), F.count_if(bad).alias("broken"))

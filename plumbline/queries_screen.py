@@ -10,8 +10,8 @@ from .functions import keyed, matrices
 from .lineage import cut
 from .operators import discrepancy, evaluate, gates, resample, roles, system
 from .plans import oracle as o
-from .plans.screening import METHODS, screen
-from .sources import files
+from .plans.screening import METHODS, screen, screening_of
+from .sources import files, synthetic
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -275,10 +275,18 @@ def rolling_screen(spark: SparkSession, d: str):
     """Orders by segment and year; every year with three earlier ones is a target once."""
     t = files.read_spread(spark, f"{d}/orders.parquet", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("subject")), F.col("o_custkey") == F.col("c_custkey"))
     t = t.select("subject", F.year("o_orderdate").alias("session"), ((F.col("o_totalprice") - 100000) / 60000).alias("x1"), (F.pmod("o_orderkey", F.lit(7)).cast("double") / 2).alias("x2"), F.col("o_orderkey").cast("string").alias("row_key"))
-    targets = roles.rolling_targets(t, 3).select("subject", "target").distinct()
-    cases = t.join(F.broadcast(targets), "subject").where("session <= target")  # a row for each subject and year
-    trials = cases.select(F.concat_ws("/", "subject", "target").alias("case_id"), F.col("session").alias("source"), (F.col("session") == F.col("target")).alias("is_target"), *X, "row_key")
-    return screen(trials, X, B, 61, ["row_key"])
+    t = cut(t)  # read three times
+    targets = cut(roles.rolling_targets(t, 3).select("subject", "target").distinct())  # a row for each subject and year
+    # a row's weights do not depend on the target: sums by subject and year meet the targets, not rows
+    rows = t.select(F.col("subject").alias("case_id"), F.col("session").alias("source"), F.lit(False).alias("is_target"), *X, "row_key")
+    case = F.concat_ws("/", "subject", "target").alias("case_id")
+
+    def met(means: DataFrame, when: str, *cols: str) -> DataFrame:
+        return means.join(F.broadcast(targets), F.col("case_id") == F.col("subject")).where(when).select(case, *cols, "n", *X)
+
+    means, draws = cut(discrepancy.means(rows, X)[0]), cut(resample.poisson_draws(rows, X, B, 61, ["row_key"])[0])
+    est = discrepancy.mean_distance(met(means, "source < target", "source"), met(means, "source = target"), X, ["case_id"])
+    return screening_of(est, discrepancy.mean_distance(met(draws, "source < target", "source", "b"), met(draws, "source = target", "b"), X, ["case_id", "b"]))
 
 
 @query(ROLL_PRE + "SELECT split_part(case_id, '/', 1) AS subject, CAST(split_part(case_id, '/', 2) AS INTEGER) AS target, source, round(delta, 6) + 0.0 AS delta, rect, pair, ref FROM gate")
@@ -397,8 +405,8 @@ def screen_pair_matrices(spark: SparkSession, d: str) -> DataFrame:
 # ---- simulation with a known truth
 
 CONDITIONS = [("large", (0.0, 0.64, 1.96)), ("tied", (0.0, 0.0, 0.8))]
-REPS, SIM_N = 8, 40
-SIM_ROWS = [(name, k + 1, delta) for name, deltas in CONDITIONS for k, delta in enumerate(deltas)] + [(name, 0, -1.0) for name, _ in CONDITIONS]
+REPS = 8
+SIM_ROWS = [(k, name, j + 1, delta) for k, (name, deltas) in enumerate(CONDITIONS) for j, delta in enumerate(deltas)] + [(k, name, 0, -1.0) for k, (name, _) in enumerate(CONDITIONS)]
 
 
 def bm(seed: int, *keys: str) -> str:
@@ -406,23 +414,25 @@ def bm(seed: int, *keys: str) -> str:
     return f"sqrt(-2 * ln(({o.number(h)} + 1.0) / 4294967297.0)) * cos(2 * pi() * {o.number(h, 8)} / 4294967296.0)"
 
 
-SIM_SQL = f"""cond AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {b}, {c})" for a, b, c in SIM_ROWS)}) v(scenario, source, true_delta)),
-trials AS (SELECT scenario || '/' || rep AS case_id, source, source = 0 AS is_target, i, {bm(71, "scenario", "rep", "source", "i", "1")} + sqrt(greatest(true_delta, 0)) AS x1, {bm(71, "scenario", "rep", "source", "i", "2")} AS x2
-  FROM cond, (SELECT unnest(range({REPS})) AS rep), (SELECT unnest(range({SIM_N})) AS i))"""
+SIM_SQL = f"""cond AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{a}', {b}, {c})" for k, a, b, c in SIM_ROWS)}) v(half, scenario, source, true_delta)),
+sim AS (SELECT scenario || '/' || user_id % {REPS} AS case_id, source, source = 0 AS is_target, CAST(event_id AS VARCHAR) AS row_key, {bm(71, "event_id", "1")} + sqrt(greatest(true_delta, 0)) AS x1, {bm(71, "event_id", "2")} AS x2
+  FROM events JOIN cond ON half = event_id % 2 AND source = event_id // 2 % 4),
+{o.numbered("sim", "trials", "case_id, source", "row_key")}"""
 SIM_PRE = o.with_(SIM_SQL, o.estimates("trials"), o.index_draws("trials", B, 73), o.system())
 
 
-def simulated(spark: SparkSession):
-    """Gaussian sources at known distances; a case for each condition and repetition."""
-    c = spark.createDataFrame(SIM_ROWS, "scenario string, source int, true double")
-    r = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(SIM_N - 1))))
-    z = lambda k: keyed.normal(71, F.col("scenario"), F.col("rep"), F.col("source"), F.col("i"), F.lit(k))
-    t = r.select(F.concat_ws("/", "scenario", "rep").alias("case_id"), "source", (F.col("source") == 0).alias("is_target"), "i", (z(1) + F.sqrt(F.greatest("true", F.lit(0.0)))).alias("x1"), z(2).alias("x2"))
-    truth = r.where("source > 0").select(F.concat_ws("/", "scenario", "rep").alias("case_id"), "source", "true").distinct()
-    return screen(t, X, B, 73), truth
+def simulated(spark: SparkSession, d: str):
+    """Gaussian sources at known distances, a trial for each event, keyed by it; a case for each condition and user group."""
+    e, k = read(spark, d, "events"), F.col("event_id")
+    c = spark.createDataFrame(SIM_ROWS, "half long, scenario string, source int, true double")
+    r = e.select("event_id", "user_id").join(F.broadcast(c), (F.pmod(k, F.lit(2)) == F.col("half")) & (F.pmod(F.floor(k / 2), F.lit(4)) == F.col("source")))
+    r = r.withColumn("case_id", F.concat_ws("/", "scenario", F.pmod("user_id", F.lit(REPS))))
+    t = synthetic.shifted(r, 71, ["event_id"], F.sqrt(F.greatest("true", F.lit(0.0))), 2).select("case_id", "source", (F.col("source") == 0).alias("is_target"), k.cast("string").alias("row_key"), "x1", "x2")
+    truth = r.where("source > 0").select("case_id", "source", "true").distinct()
+    return screen(roles.numbered(t, ["case_id", "source"], ["row_key"]), X, B, 73), truth
 
 
-TRUTH = "tr AS (SELECT case_id, source, true_delta, true_delta - min(true_delta) OVER (PARTITION BY scenario) AS ex FROM cond, (SELECT unnest(range(%d)) AS rep), LATERAL (SELECT scenario || '/' || rep AS case_id) WHERE source > 0)" % REPS
+TRUTH = f"tr AS (SELECT case_id, source, true_delta, true_delta - min(true_delta) OVER (PARTITION BY scenario) AS ex FROM cond, (SELECT unnest(range({REPS})) AS rep), LATERAL (SELECT scenario || '/' || rep AS case_id) WHERE source > 0)"
 
 
 @query(
@@ -432,7 +442,7 @@ SELECT case_id, method, CAST(bool_and(s = 1 OR NOT o) AS INTEGER) AS oracle_reta
 )
 def simulation_metrics(spark: SparkSession, d: str) -> DataFrame:
     """E1, F17, P9."""
-    s, truth = simulated(spark)
+    s, truth = simulated(spark, d)
     m = evaluate.set_metrics(gates.long_members(gates.gates(s.system), ["rect", "pair", "ref"]), truth, ["case_id"])
     return m.withColumn("worst_excess", F.round("worst_excess", 6))
 
@@ -450,12 +460,13 @@ SELECT case_id, round(wmax, 6) + 0.0 AS wmax, round(eps, 6) + 0.0 AS epsilon_pai
 )
 def simulation_audit(spark: SparkSession, d: str) -> DataFrame:
     """Events, violations that must not occur when bounds cover, and the domination checks."""
-    s, truth = simulated(spark)
+    s, truth = simulated(spark, d)
     a = evaluate.audit(gates.gates(s.system), s.system, truth, ["case_id"])
     return a.select("case_id", *r6("wmax", "epsilon_pair"), *AUDIT_FLAGS)
 
 
-STRADDLE_SQL = f"""trials AS (SELECT 'straddle/' || rep AS case_id, source, source = 0 AS is_target, i, {bm(81, "rep", "source", "i")} + CASE source WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END AS x1, 0.0 AS x2 FROM (SELECT unnest(range(3)) AS source), (SELECT unnest(range(12)) AS rep), (SELECT unnest(range(60)) AS i))"""
+STRADDLE_SQL = f"""str AS (SELECT 'straddle/' || user_id % 12 AS case_id, CAST(event_id % 3 AS INTEGER) AS source, event_id % 3 = 0 AS is_target, CAST(event_id AS VARCHAR) AS row_key, {bm(81, "event_id", "1")} + CASE event_id % 3 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END AS x1, 0.0 AS x2 FROM events),
+{o.numbered("str", "trials", "case_id, source", "row_key")}"""
 
 
 def straddle_sql(shared: bool) -> str:
@@ -466,11 +477,12 @@ JOIN (SELECT case_id, stddev_samp(d) AS se, quantile_cont(abs(d - dh), 0.95) / s
     )
 
 
-def straddle(spark: SparkSession, shared: bool) -> DataFrame:
-    """E5: two sources on either side of the target at equal distance; their true contrast is zero."""
-    r = spark.range(3).select(F.col("id").cast("int").alias("source")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(59))))
+def straddle(spark: SparkSession, d: str, shared: bool) -> DataFrame:
+    """E5: two sources on either side of the target at equal distance, a trial for each event; their true contrast is zero."""
+    r = read(spark, d, "events").select("event_id", "user_id", F.pmod("event_id", F.lit(3)).cast("int").alias("source"))
     side = F.when(F.col("source") == 1, -1).when(F.col("source") == 2, 1).otherwise(0)
-    t = r.select(F.concat(F.lit("straddle/"), "rep").alias("case_id"), "source", (F.col("source") == 0).alias("is_target"), "i", (keyed.normal(81, F.col("rep"), F.col("source"), F.col("i")) + side).alias("x1"), F.lit(0.0).alias("x2"))
+    t = synthetic.shifted(r, 81, ["event_id"], side, 1).select(F.concat(F.lit("straddle/"), F.pmod("user_id", F.lit(12))).alias("case_id"), "source", (F.col("source") == 0).alias("is_target"), F.col("event_id").cast("string").alias("row_key"), "x1", F.lit(0.0).alias("x2"))
+    t = roles.numbered(t, ["case_id", "source"], ["row_key"])
     s = screen(t, X, B, 83, shared=shared)
     d_hat = system.contrast_pairs(s.est, ["case_id"]).where("j = 1 and l = 2").select("case_id", F.col("d").alias("d_hat"))
     draws = system.contrast_pairs(s.draws, ["case_id", "b"]).where("j = 1 and l = 2").join(d_hat, "case_id")
@@ -480,12 +492,12 @@ def straddle(spark: SparkSession, shared: bool) -> DataFrame:
 
 @query(straddle_sql(True))
 def straddle_shared(spark: SparkSession, d: str) -> DataFrame:
-    return straddle(spark, True)
+    return straddle(spark, d, True)
 
 
 @query(straddle_sql(False))
 def straddle_wrong_target(spark: SparkSession, d: str) -> DataFrame:
-    return straddle(spark, False)
+    return straddle(spark, d, False)
 
 
 # ---- without SQL: held against numpy in tests

@@ -350,14 +350,14 @@ def overview(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH v AS (SELECT vec_id, embedding AS e FROM embeddings), c AS (SELECT vec_id, list_transform([e[1:16], e[17:32]], lambda a: list_transform(a, lambda x: CAST(x AS DOUBLE) - list_avg(list_transform(a, lambda y: CAST(y AS DOUBLE))))) AS z FROM v), "
-    "m AS (SELECT vec_id, list_dot_product(z[1], z[1]) / 15 AS a, list_dot_product(z[1], z[2]) / 15 AS b, list_dot_product(z[2], z[2]) / 15 AS d FROM c) SELECT vec_id, round(a, 9) + 0.0 AS a, round(b, 9) + 0.0 AS b, round(d, 9) + 0.0 AS d, round(a + d, 9) + 0.0 AS tr, round(0.95 * a + 0.05 * (a + d) / 2, 9) + 0.0 AS shrunk_a FROM m"
+    "WITH v AS (SELECT vec_id, embedding AS e FROM embeddings), c AS (SELECT vec_id, list_transform([e[1:32], e[33:64]], lambda a: list_transform(a, lambda x: CAST(x AS DOUBLE) - list_avg(list_transform(a, lambda y: CAST(y AS DOUBLE))))) AS z FROM v), "
+    "m AS (SELECT vec_id, list_dot_product(z[1], z[1]) / 31 AS a, list_dot_product(z[1], z[2]) / 31 AS b, list_dot_product(z[2], z[2]) / 31 AS d FROM c) SELECT vec_id, round(a, 9) + 0.0 AS a, round(b, 9) + 0.0 AS b, round(d, 9) + 0.0 AS d, round(a + d, 9) + 0.0 AS tr, round(0.95 * a + 0.05 * (a + d) / 2, 9) + 0.0 AS shrunk_a FROM m"
 )
 def trial_covariances(spark: SparkSession, d: str) -> DataFrame:
-    """each vector's first 32 values as two channels of 16 samples."""
-    ch = F.transform(F.array(F.slice("embedding", 1, 16), F.slice("embedding", 17, 16)), lambda a: F.transform(a, lambda x: x.cast("double")))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / 16
-    dot = lambda i, k: F.aggregate(F.zip_with(F.col("z")[i], F.col("z")[k], lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x) / 15
+    """each vector's 64 values as two channels of 32 samples."""
+    ch = F.transform(F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)), lambda a: F.transform(a, lambda x: x.cast("double")))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / 32
+    dot = lambda i, k: F.aggregate(F.zip_with(F.col("z")[i], F.col("z")[k], lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x) / 31
     z = read(spark, d, "embeddings").select("vec_id", F.transform(ch, lambda a: F.transform(a, lambda x: x - mean(a))).alias("z"))
     m = z.select("vec_id", F.array(dot(0, 0), dot(0, 1), dot(1, 0), dot(1, 1)).alias("c"))
     c = F.col("c")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keyed
 
 
+def shifted(df: DataFrame, seed: int, key: list[str], shift: Column, dimensions: int) -> DataFrame:
+    """`df` with x1 …: standard normal numbers keyed by the columns `key`, the first one shifted."""
+    z = lambda k: keyed.normal(seed, *[F.col(c) for c in key], F.lit(k))
+    return df.select("*", (z(1) + shift).alias("x1"), *[z(k).alias(f"x{k}") for k in range(2, dimensions + 1)])
+
+
 def gaussian_cases(spark: SparkSession, conditions: DataFrame, repetitions: int, dimensions: int, seed: int) -> DataFrame:
     """Trials of every repetition of every condition.
 
@@ -17,6 +23,5 @@ def gaussian_cases(spark: SparkSession, conditions: DataFrame, repetitions: int,
     """
     r = conditions.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
     target = F.col("source") == 0
-    z = lambda k: keyed.normal(seed, F.col("scenario"), F.col("rep"), F.col("source"), F.col("i"), F.lit(k))
-    shift = F.when(target, 0.0).otherwise(F.sqrt("true"))
-    return r.select(F.concat_ws("/", "scenario", "rep").alias("case_id"), "source", target.alias("is_target"), "i", (z(1) + shift).alias("x1"), *[z(k).alias(f"x{k}") for k in range(2, dimensions + 1)])
+    t = shifted(r, seed, ["scenario", "rep", "source", "i"], F.when(target, 0.0).otherwise(F.sqrt("true")), dimensions)
+    return t.select(F.concat_ws("/", "scenario", "rep").alias("case_id"), "source", target.alias("is_target"), "i", *[f"x{k}" for k in range(1, dimensions + 1)])
