@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import queries_screen as qs
 from .functions import sets, signals
@@ -75,10 +76,40 @@ def epochs(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.col("k").cast("long").alias("k"), (F.round(mean, 9) + 0.0).alias("mean"), F.size("epoch").cast("long").alias("n"))
 
 
-@query()
+BAND = (8.0, 14.0, 64.0)
+
+
+def band_sql() -> str:
+    """The recurrence of every section, a sample a step."""
+    row = f"SELECT r.*, CAST(embedding[k + 1] AS DOUBLE) AS y0 FROM r JOIN embeddings USING (vec_id) WHERE k < {qs.DIMENSIONS}"
+    after = []
+    for i, (b0, b1, b2, a1, a2) in enumerate(signals.butterworth(*BAND).tolist()):
+        row = f"SELECT *, {b0!r} * y{i} + s{2 * i} AS y{i + 1} FROM ({row})"
+        after += [f"{b1!r} * y{i} - {a1!r} * y{i + 1} + s{2 * i + 1} AS s{2 * i}", f"{b2!r} * y{i} - {a2!r} * y{i + 1} AS s{2 * i + 1}"]
+    n = len(after) // 2
+    rest = ", ".join(f"CAST(0 AS DOUBLE) AS s{i}" for i in range(2 * n))
+    return f"""WITH RECURSIVE r AS (SELECT vec_id, 0 AS k, CAST(NULL AS DOUBLE) AS y, {rest} FROM embeddings UNION ALL SELECT vec_id, k + 1, y{n}, {", ".join(x.rsplit(" AS ", 1)[0] for x in after)} FROM ({row}))
+SELECT vec_id, round(ln(var_pop(y) + 1e-12), 6) + 0.0 AS logvar FROM r WHERE k > 0 GROUP BY vec_id"""
+
+
+@query(band_sql())
 def band_power(spark: SparkSession, d: str) -> DataFrame:
-    """Log variance of each vector, as a signal of 64 samples a second, in the band from 8 to 14; held against the filter's own response in tests."""
-    return signals.band_pass(read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", "filtered", 8.0, 14.0, 64.0).select("vec_id", (F.round(signals.log_variance("filtered"), 6) + 0.0).alias("logvar"))
+    """Log variance of each vector, as a signal of 64 samples a second, in the band from 8 to 14."""
+    return signals.band_pass(read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", "filtered", *BAND).select("vec_id", (F.round(signals.log_variance("filtered"), 6) + 0.0).alias("logvar"))
+
+
+@query(
+    f"""WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
+SELECT user_id, count(*) AS samples, count(DISTINCT i // 100) AS chunks FROM x GROUP BY user_id HAVING count(*) > 0"""
+)
+def long_signals(spark: SparkSession, d: str) -> DataFrame:
+    """X1 on signals in many rows: each user's values in the order of events, in chunks of 100 samples, filtered chunk by chunk as if whole; what is counted are finite outputs."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    x = read(spark, d, "events").select("user_id", F.col("value").alias("v"), (F.row_number().over(w) - 1).alias("i"))
+    chunks = x.groupBy("user_id", F.floor(F.col("i") / 100).alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("x"))
+    y = signals.band_pass_chunks(chunks, ["user_id"], "chunk", "x", "y", *BAND)
+    finite = F.size(F.filter("y", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    return y.groupBy("user_id").agg(F.sum(finite).alias("samples"), F.count("*").alias("chunks"))
 
 
 @query(
@@ -134,8 +165,6 @@ def bound_algebra(spark: SparkSession, d: str) -> DataFrame:
 )
 def top_matched(spark: SparkSession, d: str) -> DataFrame:
     """As many best sources as the refinement retains in the same case."""
-    from pyspark.sql.window import Window
-
     from .plans.screening import screen
 
     g = gates.gates(screen(qs.event_trials(spark, d), qs.X, qs.B, 21).system)

@@ -51,17 +51,71 @@ def test_butterworth_response():
         assert gain(f) == pytest.approx(ideal, rel=1e-7, abs=1e-12)
         n = np.arange(4000)  # a sine in the band passes whole once the filter has settled
         mid = rate / np.pi * np.arctan(np.sqrt(w(low) * w(high)))
-        y = signals.filtered(np.sin(2 * np.pi * mid / rate * n)[None], s)[0][-1000:]
+        y = signals.filtered(np.sin(2 * np.pi * mid / rate * n)[None], s)[0][0][-1000:]
         assert np.abs(y).max() == pytest.approx(1, abs=0.02)
 
 
+def test_long_signals_are_filtered_in_blocks():
+    rng = np.random.default_rng(1)
+    s = signals.butterworth(8.0, 30.0, 250.0)
+    x = rng.normal(size=(3, 5003))
+    state = rng.normal(size=(3, 8))
+    for begin in (np.zeros((3, 8)), state):
+        (y, end), (z, last) = signals.filtered(x, s, begin), signals.stepped(x, s, begin)
+        assert np.allclose(y, z, atol=1e-10) and np.allclose(end, last, atol=1e-10)
+
+
+def test_both_ways_has_no_phase_and_the_squared_response():
+    s = signals.butterworth(8.0, 30.0, 250.0)
+    assert signals.padding(s) == 27
+    n = np.arange(6000)
+    for f in (5.0, 8.0, 15.0, 30.0, 45.0):
+        x = np.sin(2 * np.pi * f / 250 * n + 0.3)
+        z = np.exp(-2j * np.pi * f / 250)
+        gain = np.prod([abs((b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z)) for b0, b1, b2, a1, a2 in s]) ** 2
+        y = signals.both_ways(x[None], s)[0]
+        assert np.allclose(y[2000:4000], gain * x[2000:4000], atol=2e-4)
+    constant = signals.both_ways(np.full((1, 100), 7.0), s)
+    assert np.allclose(constant, 0, atol=1e-9)  # settled from the first sample on
+    one = signals.filtered(np.full((1, 50), 3.0), s, 3.0 * signals.settled(s)[None])[0]
+    assert np.allclose(one, one[0, 0])
+    with pytest.raises(ValueError, match="too short"):
+        signals.both_ways(np.zeros((1, 27)), s)
+
+
+def test_chunks_equal_the_whole(spark):
+    rng = np.random.default_rng(6)
+    s = signals.butterworth(8.0, 14.0, 64.0)
+    whole = {k: rng.normal(size=n) + 5 for k, n in (("a", 700), ("b", 301), (None, 64))}
+    rows = []
+    for k, x in whole.items():
+        cuts = np.array_split(x, 3) if k != "a" else [x[:64], x[64:300], x[300:301], x[301:]]
+        rows += [(k, i, c.tolist()) for i, c in enumerate(cuts)] if k else [(k, 0, x.tolist())]
+    rows += [("c", 0, None), ("c", 1, [1.0] * 5), ("c", 2, []), ("c", 3, [2.0] * 40)]
+    d = spark.createDataFrame(rows, "k string, chunk int, x array<double>").selectExpr("*", "1 as state").repartition(5)
+    for zero in (False, True):
+        part = d if not zero else d.where("k is null or k <> 'c'")
+        got = {}
+        for r in sorted(signals.band_pass_chunks(part, ["k"], "chunk", "x", "y", 8.0, 14.0, 64.0, zero_phase=zero).collect(), key=lambda r: r["chunk"]):
+            assert (r["y"] is None) == (r["x"] is None) and (r["y"] is None or len(r["y"]) == len(r["x"])) and r["state"] == 1
+            got.setdefault(r["k"], []).extend(r["y"] or [])
+        for k, x in whole.items():
+            want = signals.both_ways(x[None], s)[0] if zero else signals.filtered(x[None], s)[0][0]
+            assert np.allclose(got[k], want, atol=1e-9), (k, zero)
+    assert np.allclose(got.get("c", []) or signals.filtered(np.array([[1.0] * 5 + [2.0] * 40]), s)[0][0], signals.filtered(np.array([[1.0] * 5 + [2.0] * 40]), s)[0][0])
+    with pytest.raises(Exception, match="cannot be continued"):
+        signals.band_pass_chunks(d.where("k = 'c' and chunk in (1, 3)"), ["k"], "chunk", "x", "y", 8.0, 14.0, 64.0, zero_phase=True).collect()
+    both = signals.band_pass(spark.createDataFrame([(1, whole["a"].tolist()), (2, None)], "k int, x array<double>"), "x", "y", 8.0, 14.0, 64.0, zero_phase=True).collect()
+    assert np.allclose(both[0]["y"], signals.both_ways(whole["a"][None], s)[0]) and both[1]["y"] is None
+
+
 def test_band_pass_column(spark):
     rng = np.random.default_rng(1)
     x = [rng.normal(size=n).tolist() for n in (64, 64, 30)] + [None]
     d = spark.createDataFrame(list(enumerate(x)), "k int, x array<double>")
     got = {r["k"]: r["y"] for r in signals.band_pass(d, "x", "y", 8.0, 14.0, 64.0).collect()}
     s = signals.butterworth(8.0, 14.0, 64.0)
-    assert got[3] is None and all(np.allclose(got[k], signals.filtered(np.array([x[k]]), s)[0]) for k in range(3))
+    assert got[3] is None and all(np.allclose(got[k], signals.filtered(np.array([x[k]]), s)[0][0]) for k in range(3))
     v = d.where("k < 3").select("k", signals.log_variance("x").alias("v")).collect()
     assert all(r["v"] == pytest.approx(np.log(np.var(x[r["k"]]) + 1e-12)) for r in v)
     e = signals.epochs(d.withColumn("at", F.array(*map(F.lit, (0, 20, 60)))), "x", "at", 10).collect()
