@@ -15,6 +15,7 @@ component against all blocks. Only confirmed links leave a task, as many as conn
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bits_of, cut, mixed, slices, written
+from .common import Bits, bits_of, checkpoint_dir, cut, mixed, removed, slices, written
 from .components import components
 from .simhash import Forest
 
@@ -64,19 +65,20 @@ def minwise(h: np.ndarray, block: int = 1 << 15) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, digest, tokens, shingles) of every row; the last two are numbers laid end to end. Empty sets have no digest."""
+    """(doc_id, n, digest, tokens, sketch, shingles) of every row; the last three are numbers laid end to end, a sketch being the tokens' lower bytes. Empty sets have no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
         for b in slices(batches, "text"):
             found = [shingle_set(t, words) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            cells = [(blake2b(h.tobytes(), digest_size=16).digest(), minwise(h).tobytes(), h.tobytes()) if len(h) else (None, None, None) for h in found]
+            tokens = [minwise(h) if len(h) else None for h in found]
+            cells = [(blake2b(h.tobytes(), digest_size=16).digest(), t.tobytes(), t.astype(np.uint8).tobytes(), h.tobytes()) if len(h) else (None,) * 4 for h, t in zip(found, tokens, strict=True)]
             n = pa.array([len(h) for h in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, *[pa.array([c[k] for c in cells], pa.binary()) for k in range(3)]], names=["doc_id", "n", "digest", "tokens", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, *[pa.array([c[k] for c in cells], pa.binary()) for k in range(4)]], names=["doc_id", "n", "digest", "tokens", "sketch", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, tokens binary, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, tokens binary, sketch binary, shingles binary")
 
 
 def branched(rows: DataFrame, trees: int, levels: int = 1) -> DataFrame:
@@ -126,45 +128,49 @@ def alike(rows: DataFrame) -> DataFrame:
             linked = np.flatnonzero(root != np.arange(len(node)))
             return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
 
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS), np.uint16)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS), np.uint8)
         for b in batches:
-            own = b.column("place").to_numpy(), b.column("node").to_numpy(), numbers_of(b.column("tokens"))
+            own = b.column("place").to_numpy(), b.column("node").to_numpy(), np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
             place, node, tokens = (np.concatenate([x, y]) for x, y in zip(held, own, strict=True))
             whole = np.searchsorted(place, place[-1]) if len(place) else 0  # the last place may go on in the next batch
             yield told(place[:whole], node[:whole], tokens[:whole])
             held = place[whole:], node[whole:], tokens[whole:]
         yield told(*held)
 
-    return rows.select("place", "node", "tokens").repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
+    return rows.select("place", "node", "sketch").repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
 
 
 def against_pivots(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, place, pivot, agreeing) of the rows of crowded places (node, place, _least): tokens shared with the place's least node."""
-    pivots = crowded.select("place", F.col("_least").alias("node")).distinct().join(nodes, "node").select("place", F.col("node").alias("pivot"), F.col("tokens").alias("_other"))
+    pivots = crowded.select("place", F.col("_least").alias("node")).distinct().join(nodes.drop("sketch"), "node").select("place", F.col("node").alias("pivot"), F.col("tokens").alias("_other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             agreeing = (numbers_of(b.column("tokens")) == numbers_of(b.column("_other"))).sum(1)
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("place"), b.column("pivot"), pa.array(agreeing.astype(np.int32))], names=["node", "place", "pivot", "agreeing"])
 
-    rows = crowded.select("node", "place").join(nodes, "node").join(pivots, "place")
+    rows = crowded.select("node", "place").join(nodes.drop("sketch"), "node").join(pivots, "place")
     return rows.select("node", "place", "pivot", "tokens", "_other").mapInArrow(run, "node long, place long, pivot long, agreeing int")
 
 
 def candidates(nodes: DataFrame, trees: int, few: int, levels: int = 6) -> DataFrame:
-    """Links (a, b) between `nodes` (node, tokens) whose components hold every similar pair that some tree keeps together.
+    """Links (a, b) between `nodes` (node, tokens, sketch) whose components hold every similar pair that some tree keeps together.
 
     The first look is at a depth where unlike sets rarely meet, which grows with the logarithm of their number; `levels` more
     follow for crowded places. There a pivot comes first: what is near it is settled, and what that could be similar to is
     linked with the pivot, so that a large group of near copies is not branched over and over.
     """
     start = max(2, math.ceil(math.log(max(2, nodes.count()), 128)))
+    spark = nodes.sparkSession
     place = branched(nodes, trees, start)
     links = []
     for depth in range(levels + 1):
-        place = written(place, "paths")
+        home = f"{checkpoint_dir(spark)}/paths-{uuid.uuid4().hex}"
+        place.write.parquet(home)
+        place = spark.read.parquet(home)
         met = place.groupBy("place").agg(F.count("*").alias("_met"), F.min("node").alias("_least")).where("_met > 1")
-        shared = place.join(met, "place")
+        shared = written(place.join(met, "place"), "shared")  # read twice, and far fewer rows
+        removed(spark, home)
         links.append(cut(alike(shared.where(F.col("_met") <= few).join(nodes, "node")).distinct()))
         judged = cut(against_pivots(shared.where(F.col("_met") > few), nodes))
         links.append(judged.where((F.col("agreeing") >= TOUCHED) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
@@ -283,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     """
     sets = written(sets_of(docs, words).withColumn("_row", F.monotonically_increasing_id()), "sets")
     copies = cut(sets.where("n > 0").groupBy("digest").agg(F.min("_row").alias("node"), F.min("doc_id").alias("rep")))
-    nodes = written(sets.select(F.col("_row").alias("node"), "tokens").join(copies.select("node"), "node"), "tokens")
+    nodes = written(sets.select(F.col("_row").alias("node"), "tokens", "sketch").join(copies.select("node"), "node"), "tokens")
     groups = cut(components(candidates(nodes, trees, few)))
     whole = sets.select(F.col("_row").alias("node"), "n", "shingles")
     links = verified(groups, whole, percent, room)
