@@ -1,7 +1,7 @@
 """Phrase collocations: grams of one word to `most_words`, counted by language, cut where they hold together least.
 
 Grams are exploded from the text into rows (language, phrase, count), one length after the other, counted together inside
-an Arrow batch first and by Spark's hash aggregate then. A gram reaches the least count only if both grams of one word less
+an Arrow batch first and by Spark's hash aggregates then. A gram reaches the least count only if both grams of one word less
 that it holds do, so each length is asked for among the survivors of the one before: a bit set of bounded size, which may
 let too many through, never too few. What is left is relational: cuts joined with the counts of their two parts, scores in
 Decimal, an anti-join with one-word extensions, and a ranking window by language.
@@ -9,7 +9,7 @@ Decimal, an anti-join with one-word extensions, and a ranking window by language
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,17 +41,15 @@ def word_numbers(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def gram_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The numbers of (lang, phrase) rows, as `counted` gives them to the same grams in texts."""
-    for b in batches:
-        seeds = word_numbers(b.column("lang").cast(pa.binary()).to_pylist())
-        out = []
-        for seed, phrase in zip(seeds, b.column("phrase").cast(pa.binary()).to_pylist(), strict=True):
-            h = np.array([seed])
-            for w in word_numbers(phrase.split(b" ")):
-                h = chained(h, w)
-            out.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))], names=["h"])
+def word_bits(words: DataFrame, size: int, most_bits: int) -> Broadcast:
+    """The set of the numbers of (lang, phrase) rows of one word, as `Words.numbers` gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = chained(word_numbers(b.column("lang").cast(pa.binary()).to_pylist()), word_numbers(b.column("phrase").cast(pa.binary()).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return bits_of(words.select("lang", "phrase").mapInArrow(run, "h long"), size, most_bits)
 
 
 def chunks(data: bytes, room: int) -> Iterator[tuple[int, int]]:
@@ -113,14 +111,10 @@ def words_of(batch: pa.RecordBatch, room: int) -> Iterator[Words]:
         yield Words(packed.dictionary, np.asarray(packed.indices).astype(np.int64), np.cumsum(a == 10, dtype=np.int32)[begin], lang, begin + lo, end + lo, data, names)
 
 
-def counted(batch: pa.RecordBatch, n: int, seen: Bits | None, room: int = ROOM) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f) of the grams of `n` words whose shorter grams are all `seen`; for n = 1 also the count of all words, as phrase ''."""
+def counted(batch: pa.RecordBatch, n: int, room: int = ROOM) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of the grams of `n` words; for n = 1 also the count of all words, as phrase ''."""
     for w in words_of(batch, room):
-        fits = w.grams(n)
-        if seen:
-            known = seen.holds(w.numbers(n - 1))
-            fits = fits & known[: len(fits)] & known[1 : len(fits) + 1]
-        at = np.flatnonzero(fits)
+        at = np.flatnonzero(w.grams(n))
         if not len(at):
             continue
         many = len(w.vocabulary)
@@ -141,59 +135,71 @@ def counted(batch: pa.RecordBatch, n: int, seen: Bits | None, room: int = ROOM)
         yield pa.RecordBatch.from_arrays([where, phrase, pa.array(f.astype(np.int64))], names=["lang", "phrase", "f"])
 
 
+def numbered(batch: pa.RecordBatch, n: int, seen: Bits | None, room: int = ROOM) -> Iterator[pa.RecordBatch]:
+    """(h, f): the grams of `n` words by their numbers, of which the language is a part; with `seen` only those whose shorter grams are in it."""
+    for w in words_of(batch, room):
+        fits = w.grams(n)
+        if seen:
+            known = seen.holds(w.numbers(n - 1))
+            fits = fits & known[: len(fits)] & known[1 : len(fits) + 1]
+        h, f = np.unique(w.numbers(n)[np.flatnonzero(fits)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f.astype(np.int64))], names=["h", "f"])
+
+
 def runs(batch: pa.RecordBatch, n: int, seen: Bits, room: int = ROOM) -> Iterator[pa.RecordBatch]:
-    """(text, lang): the longest stretches of pieces in which every gram of `n` words is `seen`, of n + 1 words or more. No longer gram that counts is lost."""
+    """(text, lang): the longest stretches of pieces in which every gram of `n` words is `seen`. No gram of n words or more that counts is lost."""
     for w in words_of(batch, room):
         fits = w.grams(n)
         at = np.flatnonzero(fits & seen.holds(w.numbers(n))[: len(fits)])
         if not len(at):
             continue
         new = (np.diff(at, prepend=-2) != 1) | (np.diff(w.piece[at], prepend=-1) != 0)  # neighbours of one piece go on
-        first, last = at[new], at[np.append(new[1:], True)]
-        more = last > first
-        first, last = first[more], last[more] + n - 1
+        first, last = at[new], at[np.append(new[1:], True)] + n - 1
         yield pa.RecordBatch.from_arrays([pa.array([w.data[b:e].decode() for b, e in zip(w.begin[first].tolist(), w.end[last].tolist(), strict=True)], pa.string()), pa.array([w.names[k] for k in w.lang[first].tolist()], pa.string())], names=["text", "lang"])
 
 
-def gram_counts(docs: DataFrame, n: int, seen: Broadcast | None) -> DataFrame:
-    """(lang, phrase, f) of all grams of `n` words that can reach the least count."""
+def exploded(text: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """Rows of work(batch) over the texts, some megabytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", ROOM):
-            yield from counted(b, n, Bits(*seen.value) if seen else None)
+            yield from work(b)
+
+    return text.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+def gram_counts(text: DataFrame, n: int) -> DataFrame:
+    return exploded(text, lambda b: counted(b, n), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_grams(docs: DataFrame, most_words: int, least: int, most_bits: int = 1 << 28) -> DataFrame:
     """(lang, phrase, f, words) of all grams that occur `least` times or more in their language; words = 0: all word occurrences of it.
 
-    The texts are read three times: for words, for pairs of frequent words, and for the stretches in which all pairs are
-    frequent, which are written and, with each length, become fewer and shorter.
+    Words are counted as they are. Longer grams are counted by their 64-bit numbers first, which are short rows; those that
+    may be frequent (two numbers may fall together, so some are not) make the stretches of text that are left, written
+    and ever fewer, and there they are counted exactly. The texts are read three times: for words, pairs, stretches.
     """
     text, found, seen = docs.select("text", F.col("lang").cast("string").alias("lang")), None, None
     for n in range(1, most_words + 1):
-        own = gram_counts(text, n, seen if n == 2 else None).where((F.col("f") >= least) | (F.col("phrase") == "")).where("f > 0")
+        if n > 1:
+            numbers = exploded(text, lambda b, n=n, seen=seen: numbered(b, n, Bits(*seen.value) if seen else None), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+            numbers = cut(numbers.where(F.col("f") >= least).select("h"))
+            size = numbers.count()
+            if not size:
+                break
+            held = bits_of(numbers, size, most_bits)
+            text, seen = written(exploded(text, lambda b, n=n, held=held: runs(b, n, Bits(*held.value)), "text string, lang string"), "runs"), None
+        own = gram_counts(text, n).where((F.col("f") >= least) | (F.col("phrase") == "")).where("f > 0")
         own = cut(own.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(n)))
         found = own if found is None else found.unionByName(own)
-        real = own.where("words > 0")
-        size = real.count()
-        if not size or n == most_words:
-            break
-        seen = bits_of(real.select("lang", "phrase").mapInArrow(gram_numbers, "h long"), size, most_bits)
-        if n > 1:
-            text = written(stretches(text, n, seen), "runs")
+        if n == 1 < most_words:
+            size = own.where("words > 0").count()
+            if not size:
+                break
+            seen = word_bits(own.where("words > 0"), size, most_bits)
     return found
 
 
-def stretches(text: DataFrame, n: int, seen: Broadcast) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", ROOM):
-            yield from runs(b, n, Bits(*seen.value))
-
-    return text.mapInArrow(run, "text string, lang string")
-
-
 def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, most: int = 2000, absorb: int = 100) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score), each language's first `most` phrases.
 

@@ -216,9 +216,8 @@ def test_collocations_in_small_chunks_and_exact_scores(spark):
     for room in (4, 16, 1 << 20):
         for n in (1, 2):
             total = Counter()
-            everything = collocations.Bits(np.full(16, -1, np.int64).view(np.uint64), 1024)
             batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(["en", None, "de", "en", "en"])], names=["text", "lang"])
-            for b in collocations.counted(batch, n, everything if n > 1 else None, room):
+            for b in collocations.counted(batch, n, room):
                 for r in b.to_pylist():
                     total[r["lang"], r["phrase"]] += r["f"]
             assert (total["en", "one"], total["de", "four"], total["en", ""], total["en", "a"]) == ((2, 50, 35, 30) if n == 1 else (0, 0, 0, 0))
