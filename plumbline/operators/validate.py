@@ -114,6 +114,55 @@ def minimum(df: DataFrame, columns: list[str], least: int, key: list[str]) -> Da
     return union(*[rows(df, "too few", key, F.col(c) < least, F.concat_ws(" ", F.lit(c), c)) for c in columns])
 
 
+#: Checks of a rule table: rows of a column that break a rule, given its bounds.
+RULES = {
+    "not null": lambda x, lo, hi: x.isNull(),
+    "finite": lambda x, lo, hi: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")),
+    "between": lambda x, lo, hi: ~F.coalesce(x.between(lo, hi), F.lit(False)),
+    "at least": lambda x, lo, hi: ~F.coalesce(x >= lo, F.lit(False)),
+    "at most": lambda x, lo, hi: ~F.coalesce(x <= hi, F.lit(False)),
+    "whole": lambda x, lo, hi: ~F.coalesce(F.abs(x - F.bround(x)) <= 1e-9, F.lit(False)),
+}
+#: Checks of a whole column: (its aggregate, the broken one given the bounds).
+TOTALS = {
+    "mean between": (F.avg, lambda v, lo, hi: ~F.coalesce(v.between(lo, hi), F.lit(False))),
+    "sum between": (F.sum, lambda v, lo, hi: ~F.coalesce(v.between(lo, hi), F.lit(False))),
+    "rows between": (lambda x: F.count("*"), lambda v, lo, hi: ~v.between(lo, hi)),
+    "constant": (lambda x: F.coalesce(F.max(x) - F.min(x), F.lit(0.0)), lambda v, lo, hi: v != 0),
+}
+
+
+def by_rules(tables: dict[str, DataFrame], rules: DataFrame) -> DataFrame:
+    """(table, column, rule, checked, broken, value) of a table of rules (table, column, rule, lo, hi): each table is scanned once for all of its rules.
+
+    Rules that name no table, column or rule that exists are told as broken, never passed over. A table of rules is small.
+    """
+    asked = rules.select("table", "column", "rule", "lo", "hi").collect()
+    spark, out = rules.sparkSession, []
+    schema = "table string, column string, rule string, checked long, broken long, value double"
+    for name in dict.fromkeys(r["table"] for r in asked):
+        own = [r for r in asked if r["table"] == name]
+        df = tables.get(name)
+        known = [r for r in own if df is not None and r["column"] in df.columns and (r["rule"] in RULES or r["rule"] in TOTALS)]
+        lost = [(r["table"], r["column"], r["rule"], 0, 1, None) for r in own if r not in known]
+        if lost:
+            out.append(spark.createDataFrame(lost, schema))
+        if not known:
+            continue
+        aggs = []
+        for r in known:
+            x, lo, hi = F.col(r["column"]), F.lit(r["lo"]), F.lit(r["hi"])
+            if r["rule"] in RULES:
+                broken, value = F.count_if(RULES[r["rule"]](x, lo, hi)), F.lit(None).cast("double")
+            else:
+                of, wrong = TOTALS[r["rule"]]
+                value = of(x).cast("double")
+                broken = wrong(value, lo, hi).cast("long")
+            aggs.append(F.struct(F.lit(name).alias("table"), F.lit(r["column"]).alias("column"), F.lit(r["rule"]).alias("rule"), F.count("*").alias("checked"), broken.cast("long").alias("broken"), value.alias("value")))
+        out.append(df.agg(F.array(*aggs).alias("r")).select(F.explode("r").alias("r")).select("r.*"))
+    return union(*out) if out else spark.createDataFrame([], schema)
+
+
 def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

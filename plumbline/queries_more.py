@@ -79,11 +79,11 @@ def epochs(spark: SparkSession, d: str) -> DataFrame:
 BAND = (8.0, 14.0, 64.0)
 
 
-def band_sql() -> str:
+def band_sql(low: float = BAND[0], high: float = BAND[1]) -> str:
     """The recurrence of every section, a sample a step."""
     row = f"SELECT r.*, CAST(embedding[k + 1] AS DOUBLE) AS y0 FROM r JOIN embeddings USING (vec_id) WHERE k < {qs.DIMENSIONS}"
     after = []
-    for i, (b0, b1, b2, a1, a2) in enumerate(signals.butterworth(*BAND).tolist()):
+    for i, (b0, b1, b2, a1, a2) in enumerate(signals.butterworth(low, high, BAND[2]).tolist()):
         row = f"SELECT *, {b0!r} * y{i} + s{2 * i} AS y{i + 1} FROM ({row})"
         after += [f"{b1!r} * y{i} - {a1!r} * y{i + 1} + s{2 * i + 1} AS s{2 * i}", f"{b2!r} * y{i} - {a2!r} * y{i + 1} AS s{2 * i + 1}"]
     n = len(after) // 2
@@ -189,3 +189,82 @@ def first_splits(spark: SparkSession, d: str) -> DataFrame:
     """T4: the first three splits of each unit."""
     e = read(spark, d, "embeddings").select("vec_id", F.explode(F.when(F.col("vec_id") % 6 > 0, F.sequence(F.lit(0).cast("long"), F.col("vec_id") % 6 - 1))).alias("split"))
     return validate.first_splits(e, 3).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH a AS ({band_sql()}), b AS ({band_sql(10.0, 20.0)})
+SELECT label AS session, CASE WHEN label < 5 THEN 8.0 ELSE 10.0 END AS low, count(*) AS trials, round(avg(CASE WHEN label < 5 THEN a.logvar ELSE b.logvar END), 5) + 0.0 AS logvar, CAST(CASE WHEN label < 5 THEN 1 ELSE 2 END AS BIGINT) AS times
+FROM embeddings JOIN a USING (vec_id) JOIN b USING (vec_id) GROUP BY label"""
+)
+def cached_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Band power by session from a cache that is asked twice, the second time with another band for half of the sessions: only those are computed again."""
+    import uuid
+
+    from .lineage import checkpoint_dir, cut
+    from .sources.cache import SessionCache
+
+    cache = SessionCache(spark, f"{checkpoint_dir(spark)}/bands-{uuid.uuid4().hex}", ["session"])
+    e = read(spark, d, "embeddings").select(F.col("label").alias("session"), "vec_id", "embedding")
+    sessions = e.select("session").distinct().withColumn("low", F.lit(8.0)).withColumn("high", F.lit(14.0))
+    moved = sessions.withColumn("low", F.when(F.col("session") < 5, 8.0).otherwise(10.0)).withColumn("high", F.when(F.col("session") < 5, 14.0).otherwise(20.0))
+
+    def compute(todo: DataFrame) -> DataFrame:
+        parts = [signals.band_pass(e.join(todo.where((F.col("low") == lo) & (F.col("high") == hi)), "session"), "embedding", "filtered", lo, hi, BAND[2]) for lo, hi in todo.select("low", "high").distinct().collect()]
+        return validate.union(*parts).select("session", "vec_id", F.round(signals.log_variance("filtered"), 6).alias("logvar"))
+
+    cache.rows(sessions, ["low", "high"], compute)
+    rows = cache.rows(moved, ["low", "high"], compute).groupBy("session").agg(F.count("*").alias("trials"), (F.round(F.avg("logvar"), 5) + 0.0).alias("logvar"))
+    return cut(rows.join(moved.select("session", "low"), "session").join(cache.computed().select("session", "times"), "session").select(F.col("session").cast("int").alias("session"), "low", "trials", "logvar", "times"))
+
+
+@query(
+    """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(CAST(CAST(x AS DOUBLE) AS BIT) AS VARCHAR)) AS b FROM embeddings),
+h AS (SELECT vec_id, array_to_string(list_transform(b, lambda s: array_to_string(list_transform([7, 6, 5, 4, 3, 2, 1, 0], lambda k: s[8 * k + 1 : 8 * k + 8]), '')), '') AS s FROM b)
+SELECT vec_id, sha256(CAST(CAST(s AS BIT) AS BLOB)) AS digest FROM h"""
+)
+def vector_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """the hash of each vector's little-endian doubles."""
+    from .functions.hashing import matrix_sha256
+
+    return read(spark, d, "embeddings").select("vec_id", matrix_sha256(F.col("embedding")).alias("digest"))
+
+
+DOCUMENT_SQL = "to_json({'key': o_orderkey, 'total': o_totalprice, 'customer': {'id': o_custkey, 'tags': [o_orderstatus, CAST(NULL AS VARCHAR)]}, 'lines': [{'n': 1, 'x': o_orderkey % 7 = 0}, {'n': 2, 'x': false}], 'none': []})"
+
+
+@query(
+    f"""WITH d AS (SELECT o_orderkey, {DOCUMENT_SQL} AS doc FROM orders),
+t AS (SELECT o_orderkey, j.fullkey AS path, j.type AS type, j.atom AS atom FROM d, json_tree(d.doc) AS j)
+SELECT o_orderkey % 16 AS part, path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'NULL' THEN 'null' ELSE lower(type) END AS kind,
+  count(*) AS n, round(sum(CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(atom AS DOUBLE) END), 2) + 0.0 AS total, count(*) FILTER (type = 'BOOLEAN' AND CAST(atom AS VARCHAR) = 'true') AS yes
+FROM t WHERE type NOT IN ('OBJECT', 'ARRAY') OR (type = 'ARRAY' AND path LIKE '%none') GROUP BY ALL"""
+)
+def document_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Nested documents as rows of path and value."""
+    from .operators.documents import flattened
+
+    line = lambda n, x: F.struct(F.lit(n).alias("n"), x.alias("x"))
+    doc = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"), F.struct(F.col("o_custkey").alias("id"), F.array("o_orderstatus", F.lit(None).cast("string")).alias("tags")).alias("customer"), F.array(line(1, F.col("o_orderkey") % 7 == 0), line(2, F.lit(False))).alias("lines"), F.array().cast("array<int>").alias("none"))
+    f = flattened(read(spark, d, "orders").select("o_orderkey", F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc")), ["o_orderkey"], "doc")
+    number = F.when(F.col("kind") == "number", F.col("value").cast("double"))
+    return f.groupBy(F.pmod("o_orderkey", F.lit(16)).alias("part"), "path", "kind").agg(F.count("*").alias("n"), (F.round(F.sum(number), 2) + 0.0).alias("total"), F.count_if((F.col("kind") == "boolean") & (F.col("value") == "true")).alias("yes"))
+
+
+RULE_ROWS = [("lineitem", "l_quantity", "between", 1.0, 50.0), ("lineitem", "l_discount", "at most", None, 0.05), ("lineitem", "l_quantity", "whole", None, None), ("lineitem", "l_tax", "mean between", 0.0, 0.01), ("orders", "o_totalprice", "at least", 1000.0, None), ("orders", "o_totalprice", "finite", None, None), ("orders", "o_orderkey", "rows between", 1.0, 1e12), ("events", "nowhere", "not null", None, None)]
+
+
+@query(
+    """SELECT 'lineitem' AS "table", 'l_quantity' AS "column", 'between' AS rule, count(*) AS checked, count(*) FILTER (NOT coalesce(l_quantity BETWEEN 1 AND 50, false)) AS broken, CAST(NULL AS DOUBLE) AS value FROM lineitem
+UNION ALL SELECT 'lineitem', 'l_discount', 'at most', count(*), count(*) FILTER (NOT coalesce(l_discount <= 0.05, false)), NULL FROM lineitem
+UNION ALL SELECT 'lineitem', 'l_quantity', 'whole', count(*), count(*) FILTER (NOT coalesce(abs(l_quantity - round_even(l_quantity, 0)) <= 1e-9, false)), NULL FROM lineitem
+UNION ALL SELECT 'lineitem', 'l_tax', 'mean between', count(*), CAST(NOT (avg(l_tax) BETWEEN 0 AND 0.01) AS BIGINT), round(avg(l_tax), 6) FROM lineitem
+UNION ALL SELECT 'orders', 'o_totalprice', 'at least', count(*), count(*) FILTER (NOT coalesce(o_totalprice >= 1000, false)), NULL FROM orders
+UNION ALL SELECT 'orders', 'o_totalprice', 'finite', count(*), count(*) FILTER (o_totalprice IS NULL OR NOT isfinite(o_totalprice)), NULL FROM orders
+UNION ALL SELECT 'orders', 'o_orderkey', 'rows between', count(*), CAST(NOT (count(*) BETWEEN 1 AND 1e12) AS BIGINT), count(*) FROM orders
+UNION ALL SELECT 'events', 'nowhere', 'not null', 0, 1, NULL"""
+)
+def rule_checks(spark: SparkSession, d: str) -> DataFrame:
+    """A table of rules over several tables, each scanned once."""
+    rules = spark.createDataFrame(RULE_ROWS, "table string, column string, rule string, lo double, hi double")
+    found = validate.by_rules({t: read(spark, d, t) for t in ("lineitem", "orders", "events")}, rules)
+    return found.withColumn("value", F.round("value", 6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,6 +94,44 @@ def strict_violations(trials: DataFrame) -> DataFrame:
     )
 
 
+CONTRACT = "path string, sha256 string, unit string, channels array<string>, kind string, trials int, labels int, ids int, error string"
+
+
+def read_contracts(spark: SparkSession, glob: str) -> DataFrame:
+    """What archives say of themselves, a row for each file: hash, unit, channels in order, number type of the matrices, and the lengths that must agree."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                row = {"path": path, "sha256": hashlib.sha256(content).hexdigest(), "unit": None, "channels": None, "kind": None, "trials": None, "labels": None, "ids": None, "error": None}
+                try:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                        row |= {"kind": z["covs"].dtype.name, "trials": len(z["covs"]), "labels": len(z["labels"])}
+                        row |= {"unit": str(z["unit"]) if "unit" in z else None, "channels": [str(c) for c in z["channels"]] if "channels" in z else None, "ids": len(z["trial_ids"]) if "trial_ids" in z else None}
+                except (ValueError, KeyError, OSError, EOFError, zipfile.BadZipFile) as e:
+                    row["error"] = f"{type(e).__name__}: {e}"[:500]
+                yield pd.DataFrame([row])
+
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, CONTRACT)
+
+
+def contract_violations(contracts: DataFrame, unit: str, channels: list[str], kind: str = "float64", recorded: DataFrame | None = None) -> DataFrame:
+    """Archives that cannot be read, or whose unit, channel order, number type, alignment or (with `recorded`: path, sha256) hash is not the one agreed on."""
+    c, key = contracts.where("error is null"), ["path"]
+    want = F.array(*map(F.lit, channels))
+    found = [
+        validate.rows(contracts, "unreadable", key, F.col("error").isNotNull(), F.col("error")),
+        validate.rows(c, "unit", key, ~F.coalesce(F.col("unit") == unit, F.lit(False)), F.col("unit")),
+        validate.rows(c, "channel order", key, ~F.coalesce(F.col("channels") == want, F.lit(False)), F.array_join("channels", ",")),
+        validate.rows(c, "number type", key, F.col("kind") != kind, F.col("kind")),
+        validate.rows(c, "alignment", key, (F.col("trials") != F.col("labels")) | (F.coalesce("ids", "trials") != F.col("trials")), F.concat_ws(" ", "trials", "labels", "ids")),
+    ]
+    if recorded is not None:
+        both = contracts.join(recorded.select("path", F.col("sha256").alias("_h")), "path", "left")
+        found.append(validate.rows(both, "hash", key, ~F.coalesce(F.col("sha256") == F.col("_h"), F.lit(False)), F.col("sha256")))
+    return validate.union(*found)
+
+
 def write_sessions(trials: DataFrame, single: bool = True, **scalars: float) -> DataFrame:
     """(subject, session, sha256, content): one archive for each session as a binary column; `single` stores float32, as caches do.
 

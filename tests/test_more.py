@@ -241,3 +241,116 @@ def test_raw_runs(spark, tmp_path):
     got = {r["name"]: r for r in npz.read_runs(spark, f"{tmp_path}/*.npz").collect()}
     assert set(got) == {"data", "events"} and got["data"]["shape"] == [3, 4] and got["data"]["data"] == list(range(12)) and got["events"]["kind"] == "int64"
     assert npz.read_runs(spark, f"{tmp_path}/*.npz", ["events"]).count() == 1
+
+
+def test_units_fail_by_themselves_in_one_job(spark, tmp_path):
+    import pandas as pd
+
+    calls = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(s, k, float(k)) for s in ("a", "b", "c") for k in range(3) for _ in range(2)], "s string, k int, x double")
+
+    def work(pdf):
+        calls.add(1)
+        if (pdf["s"] == "b").all() and (pdf["k"] == 1).all():
+            raise ValueError("unit b/1")
+        return pd.DataFrame({"s": pdf["s"].iloc[:0 if (pdf["k"] == 2).all() else 1], "k": pdf["k"].iloc[:0 if (pdf["k"] == 2).all() else 1], "m": pdf["x"].mean()})
+
+    run = runs.Run(spark, f"{tmp_path}/r", {"a": 1})
+    got = run.each(rows, ["s", "k"], work, "s string, k int, m double")
+    assert {(r["s"], r["k"], r["m"]) for r in got.collect()} == {("a", 0, 0.0), ("b", 0, 0.0), ("c", 0, 0.0), ("a", 1, 1.0), ("c", 1, 1.0)}
+    assert [(r["unit"], "unit b/1" in r["error"]) for r in run.failures().collect()] == [("b/1", True)]
+    done = calls.value
+    run.each(rows, ["s", "k"], work, "s string, k int, m double")  # only the failed unit again: empty results are done
+    assert calls.value == done + 1 and run.results().count() == 5
+
+
+def test_what_is_observed_stops_a_result(spark, tmp_path):
+    units = spark.createDataFrame([(1,), (2,)], "u int")
+    run = runs.Run(spark, f"{tmp_path}/r", {"a": 1})
+    work = lambda t: t.withColumn("x", F.when(F.col("u") == 2, float("nan")).otherwise(1.0))
+    got = run.go(units, "u", work, limits=runs.Limits(1, 10, ("x",)))
+    assert [r["u"] for r in got.collect()] == [1] and "1 lost numbers in x" in run.failures().first()["error"]
+    assert run.go(units, "u", work, limits=runs.Limits(1, 10, ("x",), 1)).count() == 2
+    with pytest.raises(ValueError, match="too few"):
+        run.go(units, "u", work, preflight=[validate.minimum(units, ["u"], 2, ["u"])])
+
+
+def test_phases_rotate():
+    order = []
+    took = runs.rotated({n: (lambda n=n: order.append(n)) for n in "abc"}, 3)
+    assert "".join(order) == "abc" + "abc" + "bca" + "cab" and all(len(v) == 3 for v in took.values())
+
+
+def test_cache_computes_what_is_stale(spark, tmp_path):
+    from plumbline.sources.cache import SessionCache
+
+    cache = SessionCache(spark, f"{tmp_path}/c", ["subject", "session"])
+    sessions = spark.createDataFrame([(s, k, 8.0, 30.0) for s in (1, 2) for k in (1, 2, 3)], "subject int, session int, low double, high double")
+    asked = []
+
+    def compute(todo):
+        asked.append(sorted((r["subject"], r["session"]) for r in todo.collect()))
+        return todo.where("session < 3").select("subject", "session", (F.col("low") + F.col("high")).alias("v"))  # session 3 has no rows
+
+    assert cache.rows(sessions, ["low", "high"], compute).count() == 4 and len(asked[-1]) == 6
+    near = sessions.withColumn("low", F.col("low") + 1e-13)
+    assert cache.rows(near, ["low", "high"], compute).count() == 4 and len(asked) == 1  # close is equal, empty is known
+    moved = sessions.withColumn("high", F.when(F.col("subject") == 2, 28.0).otherwise(F.col("high")))
+    got = {(r["subject"], r["session"]): r["v"] for r in cache.rows(moved, ["low", "high"], compute).collect()}
+    assert asked[-1] == [(2, 1), (2, 2), (2, 3)] and got == {(1, 1): 38.0, (1, 2): 38.0, (2, 1): 36.0, (2, 2): 36.0}
+    more = moved.unionByName(spark.createDataFrame([(3, 1, 8.0, 30.0)], moved.schema))
+    assert cache.rows(more, ["low", "high"], compute).count() == 5 and asked[-1] == [(3, 1)]
+    assert {(r["subject"], r["session"]): (r["times"], r["rows"]) for r in cache.computed().collect()} == {(1, 1): (1, 1), (1, 2): (1, 1), (1, 3): (1, 0), (2, 1): (2, 1), (2, 2): (2, 1), (2, 3): (2, 0), (3, 1): (1, 1)}
+    assert cache.stale(sessions, ["low", "high"]).count() == 3
+
+
+def test_documents_in_depth(spark):
+    from plumbline.operators import documents
+
+    a = [(1, '{"a": [1, {"b": "x"}], "c": null, "d": true, "e": [], "f": {"g": 2.0}}'), (2, '[1.5, "1.5"]'), (3, "no json {"), (4, None), (5, '"only text"')]
+    b = [(1, '{"a": [1.0000000000001, {"b": "y"}, 3], "d": "true", "e": {}, "f": {"g": 2}}'), (2, '[1.5, 1.5]'), (3, "no json {"), (4, None), (6, "7")]
+    x, y = (spark.createDataFrame(r, "id int, doc string") for r in (a, b))
+    got = {(r["path"]): (r["kind"], r["value"]) for r in documents.flattened(x.where("id = 1"), ["id"], "doc").collect()}
+    assert got == {"$.a[0]": ("number", "1"), "$.a[1].b": ("string", "x"), "$.c": ("null", "null"), "$.d": ("boolean", "true"), "$.e": ("array", "[]"), "$.f.g": ("number", got["$.f.g"][1])} and float(got["$.f.g"][1]) == 2
+    assert documents.differences(x, x.repartition(3), ["id"], "doc").count() == 0
+    told = {(r["check"], r["key"]) for r in documents.differences(x, y, ["id"], "doc").collect()}
+    key = lambda i, p: '{"id":%d,"path":"%s"}' % (i, p)
+    assert told == {("differs", key(1, "$.a[1].b")), ("right only", key(1, "$.a[2]")), ("left only", key(1, "$.c")), ("differs", key(1, "$.d")), ("differs", key(1, "$.e")), ("differs", key(2, "$[1]")), ("left only", key(5, "$")), ("right only", key(6, "$"))}
+    with pytest.raises(ValueError, match="levels"):
+        documents.flattened(spark.createDataFrame([(1, "[" * 9 + "1" + "]" * 9)], "id int, doc string"), ["id"], "doc", deepest=5)
+
+
+def test_rules_name_what_is_broken(spark):
+    t = spark.createDataFrame([(1, 0.5, "a"), (2, None, "a"), (3, 2.0, "a")], "k int, x double, s string")
+    rules = [("t", "x", "not null", None, None), ("t", "x", "between", 0.0, 1.0), ("t", "x", "at most", None, 2.0), ("t", "k", "sum between", 6.0, 6.0), ("t", "k", "constant", None, None), ("t", "k", "whole", None, None), ("t", "k", "no such rule", None, None), ("u", "k", "whole", None, None), ("t", "k", "rows between", 4.0, 9.0)]
+    got = {(r["table"], r["column"], r["rule"]): (r["checked"], r["broken"]) for r in validate.by_rules({"t": t}, spark.createDataFrame(rules, "table string, column string, rule string, lo double, hi double")).collect()}
+    assert got == {("t", "x", "not null"): (3, 1), ("t", "x", "between"): (3, 2), ("t", "x", "at most"): (3, 1), ("t", "k", "sum between"): (3, 0), ("t", "k", "constant"): (3, 1), ("t", "k", "whole"): (3, 0), ("t", "k", "no such rule"): (0, 1), ("u", "k", "whole"): (0, 1), ("t", "k", "rows between"): (3, 1)}
+
+
+def test_bytes_of_doubles(spark):
+    import hashlib
+    import struct
+
+    from plumbline.functions import hashing
+
+    rng = np.random.default_rng(1)
+    x = [0.0, -0.0, 1.0, -1.0, 1.5, 2.0, 0.1, 1 / 3, np.pi, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, np.inf, -np.inf, np.nan, 2.0**1023, 2.0**-1022, 1 - 2**-53, 1 + 2**-52, 8.000000000000002, 7.999999999999999]
+    x += (rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300)).tolist() + (2.0 ** rng.integers(-1074, 1023, 200).astype(float)).tolist()
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", hashing.double_bits(F.col("x")).alias("b")).collect()
+    assert all(r["b"] == struct.unpack("<q", struct.pack("<d", x[r["i"]]))[0] for r in got)
+    m = [[1.0, 2.5, -3.0], [], x[:20]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(m)] + [(3, None), (4, [1.0, None])], "i int, v array<double>").select("i", hashing.matrix_sha256(F.col("v")).alias("h")).collect()
+    want = {i: hashlib.sha256(np.array(v, "<f8").tobytes()).hexdigest() for i, v in enumerate(m)} | {3: None, 4: None}
+    assert {r["i"]: r["h"] for r in rows} == want
+
+
+def test_contracts_of_archives(spark, tmp_path):
+    good = {"covs": np.zeros((3, 2, 2)), "labels": np.zeros(3), "trial_ids": np.array(["a", "b", "c"]), "unit": "uV2", "channels": np.array(["C3", "C4"])}
+    other = {"unit": good | {"unit": "V2"}, "order": good | {"channels": np.array(["C4", "C3"])}, "kind": good | {"covs": np.zeros((3, 2, 2), np.float32)}, "length": good | {"labels": np.zeros(4)}, "bare": {k: good[k] for k in ("covs", "labels")}, "good": good}
+    for name, z in other.items():
+        np.savez(f"{tmp_path}/{name}.npz", **z)
+    (tmp_path / "cut.npz").write_bytes((tmp_path / "good.npz").read_bytes()[:100])
+    c = npz.read_contracts(spark, f"{tmp_path}/*.npz")
+    recorded = c.where("not path like '%kind.npz'").select("path", F.when(F.col("path").like("%order.npz"), "0").otherwise(F.col("sha256")).alias("sha256"))
+    told = {(r["check"], r["key"].rsplit("/", 1)[1][:-6]) for r in npz.contract_violations(c, "uV2", ["C3", "C4"], recorded=recorded).collect()}
+    assert told == {("unit", "unit"), ("channel order", "order"), ("hash", "order"), ("number type", "kind"), ("hash", "kind"), ("alignment", "length"), ("unit", "bare"), ("channel order", "bare"), ("unreadable", "cut")}
