@@ -268,3 +268,26 @@ def rule_checks(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(RULE_ROWS, "table string, column string, rule string, lo double, hi double")
     found = validate.by_rules({t: read(spark, d, t) for t in ("lineitem", "orders", "events")}, rules)
     return found.withColumn("value", F.round("value", 6))
+
+
+@query(
+    """WITH s AS (SELECT CASE WHEN c_custkey < 700 THEN 'GR' ELSE 'PAR' END AS grp, c_nationkey AS subject, c_acctbal / 1000 - 4.5 AS x FROM customer),
+m AS (SELECT grp, subject, avg(x) AS x, count(*) AS trials FROM s GROUP BY ALL)
+SELECT grp, count(*) AS subjects, CAST(sum(trials) AS BIGINT) AS trials, round(avg(x), 6) + 0.0 AS mean, round(stddev_samp(x), 6) + 0.0 AS sd, round(min(x), 6) + 0.0 AS low, round(median(x), 6) + 0.0 AS middle, round(max(x), 6) + 0.0 AS high, round(avg(CASE WHEN x < 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS below FROM m GROUP BY grp"""
+)
+def group_descriptive(spark: SparkSession, d: str) -> DataFrame:
+    """Two groups of subjects described by their subjects' means, each subject counting once."""
+    s = read(spark, d, "customer").select(F.when(F.col("c_custkey") < 700, "GR").otherwise("PAR").alias("grp"), F.col("c_nationkey").alias("subject"), (F.col("c_acctbal") / 1000 - 4.5).alias("x"))
+    m = s.groupBy("grp", "subject").agg(F.avg("x").alias("x"), F.count("*").alias("trials"))
+    r = lambda c, n: (F.round(c, 6) + 0.0).alias(n)
+    return m.groupBy("grp").agg(F.count("*").alias("subjects"), F.sum("trials").alias("trials"), r(F.avg("x"), "mean"), r(F.stddev_samp("x"), "sd"), r(F.min("x"), "low"), r(F.median("x"), "middle"), r(F.max("x"), "high"), r(F.avg((F.col("x") < 0).cast("double")), "below"))
+
+
+@query(
+    """SELECT n_regionkey AS grp, CAST(m AS DOUBLE) AS margin, count(*) AS n, CASE WHEN n_regionkey - 2 + m * 1000 > 0 THEN 0.0 WHEN n_regionkey - 2 + m * 1000 < 0 THEN 1.0 ELSE 0.5 END AS p_t, n_regionkey - 2 > -m * 1000 AS noninferior
+FROM nation, (SELECT unnest([0.001, 0.002]) AS m) GROUP BY n_regionkey, m"""
+)
+def no_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Groups whose differences are all alike have no standard error; the p-value is 0, 1, or 0.5 on the margin."""
+    diffs = read(spark, d, "nation").select(F.col("n_regionkey").alias("grp"), ((F.col("n_regionkey") - 2) / 1000).alias("diff"))
+    return inference.noninferiority(diffs, [0.001, 0.002], ["grp"]).select("grp", "margin", "n", "p_t", "noninferior")

@@ -1,4 +1,4 @@
-"""The event state machine over a stream, and a re-screen when sessions arrive: extras, since the reference has no streams."""
+"""The event state machine over a stream, and counts by event time."""
 
 from __future__ import annotations
 

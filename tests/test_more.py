@@ -354,3 +354,34 @@ def test_contracts_of_archives(spark, tmp_path):
     recorded = c.where("not path like '%kind.npz'").select("path", F.when(F.col("path").like("%order.npz"), "0").otherwise(F.col("sha256")).alias("sha256"))
     told = {(r["check"], r["key"].rsplit("/", 1)[1][:-6]) for r in npz.contract_violations(c, "uV2", ["C3", "C4"], recorded=recorded).collect()}
     assert told == {("unit", "unit"), ("channel order", "order"), ("hash", "order"), ("number type", "kind"), ("hash", "kind"), ("alignment", "length"), ("unit", "bare"), ("channel order", "bare"), ("unreadable", "cut")}
+
+
+def test_text_columns_and_inventories(spark, tmp_path):
+    from plumbline.sources import files
+
+    (tmp_path / "t.csv").write_text("path,n\nx,007\ny,\n")
+    assert [tuple(r) for r in files.read_csv_text(spark, f"{tmp_path}/t.csv", ["path", "n"]).collect()] == [("x", "007"), ("y", None)]
+    for name in ("Subject_01_Session_02_Offline", "Subject_10_Session_01_Online", "notes"):
+        (tmp_path / f"{name}.bin").write_bytes(b"abc")
+    got = files.inventory(spark, f"{tmp_path}/*.bin", r"Subject_(\d+)_Session_(\d+)_(Offline|Online)", ["subject", "session", "task"])
+    assert {(r["subject"], r["session"], r["task"], r["length"]) for r in got.collect()} == {("01", "02", "Offline", 3), ("10", "01", "Online", 3)}
+
+
+def test_counts_by_event_time_drop_late_rows(spark, tmp_path):
+    import datetime
+
+    from plumbline.streaming.segments import windowed_counts
+
+    at = lambda m: datetime.datetime(2026, 1, 1, 0, m)
+    home = f"{tmp_path}/in"
+    batches = [[("a", at(1)), ("a", at(2)), ("b", at(3))], [("a", at(40))], [("a", at(1)), ("a", at(55))]]  # the third's first row is late by then
+    schema = "k string, ts timestamp"
+    q = None
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(home)
+        stream = windowed_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(home), "ts", "10 minutes", "10 minutes", ["k"])
+        q = stream.writeStream.format("memory").queryName(f"counts{k}").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp{k}")
+    run = q.start()
+    run.awaitTermination()
+    got = {(r["k"], r["window"]["start"].minute): r["n"] for r in spark.table("counts2").collect()}
+    assert got.get(("a", 0), 0) in (2, 3) and got[("b", 0)] == 1
