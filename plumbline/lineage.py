@@ -23,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute `df` now and keep it in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames from `cut` that nothing will read any more: what was made from them is cut off itself."""
+    for df in frames:
+        kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if kept.isDefined():
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spd
-from ..lineage import cut
+from ..lineage import cut, dropped
 from . import resample
 
 
@@ -116,7 +116,10 @@ def tangent_models(rows: DataFrame, channels: int, lam: float = 0.05, rounds: in
     each set's discriminants are solved from its moments, whose size is that of the features. One class only: no classes.
     """
     p = channels * (channels + 1) // 2
-    found = [models_of(part, channels, p, lam, rounds) for part in sets_in_slices(rows, 16 * p * p)]
+    found = []
+    for part in sets_in_slices(rows, 16 * p * p):
+        found.append(models_of(part, channels, p, lam, rounds))
+        dropped(part)
     label = rows.schema["label"].dataType.simpleString()
     schema = f"set long, n_train long, mean array<double>, classes array<{label}>, coef array<double>, intercept array<double>"
     return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
@@ -207,6 +210,7 @@ def tangent_scores(rows: DataFrame, models: DataFrame, channels: int, lam: float
             return [(c, y.count(c), np.array([float(sum(x == z == c for x, z in zip(said, y, strict=True)))])) for c in dict.fromkeys(y)]
 
         out.append(cut(added(part, channels, hits)))
+        dropped(part)
     if not out:
         return models.select("set", "n_train", F.lit(0).cast("long").alias("n_test"), F.lit(None).cast("double").alias("balanced_accuracy"))
     found = reduce(DataFrame.unionByName, out).groupBy("set").agg(F.sum("n").alias("n_test"), F.avg(F.get("part", F.lit(0)) / F.col("n")).alias("_a"))

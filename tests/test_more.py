@@ -385,3 +385,14 @@ def test_counts_by_event_time_drop_late_rows(spark, tmp_path):
     run.awaitTermination()
     got = {(r["k"], r["window"]["start"].minute): r["n"] for r in spark.table("counts2").collect()}
     assert got.get(("a", 0), 0) in (2, 3) and got[("b", 0)] == 1
+
+
+def test_checkpoints_that_are_not_needed_go(spark):
+    from plumbline.lineage import checkpoint_dir, cut, dropped
+
+    a = cut(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count())
+    path = a._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    b = cut(a.withColumn("x", F.col("count") * 2))
+    assert os.path.isdir(path) and path.startswith(checkpoint_dir(spark).removeprefix("file:").rstrip("/"))
+    dropped(a)
+    assert not os.path.exists(path) and b.count() == 3
