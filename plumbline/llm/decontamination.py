@@ -248,9 +248,9 @@ def counted(benchmark: DataFrame) -> tuple[int, float, DataFrame]:
 
 
 def dealt(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """(item_id, text, _s) of the distinct rows of the benchmark and the number of slices `_s`, none of over 1.5 times MAX_CHARS characters.
+    """(item_id, text, _s) of the distinct rows of the benchmark and the number of slices `_s`, none of over 2.5 times MAX_CHARS characters.
 
-    An item that is longer than that by itself is refused (ValueError): it is no test item, and an index over it would not fit.
+    An item of over 1.5 times that by itself is refused (ValueError): it is no test item, and an index over it would not fit.
     """
     rows = benchmark.select("item_id", "text").groupBy("item_id", "text").agg(F.count("*").alias("_n")).drop("_n")
     size = F.coalesce(F.length("text"), F.lit(0)) + 16
@@ -260,32 +260,32 @@ def dealt(benchmark: DataFrame) -> tuple[DataFrame, int]:
     n = -(-total // MAX_CHARS)
     while True:
         slices_ = rows.withColumn("_s", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n))))
-        if n < 2 or slices_.groupBy("_s").agg(F.sum(size).alias("_c")).agg(F.max("_c")).first()[0] <= 1.5 * MAX_CHARS:
+        if n < 2 or slices_.groupBy("_s").agg(F.sum(size).alias("_c")).agg(F.max("_c")).first()[0] <= 2.5 * MAX_CHARS:
             return slices_, n
         n *= 2
 
 
-def indexes(benchmark: DataFrame) -> tuple[int, Iterator[Index]]:
-    """The number of slices of the benchmark (one, as a rule), and an index over each, built when it is asked for, so that the driver holds one at a time.
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes over slices of the benchmark of bounded size (one, as a rule), each built when it is asked for, so that the driver holds one at a time.
 
     Repeated rows of the benchmark count once. Document frequencies, the number of segments and their mean length are those
     of the whole benchmark, counted by Spark where there are several slices; the driver sees the terms of one slice at a time.
     """
-    rows, n = dealt(benchmark)
+    yield from built(*dealt(benchmark))
 
-    def built() -> Iterator[Index]:
-        whole = None
-        if n > 1:
-            segments, mean, df = counted(rows)
-        for k in range(n):
-            p = rows.where(F.col("_s") == k).orderBy("item_id", "text").select("item_id", "text").toArrow().to_pydict()
-            if n > 1:
-                own = benchmark.sparkSession.createDataFrame([(t,) for t in sorted({term(w) for x in p["text"] for w in item_words(x)})], "t string")
-                whole = Statistics(segments, mean, dict(df.join(F.broadcast(own), "t").select("t", "n").toPandas().itertuples(index=False)))
-            if (x := build(list(zip(p["item_id"], p["text"], strict=True)), whole)).items:
-                yield x
 
-    return n, built()
+def built(rows: DataFrame, n: int) -> Iterator[Index]:
+    """An index over each of the `n` slices of `rows`."""
+    whole = None
+    if n > 1:
+        segments, mean, df = counted(rows)
+    for k in range(n):
+        p = rows.where(F.col("_s") == k).orderBy("item_id", "text").select("item_id", "text").toArrow().to_pydict()
+        if n > 1:
+            own = rows.sparkSession.createDataFrame([(t,) for t in sorted({term(w) for x in p["text"] for w in item_words(x)})], "t string")
+            whole = Statistics(segments, mean, dict(df.join(F.broadcast(own), "t").select("t", "n").toPandas().itertuples(index=False)))
+        if (x := build(list(zip(p["item_id"], p["text"], strict=True)), whole)).items:
+            yield x
 
 
 def sent(x: Index, docs: DataFrame):
@@ -304,8 +304,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, simila
     out = None
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
     rows = docs.select("doc_id", "text")
-    n, built = indexes(benchmark)
-    for x in built:
+    slices_, n = dealt(benchmark)
+    for x in built(slices_, n):
         held = sent(x, docs)
         found = rows.mapInArrow(leaks_in(held, least, similar), schema)
         if n > 1:
@@ -349,7 +349,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, simila
         return run
 
     first = True
-    for x in indexes(benchmark)[1]:
+    for x in indexes(benchmark):
         docs = docs if first else written(docs, "leaks")
         docs, first = docs.mapInArrow(keep(sent(x, docs)), docs.schema), False
     return docs
