@@ -141,8 +141,8 @@ def alike(rows: DataFrame) -> DataFrame:
 
 
 def against_pivots(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, place, pivot, agreeing) of the rows of crowded places (node, place, _least): tokens shared with the place's least node."""
-    pivots = crowded.select("place", F.col("_least").alias("node")).distinct().join(nodes.drop("sketch"), "node").select("place", F.col("node").alias("pivot"), F.col("tokens").alias("_other"))
+    """(node, place, pivot, agreeing) of the rows of crowded places (node, place, _h, _least): tokens shared with the place's pivot, the node of least hash there."""
+    pivots = crowded.where(F.col("_h") == F.col("_least")).select("place", "node").join(nodes.drop("sketch"), "node").select("place", F.col("node").alias("pivot"), F.col("tokens").alias("_other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +153,7 @@ def against_pivots(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("node", "place", "pivot", "tokens", "_other").mapInArrow(run, "node long, place long, pivot long, agreeing int")
 
 
-def candidates(nodes: DataFrame, trees: int, few: int, levels: int = 6) -> DataFrame:
+def candidates(nodes: DataFrame, trees: int, few: int, levels: int = 3) -> DataFrame:
     """Links (a, b) between `nodes` (node, tokens, sketch) whose components hold every similar pair that some tree keeps together.
 
     The first look is at a depth where unlike sets rarely meet, which grows with the logarithm of their number; `levels` more
@@ -167,16 +167,16 @@ def candidates(nodes: DataFrame, trees: int, few: int, levels: int = 6) -> DataF
     for depth in range(levels + 1):
         home = f"{checkpoint_dir(spark)}/paths-{uuid.uuid4().hex}"
         place.write.parquet(home)
-        place = spark.read.parquet(home)
-        met = place.groupBy("place").agg(F.count("*").alias("_met"), F.min("node").alias("_least")).where("_met > 1")
+        place = spark.read.parquet(home).withColumn("_h", F.xxhash64("node", "place"))  # another pivot in each place
+        met = place.groupBy("place").agg(F.count("*").alias("_met"), F.min("_h").alias("_least")).where("_met > 1")
         shared = written(place.join(met, "place"), "shared")  # read twice, and far fewer rows
         removed(spark, home)
-        links.append(cut(alike(shared.where(F.col("_met") <= few).join(nodes, "node")).distinct()))
+        links.append(cut(alike(shared.where(F.col("_met") <= few).join(nodes.drop("tokens"), "node"))))
         judged = cut(against_pivots(shared.where(F.col("_met") > few), nodes))
-        links.append(judged.where((F.col("agreeing") >= TOUCHED) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+        links.append(judged.where((F.col("agreeing") >= TOUCHED) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         crowded = judged.where(F.col("agreeing") < SETTLED).select("node", "place", "pivot")
         if depth == levels:
-            links.append(crowded.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+            links.append(crowded.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         elif crowded.isEmpty():
             break
         else:
