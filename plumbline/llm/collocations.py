@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +82,15 @@ class Words:
         count = max(0, len(self.ids) - n + 1)
         return self.piece[:count] == self.piece[len(self.ids) - count :]
 
+    @cached_property
+    def own(self) -> np.ndarray:
+        return word_numbers(self.vocabulary.to_pylist())[self.ids]
+
     def numbers(self, n: int) -> np.ndarray:
         """The numbers of the n words from each place on, whether or not they are of one piece."""
-        own = word_numbers(self.vocabulary.to_pylist())[self.ids]
-        h = chained(word_numbers([x.encode() for x in self.names])[self.lang], own)
+        h = chained(word_numbers([x.encode() for x in self.names])[self.lang], self.own)
         for k in range(1, n):
-            h = chained(h[:-1], own[k:])
+            h = chained(h[:-1], self.own[k:])
         return h
 
 
