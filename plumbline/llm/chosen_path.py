@@ -111,7 +111,7 @@ def numbers_of(tokens: pa.Array) -> np.ndarray:
 
 
 def alike(rows: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the nodes of one place that agree in enough tokens; places are small."""
+    """Links (a, b) that connect the nodes of one place that agree in enough tokens, to the least of them, so that places tell the same links; places are small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(place: np.ndarray, node: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
@@ -137,7 +137,7 @@ def alike(rows: DataFrame) -> DataFrame:
             held = place[whole:], node[whole:], tokens[whole:]
         yield told(*held)
 
-    return rows.select("place", "node", "sketch").repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
+    return rows.select("place", "node", "sketch").repartition("place").sortWithinPartitions("place", "node").mapInArrow(run, "a long, b long")
 
 
 def against_pivots(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -173,7 +173,9 @@ def candidates(nodes: DataFrame, trees: int, few: int, levels: int = 3) -> DataF
         removed(spark, home)
         links.append(cut(alike(shared.where(F.col("_met") <= few).join(nodes.drop("tokens"), "node"))))
         judged = cut(against_pivots(shared.where(F.col("_met") > few), nodes))
-        links.append(judged.where((F.col("agreeing") >= TOUCHED) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        touched = judged.where(F.col("agreeing") >= TOUCHED)  # all linked with the pivot, so with the least of them
+        touched = touched.join(touched.groupBy("place").agg(F.min("node").alias("_low")), "place").where(F.col("node") != F.col("_low"))
+        links.append(cut(touched.select(F.col("node").alias("a"), F.col("_low").alias("b")).distinct()))
         crowded = judged.where(F.col("agreeing") < SETTLED).select("node", "place", "pivot")
         if depth == levels:
             links.append(crowded.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
