@@ -32,3 +32,8 @@ def dropped(*frames: DataFrame) -> None:
         if kept.isDefined():
             path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.get())
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks_for(rows: int, each: int = 1 << 14) -> int:
+    """Tasks that `rows` rows of a few numbers are worth, for `coalesce`: a small table in hundreds of partitions is mostly files of almost nothing, in each of its shuffles and checkpoints."""
+    return max(1, -(-rows // each))

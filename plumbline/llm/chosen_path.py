@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bits_of, checkpoint_dir, cut, mixed, removed, slices, written
+from .common import Bits, bits_of, checkpoint_dir, cut, mixed, removed, slices, tasks_for, written
 from .components import components
 from .simhash import Forest
 
@@ -160,29 +160,33 @@ def candidates(nodes: DataFrame, trees: int, few: int, levels: int = 3) -> DataF
     follow for crowded places. There a pivot comes first: what is near it is settled, and what that could be similar to is
     linked with the pivot, so that a large group of near copies is not branched over and over.
     """
-    start = max(2, math.ceil(math.log(max(2, nodes.count()), 128)))
+    total = nodes.count()
+    start = max(2, math.ceil(math.log(max(2, total), 128)))
     spark = nodes.sparkSession
     place = branched(nodes, trees, start)
-    links = []
+    links, tasks = [], tasks_for(total * trees)
     for depth in range(levels + 1):
-        home = f"{checkpoint_dir(spark)}/paths-{uuid.uuid4().hex}"
-        place.write.parquet(home)
-        place = spark.read.parquet(home).withColumn("_h", F.xxhash64("node", "place"))  # another pivot in each place
+        home = [f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("paths", "shared")]
+        place.write.parquet(home[0])
+        place = spark.read.parquet(home[0]).withColumn("_h", F.xxhash64("node", "place"))  # another pivot in each place
         met = place.groupBy("place").agg(F.count("*").alias("_met"), F.min("_h").alias("_least")).where("_met > 1")
-        shared = written(place.join(met, "place"), "shared")  # read twice, and far fewer rows
-        removed(spark, home)
-        links.append(cut(alike(shared.where(F.col("_met") <= few).join(nodes.drop("tokens"), "node"))))
-        judged = cut(against_pivots(shared.where(F.col("_met") > few), nodes))
+        place.join(met, "place").coalesce(tasks).write.parquet(home[1])  # read twice, and far fewer rows
+        removed(spark, home[0])
+        shared = spark.read.parquet(home[1])
+        tasks = tasks_for(max(shared.count(), total))  # all nodes are read beside them
+        links.append(cut(alike(shared.where(F.col("_met") <= few).join(nodes.drop("tokens"), "node")).coalesce(tasks)))
+        judged = cut(against_pivots(shared.where(F.col("_met") > few), nodes).coalesce(tasks))
+        removed(spark, home[1])
         touched = judged.where(F.col("agreeing") >= TOUCHED)  # all linked with the pivot, so with the least of them
         touched = touched.join(touched.groupBy("place").agg(F.min("node").alias("_low")), "place").where(F.col("node") != F.col("_low"))
-        links.append(cut(touched.select(F.col("node").alias("a"), F.col("_low").alias("b")).distinct()))
+        links.append(cut(touched.select(F.col("node").alias("a"), F.col("_low").alias("b")).coalesce(tasks).distinct().coalesce(tasks)))
         crowded = judged.where(F.col("agreeing") < SETTLED).select("node", "place", "pivot")
         if depth == levels:
             links.append(crowded.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         elif crowded.isEmpty():
             break
         else:
-            place = branched(crowded.join(nodes, "node"), trees)
+            place = branched(crowded.join(nodes, "node").coalesce(tasks), trees)
     return reduce(DataFrame.unionByName, links)
 
 

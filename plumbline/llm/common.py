@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..lineage import checkpoint_dir, cut
+from ..lineage import checkpoint_dir, cut, dropped, tasks_for
 
-__all__ = ["SPACE", "WORD", "Bits", "bits_of", "checkpoint_dir", "cut", "fold", "labelled_texts", "mixed", "numbered", "removed", "sample_ids", "slices", "table", "written"]
+__all__ = ["SPACE", "WORD", "Bits", "bits_of", "checkpoint_dir", "cut", "dropped", "fold", "labelled_texts", "mixed", "numbered", "removed", "sample_ids", "slices", "table", "tasks_for", "written"]
 
 #: White space of the contracts: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"

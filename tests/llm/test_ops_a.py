@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
 from plumbline.llm import chat, decontamination, licenses, mixing, secrets, simhash
+from plumbline.llm.common import checkpoint_dir
 from plumbline.llm.components import components
 
 WORDS = "the of and river stone light house green winter paper silver garden engine market signal carbon violet harbor".split()
@@ -158,6 +160,25 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_take_few_tasks_and_files(spark):
+    rng = random.Random(2)
+    edges = [(k, rng.randrange(k)) for k in range(1, 400)]
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "64")
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = lambda: sum(p.stat().st_size > 0 for p in Path(checkpoint_dir(own).removeprefix("file:")).rglob("part-*"))
+    before, sc = files(), own.sparkContext
+    sc.setJobGroup("few links", "components")
+    try:
+        assert dict(components(own.createDataFrame(edges, "a long, b long")).collect()) == dict.fromkeys(range(400), 0)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numCompletedTasks for s in stages if s) < 1500  # 7050 when each step has 64 parts
+    assert files() - before <= 1  # the last links; what is no longer read is gone
+
+
 # ---- decontamination
 
 
