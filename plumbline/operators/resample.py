@@ -1,9 +1,11 @@
 """Resampling with a target draw that all sources of a case share.
 
-Two designs. `index_draws` draws n positions with replacement (a multinomial) from a session of any size: the number of
-draws is split between halves of the range of positions, again and again down to leaves of `LEAF` positions, by binomial
-numbers that are keyed by replicate and range. So a leaf's rows learn their own counts from the log n splits above them;
-rows are shuffled once, to their leaf, and only (case, source, replicate) sums leave a task. `poisson_draws` gives every
+Two designs. `index_draws` draws n positions with replacement (a multinomial): draw j of a replicate is the value of the
+replicate's polynomial at j + 1, modulo n, as in SQL, in a session of any size. Rows are shuffled once, to spans of
+positions that a task can hold; a span's task works out every draw of its session, counts those that fall into the span, and
+only (case, source, replicate) sums leave it. With `size` the number of draws is split instead between halves of the range
+of positions, again and again down to leaves of `size` positions, by binomial numbers that are keyed by replicate and range:
+the same law and no work twice, but other draws than SQL's beyond one leaf. `poisson_draws` gives every
 row a Poisson(1) weight for each replicate from a hash of its own key, without positions. Weights times features are matrix
 products over Arrow batches. Both are keyed, so reruns and any partitioning agree.
 """
@@ -11,6 +13,7 @@ products over Arrow batches. Both are keyed, so reruns and any partitioning agre
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,8 @@ MOST = 20_000_000
 BUCKET = 1 << 18
 #: Positions of a leaf, whose draws are made one by one.
 LEAF = 8192
+#: Numbers of a span of positions, and draws that are worked out at once.
+SPAN, ROUND = MOST // 2, 1 << 20
 
 
 def matrix(columns: list[pa.Array]) -> np.ndarray:
@@ -107,16 +112,35 @@ def block_draws(n: int, leaf: int, tag: str, replicates: int, block: int, size:
     return out
 
 
+def drawn_between(n: int, lo: int, hi: int, tag: str, replicates: int, draws: int, block: int = 1) -> Iterator[tuple[np.ndarray, int]]:
+    """For each replicate, how often each of the positions lo to hi - 1 is drawn when `draws` are drawn from n, and how many draws fall before lo: SQL's draws, all of them worked out, some at a time. `block`: as in `block_draws`."""
+    c = keyed.words(b"".join(hashlib.md5(f"{tag}|{b}".encode()).digest() for b in range(replicates)))
+    for b in range(replicates):
+        counts, before = np.zeros(hi - lo, np.int64), 0
+        for first in range(0, draws, ROUND):
+            at = np.empty(min(draws - first, ROUND), np.int64)
+            for k in range(0, len(at), LEAF):  # what stays in a core's cache
+                j = np.arange(first + k, first + min(k + LEAF, len(at)))
+                own = keyed.values(c[b], j // block + 1) % n
+                at[k : k + LEAF] = own if block == 1 else (own + j % block) % n
+            if hi - lo < n:
+                before += int(np.count_nonzero(at < lo))
+                at = at[(at >= lo) & (at < hi)]
+            counts += np.bincount(at - lo, minlength=hi - lo)
+        yield counts, before
+
+
 def weights_of(n: int, leaf: int, tag: str, replicates: int, block: int = 1, size: int = LEAF) -> np.ndarray:
     """How often each position of a leaf is drawn, [replicate, position], when n are drawn from n."""
     return leaf_draws(n, leaf, tag, replicates, n, size).counts if block == 1 else block_draws(n, leaf, tag, replicates, block, size)
 
 
-def index_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, shared: bool = True, block: int = 1, size: int = LEAF) -> tuple[DataFrame, DataFrame]:
+def index_draws(trials: DataFrame, features: list[str], replicates: int, seed: int, shared: bool = True, block: int = 1, size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(sources, targets) of replicate means: (case_id, source, b, n, features) and (case_id[, source], b, n, features).
 
     `block` over 1: circular moving blocks (R5). `shared` false: a target draw for each source (the wrong-target ablation,
-    R3). Positions `i` of a session run from 0 to n - 1; a session may have any number of rows.
+    R3). Positions `i` of a session run from 0 to n - 1; a session may have any number of rows. `size`: draws are split between
+    leaves of so many positions, else they are SQL's.
     """
     both = pools(trials, features, shared)
     out = [drawn(p, "_v", replicates, seed, tag, block, size).select("case_id", "source", "b", "n", *[F.col("_v")[k].alias(f) for k, f in enumerate(features)]) for p, tag in both]
@@ -133,19 +157,33 @@ def pools(trials: DataFrame, values: list[str] | str, shared: bool) -> list[tupl
     return [(s, "s"), (t, "t")]
 
 
-def drawn(pool: DataFrame, vector: str, replicates: int, seed: int, tag: str, block: int = 1, size: int = LEAF) -> DataFrame:
+def drawn(pool: DataFrame, vector: str, replicates: int, seed: int, tag: str, block: int = 1, size: int | None = None) -> DataFrame:
     """(case_id, source, b, n, vector): replicate means of an array column; b = -1 holds the plain ones. Arrays of a pool have one length."""
-    n = pool.groupBy("case_id", "source").agg(F.max("i").alias("_last"))
-    rows = pool.join(n, ["case_id", "source"]).select("case_id", "source", tagged(pool, seed, tag).alias("_tag"), "i", (F.col("_last") + 1).cast("long").alias("n"), vector, F.floor(F.col("i") / size).alias("_leaf"))
+    n = pool.groupBy("case_id", "source").agg(F.max("i").alias("_last"), F.max(F.size(vector)).alias("_width"))
+    span = F.lit(size) if size else F.greatest(F.floor(F.lit(SPAN) / F.greatest("_width", F.lit(1))), F.lit(1))
+    rows = pool.join(n, ["case_id", "source"]).select("case_id", "source", tagged(pool, seed, tag).alias("_tag"), "i", (F.col("_last") + 1).cast("long").alias("n"), vector, span.cast("long").alias("_span"))
+    rows = rows.withColumn("_leaf", F.floor(F.col("i") / F.col("_span")))
 
-    def run(group: pa.Table) -> pa.Table:
-        total, leaf = group.column("n")[0].as_py(), group.column("_leaf")[0].as_py()
-        x = group.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
-        w = weights_of(total, leaf, group.column("_tag")[0].as_py(), replicates, block, size)[:, group.column("i").to_numpy() - leaf * size]
-        order = np.argsort(group.column("i").to_numpy(), kind="stable")  # sums that do not depend on the order of arrival
-        m = np.vstack([x[order].sum(0), w[:, order] @ x[order]]) / total
-        key = {k: pa.array([group.column(k)[0].as_py()] * len(m), group.schema.field(k).type) for k in ("case_id", "source")}
-        return pa.table(key | {"b": pa.array(np.arange(-1, replicates), pa.int32()), "n": pa.array([total] * len(m)), vector: pa.array(list(m), pa.list_(pa.float64()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = None
+        for g in batches:
+            if x is None:
+                kinds, first = g.schema, {k: g.column(k)[0].as_py() for k in ("case_id", "source", "_tag", "n", "_span", "_leaf")}
+                total, lo = first["n"], first["_leaf"] * first["_span"]
+                hi = min(total, lo + first["_span"])
+                x = np.zeros((hi - lo, len(g.column(vector)[0])))
+            # each row at its position: sums do not depend on the order of arrival
+            x[g.column("i").to_numpy() - lo] = g.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(g.num_rows, -1)
+        if size:
+            sums = [weights_of(total, first["_leaf"], first["_tag"], replicates, block, size) @ x]
+        else:
+            sums, each = [], max(1, SPAN // 4 // len(x))  # replicates to one product
+            found = drawn_between(total, lo, hi, first["_tag"], replicates, total, block)
+            while len(w := [counts for counts, _ in itertools.islice(found, each)]):
+                sums.append(np.array(w, float) @ x)
+        m = np.vstack([x.sum(0), *sums]) / total
+        key = [pa.array([first[k]] * len(m), kinds.field(k).type) for k in ("case_id", "source")]
+        yield pa.RecordBatch.from_arrays([*key, pa.array(np.arange(-1, replicates), pa.int32()), pa.array([total] * len(m)), pa.array(list(m), pa.list_(pa.float64()))], names=["case_id", "source", "b", "n", vector])
 
     schema = StructType([pool.schema["case_id"], pool.schema["source"], StructField("b", IntegerType()), StructField("n", LongType()), StructField(vector, ArrayType(DoubleType()))])
     parts = rows.groupBy("case_id", "source", "_leaf").applyInArrow(run, schema)
@@ -205,7 +243,7 @@ def tagged(pool: DataFrame, seed: int, tag: str) -> Column:
     return F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("case_id").cast("string"), F.col("source").cast("string"))
 
 
-def vector_draws(trials: DataFrame, vector: str, replicates: int, seed: int, shared: bool = True, block: int = 1, size: int = LEAF) -> tuple[DataFrame, DataFrame]:
+def vector_draws(trials: DataFrame, vector: str, replicates: int, seed: int, shared: bool = True, block: int = 1, size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """index_draws of an array column: (case_id, source, b, n, vector) and (case_id[, source], b, n, vector); row b = -1 holds the plain means."""
     s, t = (drawn(p, vector, replicates, seed, tag, block, size) for p, tag in pools(trials, vector, shared))
     return s, t.drop("source") if shared else t
@@ -229,22 +267,24 @@ def multinomial_counts(trials: DataFrame, replicates: int, seed: int, size: int
     return leaves.mapInArrow(run, f"case_id {kinds['case_id']}, source {kinds['source']}, b int, i long, w long")
 
 
-def outer_samples(trials: DataFrame, vector: str, replicates: int, seed: int, source: float = 1.0, target: float = 0.5, size: int = LEAF) -> DataFrame:
+def outer_samples(trials: DataFrame, vector: str, replicates: int, seed: int, source: float = 1.0, target: float = 0.5, size: int | None = None) -> DataFrame:
     """(case_id = case/replicate, source, is_target, i, vector): each session drawn with replacement, `outer_size` rows of it.
 
     A row appears as often as it is drawn; positions follow those it was drawn from, copies in a row. Sizes of replicates
-    are one; no drawn position is looked up.
+    are one; no drawn position is looked up. `size`: as in `index_draws`.
     """
+    each = size or LEAF
     n = trials.groupBy("case_id", "source", "is_target").agg(F.max("i").alias("_last"))
     m = F.when(F.col("is_target"), outer_size(F.col("n"), target)).otherwise(outer_size(F.col("n"), source))
     n = n.withColumn("n", (F.col("_last") + 1).cast("long")).withColumn("_m", m).drop("_last")
-    rows = trials.join(n, ["case_id", "source", "is_target"]).select("case_id", "source", "is_target", tagged(trials, seed, "o").alias("_tag"), "i", "n", "_m", vector, F.floor(F.col("i") / size).alias("_leaf"))
+    rows = trials.join(n, ["case_id", "source", "is_target"]).select("case_id", "source", "is_target", tagged(trials, seed, "o").alias("_tag"), "i", "n", "_m", vector, F.floor(F.col("i") / each).alias("_leaf"))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("i")
-        leaf = group.column("_leaf")[0].as_py()
-        found = leaf_draws(group.column("n")[0].as_py(), leaf, group.column("_tag")[0].as_py(), replicates, group.column("_m")[0].as_py(), size)
-        w = found.counts[:, group.column("i").to_numpy() - leaf * size]
+        n, leaf, tag, m = (group.column(k)[0].as_py() for k in ("n", "_leaf", "_tag", "_m"))
+        lo, hi = leaf * each, min(n, (leaf + 1) * each)
+        found = leaf_draws(n, leaf, tag, replicates, m, size) if size else Leaf(*map(np.array, zip(*drawn_between(n, lo, hi, tag, replicates, m), strict=True)))
+        w = found.counts[:, group.column("i").to_numpy() - lo]
         b = np.repeat(np.arange(replicates), w.sum(1))
         row = np.concatenate([np.repeat(np.arange(group.num_rows), w[k]) for k in range(replicates)])
         i = np.concatenate([found.before[k] + np.arange(w[k].sum()) for k in range(replicates)])

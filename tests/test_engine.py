@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,25 @@ def test_leaves_give_the_means_of_their_weights(spark):
             assert np.allclose([r["x1"], r["x2"]], w @ x / 30) and r["n"] == 30
 
 
+@pytest.mark.parametrize(("block", "span"), [(1, resample.SPAN), (1, 7000), (7, 7000)])
+def test_draws_of_long_sessions_are_those_of_the_sql(spark, monkeypatch, block, span):
+    """Sessions of more than a leaf, in one span and in several."""
+    import duckdb
+
+    from plumbline.plans import oracle
+
+    monkeypatch.setattr(resample, "SPAN", span)
+    n = {0: 9000, 1: 8193, 2: 8500}
+    t = pd.DataFrame([("c", s, s == 2, i, (i * 7 + s) % 1009 / 8, i / 16) for s in n for i in range(n[s])], columns=["case_id", "source", "is_target", "i", "x1", "x2"])
+    want = duckdb.sql(oracle.with_(oracle.index_draws("t", 3, 5, block=block)) + "SELECT source, b, n, x1, x2 FROM sd UNION ALL SELECT 2, b, n, x1, x2 FROM td").fetchall()
+    kind = "case_id string, source int, is_target boolean, i long, x1 double, x2 double"
+    s, tg = resample.index_draws(spark.createDataFrame(t, kind).repartition(5), ["x1", "x2"], 3, 5, block=block)
+    got = {(r["source"], r["b"]): r for r in [*s.collect(), *tg.withColumn("source", F.lit(2)).collect()]}
+    assert len(want) == len(got) == 9
+    for source, b, rows, *x in want:
+        assert got[source, b]["n"] == rows and [got[source, b]["x1"], got[source, b]["x2"]] == pytest.approx(x, abs=1e-9)
+
+
 def test_outer_samples_hold_rows_as_often_as_drawn(spark):
     rows = [("c", s, s == 2, i, [float(i), float(s)]) for s in range(3) for i in range(30)]
     t = spark.createDataFrame(rows, "case_id string, source int, is_target boolean, i long, x array<double>").repartition(4)
