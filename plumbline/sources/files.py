@@ -7,7 +7,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import validate
@@ -66,12 +66,36 @@ def inventory(spark: SparkSession, glob: str, pattern: str, names: list[str]) ->
     return f.where(F.col("path").rlike(pattern)).select("path", "length", *[F.regexp_extract("path", pattern, k + 1).alias(n) for k, n in enumerate(names)])
 
 
+def sha256_of(spark: SparkSession, path: str) -> Column:
+    """SHA-256 in hexadecimal digits of the file whose path is in the column `path`, read by executors as a stream.
+
+    An expression of calls to Hadoop's file systems and to Commons Codec, which Spark ships, so it reads what Spark reads, a
+    kilobyte at a time and of any length; the stream is closed by the JVM's cleaner.
+    """
+    jvm = spark.sparkContext._jvm
+    e, kinds = jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql.types
+    seq = lambda *x: jvm.org.apache.spark.api.python.PythonUtils.toSeq(list(x))
+    cls = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass
+    of = lambda name: kinds.ObjectType(cls(name))
+    call = lambda x, name, kind, *args: e.objects.Invoke(x, name, kind, seq(*args), seq(), True, True, False)
+    new = lambda name, *args: e.objects.NewInstance(cls(name), seq(*args), seq(), True, of(name), jvm.scala.Option.empty())
+    given = lambda x: jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(x._jc)
+    text = lambda x: call(x, "toString", of("java.lang.String"))
+    settings = jvm.org.apache.spark.util.SerializableConfiguration(spark._jsparkSession.sessionState().newHadoopConf())
+    conf = call(e.Literal.fromObject(settings), "value", of("org.apache.hadoop.conf.Configuration"))
+    file = new("org.apache.hadoop.fs.Path", text(given(F.col(path))))
+    stream = call(call(file, "getFileSystem", of("org.apache.hadoop.fs.FileSystem"), conf), "open", of("org.apache.hadoop.fs.FSDataInputStream"), file)
+    hexes = call(new("org.apache.commons.codec.digest.DigestUtils", text(given(F.lit("SHA-256")))), "digestAsHex", of("java.lang.String"), stream)
+    utf8 = e.objects.StaticInvoke(cls("org.apache.spark.unsafe.types.UTF8String"), kinds.DataType.fromDDL("string"), "fromString", seq(hexes), seq(), True, True, False, jvm.scala.Option.empty())
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(utf8))
+
+
 def manifest(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """path (below `root`), bytes, sha256 of every file of up to 2 GB in the folder and those in it, or of those whose name fits `glob` (K9)."""
+    """path (below `root`), bytes, sha256 of every file in the folder and those in it, or of those whose name fits `glob` (K9); no file is held whole. Spark lists no empty files."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    f = (f.option("pathGlobFilter", glob) if glob else f).load(root)
+    f = (f.option("pathGlobFilter", glob) if glob else f).load(root).select("path", "length")
     base = "^.*" + re.escape("/" + root.rstrip("/").split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/")
-    return f.select(F.regexp_replace("path", base, "").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return f.select(F.regexp_replace("path", base, "").alias("path"), F.col("length").alias("bytes"), sha256_of(spark, "path").alias("sha256"))
 
 
 def check_manifest(spark: SparkSession, recorded: DataFrame, root: str, glob: str | None = None) -> DataFrame:

@@ -357,3 +357,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     rows = spark.table("segs").collect()
     assert [(r["file"], r["start"], r["end"], r["label"], r["cue"]) for r in rows] == [("f", 9, 30, 0, 5)]
+
+
+def test_manifest_holds_no_file_whole(spark, tmp_path):
+    """Files beyond what a row may hold, with odd names."""
+    import hashlib
+
+    held = {"a b%20.bin": b"x" * 300_001, "sub/ü.bin": bytes(range(256)) * 2000}
+    for name, content in held.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = files.manifest(spark, str(tmp_path), "*.bin").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {r["path"]: (r["bytes"], r["sha256"]) for r in got} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in held.items()}
