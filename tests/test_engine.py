@@ -193,6 +193,26 @@ def test_kernels_in_tiles(spark):
             assert abs(r["delta"] - kernel_by_hand(x[key], x[end], v, w, 1.5)) < 1e-12
 
 
+def test_kernels_of_large_cases_copy_no_rows(spark, monkeypatch):
+    """One case over the bound and one below it: equal to the sums by hand, and blocks meet without being exploded."""
+    plans, cut = [], discrepancy.cut
+    monkeypatch.setattr(discrepancy, "NUMBERS", 60)
+    monkeypatch.setattr(discrepancy, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    rng = np.random.default_rng(5)
+    x = {("a", s): rng.normal(s / 4, 1, (n, 3)) for s, n in ((0, 21), (1, 64), (2, 50))} | {("b", 5): rng.normal(0, 1, (9, 3)), ("b", 7): rng.normal(1, 1, (8, 3))}
+    target = {"a": 2, "b": 7}
+    rows = [(k, s, s == target[k], i, v.tolist()) for (k, s), m in x.items() for i, v in enumerate(m)]
+    t = spark.createDataFrame(rows, "case_id string, source int, is_target boolean, i long, x array<double>").repartition(4)
+    got = discrepancy.kernel_distance(t, "x", 1.5, 2, 3).collect()
+    assert len(got) == 3 * 3
+    for r in got:
+        key, end = (r["case_id"], r["source"]), (r["case_id"], target[r["case_id"]])
+        tags = (key, f"3|s|{key[0]}|{key[1]}"), (end, f"3|t|{key[0]}|-1")
+        v, w = (np.ones(len(x[k])) if r["b"] < 0 else resample.weights_of(len(x[k]), 0, tag, 2)[r["b"]] for k, tag in tags)
+        assert abs(r["delta"] - kernel_by_hand(x[key], x[end], v, w, 1.5)) < 1e-12
+    assert any("CartesianProduct" in p for p in plans) and not any("Generate" in p for p in plans)
+
+
 def test_blocks_cover_n_positions(spark):
     t = spark.createDataFrame([("c", s, s == 1, i, float(i)) for s in range(2) for i in range(10)], "case_id string, source int, is_target boolean, i long, x1 double")
     s, tg = resample.index_draws(t, ["x1"], 5, 9, block=10)
