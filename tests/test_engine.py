@@ -213,6 +213,25 @@ def test_kernels_of_large_cases_copy_no_rows(spark, monkeypatch):
     assert any("CartesianProduct" in p for p in plans) and not any("Generate" in p for p in plans)
 
 
+def test_kernel_draws_of_long_sessions_are_those_of_the_sql(spark):
+    """A session of more positions than a leaf holds."""
+    import hashlib
+
+    prime, b, x, y = (1 << 31) - 1, 1, np.linspace(-1, 1, 8300), np.linspace(0, 2, 11)
+    rows = [("c", k, k == 1, i, [v]) for k, m in enumerate((x, y)) for i, v in enumerate(m.tolist())]
+    got = discrepancy.kernel_distance(spark.createDataFrame(rows, "case_id string, source int, is_target boolean, i long, x array<double>"), "x", 0.7, 2, 3).where("b = 1").collect()
+
+    def counts(tag, n):
+        digest = hashlib.md5(f"3|{tag}|{b}".encode()).digest()
+        c = [int.from_bytes(digest[4 * k : 4 * k + 4], "big") & prime for k in range(4)]
+        return np.bincount([(((c[0] * g + c[1]) % prime * g + c[2]) % prime * g + c[3]) % prime % n for g in range(1, n + 1)], minlength=n)
+
+    form = lambda p, v, q, w: sum(v[k : k + 500] @ np.exp(-((p[k : k + 500, None] - q[None]) ** 2) / (2 * 0.7**2)) @ w for k in range(0, len(p), 500))
+    own = lambda p, v: (form(p, v, p, v) - len(p)) / (len(p) * (len(p) - 1))
+    v, w = counts("s|c|0", len(x)), counts("t|c|-1", len(y))
+    assert [r["delta"] for r in got] == [pytest.approx(own(x, v) + own(y, w) - 2 * form(x, v, y, w) / (len(x) * len(y)), abs=1e-10)]
+
+
 def test_blocks_cover_n_positions(spark):
     t = spark.createDataFrame([("c", s, s == 1, i, float(i)) for s in range(2) for i in range(10)], "case_id string, source int, is_target boolean, i long, x1 double")
     s, tg = resample.index_draws(t, ["x1"], 5, 9, block=10)
